@@ -48,3 +48,10 @@ with v as (
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
