@@ -1,12 +1,12 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
-Every block of vectors keeps, per dimension, its rows ordered by value and cut into
-segments of one quantised value each. For a query, segments of all dimensions are
-processed by descending impact (|query value| times the gap that the segment closes);
-every row holds an upper bound that a processed segment lowers to the segment's own
-bound. Rows whose bound falls below the k-th best exact score already proven drop out,
-and the block ends as soon as no row is left unproven: those that stay are rescored
-with the exact integers.
+A block of vectors is indexed as posting segments of descending quantised impact: the
+segment of impact 2**s holds, for every dimension, the digit that a component has at that
+impact (dense vectors have a posting in every list, so a segment is stored as a matrix).
+Segments are processed from the highest impact down, for a group of queries at once. The
+partial sums bound every row's score from both sides; rows whose upper bound is below the
+k-th best lower bound are proven out. A query stops as soon as few rows are left, or when
+the segments above the last impact are used up: what is left is rescored exactly.
 """
 
 from __future__ import annotations
@@ -21,68 +21,45 @@ from pyspark.sql import functions as F
 BLOCK = 8192
 #: Queries at a time: a block of 16384 x 64 integers is 8 MB in the broadcast closure.
 QUERY_BLOCK = 16384
-SHIFT = 4  # a segment holds values that agree but for their SHIFT lowest bits
+#: Queries whose accumulators (8 bytes a row of a block) are held at once.
+GROUP = 64
+#: Impacts of the segments, as powers of two.
+IMPACTS = (5, 3)
 
 
 class ImpactIndex:
     """Index over an (n, dims) integer matrix; ids are those of its rows."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        level = values >> SHIFT
-        self.order = np.argsort(level, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.levels, self.cuts = [], []
-        for d in range(values.shape[1]):
-            own = level[self.order[d], d]
-            at = np.flatnonzero(np.diff(own, prepend=own[0] - 1)) if len(own) else np.empty(0, int)
-            self.levels.append(own[at])
-            self.cuts.append(np.append(at, len(own)))
-
-    def search(self, query: np.ndarray, k: int, skip: int | None, batch: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best rows but row `skip`; ties to the smaller id. All rows if fewer."""
-        n = len(self.ids)
-        live = np.ones(n, bool)
-        if skip is not None:
-            live &= self.ids != skip
-        if not live.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        low, span = 1 << SHIFT, []
-        for d, q in enumerate(query):  # the most a segment's rows can score in its dimension
-            lv = self.levels[d] << SHIFT
-            span.append(np.where(q >= 0, (lv + low - 1) * q, lv * q))
-        ceiling = np.array([s.max() for s in span])
-        bound = np.full(n, ceiling.sum(), np.int64)
-        best_s, best_i = np.empty(0, np.int64), np.empty(0, np.int64)
-        gap = np.concatenate([c - s for c, s in zip(ceiling, span)])
-        dim = np.repeat(np.arange(len(span)), [len(s) for s in span])
-        seg = np.concatenate([np.arange(len(s)) for s in span])
-        plan = np.argsort(-gap, kind="stable")
-        plan = plan[gap[plan] > 0]
-        step = max(1, len(plan) // batch)
-        for a in range(0, len(plan) + 1, step):
-            for j in plan[a : a + step]:
-                d, s = dim[j], seg[j]
-                bound[self.order[d][self.cuts[d][s] : self.cuts[d][s + 1]]] -= gap[j]
-            rows = np.flatnonzero(live)
-            if len(rows) > k:  # rescore the most promising rows: their exact scores prove others out
-                top = rows[np.argpartition(-bound[rows], k)[: 2 * k]]
-            else:
-                top = rows
-            if len(top):
-                best_s = np.concatenate([best_s, self.values[top] @ query])
-                best_i = np.concatenate([best_i, self.ids[top]])
-                live[top] = False
-                keep = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[keep], best_i[keep]
-            if len(best_s) == k:
-                live &= bound >= best_s[-1]
-            if not live.any():
-                return best_s, best_i
-        rest = np.flatnonzero(live)
-        s = np.concatenate([best_s, self.values[rest] @ query])
-        i = np.concatenate([best_i, self.ids[rest]])
-        keep = np.lexsort((i, -s))[:k]
-        return s[keep], i[keep]
+        self.ids, self.values, self.segments, above = ids, values, [], None
+        for s in IMPACTS:
+            level = values >> s
+            self.segments.append((level if above is None else level - (above << (last - s))).astype(np.float64).T)
+            above, last = level, s
+
+    def search(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(scores, ids) of the k best rows of each query but rows of id skip[i]; ties to the smaller id.
+
+        All rows if there are fewer than k. Sums stay below 2**53, so the float products are exact.
+        """
+        q = queries.astype(np.float64)
+        own = self.ids[None, :] == skip[:, None]
+        done, live = np.zeros((len(q), len(self.ids))), ~own
+        for s, segment in zip(IMPACTS, self.segments):
+            done += (q @ segment) * (1 << s)
+            rest = (1 << s) - 1  # lower impacts add 0 to `rest` to a component
+            low = done + rest * np.minimum(q, 0).sum(1)[:, None]
+            if len(self.ids) > k:
+                at = np.where(own, -np.inf, low)
+                theta = np.partition(at, -k, axis=1)[:, -k]
+                live &= done + rest * np.maximum(q, 0).sum(1)[:, None] >= theta[:, None]
+        out = []
+        for i, row in enumerate(queries):
+            rows = np.flatnonzero(live[i])
+            score = self.values[rows] @ row
+            keep = np.lexsort((self.ids[rows], -score))[:k]
+            out.append((score[keep], self.ids[rows[keep]]))
+        return out
 
 
 def quantise(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -117,11 +94,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 i = np.concatenate([x for x, _ in held])
                 index = ImpactIndex(i, np.concatenate([x for _, x in held]))
                 out_q, out_s, out_i = [], [], []
-                for a, row in zip(qid, q):
-                    s, w = index.search(row, k, a)
-                    out_q.append(np.full(len(s), a))
-                    out_s.append(s)
-                    out_i.append(w)
+                for at in range(0, len(qid), GROUP):
+                    ids = qid[at : at + GROUP]
+                    for a, (s, w) in zip(ids, index.search(q[at : at + GROUP], k, ids)):
+                        out_q.append(np.full(len(s), a))
+                        out_s.append(s)
+                        out_i.append(w)
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_i, out_s)], names=["query_id", "vec_id", "score"])
 
             for b in batches:
