@@ -55,3 +55,45 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_benchmark_decontamination"] = r"""
+with d as (
+  select row_number() over () as rn, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select cast(item_id as varchar) as item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), bi as (
+  select item, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0
+), bw as (
+  select distinct item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as win from bi
+), di as (
+  select rn, w, s.size as size, unnest(range(1, len(w) - s.size + 2)) as i from d join (select distinct size from bw) s on len(d.w) >= s.size
+), met as (
+  select di.rn, di.i, di.size, bw.item from di join bw on di.size = bw.size and array_to_string(list_slice(di.w, di.i, di.i + di.size - 1), ' ') = bw.win
+), hit as (
+  select rn, count(distinct p) as n_hit from (select rn, unnest(range(i, i + size)) as p from (select distinct rn, i, size from met)) group by rn
+), items as (
+  select rn, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rn, item from met where item is not null) group by rn
+)
+select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items,
+  sha256(coalesce(t.items, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from d left join hit h on h.rn = d.rn left join items t on t.rn = d.rn
+"""
+
+
+@query
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
