@@ -97,3 +97,18 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney import score_documents
 
     return score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    documents = read_table(spark, sf_dir, "documents")
+    return score(documents, train(documents, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import Tokenizer
+
+    return Tokenizer(spark).report(read_table(spark, sf_dir, "documents"))
