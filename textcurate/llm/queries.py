@@ -112,3 +112,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import Tokenizer
 
     return Tokenizer(spark).report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import classes_of
+
+    return classes_of(read_table(spark, sf_dir, "documents"))
