@@ -1,12 +1,12 @@
 """Benchmark decontamination: a prefix-filtered set join in DataFrame operations only.
 
 An item's windows are its runs of `width` consecutive words (an item with fewer words is
-one window). A document holds a window only if it holds the window's rarest word, so that
-word is the prefix that has to be joined: words of the items are ordered by how many
-documents hold them, documents without any prefix word drop out, and only the others
-spell out their own windows, of the lengths that occur (length bound) and at the starts
-where the window's rarest word stands at its offset (positional bound). Whole windows are
-compared word by word at last.
+one window). A document holds a window only if it holds the window's rarest shingle (two
+neighbouring words), so that shingle is the prefix that has to be joined: the shingles of
+the items are ordered by how often the documents hold them, documents without any prefix
+shingle drop out, and in the others a window can only start where its rarest shingle stands
+at its own offset and the window still fits (positional and length bounds). Whole windows
+are compared word by word at last. Shingles are compared by hash, which only adds work.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from .runtime import ascii_lower, materialize
 
 #: Fixed value: what is not a word character, after A-Z became a-z.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many prefix words (and MAX_CHARS of them) go into the scan as a literal set; more are joined.
-MAX_PREFIX, MAX_CHARS = 20_000, 400_000
+#: Up to so many prefix shingles (8 bytes each) go into the scan as a literal set; more are joined.
+MAX_PREFIX = 20_000
 
 
 def words(text: Column) -> Column:
@@ -27,6 +27,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
+def pairs(w: str) -> Column:
+    """A hash for each word and its follower; the last word's stands for itself and nothing."""
+    return F.zip_with(w, F.slice(F.col(w), F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
+
+
+def single(w: str) -> Column:
+    return F.transform(w, lambda a: F.xxhash64(F.lit(1), a))
+
+
+def shingles(w: str, singles: bool) -> Column:
+    return F.concat(pairs(w), single(w)) if singles else pairs(w)
+
+
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     """item (string id), window (words joined by blanks), size: each item's distinct windows."""
     b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -45,39 +58,43 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -
     item, though its windows hit). Repeated document rows get the same result each. Further
     columns on either side are ignored; either table may be empty.
     """
-    docs = documents.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.hash("text").alias("th2"), words(F.col("text")).alias("w"))
+    docs = documents.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.hash("text").alias("th2"), "text", words(F.col("text")).alias("w"))
     windows = materialize(windows_of(benchmark, width), "windows")
-    vocabulary = materialize(windows.select(F.explode("window").alias("word")).distinct(), "vocabulary")
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most `width` numbers
+    singles = 1 in sizes
+    docs = docs.withColumn("s", shingles("w", singles))
+    spelt = windows.select("window", "size").distinct().select("window", "size", F.posexplode(F.when(F.col("size") > 1, F.slice(pairs("window"), 1, F.col("size") - 1)).otherwise(single("window"))).alias("offset", "shingle"))
+    vocabulary = materialize(spelt.select("shingle").distinct(), "vocabulary")
     frequency = materialize(
-        docs.select(F.explode(F.array_distinct("w")).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df")),
-        "frequency",
+        docs.select(F.explode("s").alias("shingle")).join(vocabulary, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("df")), "frequency"
     )
-    # the rarest word of each window and its offset; a window with a word that no document holds drops out
-    spelt = windows.select("window", "size").distinct().select("window", "size", F.posexplode("window").alias("offset", "word"))
+    # the rarest shingle of each window and its offset; a window with one that no document holds drops out
     prefix = materialize(
-        spelt.join(frequency, "word", "left").groupBy("window", "size")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "offset")).alias("r"))
-        .where("r.df > 0").select("window", "size", F.col("r.word").alias("word"), F.col("r.offset").alias("offset")),
+        spelt.join(frequency, "shingle", "left").groupBy("window", "size")
+        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "offset")).alias("r"))
+        .where("r.df > 0").select("window", "size", F.col("r.shingle").alias("shingle"), F.col("r.offset").alias("offset")),
         "prefix",
     )
-    rare = prefix.select("word").distinct()
-    bound = rare.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("c")).first()
+    rare = prefix.select("shingle").distinct()
     key = ["doc_id", "th", "th2"]
     n_words = F.size("w").cast("long").alias("n_words")
-    if bound["n"] == 0:
+    n = rare.count()
+    if n == 0:
         may_hit = F.lit(False)
-    elif bound["n"] <= MAX_PREFIX and bound["c"] <= MAX_CHARS:
-        may_hit = F.arrays_overlap("w", F.array(*[F.lit(r["word"]) for r in rare.collect()]))
+    elif n <= MAX_PREFIX:
+        may_hit = F.arrays_overlap("s", F.array(*[F.lit(r["shingle"]) for r in rare.collect()]))
     else:
-        holders = docs.select(*key, F.explode(F.array_distinct("w")).alias("word")).join(rare, "word", "left_semi")
+        holders = docs.select(*key, F.explode("s").alias("shingle")).join(rare, "shingle", "left_semi")
         holders = holders.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h"), F.col("th2").alias("h2")).distinct().withColumn("held", F.lit(True))
         docs = docs.join(holders, F.expr("doc_id <=> h_id and th = h and th2 = h2"), "left")
         may_hit = F.coalesce("held", F.lit(False))
-    split = materialize(docs.select(*key, n_words, F.when(may_hit, F.col("w")).alias("w")), "candidates")
-    texts = split.where("w is not null").dropDuplicates(key)
-    at = texts.select(*key, F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-    starts = at.join(prefix, "word").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
-    starts = starts.select(*key, "start", "size", "window")
+    split = materialize(docs.select(*key, n_words, F.when(may_hit, F.col("text")).alias("text")), "candidates")
+    texts = split.where("text is not null").dropDuplicates(key).withColumn("w", words(F.col("text"))).drop("text")
+    at = texts.select(*key, F.size("w").alias("n"), F.posexplode(shingles("w", singles)).alias("pos", "shingle"))
+    # single words follow the pairs in the list, so that their places count anew from n
+    at = at.withColumn("pos", F.expr("if(pos >= n, pos - n, pos)"))
+    starts = at.join(prefix, "shingle").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
+    starts = starts.select(*key, "start", "size", "window").distinct()
     same = F.expr("d.doc_id <=> s.doc_id and d.th = s.th and d.th2 = s.th2")
     met = (
         starts.alias("s").join(texts.alias("d"), same)
@@ -93,7 +110,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -
     found = hit.join(items, F.expr("true") & hit["doc_id"].eqNullSafe(items["doc_id"]) & (hit["th"] == items["th"]) & (hit["th2"] == items["th2"]), "left").select(
         hit["doc_id"].alias("f_id"), hit["th"].alias("f"), hit["th2"].alias("f2"), "n_hit", "items"
     )
-    out = split.drop("w").join(found, F.expr("doc_id <=> f_id and th = f and th2 = f2"), "left")
+    out = split.drop("text").join(found, F.expr("doc_id <=> f_id and th = f and th2 = f2"), "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
