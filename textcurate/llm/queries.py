@@ -119,3 +119,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import classes_of
 
     return classes_of(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import deduplicate
+
+    return deduplicate(read_table(spark, sf_dir, "documents"))
