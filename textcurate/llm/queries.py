@@ -126,3 +126,10 @@ def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import deduplicate
 
     return deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import deduplicate
+
+    return deduplicate(read_table(spark, sf_dir, "documents"))
