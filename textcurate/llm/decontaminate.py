@@ -50,13 +50,10 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     ).distinct()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of documents.
+def _matches(documents: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, th, th2, n_words, candidates' text), items' windows, and where documents hold a window.
 
-    Null or empty texts have no words and hit nothing; items without words have no window.
-    Items are named by their item_id as a string (equal ids are one item; a null id is no
-    item, though its windows hit). Repeated document rows get the same result each. Further
-    columns on either side are ignored; either table may be empty.
+    th and th2 are hashes of the text; rows of equal id and text are one in the last table.
     """
     docs = documents.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.hash("text").alias("th2"), "text", words(F.col("text")).alias("w"))
     windows = materialize(windows_of(benchmark, width), "windows")
@@ -102,6 +99,19 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -
         .select("s.*")
     )
     met = materialize(met, "met")
+    return split, windows, met
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of documents.
+
+    Null or empty texts have no words and hit nothing; items without words have no window.
+    Items are named by their item_id as a string (equal ids are one item; a null id is no
+    item, though its windows hit). Repeated document rows get the same result each. Further
+    columns on either side are ignored; either table may be empty.
+    """
+    split, windows, met = _matches(documents, benchmark, width)
+    key = ["doc_id", "th", "th2"]
     hit = met.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).groupBy(*key).agg(F.count_distinct("p").alias("n_hit"))
     items = (
         met.select(*key, "window").distinct().join(windows.select("item", "window").where("item is not null"), "window")
@@ -118,3 +128,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -
         F.sha2(F.array_join(F.coalesce("items", none), ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def contaminated_keys(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """(th, th2) = (xxhash64, hash) of the texts that hold a window."""
+    return _matches(documents, benchmark, width)[2].select("th", "th2").distinct()
