@@ -1,0 +1 @@
+"""Curation and evaluation of short-text corpora on Spark DataFrames."""
