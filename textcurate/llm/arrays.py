@@ -80,10 +80,10 @@ def unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return keys, out
 
 
-def merge(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct keys of packed blobs and the sums of their counts (int64)."""
+def merge(blobs: list[bytes], restore=None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys of packed blobs (each restored first, if asked) and the sums of their counts (int64)."""
     parts = [unpack(b) for b in blobs]
-    keys = np.concatenate([k for k, _ in parts])
+    keys = np.concatenate([restore(k) if restore else k for k, _ in parts])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)

@@ -1,11 +1,13 @@
 """Exact Jaccard join of documents over 5-word shingles by count vectors.
 
-Shingles are hashed; equal sets are one set. Coordinates (hashed shingles) have one order,
-rare before frequent by a fixed-size count sketch: two sets that link share a coordinate
-among the first fifth of either, as the summed minima of the remaining coordinates would
-be too small. These coordinates are the tree's first level: cells in which sets meet.
-Within cells, count vectors over hashed groups prune pairs (an R-tree with summed minima),
-and surviving pairs are verified on whole sets. See linking.classes.
+Shingles are hashed into fine groups, whose counts over the corpus put them into one order,
+rare before frequent. Along that order the summed minima of two count vectors bound their
+overlap: sets that link share a coordinate among the first fifth of either, as all others
+together are too few. Coordinates that one set alone has can't be shared, so only the rest
+of that fifth names cells in which a set is met: the tree's first level. A set with a fifth
+of its shingles to itself is met nowhere, which is most of a corpus. Within cells, count
+vectors over GROUPS groups prune pairs (an R-tree with summed minima) and surviving pairs
+are verified on whole sets. See linking.classes.
 """
 
 from __future__ import annotations
@@ -15,59 +17,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import SortedShards, bucket_of, map_array, merge, pack, save_array
 from .hashing import U, digest, shingle_sets
 from .linking import SET_SCHEMA, classes, set_row, shared_cells
 from .rtree import count_vector
-from .runtime import materialize
+from .runtime import materialize, work_dir
 
 WIDTH = 5
-#: Counters of the sketch that orders shingles: 2**20, whatever the input's size.
-SKETCH_BITS = 20
-PIECES = 16
-#: Bits of a hashed shingle that name a cell; a collision only adds a pair to verify.
-CELL_BITS = 44
+#: Leading bits of a hashed shingle that name its fine group; a collision only adds work.
+GROUP_BITS = 48
+#: Shingles that a task gathers before it sorts and sends their counts.
+GATHER = 1 << 22
+_MASK = U(((1 << GROUP_BITS) - 1) << (64 - GROUP_BITS))
 
 
-def _shingled(documents: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, id) of every row, id being the set's digest (null for an empty set), and the sketch."""
+class SharedGroups:
+    """Fine groups that several sets have, and how many do, in mapped sorted files."""
 
-    def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
-            n, ids, held = [], [], []
-            for _, s in shingle_sets(b.column(1).to_pylist(), width):
-                n.append(len(s))
-                ids.append(digest(s) if len(s) else None)
-                held.append(s >> U(64 - SKETCH_BITS))
-                if sum(map(len, held[-64:])) > 1 << 20 or len(held) > 4096:
-                    sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(sketch))
-                    held = []
-            if held:
-                sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(sketch))
-            none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "n", "id", "piece", "counts"]
-            )
-        parts = np.minimum(sketch, 65535).astype("<u2").reshape(PIECES, -1)
-        none = [None] * PIECES
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-            names=["doc_id", "n", "id", "piece", "counts"],
-        )
+    def __init__(self, folder: str, sizes: list[int]):
+        self.shards = SortedShards(folder, "groups", sizes)
+        self.counts = [map_array(folder, f"group-counts-{i}.npy") if n else None for i, n in enumerate(sizes)]
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(rows.mapInArrow(run, "doc_id long, n long, id long, piece int, counts binary"), "shingled")
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Sets that have each group of a sorted array, 255 at most; 1 for those that aren't in the files."""
+        rank = self.shards.find(keys)
+        out = np.ones(len(keys), np.uint8)
+        which = np.searchsorted(self.shards.offsets, rank, "right") - 1
+        for b in np.unique(which[rank >= 0]):
+            sel = (which == b) & (rank >= 0)
+            out[sel] = self.counts[b][rank[sel] - self.shards.offsets[b]]
+        return out
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, "<u2").astype(np.int64) for x in t["counts"].to_pylist()], axis=0)
-        return pa.table({"piece": t["piece"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    size = (1 << SKETCH_BITS) // PIECES
-    order = np.zeros((PIECES, size), np.uint8)
-    sums = table.where("piece is not null").select("piece", "counts").groupBy("piece").applyInArrow(add, "piece int, counts binary")
-    for r in sums.toLocalIterator():  # PIECES rows of a fixed size
-        order[r["piece"]] = np.ceil(np.log2(np.frombuffer(bytes(r["counts"]), np.int64) + 1)).astype(np.uint8)
-    return table.where("piece is null").select("doc_id", "n", "id"), order.ravel()
+def count_groups(texts: DataFrame, width: int = WIDTH) -> tuple[str, list[int]]:
+    """Folder and file sizes of the groups that several of the texts' sets have.
+
+    Tasks send sorted blocks of groups and counts, cut by group range; each range is merged
+    into one file. The driver gets a number for each range.
+    """
+    spark = texts.sparkSession
+    folder = work_dir(spark, "groups")
+    ranges = min(1 << 16, max(16, 4 * texts.rdd.getNumPartitions()))
+
+    def blocks(held):
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        bucket = bucket_of(keys, ranges)
+        which = np.unique(bucket)
+        cuts = np.searchsorted(bucket, np.append(which, ranges))
+        blobs = [pa.compress(pack(_deltas(keys[a:e]), counts[a:e]), "zstd", asbytes=True) for a, e in zip(cuts[:-1], cuts[1:])]
+        sizes = [16 + 12 * int(e - a) for a, e in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "size", "blob"])
+
+    def count(batches):
+        held, size = [], 0
+        for b in batches:
+            for _, s in shingle_sets(b.column(0).to_pylist(), width):
+                held.append(s & _MASK)
+                size += len(s)
+                if size >= GATHER:
+                    yield blocks(held)
+                    held, size = [], 0
+        if size:
+            yield blocks(held)
+
+    def gather(t: pa.Table) -> pa.Table:
+        b = t["bucket"][0].as_py()
+        raw = [pa.decompress(x.as_py(), n, "zstd", asbytes=True) for x, n in zip(t["blob"], t["size"].to_pylist())]
+        keys, (counts,) = merge(raw, np.cumsum)
+        several = counts > 1
+        save_array(folder, f"groups-{b}.npy", keys[several])
+        save_array(folder, f"group-counts-{b}.npy", np.minimum(counts[several], 255).astype(np.uint8))
+        return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([int(several.sum())], pa.int64())})
+
+    sizes = [0] * ranges
+    found = texts.select("text").mapInArrow(count, "bucket int, size long, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, n long")
+    for r in found.collect():
+        sizes[r["bucket"]] = r["n"]
+    return folder, sizes
+
+
+def _deltas(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=U(0)).astype(U)
 
 
 def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int = 5) -> DataFrame:
@@ -77,38 +107,62 @@ def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int
     no shingles and link with nothing; a text of fewer words is one shingle. Repeated rows
     keep their own rows; null ids stay null but link others. Further columns are ignored.
     """
-    spark = documents.sparkSession
-    rows, order = _shingled(documents, width)
-    shared = spark.sparkContext.broadcast(order)  # 1 MB at any size of the input
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    folder, sizes = count_groups(texts, width)
 
     def coordinates(batches):
-        rank = shared.value
+        groups = SharedGroups(folder, sizes)
         for b in batches:
-            cells, ids, size = [], [], 0
+            ids, n, cells, held, size = [], [], [], [], 0
+            doc = 0
+
+            def flush():
+                if not held:
+                    return
+                keys = np.concatenate([s & _MASK for s in held])
+                distinct, back = np.unique(keys, return_inverse=True)
+                times = groups.of(distinct)[back]
+                at = 0
+                for s in held:
+                    k, c = keys[at : at + len(s)], times[at : at + len(s)]
+                    at += len(s)
+                    first = len(s) - (len(s) * num + den - 1) // den + 1 if len(s) else 0
+                    rest = first - int(np.count_nonzero(c == 1))  # coordinates of its own come first
+                    if rest > 0:
+                        shared = np.flatnonzero(c > 1)
+                        own = shared[np.lexsort((k[shared], c[shared]))[:rest]]
+                        cells.append((k[own] >> U(64 - GROUP_BITS)).astype(np.int64))
+                    else:
+                        cells.append(np.empty(0, np.int64))
+                held.clear()
+
             for _, s in shingle_sets(b.column(1).to_pylist(), width):
-                n = len(s)
-                if n:
-                    first = n - (n * num + den - 1) // den + 1
-                    key = (rank[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(58)) | (s >> U(6))
-                    own = s[np.argpartition(key, first - 1)[:first]] if first < n else s
-                    cells.append((own >> U(64 - CELL_BITS)).astype(np.int64))
-                    ids.append(np.full(len(own), digest(s)))
-                    size += len(own)
-                if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(ids))], names=["cell", "id"])
-                    cells, ids, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(ids))], names=["cell", "id"])
-
-    members = shared_cells(texts.mapInArrow(coordinates, "cell long, id long"))
+                n.append(len(s))
+                ids.append(digest(s) if len(s) else None)
+                held.append(s)
+                size += len(s)
+                if size > 1 << 20:
+                    flush()
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(doc, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "n", "id", "cells"]
+                    )
+                    doc += len(n)
+                    ids, n, cells, size = [], [], [], 0
+            flush()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(doc, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "n", "id", "cells"]
+            )
+
+    table = materialize(texts.mapInArrow(coordinates, "doc_id long, n long, id long, cells array<long>"), "coordinates")
+    rows = table.select("doc_id", "n", "id")
+    members = shared_cells(table.select(F.explode("cells").alias("cell"), "id"))
     wanted = rows.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialize(wanted, "wanted")
 
     def build(batches):
         for b in batches:
             out = []
-            for i, s in shingle_sets(b.column(1).to_pylist(), width):
+            for _, s in shingle_sets(b.column(0).to_pylist(), width):
                 if len(s):
                     out.append((digest(s), *set_row(s, count_vector(s))))
                 if len(out) >= 256:
@@ -118,7 +172,7 @@ def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int
                 yield _sets(out)
 
     ids = wanted.select(F.col("doc_id").alias("own")).distinct()
-    chosen = texts.join(ids, texts["doc_id"].eqNullSafe(ids["own"]), "left_semi")
+    chosen = texts.join(ids, texts["doc_id"].eqNullSafe(ids["own"]), "left_semi").select("text")
     sets = chosen.mapInArrow(build, SET_SCHEMA).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
     sets = materialize(sets, "sets")
     found = classes(members, sets, num, den)
