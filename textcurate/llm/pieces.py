@@ -16,7 +16,6 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of up to 12 characters whose ids a worker remembers, at most; others are encoded anew.
-REMEMBERED = 200_000
+#: Words of up to 24 characters whose ids a worker remembers, at most (some 200 bytes each); others are encoded anew.
+REMEMBERED = 800_000
 #: Stability results that a worker remembers before it starts afresh.
 STABLE = 2_000_000
 #: Characters of text whose distinct words are sorted at once.
@@ -34,6 +33,13 @@ CHARS = 1 << 22
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def units_of(text: str) -> list[str]:
+    """The marked words of a text."""
+    if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+        return [MARK + w for w in text.split(" ")]
+    return _UNIT.findall(MARK + text.replace(" ", MARK))
+
+
 def load_pieces(model_file: str) -> list[tuple[str, float, int]]:
     """(piece, score, kind) of a model file; kind 0: piece, 1: byte, 2: not for text."""
     import sentencepiece
@@ -62,10 +68,15 @@ class Codec:
                 whole = self.score.pop(p)
                 self.halves[p] = tuple(self.merge(p))
                 self.score[p] = whole
-        self.reach: dict[str, int] = {}
+        # lengths, longest first, of the pieces that may end where these three (or two) characters do
+        ends: dict[str, set[int]] = {}
         for p in self.usable:
-            self.reach[p[-1]] = max(self.reach.get(p[-1], 1), len(p))
-        self.stable: dict[tuple[str, str], bool] = {}
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends2 = {p: (2, 1) for p in self.usable if len(p) == 2}
+        self.ends3 = {k: (*sorted(v, reverse=True), *self.ends2.get(k[1:], (1,))) for k, v in ends.items()}
+        self.names = {i: p for p, i in self.ids.items()}
+        self.stable: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[str]:
@@ -102,10 +113,6 @@ class Codec:
         The merges inside a and b are undone from the last to the first; at each point the
         pieces then at the border must not have been the better, or equally good left, pair.
         """
-        key = (a, b)
-        out = self.stable.get(key)
-        if out is not None:
-            return out
         rank, halves, due, left_first = self.rank, self.halves, float("inf"), True
         while True:
             r = rank.get(a + b)
@@ -120,54 +127,75 @@ class Codec:
                 due, a, left_first = ra, halves[a][1], True
             else:
                 due, b, left_first = rb, halves[b][0], False
-        if len(self.stable) >= STABLE:
-            self.stable.clear()
-        self.stable[key] = out
         return out
 
+    def spell(self, c: str) -> list[int]:
+        """Ids of a character without a piece."""
+        own = [self.byte[x] for x in c.encode("utf-8", "surrogatepass")]
+        return [self.unknown] if None in own else own
+
     def pack(self, pieces: Iterable[str]) -> bytes:
         out = array("i")
         for p in pieces:
             i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                own = [self.byte[x] for x in p.encode("utf-8", "surrogatepass")]
-                out.extend([self.unknown] if None in own else own)
+            out.extend(self.spell(p) if i is None else (i,))
         return out.tobytes()
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of each distinct word."""
         out: dict[str, bytes] = {}
-        usable, reach, fits, stable = self.usable, self.reach, self.fits, self.stable
-        before, last, size = "", [""], [0]  # last piece and number of the piece's characters of each prefix
+        ids, usable, ends2, ends3, names, stable = self.ids, self.usable, self.ends2, self.ends3, self.names, self.stable
+        unknown = -1  # a character without a piece: merges with nothing
+        before, last, back = "", [unknown], [0]  # of each prefix: its last piece and where that begins
         for word in sorted(words):
             if word.startswith(MARK + MARK):  # pieces of marks only have equal scores, which the merge itself orders
                 out[word] = self.pack(self.merge(word))
                 continue
-            keep = len(commonprefix((before, word)))
-            del last[keep + 1 :], size[keep + 1 :]
-            for i in range(keep + 1, len(word) + 1):
-                c = word[i - 1]
-                step = min(reach.get(c, 1), i)
-                while step:
+            n, keep = len(word), 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                keep += 1
+            del last[keep + 1 :], back[keep + 1 :]
+            for i in range(keep + 1, n + 1):
+                if i > 2:
+                    tail = word[i - 3 : i]
+                    steps = ends3.get(tail) or ends2.get(tail[1:], (1,))
+                else:
+                    steps = (2, 1) if i == 2 else (1,)
+                for step in steps:
                     j = i - step
+                    if j < 0:
+                        continue
                     piece = word[j:i]
-                    if step == 1 or piece in usable:
-                        if not j:
-                            break
-                        ok = stable.get((last[j], piece))
-                        if ok or ok is None and fits(last[j], piece):
-                            break
-                    step -= 1
-                last.append(word[i - (step or 1) : i])
-                size.append(step or 1)
+                    now = ids.get(piece, unknown)
+                    if now == unknown or piece not in usable:
+                        if step > 1:
+                            continue
+                        break
+                    if not j or last[j] == unknown:
+                        break
+                    key = last[j] << 32 | now
+                    ok = stable.get(key)
+                    if ok is None:
+                        if len(stable) >= STABLE:
+                            stable.clear()
+                        ok = stable[key] = self.fits(names[last[j]], piece)
+                    if ok:
+                        break
+                last.append(now)
+                back.append(j)
             before = word
-            path, i = [], len(word)
+            path, i = [], n
             while i:
-                path.append(last[i])
-                i -= size[i]
-            out[word] = self.pack(reversed(path))
+                now, j = last[i], back[i]
+                if now == unknown:
+                    path.extend(reversed(self.spell(word[j:i])))
+                else:
+                    path.append(now)
+                i = j
+            path.reverse()
+            out[word] = array("i", path).tobytes()
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -177,16 +205,16 @@ class Codec:
             j, held, total = i, [], 0
             while j < len(texts) and (j == i or total < CHARS):
                 t = texts[j]
-                held.append(_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [])
+                held.append(units_of(t) if t else [])
                 total += len(t or "")
                 j += 1
             known = self.known
             own = self.encode_words({w for units in held for w in units if w not in known})
             for units in held:
-                yield b"".join([known[w] if w in known else own[w] for w in units])
+                yield b"".join([known.get(w) or own[w] for w in units])
             if len(known) < REMEMBERED:
                 for w, b in own.items():
-                    if len(w) <= 12:
+                    if len(w) <= 24:
                         known[w] = b
                         if len(known) >= REMEMBERED:
                             break
