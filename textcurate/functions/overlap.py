@@ -19,8 +19,13 @@ BORDERLINE = (0.30, 0.45)
 
 def set_jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; two empty ones are equal."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
+
+    def ratio(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        union = F.size(x) + F.size(y)
+        return F.when(union == 0, F.lit(1.0)).otherwise(T.bind(both, lambda n: n / F.greatest(union - n, F.lit(1))))
+
+    return T.bind(a, lambda x: T.bind(b, lambda y: ratio(x, y)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -42,19 +47,29 @@ def jaccard_bin(value: Column) -> Column:
 
 def longest_common_ngram(a: Column, b: Column, max_n: int = 8) -> Column:
     """The most words, up to max_n, of a run that both texts hold."""
-    x, y = T.tokens(a), T.tokens(b)
-    out = F.lit(0)
-    for n in range(1, max_n + 1):
-        out = F.when(F.arrays_overlap(T.ngrams(x, n), T.ngrams(y, n)), F.lit(n)).otherwise(out)
-    return out
+
+    def longest(x: Column, y: Column) -> Column:
+        out = F.lit(0)  # a run of n words holds runs of fewer: the shortest that isn't shared decides
+        for n in range(max_n, 0, -1):
+            out = F.when(F.arrays_overlap(T.ngrams(x, n), T.ngrams(y, n)), F.greatest(F.lit(n), out)).otherwise(F.lit(0))
+        return out
+
+    return T.bind(T.tokens(a), lambda x: T.bind(T.tokens(b), lambda y: longest(x, y)))
 
 
 def copied_ngram_ratio(source: Column, candidate: Column, n: int = 4) -> Column:
     """Share of the candidate's n-grams, each occurrence counted, that the source holds."""
-    cand = T.ngrams(T.tokens(candidate), n)
-    both = F.array_intersect(cand, T.ngrams(T.tokens(source), n))
-    copied = F.size(F.filter(cand, lambda g: F.array_contains(both, g)))
-    return F.when(F.size(both) == 0, F.lit(0.0)).otherwise(copied / F.greatest(F.size(cand), F.lit(1)))
+    src = T.ngrams(T.tokens(source), n)
+
+    def ratio(cand: Column, both: Column) -> Column:
+        # occurrences outside are those left after the shared n-grams are taken out
+        outside = F.aggregate(F.array_except(cand, both), F.lit(0), lambda acc, g: acc + 1)
+        repeats = F.size(cand) - F.size(F.array_distinct(cand))
+        exact = F.size(F.filter(cand, lambda g: F.array_contains(both, g)))
+        copied = F.when(repeats == 0, F.size(cand) - outside).otherwise(exact)
+        return F.when(F.size(both) == 0, F.lit(0.0)).otherwise(copied / F.greatest(F.size(cand), F.lit(1)))
+
+    return T.bind(T.ngrams(T.tokens(candidate), n), lambda cand: T.bind(F.array_intersect(cand, src), lambda both: ratio(cand, both)))
 
 
 def length_ratio(original: Column, new: Column) -> Column:

@@ -34,6 +34,11 @@ CTA_PATTERNS = [
 EMOJI_FEATURE = r"[\x{1F600}-\x{1FAFF}]"
 
 
+def bind(c: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip(c: Column) -> Column:
     """Without Unicode blanks at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -61,8 +66,9 @@ def clean(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines at any line break; a break at the end begins no further line."""
-    parts = F.split(c, r"\R", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return bind(
+        F.split(c, r"\R", -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    )
 
 
 def strip_cta(c: Column) -> Column:
@@ -77,12 +83,14 @@ def sentences(c: Column) -> Column:
 
 def heuristic_brief(c: Column, max_facts: int = 5) -> Column:
     """Topic (the first sentence) and up to max_facts further ones as bullets; no sentence: the text."""
-    body = strip_cta(c)
-    s = sentences(body)
-    facts = F.transform(F.slice(s, 2, max_facts), lambda x: F.concat(F.lit("- "), x))
-    head = F.concat(F.lit("Topic: "), F.element_at(s, 1))
-    full = F.when(F.size(s) > 1, F.concat_ws("\n", head, F.lit("Facts:"), F.array_join(facts, "\n"))).otherwise(head)
-    return F.when(F.size(s) == 0, body).otherwise(full)
+
+    def build(body: Column, s: Column) -> Column:
+        facts = F.transform(F.slice(s, F.lit(2), F.lit(max_facts)), lambda x: F.concat(F.lit("- "), x))
+        head = F.concat(F.lit("Topic: "), F.try_element_at(s, F.lit(1)))
+        full = F.when(F.size(s) > 1, F.concat_ws("\n", head, F.lit("Facts:"), F.array_join(facts, "\n"))).otherwise(head)
+        return F.when(F.size(s) == 0, body).otherwise(full)
+
+    return bind(strip_cta(c), lambda body: bind(sentences(body), lambda s: build(body, s)))
 
 
 def paragraphs(c: Column) -> Column:
@@ -110,15 +118,16 @@ def blank_words(c: Column) -> Column:
 
 def ngrams(toks: Column, n: int) -> Column:
     """Word n-grams joined by blanks; none from fewer than n words."""
-    return F.when(
-        F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    return bind(
+        toks,
+        lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def shingles5(c: Column) -> Column:
     """Distinct 5-grams of the blank-separated normalised text; of fewer words the words."""
     toks = F.filter(F.split(normalize(c), " ", -1), lambda w: w != "")
-    return F.when(F.size(toks) < 5, F.array_distinct(toks)).otherwise(F.array_distinct(ngrams(toks, 5)))
+    return bind(toks, lambda t: F.when(F.size(t) < 5, F.array_distinct(t)).otherwise(F.array_distinct(ngrams(t, 5))))
 
 
 def features(df, text: str = "text"):

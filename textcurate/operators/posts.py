@@ -114,7 +114,7 @@ def max_token_filter(df: DataFrame, max_tokens: int, tokens: Column) -> tuple[Da
     counted = df.withColumn("n_tokens", tokens)
     stats = counted.agg(
         F.count_if(F.col("n_tokens") > max_tokens).alias("dropped"), F.max("n_tokens").alias("max_tokens"),
-        F.expr("percentile_disc(0.95) within group (order by n_tokens)").alias("p95"),
+        F.expr("cast(percentile_disc(0.95) within group (order by n_tokens) as bigint)").alias("p95"),
     )
     return counted.where(F.col("n_tokens") <= max_tokens), stats
 

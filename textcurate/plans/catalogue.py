@@ -214,7 +214,7 @@ def _cascade(strict: bool) -> str:
       case when why is null then {sql.jaccard_bin('jr')} end as jaccard_bin, case when why is null then length(c) / greatest(length(response_clean), 1) < 0.4 end as length_collapse from w)"""
 
 
-_VALID = "post_id, md5(neutralized_clean) as neutralized, failed, failure_reason, longest_common_ngram, copy_ngram_ratio, jaccard, is_identity, numbers_preserved, length_ratio, jaccard_bin, length_collapse"
+_VALID = "post_id, md5(neutralized_clean) as neutralized, failed, failure_reason, coalesce(longest_common_ngram, -1) as longest_common_ngram, copy_ngram_ratio, jaccard, is_identity, numbers_preserved, length_ratio, jaccard_bin, length_collapse"
 
 
 def validated(spark, sf_dir, **limits):
@@ -224,7 +224,7 @@ def validated(spark, sf_dir, **limits):
 
 def _validation_columns(df):
     return df.select(
-        "post_id", F.md5("neutralized_clean").alias("neutralized"), "failed", "failure_reason", "longest_common_ngram", "copy_ngram_ratio", "jaccard", "is_identity", "numbers_preserved",
+        "post_id", F.md5("neutralized_clean").alias("neutralized"), "failed", "failure_reason", F.coalesce("longest_common_ngram", F.lit(-1)).alias("longest_common_ngram"), "copy_ngram_ratio", "jaccard", "is_identity", "numbers_preserved",
         "length_ratio", "quality_flags.jaccard_bin", "quality_flags.length_collapse",
     )
 
@@ -369,12 +369,14 @@ def override_counts(spark, sf_dir):
     return counts(splits(spark, sf_dir).join(o, ["style_type", "post_id"], "left").withColumn("input_source", F.coalesce("override_source", F.lit("heuristic"))))
 
 
-_PROMPT = "'Below is an instruction that describes a task, paired with an input that provides further context.' || chr(10) || 'Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || 'Rewrite the input into a Telegram post in style type ' || style_type || '. Preserve the facts, but match the tone, structure, pacing, and ending typical for this style.' || chr(10) || chr(10) || '### Input:' || chr(10) || inp || chr(10) || chr(10) || '### Response:' || chr(10)"
+def _prompt(style: str, text: str) -> str:
+    return f"'Below is an instruction that describes a task, paired with an input that provides further context.' || chr(10) || 'Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || 'Rewrite the input into a Telegram post in style type ' || {style} || '. Preserve the facts, but match the tone, structure, pacing, and ending typical for this style.' || chr(10) || chr(10) || '### Input:' || chr(10) || {text} || chr(10) || chr(10) || '### Response:' || chr(10)"
+
 
 
 @query(
     f"""with {_SPLIT}, r as (select *, {sql.clean('text')} as body from split), b as (select *, {sql.heuristic_brief('body')} as inp from r)
-    select post_id, split, style_type, md5(inp) as input, md5(body) as response_clean, md5({_PROMPT} || body) as prompt from b"""
+    select post_id, split, style_type, md5(inp) as input, md5(body) as response_clean, md5({_prompt('style_type', 'inp')} || body) as prompt from b"""
 )
 def processed_records(spark, sf_dir):
     r = P.build_records(T.features(splits(spark, sf_dir)))
@@ -450,11 +452,11 @@ _COST = "round(p / 1000000 * case model when 'openai/gpt-4.1' then 2.0 else 0.4
 
 @query(
     f"""with {_EVENTS} select user_id, event_type, cast(sum(p) as bigint) as usage_prompt_tokens, cast(sum(32) as bigint) as usage_completion_tokens, cast(sum(p + 32) as bigint) as usage_total_tokens,
-    round(sum({_COST}), 5) as cost_usd_estimate, count(*) as attempts, bool_or(model <> 'openai/gpt-4.1-mini') as used_fallback from a group by 1, 2"""
+    round(sum({_COST}), 6) as cost_usd_estimate, count(*) as attempts, bool_or(model <> 'openai/gpt-4.1-mini') as used_fallback from a group by 1, 2"""
 )
 def attempt_rollup(spark, sf_dir):
     r = attempt_logs(spark, sf_dir).select("user_id", "event_type", C.rollup_attempts(F.col("attempts"), "openai/gpt-4.1-mini").alias("r")).select("user_id", "event_type", "r.*")
-    return r.withColumn("cost_usd_estimate", F.round("cost_usd_estimate", 5)).withColumn("attempts", F.col("attempts").cast("long"))
+    return r.withColumn("attempts", F.col("attempts").cast("long"))
 
 
 _USAGE = f"cast(150 + ceil(length({sql.strip('text')}) / 1.7::double) as bigint) as p, cast(greatest(32, ceil(length({sql.strip('text')}) * 0.9::double / 1.7::double)) as bigint) as c"
@@ -472,8 +474,8 @@ def usage_estimate(spark, sf_dir):
 )
 def cost_by_model(spark, sf_dir):
     models = F.explode(F.array(*[F.lit(m) for m in [*cost.PRICES, "unknown"]])).alias("model")
-    u = table(spark, sf_dir, "documents").select(cost.estimate_usage(F.col("text")).alias("u"), models)
-    return u.groupBy("model").agg(F.round(F.sum(cost.cost_usd(F.col("u.prompt_tokens"), F.col("u.completion_tokens"), F.col("model"))), 4).alias("cost"))
+    u = table(spark, sf_dir, "documents").select(cost.estimate_usage(F.col("text")).alias("u")).select("u.*").select("prompt_tokens", "completion_tokens", models)
+    return u.groupBy("model").agg(F.round(F.sum(cost.cost_usd(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("model"))), 4).alias("cost"))
 
 
 @query(
@@ -509,7 +511,7 @@ def event_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(f"select conv_id, turn, md5({_PROMPT.replace('style_type', 'role').replace('inp', 'text')}) as prompt from conversations")
+@query(f"select conv_id, turn, md5({_prompt('role', 'text')}) as prompt from conversations")
 def prompt_format(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(prompts.inference_prompt(F.col("role"), F.col("text"))).alias("prompt"))
 
@@ -615,9 +617,9 @@ def memorization_nearest(spark, sf_dir):
 
 
 @query(
-    f"""with q as (select item_id, {sql.shingles5('text')} as s from benchmark), c as (select doc_id, {sql.shingles5('text')} as s from documents),
-    a as (select item_id, len(s) as qn, unnest(s) as g from q), b as (select doc_id, len(s) as cn, unnest(s) as g from c),
-    p as (select item_id, doc_id, qn, cn, count(*) as n_shared from a join b on a.g = b.g group by 1, 2, 3, 4), s as (select *, round(n_shared / (qn + cn - n_shared), 6) as j from p)
+    f"""with {sql.shingle_ctes('q', 'benchmark', 'item_id', 'text')}, {sql.shingle_ctes('c', 'documents', 'doc_id', 'text')},
+    qn as (select item_id, count(*) as qn from q group by 1), cn as (select doc_id, count(*) as cn from c group by 1), p as (select item_id, doc_id, count(*) as n_shared from q join c on q.g = c.g group by 1, 2),
+    s as (select p.*, round(n_shared / (qn + cn - n_shared), 6) as j from p join qn on qn.item_id = p.item_id join cn on cn.doc_id = p.doc_id)
     select item_id as query_id, doc_id as nearest_id, j as jaccard_5gram, n_shared from s qualify row_number() over (partition by item_id order by j desc, doc_id) = 1"""
 )
 def memorization_5gram(spark, sf_dir):

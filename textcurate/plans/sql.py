@@ -79,9 +79,12 @@ def ngrams(t: str, n: int) -> str:
     return f"list_transform(range(1, len({t}) - {n - 2}), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))"
 
 
-def shingles5(x: str) -> str:
-    t = f"list_filter(string_split({normalize(x)}, ' '), lambda w: w <> '')"
-    return f"(case when len({t}) < 5 then list_distinct({t}) else list_distinct({ngrams(t, 5)}) end)"
+def shingle_ctes(name: str, source: str, key: str, text: str) -> str:
+    """CTEs that end in {name}(key, g): the distinct 5-grams of each text, of fewer words the words."""
+    leads = ", ".join(f"lead(w, {k}) over (partition by {key} order by i) as w{k}" for k in range(1, 5))
+    return f"""{name}_t as (select {key}, list_filter(string_split({normalize(text)}, ' '), lambda w: w <> '') as t from {source}),
+    {name}_w as (select {key}, len(t) as m, unnest(t) as w, unnest(range(1, len(t) + 1)) as i from {name}_t), {name}_a as (select *, {leads} from {name}_w),
+    {name} as (select distinct {key}, case when m < 5 then w else w || ' ' || w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 end as g from {name}_a where m < 5 or w4 is not null)"""
 
 
 def set_jaccard(a: str, b: str) -> str:
