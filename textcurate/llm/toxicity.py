@@ -118,7 +118,7 @@ def features(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     s, e = word_spans(buf, _NOT_LETTER)
     yield s, mix(hash_words(buf, s, e))
     for k in PREFIXES:
-        long = e - s > k
+        long = e - s >= k
         if long.any():
             yield s[long], mix(hash_words(buf, s[long], s[long] + k) + U(k))
 
