@@ -38,13 +38,13 @@ def sample_recent(df: DataFrame, n: int, by: list[str] | None = None, time: str
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
-def ranks(df: DataFrame, by: list[str], order: list[str], to: str = "rank", buckets: int = 64) -> DataFrame:
+def ranks(df: DataFrame, by: list[str], order: list[str], to: str = "rank") -> DataFrame:
     """df with the row's gapless rank from 1 within its group, and `total`, the group's rows.
 
     A group is not sorted in one task: rows are range-partitioned by (by, order), numbered
     inside each partition and shifted by the counts of the group's earlier partitions.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in by], *[F.col(c).asc_nulls_last() for c in order]).withColumn("__p", F.spark_partition_id())
+    ranged = df.repartitionByRange(*[F.col(c) for c in by], *[F.col(c).asc_nulls_last() for c in order]).withColumn("__p", F.spark_partition_id()).persist()  # one partitioning for both branches
     local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p", *by).orderBy(*[F.col(c).asc_nulls_last() for c in order])))
     counts = ranged.groupBy("__p", *by).agg(F.count("*").alias("__c"))
     w = Window.partitionBy(*by)
@@ -54,13 +54,14 @@ def ranks(df: DataFrame, by: list[str], order: list[str], to: str = "rank", buck
 
 
 def temporal_split(df: DataFrame, by: list[str] | None = None, time: str = "date", key: str = "post_id", train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """df with `split`: by time within each group, the first share trains, the next validates, the rest tests."""
-    by = by or []
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    r = F.row_number().over(w.orderBy(F.col(time).asc_nulls_last(), F.col(key)))
+    """df with `split`: by time within each group, the first share trains, the next validates, the rest tests.
+
+    Ranks are counted across tasks, so a group that holds most rows is no single task's work.
+    """
+    ranked = ranks(df, by or [], [time, key], "__r")
+    n, r = F.col("total"), F.col("__r")
     split = F.when(r <= F.floor(n * F.lit(train)), "train").when(r <= F.floor(n * F.lit(round(train + val, 10))), "val").otherwise("test")
-    return df.withColumn("split", split)
+    return ranked.withColumn("split", split).drop("__r", "total")
 
 
 def split_report(df: DataFrame, by: str = "style_type", time: str = "date") -> DataFrame:
