@@ -1,9 +1,11 @@
 """Links and classes of sets that meet in cells, without spelling out a cell's pairs.
 
 `members` (cell, id) says which sets meet in which cells; every pair that may link must meet
-in one. First each member is held against its cell's head only, and verified links are
-contracted to classes. Only cells that then still hold several classes are searched, by a
-count-vector R-tree a cell, for pairs of different classes; these are verified too. A cell
+in one. First each member is held against one pivot of its cell only, and verified links are
+contracted to classes; this is repeated with other pivots while cells hold several classes,
+PIVOTS times at most. Only cells that then still do are searched, by a
+count-vector R-tree a cell, for pairs of different classes; pairs of small sets are verified
+on the spot, and of links to one class one is enough, others are verified by a join. A cell
 of more than BLOCK members is cut into blocks and each pair of blocks is a group of its own.
 """
 
@@ -14,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rtree import GROUPS, CountRTree, may_link, overlap
+from .rtree import GROUPS, CountRTree, count_vector, may_link, overlap
 from .runtime import connected_components, materialize
 
 BLOCK = 2048
+#: Sets of up to so many members go to the searched cells whole (8 bytes a member) and are verified there.
+WHOLE = 512
+PIVOTS = 4
 SET_SCHEMA = "id long, n int, members binary, counts binary"
 
 
@@ -55,34 +60,55 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def classes(members: DataFrame, sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """(node, component) of the ids that link with another; members has (cell, id, n), n being the cell's size."""
-    heads = members.groupBy("cell").agg(F.min("id").alias("head"))
-    stars = members.join(heads, "cell").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(verified(stars, sets, num, den), "links")
-    found = connected_components(links)
-    known = members.join(found, members["id"] == found["node"], "left").select("cell", "id", "n", F.coalesce("component", "id").alias("class"))
-    known = materialize(known, "classes")
-    open_cells = known.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("cell")
-    rest = known.join(open_cells, "cell")
+    known = members.select("cell", "id", "n", F.col("id").alias("class"))
+    links = found = None
+    for turn in range(PIVOTS):
+        # the pivot of a cell: the member of the smallest hash, another one each turn
+        pivot = F.min_by(F.struct(F.col("id").alias("p_id"), F.col("class").alias("p_class")), F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")).alias("p")
+        heads = known.groupBy("cell").agg(pivot).select("cell", "p.*")
+        apart = known.join(heads, "cell").where("class <> p_class")
+        stars = apart.select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).distinct()
+        new = materialize(verified(stars, sets, num, den), "links")
+        links = new if links is None else links.unionByName(new)
+        if turn == 0 or not new.isEmpty():
+            found = connected_components(links)
+            known = known.drop("class").join(found, known["id"] == found["node"], "left").select("cell", "id", "n", F.coalesce("component", "id").alias("class"))
+        open_cells = known.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("cell")
+        known = materialize(known.join(open_cells, "cell"), "open")
+        if known.isEmpty():
+            return found
+    rest = known
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("own", own)
     # block i meets block j in group (i, j), i <= j
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "class")
-    points = sets.select("id", F.col("n").alias("size"), "counts")
+    points = sets.select("id", F.col("n").alias("size"), F.when(F.col("n") > WHOLE, F.col("counts")).alias("counts"), F.when(F.col("n") <= WHOLE, F.col("members")).alias("members"))
     rest = rest.join(points, "id")
 
     def search(t: pa.Table) -> pa.Table:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         ids, cls, own = (t[c].to_numpy() for c in ("id", "class", "own"))
         sizes = t["size"].to_numpy().astype(np.int64)
-        vectors = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        whole = [None if x is None else np.frombuffer(x, "<u8") for x in t["members"].to_pylist()]
+        vectors = np.zeros((len(ids), GROUPS), np.int32)
+        for k, (m, c) in enumerate(zip(whole, t["counts"].to_pylist())):
+            vectors[k] = np.frombuffer(c, "<u4") if m is None else count_vector(m)
         tree_rows = np.flatnonzero(own == j)
         tree = CountRTree(vectors[tree_rows], sizes[tree_rows])
         a, b = [], []
         for q in np.flatnonzero(own == i):
             hit = tree_rows[tree.search(vectors[q], int(sizes[q]), num, den)]
             hit = hit[(cls[hit] != cls[q]) & ((ids[hit] > ids[q]) | (i != j))]
+            keep, met = [], set()
+            for k in hit.tolist():
+                if whole[q] is None or whole[k] is None:
+                    keep.append(k)
+                elif cls[k] not in met and may_link(np.int64(overlap(whole[q], whole[k])), np.int64(sizes[q]), np.int64(sizes[k]), num, den):
+                    met.add(cls[k])
+                    keep.append(k)
+            hit = np.array(keep, np.int64)
             a.append(np.full(len(hit), ids[q]))
             b.append(ids[hit])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))

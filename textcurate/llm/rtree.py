@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 64
+GROUP_BITS = 9
+GROUPS = 1 << GROUP_BITS  # two large unrelated sets still look apart: their groups' counts differ by chance
 FANOUT = 16
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    return np.bincount((hashes >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
 def may_link(shared: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
