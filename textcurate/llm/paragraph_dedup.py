@@ -88,9 +88,9 @@ def deduplicate(documents: DataFrame, min_words: int = 20, num: int = 4, den: in
                 )
 
     schema = "doc_id long, th long, line int, id long, cells array<long>"
-    places = materialize(rows.mapInArrow(read, schema).select("doc_id", "th", "line", "id"), "paragraphs")
-    cells = rows.mapInArrow(read, schema).select(F.explode("cells").alias("cell"), "id")
-    members = shared_cells(cells)
+    table = materialize(rows.mapInArrow(read, schema), "paragraphs")
+    places = table.select("doc_id", "th", "line", "id")
+    members = shared_cells(table.select(F.explode("cells").alias("cell"), "id"))
     first = F.min(F.struct("doc_id", "th", "line"))
     wanted = places.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(first.alias("f"))
     wanted = materialize(wanted.select("id", F.col("f.doc_id").alias("w_id"), F.col("f.th").alias("w_th")), "wanted")
