@@ -1,6 +1,8 @@
 """Near-duplicate paragraphs by MinHash banding, exact verification and components.
 
-A paragraph is a line of at least `min_words` words; its set holds its 5-word shingles.
+A paragraph is a line of at least `min_words` words (the query takes every line that has a
+word); its set holds its 5-word shingles, or one shingle of all its words if they are fewer.
+Exact copies collapse by the digest of their sets before anything is banded.
 Signatures of BANDS x ROWS minima put paragraphs into one cell a band: a pair of similarity
 0.8 meets in some cell with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.998. Pairs in cells are
 verified on their exact Jaccard similarity (linking.classes), and of each component only the
@@ -37,18 +39,41 @@ def paragraphs(texts, min_words: int):
         w = hash_words(buf, s, e)
         a = np.searchsorted(s, starts)
         b = np.searchsorted(s, ends)
-        pick = np.flatnonzero(b - a >= max(min_words, WIDTH))
+        pick = np.flatnonzero(b - a >= max(min_words, 1))
         if not len(pick):
             continue
         n = max(0, len(w) - WIDTH + 1)
+        words = (b - a)[pick]
+        few = np.flatnonzero(words < WIDTH)
         with np.errstate(over="ignore"):
-            acc = np.zeros(n, U)
+            acc = np.zeros(len(w), U)
             for k in range(WIDTH):
-                acc += w[k : k + n] * _MULT[k]
+                acc[:n] += w[k : k + n] * _MULT[k]
+            whole = words[few].astype(U)
+            for k in range(WIDTH - 1):
+                long = words[few] > k
+                whole[long] += w[a[pick[few[long]]] + k] * _MULT[k]
         h = mix(acc)
-        count = (b - a)[pick] - WIDTH + 1
-        at = np.repeat(a[pick] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        yield first, doc[pick], line[pick], h[at], np.concatenate([[0], np.cumsum(count)])
+        count = np.maximum(words - WIDTH + 1, 1)
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        h = h[np.repeat(a[pick] - bounds[:-1], count) + np.arange(bounds[-1])]
+        h[bounds[:-1][few]] = mix(whole)
+        yield first, doc[pick], line[pick], h, bounds
+
+
+def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, size) of each paragraph's set: digest(np.unique(...)) of all paragraphs at once."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((hashes, of))
+    h = hashes[order]
+    keep = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+    h, of = h[keep], of[keep]
+    first = np.searchsorted(of, np.arange(len(bounds) - 1))
+    size = np.diff(np.append(first, len(of)))
+    with np.errstate(over="ignore"):
+        rank = (np.arange(len(of)) - first[of] + 1).astype(U)
+        total = np.add.reduceat(mix(h + mix(rank)), first)
+        return mix(total + size.astype(U)).view(np.int64), size
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -67,8 +92,9 @@ def deduplicate(documents: DataFrame, min_words: int = 20, num: int = 4, den: in
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_paragraphs_removed, n_paragraphs_repeated for every row.
 
     A removed paragraph goes with its line end; n_spans counts runs of removed lines. Repeated
-    are all paragraphs that have a near duplicate, the one that stays included. Null text: no
-    bytes. Equal rows (same id and text) count once and get the same result. Null ids and
+    are all paragraphs that have a near duplicate, the one that stays included. Lines of fewer
+    than `min_words` words stay as they are; with 1, every line that has a word is compared. Null
+    text: no bytes. Equal rows (same id and text) count once and get the same result. Null ids and
     further columns are allowed; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -79,18 +105,29 @@ def deduplicate(documents: DataFrame, min_words: int = 20, num: int = 4, den: in
             ids, th = b.column(0), b.column(1)
             for first, doc, line, h, at in paragraphs(b.column(2).to_pylist(), min_words):
                 pick = pa.array(first + doc)
-                digs, cells = [], signatures(h, at)
-                for x, y in zip(at[:-1], at[1:]):
-                    digs.append(digest(np.unique(h[x:y])))
+                digs, size = distinct_sets(h, at)
+                # one of each set; sets of n members reach at most n / (n + 1) with any other set
+                one = np.unique(digs, return_index=True)[1]
+                one = np.sort(one[den * size[one] >= num * (size[one] + 1)])
+                n = np.diff(at)[one]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                cells = np.zeros((len(digs), BANDS), np.int64)
+                if len(one):
+                    cells[one] = signatures(h[np.repeat(at[one] - ends[:-1], n) + np.arange(ends[-1])], ends)
+                none = np.ones(len(digs), bool)
+                none[one] = False
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), th.take(pick), pa.array(line.astype(np.int32)), pa.array(digs, pa.int64()), pa.array(list(cells), pa.list_(pa.int64()))],
-                    names=["doc_id", "th", "line", "id", "cells"],
+                    [ids.take(pick), th.take(pick), pa.array(line.astype(np.int32)), pa.array(digs, pa.int64()), *(pa.array(c, pa.int64(), mask=none) for c in cells.T)],
+                    names=["doc_id", "th", "line", "id", *bands],
                 )
 
-    schema = "doc_id long, th long, line int, id long, cells array<long>"
+    bands = [f"c{k}" for k in range(BANDS)]
+    schema = "doc_id long, th long, line int, id long, " + ", ".join(f"{c} long" for c in bands)
     table = materialize(rows.mapInArrow(read, schema), "paragraphs")
     places = table.select("doc_id", "th", "line", "id")
-    members = shared_cells(table.select(F.explode("cells").alias("cell"), "id"))
+    banded = table.where("c0 is not null").groupBy("id").agg(*(F.min(c).alias(c) for c in bands))
+    banded = materialize(banded, "signatures")
+    members = shared_cells(banded.select(F.explode(F.array(*bands)).alias("cell"), "id"))
     first = F.min(F.struct("doc_id", "th", "line"))
     wanted = places.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(first.alias("f"))
     wanted = materialize(wanted.select("id", F.col("f.doc_id").alias("w_id"), F.col("f.th").alias("w_th")), "wanted")

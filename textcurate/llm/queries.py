@@ -132,4 +132,4 @@ def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraph_dedup import deduplicate
 
-    return deduplicate(read_table(spark, sf_dir, "documents"))
+    return deduplicate(read_table(spark, sf_dir, "documents"), min_words=1)
