@@ -598,10 +598,12 @@ def style_scores(spark, sf_dir):
 
 @query()
 def style_classifier(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang in ('en', 'de')").select("doc_id", "lang", "text")
-    model = E.StyleClassifier(["en", "de"], 2000).fit(d.where("doc_id % 2 = 0"), "text", "lang")
-    said = model.predict(d.where("doc_id % 2 = 1"), "text")
-    return E.confusion(said, "lang", "predicted", ["en", "de"])
+    half = F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", half.alias("half"))
+    classes = sorted(r["lang"] for r in d.where("lang is not null").select("lang").distinct().collect())
+    # every row is predicted, by the model of the other half
+    parts = [E.StyleClassifier(classes).fit(d.where(f"half <> {k} and lang is not null"), "text", "lang").predict(d.where(f"half = {k}"), "text") for k in (0, 1)]
+    return E.confusion(parts[0].unionByName(parts[1]), "lang", "predicted", classes)
 
 
 @query()
