@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -149,24 +150,40 @@ def test_hilbert_curve_is_continuous():
     assert sorted(h) == list(range(512)) and (np.abs(np.diff(g[np.argsort(h)], axis=0)).sum(1) == 1).all()
 
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+KINDS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 0),
+    ("access", "(AKIA)([A-Z0-9]+)", 0, 18),
+    ("hex", "()([0-9a-f]+)", 16, 0),
+    ("github", "(gh[pousr]_)([A-Za-z0-9]+)", 36, 0),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.)([A-Za-z0-9_-]+)", 16, 0),
+]
 
 
-def base_spans(t):
-    out = [("assign", m) for m in ASSIGN.finditer(t) if len(m[2]) >= 12] + [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [("hex", m) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
-    return sorted(out, key=lambda x: (x[1].start(), ["assign", "access", "hex"].index(x[0])))
+def all_spans(t):
+    """(start, kind number, end) by regular expressions; base kinds come first in KINDS."""
+    return sorted((m.start(), k, m.end()) for k, (_, p, body, whole) in enumerate(KINDS) for m in re.finditer(p, t) if len(m[2]) >= body and len(m[0]) >= whole)
 
 
 def test_op5_secrets(spark):
-    bits = ["password", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "abcdef0123456789", "AKIA", "ABCD1234EFGH5678", "é", "\n", ",", "abcdefghijklm", "==", "ghp_" + "a" * 36]
-    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(400, None), (401, "a" * 100_000), (None, "token=xxsecret: abcdefghijkl")]
+    bits = ["password", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "abcdef0123456789", "AKIA", "ABCD1234EFGH5678", "é", "\n", ",", "abcdefghijklm", "==", "ghp_" + "a" * 36, "gho_", "eyJ", "eyJhbGciOi", "."]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for i in range(400)] + [(400, None), (401, "a" * 100_000), (None, "token=xxsecret: abcdefghijkl"), (5, ""), (5, "")]
+    name = lambda spans: ",".join(f"{KINDS[k][0]}:{a}:{e}" for a, k, e in spans)
     for r, (_, t) in zip(secrets.scan_secrets(frame(spark, rows)).collect(), rows):
-        want = base_spans(t or "")
-        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for k, _ in want) for x in ("assign", "access", "hex")]
-        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{m.start()}:{m.end()}" for k, m in want).encode()).hexdigest()
-        assert all(f"{k}:{m.start()}:{m.end()}" in r["spans"].split(",") for k, m in want)
+        want = all_spans(t or "")
+        assert r["spans"] == name(want)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in want) for x in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(name(x for x in want if x[1] < 3).encode()).hexdigest()
     clean = secrets.redact(frame(spark, rows)).collect()
-    assert not any(base_spans(r["text"] or "") for r in clean) and secrets.scan_secrets(frame(spark, [])).collect() == []
+    assert not any(all_spans(r["text"] or "") for r in clean) and secrets.scan_secrets(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 330_000, "x" * 1_000_000, "token: " * 150_000, "token" + " " * 1_000_000, "deadbeef" * 130_000])
+def test_op5_time_is_linear(text):
+    scanner = secrets.scanner()
+    for t in (text, text + " token=abcdefghijklmnop", text + "token=abcdefghijklmnop"):
+        began = time.time()
+        got = dict(scanner.texts([t])).get(0, [])
+        assert time.time() - began < 4 and [(a, k, e) for a, e, k in got] == all_spans(t.replace("eyJeyJ", "eyj" * 2))
 
 
 @pytest.mark.parametrize("pattern", ["a(b|c)*d?", "[a-c]{3,}x", "(ab|a)(c|bcd)"])

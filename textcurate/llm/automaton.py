@@ -2,11 +2,13 @@
 
 Syntax: literals, \\xHH, classes with ranges, groups, |, ?, *, + and {n,}. Rules are joined
 by a Thompson automaton, made deterministic by subset construction over byte classes and
-minimised by partition refinement; the result is a flat transition array.
+minimised by partition refinement; the result is a flat transition array. Compiled backward,
+the rules' edges are turned round first: read from a text's end, it accepts where matches start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,8 +162,15 @@ class Automaton:
             object.__setattr__(self, "_cached", have)
         return have
 
-    def first_bytes(self) -> frozenset[int]:
-        return frozenset(b for b in range(256) if self.table[self.start * self.n_classes + self.classes[b]])
+    def accepting(self, data: bytes, positions: Iterable[int]) -> list[tuple[int, int]]:
+        """(position, mask of rules) of the bytes behind which an unanchored automaton accepts, fed in this order."""
+        table, classes, accepts, n = self._lists
+        state, out = self.start, []
+        for at in positions:
+            state = table[state * n + classes[data[at]]]
+            if accepts[state]:
+                out.append((at, accepts[state]))
+        return out
 
     def resets(self) -> np.ndarray:
         """Bytes that lead from every state to where the start state goes without progress (unanchored use)."""
@@ -170,16 +179,29 @@ class Automaton:
         return home[self.classes]
 
 
-def compile_rules(rules: list[tuple[str, bool]], anywhere: bool = False) -> Automaton:
-    """One automaton for (pattern, fold case) rules; `anywhere`: a match may start at any byte."""
+def compile_rules(rules: list[tuple[str, bool]], anywhere: bool = False, backward: bool = False) -> Automaton:
+    """One automaton for (pattern, fold case) rules; `anywhere`: a match may start at any byte.
+
+    `backward`: bytes are to be fed from the last to the first, so a match's start accepts.
+    """
     b = _Parser(False)
     root = b.state()
-    finals = {}
+    finals, roots = {}, []
     for r, (pattern, fold) in enumerate(rules):
         b.fold = fold
         s, e = b.parse(pattern)
-        b.link(root, None, s)
+        if backward:
+            s, e = e, s
+        roots.append(s)
         finals[e] = 1 << r
+    if backward:
+        turned: list[list] = [[] for _ in b.edges]
+        for a, es in enumerate(b.edges):
+            for label, t in es:
+                turned[t].append((label, a))
+        b.edges = turned
+    for s in roots:
+        b.link(root, None, s)
     if anywhere:
         b.link(root, frozenset(range(256)), root)
     labels = {x for es in b.edges for x, _ in es if x is not None}
@@ -241,6 +263,10 @@ def compile_rules(rules: list[tuple[str, bool]], anywhere: bool = False) -> Auto
     return Automaton(classes, block[t][pick].ravel().astype(np.int32), accept[pick], int(block[1]), len(rows))
 
 
+#: Fewer lanes than this are run to their ends one by one, which is quicker than in step.
+FEW_LANES = 32
+
+
 def scan_lanes(a: Automaton, buf: np.ndarray, resets: np.ndarray, lanes: int = 2048) -> np.ndarray:
     """Positions of a buffer at which an unanchored automaton accepts, in one pass.
 
@@ -267,10 +293,22 @@ def scan_lanes(a: Automaton, buf: np.ndarray, resets: np.ndarray, lanes: int = 2
     found = []
     for t in range(int(sizes[0])):
         m = running[t]
+        if m < FEW_LANES:
+            break
         here = starts[:m] + t
         s = wide[state[:m] + cls[here]]
         state[:m] = s
         hit = good[s]
         if hit.any():
             found.append(here[hit])
+    else:
+        m = 0
+    table, accepts = wide.tolist(), good.tolist()
+    for lane in range(m):
+        s, own = int(state[lane]), []
+        for at, c in enumerate(cls[starts[lane] + t : starts[lane] + sizes[lane]].tolist(), int(starts[lane]) + t):
+            s = table[s + c]
+            if accepts[s]:
+                own.append(at)
+        found.append(np.array(own, np.int64))
     return np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)

@@ -1,4 +1,10 @@
-"""Secret scanning with one combined deterministic automaton for all rules."""
+"""Secret scanning with one combined deterministic automaton for all rules.
+
+One forward pass of the combined automaton over a buffer finds the lines that hold a secret of
+any rule. Over such a line alone, one backward pass of a second combined automaton marks every
+byte at which some rule's match starts, so that no start is tried in vain: each match is then
+read from its start to its end, and the next is sought behind it. All passes are linear.
+"""
 
 from __future__ import annotations
 
@@ -25,19 +31,20 @@ BASE = ("assign", "access", "hex")
 
 
 class Scanner:
-    """All rules of RULES: the combined automaton finds where any rule is met, the rules' own bound the spans."""
+    """All rules of RULES: the combined automata find lines and starts, the rules' own the ends."""
 
     def __init__(self) -> None:
         long = []
-        self.rules: list[tuple[str, Automaton, Automaton | None, frozenset[int], int, int]] = []
+        short = []
+        self.rules: list[tuple[Automaton, Automaton | None, int, int]] = []
         for kind, prefix, body, fold, least, span in RULES:
-            pre = "".join(f"[{c}{c.swapcase()}]" if fold and c.isalpha() and c.isascii() else c for c in prefix) if fold else prefix
-            pre = prefix if not fold else _fold(prefix)
+            pre = _fold(prefix) if fold else prefix
             low = least if kind in ("assign", "hex") else 1  # fewer counters to combine; the rule's own automaton decides
             long.append((f"{pre}{body}{{{low},}}", False))
-            whole = compile_rules([(f"{pre}{body}+", False)])
-            self.rules.append((kind, whole, compile_rules([(pre, False)]) if pre else None, whole.first_bytes(), least, span))
+            short.append((f"{pre}{body}+", False))
+            self.rules.append((compile_rules(short[-1:]), compile_rules([(pre, False)]) if pre else None, least, span))
         self.combined = compile_rules(long, anywhere=True)
+        self.starts = compile_rules(short, anywhere=True, backward=True)
         self.resets = self.combined.resets()
         if not self.resets[10]:
             raise ValueError("a rule may not cross lines")
@@ -45,16 +52,16 @@ class Scanner:
     def segment(self, data: bytes, a: int, b: int) -> list[tuple[int, int, int]]:
         """(start, end, rule) of each rule's leftmost non-overlapping matches within data[a:b]."""
         out = []
-        for r, (_, whole, pre, first, least, span) in enumerate(self.rules):
-            i = a
-            while i < b:
-                if data[i] not in first or (e := whole.longest(data, i, b)) < 0:
-                    i += 1
+        marks = self.starts.accepting(data, range(b - 1, a - 1, -1))[::-1]
+        for r, (whole, pre, least, span) in enumerate(self.rules):
+            e = a
+            for i, mask in marks:
+                if i < e or not mask >> r & 1:
                     continue
+                e = whole.longest(data, i, b)
                 body = e - (pre.longest(data, i, e) if pre else i)
                 if body >= least and e - i >= span:
                     out.append((i, e, r))
-                i = e
         return out
 
     def scan(self, buf: np.ndarray) -> list[tuple[int, int, int]]:
