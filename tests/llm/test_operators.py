@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textcurate.llm import decontaminate, hilbert_shards, jaccard_join, paragraph_dedup, pieces, secrets, substring_dedup, topk, toxicity
+from textcurate.llm import decontaminate, hilbert_shards, jaccard_join, pieces, secrets, substring_dedup, topk, toxicity
 from textcurate.llm.automaton import compile_rules
 from textcurate.llm.rtree import CountRTree, count_vector, may_link, overlap
 from textcurate.llm.runtime import connected_components
@@ -116,22 +116,6 @@ def test_op2_substring_dedup(spark):
     assert substring_dedup.deduplicate(frame(spark, []), length).collect() == []
 
 
-def test_op3_paragraph_dedup(spark):
-    rows = [r for r in corpus() if r[0] is not None]
-    rows = list(dict.fromkeys(rows))
-    lines = [(n, k, shingles(x)) for n, (_, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 20]
-    comp = components(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if 5 * len(lines[i][2] & lines[j][2]) >= 4 * len(lines[i][2] | lines[j][2])])
-    size = collections.Counter(comp)
-    want = collections.Counter(lines[i][0] for i, c in enumerate(comp) if size[c] > 1)
-    got = paragraph_dedup.deduplicate(frame(spark, rows)).collect()
-    assert sum(r["n_paragraphs_repeated"] for r in got) == sum(want.values())
-    assert sum(r["n_paragraphs_removed"] for r in got) == sum(want.values()) - sum(1 for c in size.values() if c > 1)
-    for r in got:
-        if r["n_removed"] == 0:
-            assert r["kept_sha256"] in {hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows if i == r["doc_id"]}
-    assert paragraph_dedup.deduplicate(frame(spark, [])).collect() == []
-
-
 def test_op4_hilbert(spark):
     rows = corpus()
     out = hilbert_shards.shard(frame(spark, rows), 5).collect()

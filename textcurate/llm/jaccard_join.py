@@ -17,87 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SortedShards, bucket_of, map_array, merge, pack, save_array
 from .hashing import U, digest, shingle_sets
-from .linking import SET_SCHEMA, classes, set_row, shared_cells
-from .rtree import count_vector
-from .runtime import materialize, work_dir
+from .linking import SET_SCHEMA, classes, join_hot, set_batch, set_row, shared_cells
+from .lookup import KEY_BITS, MASK, SharedKeys, Values, count_keys, write_values
+from .runtime import materialize
 
 WIDTH = 5
-#: Leading bits of a hashed shingle that name its fine group; a collision only adds work.
-GROUP_BITS = 48
-#: Shingles that a task gathers before it sorts and sends their counts.
-GATHER = 1 << 22
-_MASK = U(((1 << GROUP_BITS) - 1) << (64 - GROUP_BITS))
-
-
-class SharedGroups:
-    """Fine groups that several sets have, and how many do, in mapped sorted files."""
-
-    def __init__(self, folder: str, sizes: list[int]):
-        self.shards = SortedShards(folder, "groups", sizes)
-        self.counts = [map_array(folder, f"group-counts-{i}.npy") if n else None for i, n in enumerate(sizes)]
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """Sets that have each group of a sorted array, 255 at most; 1 for those that aren't in the files."""
-        rank = self.shards.find(keys)
-        out = np.ones(len(keys), np.uint8)
-        which = np.searchsorted(self.shards.offsets, rank, "right") - 1
-        for b in np.unique(which[rank >= 0]):
-            sel = (which == b) & (rank >= 0)
-            out[sel] = self.counts[b][rank[sel] - self.shards.offsets[b]]
-        return out
-
-
-def count_groups(texts: DataFrame, width: int = WIDTH) -> tuple[str, list[int]]:
-    """Folder and file sizes of the groups that several of the texts' sets have.
-
-    Tasks send sorted blocks of groups and counts, cut by group range; each range is merged
-    into one file. The driver gets a number for each range.
-    """
-    spark = texts.sparkSession
-    folder = work_dir(spark, "groups")
-    ranges = min(1 << 16, max(16, 4 * texts.rdd.getNumPartitions()))
-
-    def blocks(held):
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        bucket = bucket_of(keys, ranges)
-        which = np.unique(bucket)
-        cuts = np.searchsorted(bucket, np.append(which, ranges))
-        blobs = [pa.compress(pack(_deltas(keys[a:e]), counts[a:e]), "zstd", asbytes=True) for a, e in zip(cuts[:-1], cuts[1:])]
-        sizes = [16 + 12 * int(e - a) for a, e in zip(cuts[:-1], cuts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "size", "blob"])
-
-    def count(batches):
-        held, size = [], 0
-        for b in batches:
-            for _, s in shingle_sets(b.column(0).to_pylist(), width):
-                held.append(s & _MASK)
-                size += len(s)
-                if size >= GATHER:
-                    yield blocks(held)
-                    held, size = [], 0
-        if size:
-            yield blocks(held)
-
-    def gather(t: pa.Table) -> pa.Table:
-        b = t["bucket"][0].as_py()
-        raw = [pa.decompress(x.as_py(), n, "zstd", asbytes=True) for x, n in zip(t["blob"], t["size"].to_pylist())]
-        keys, (counts,) = merge(raw, np.cumsum)
-        several = counts > 1
-        save_array(folder, f"groups-{b}.npy", keys[several])
-        save_array(folder, f"group-counts-{b}.npy", np.minimum(counts[several], 255).astype(np.uint8))
-        return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([int(several.sum())], pa.int64())})
-
-    sizes = [0] * ranges
-    found = texts.select("text").mapInArrow(count, "bucket int, size long, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, n long")
-    for r in found.collect():
-        sizes[r["bucket"]] = r["n"]
-    return folder, sizes
-
-
-def _deltas(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=U(0)).astype(U)
 
 
 def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int = 5) -> DataFrame:
@@ -107,11 +32,14 @@ def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int
     no shingles and link with nothing; a text of fewer words is one shingle. Repeated rows
     keep their own rows; null ids stay null but link others. Further columns are ignored.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    folder, sizes = count_groups(texts, width)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    texts = documents.select(doc_id, F.xxhash64(doc_id, F.xxhash64(text)).alias("doc"), text.alias("text"))
+    # a group is a shingle's leading bits, which is what is compared when keys are counted
+    folder, sizes = count_keys(texts.select("text"), lambda b: (s for _, s in shingle_sets(b.column(0).to_pylist(), width)))
 
     def coordinates(batches):
-        groups = SharedGroups(folder, sizes)
+        groups = SharedKeys(folder, sizes)
         for b in batches:
             ids, n, cells, held, size = [], [], [], [], 0
             doc = 0
@@ -119,9 +47,8 @@ def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int
             def flush():
                 if not held:
                     return
-                keys = np.concatenate([s & _MASK for s in held])
-                distinct, back = np.unique(keys, return_inverse=True)
-                times = groups.of(distinct)[back]
+                keys = np.concatenate(held) & MASK
+                times = groups.times(keys)
                 at = 0
                 for s in held:
                     k, c = keys[at : at + len(s)], times[at : at + len(s)]
@@ -131,57 +58,56 @@ def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int
                     if rest > 0:
                         shared = np.flatnonzero(c > 1)
                         own = shared[np.lexsort((k[shared], c[shared]))[:rest]]
-                        cells.append((k[own] >> U(64 - GROUP_BITS)).astype(np.int64))
+                        cells.append((k[own] >> U(64 - KEY_BITS)).astype(np.int64))
                     else:
                         cells.append(np.empty(0, np.int64))
                 held.clear()
 
-            for _, s in shingle_sets(b.column(1).to_pylist(), width):
+            def batch():
+                return pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(doc, len(n)), b.column(1).slice(doc, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.list_(pa.int64()))],
+                    names=["doc_id", "doc", "n", "id", "cells"],
+                )
+
+            for _, s in shingle_sets(b.column(2).to_pylist(), width):
                 n.append(len(s))
                 ids.append(digest(s) if len(s) else None)
                 held.append(s)
                 size += len(s)
                 if size > 1 << 20:
                     flush()
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(doc, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "n", "id", "cells"]
-                    )
+                    yield batch()
                     doc += len(n)
                     ids, n, cells, size = [], [], [], 0
             flush()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(doc, len(n)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "n", "id", "cells"]
-            )
+            yield batch()
 
-    table = materialize(texts.mapInArrow(coordinates, "doc_id long, n long, id long, cells array<long>"), "coordinates")
-    rows = table.select("doc_id", "n", "id")
+    table = materialize(texts.mapInArrow(coordinates, "doc_id long, doc long, n long, id long, cells array<long>"), "coordinates")
+    rows = table.select("doc_id", "doc", "n", "id")
     members = shared_cells(table.select(F.explode("cells").alias("cell"), "id"))
-    wanted = rows.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(wanted, "wanted")
+    wanted = rows.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("key"))
+    wanted = write_values(wanted.select("key", F.lit(0).cast("long").alias("value")), "wanted")
 
     def build(batches):
+        values = Values(wanted)
         for b in batches:
-            out = []
-            for _, s in shingle_sets(b.column(0).to_pylist(), width):
-                if len(s):
-                    out.append((digest(s), *set_row(s, count_vector(s))))
-                if len(out) >= 256:
-                    yield _sets(out)
-                    out = []
+            out, size = [], 0
+            own = [i for i, k in enumerate(b.column(1).to_pylist()) if values.get(k) is not None]
+            for _, s in shingle_sets(b.column(2).take(pa.array(own, pa.int64())).to_pylist(), width):
+                out.append((digest(s), *set_row(s)))
+                size += len(s)
+                if size > 1 << 18:
+                    yield set_batch(out)
+                    out, size = [], 0
             if out:
-                yield _sets(out)
+                yield set_batch(out)
 
-    ids = wanted.select(F.col("doc_id").alias("own")).distinct()
-    chosen = texts.join(ids, texts["doc_id"].eqNullSafe(ids["own"]), "left_semi").select("text")
-    sets = chosen.mapInArrow(build, SET_SCHEMA).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(sets, "sets")
+    # equal rows give equal sets, and nothing else does
+    sets = materialize(texts.mapInArrow(build, SET_SCHEMA).dropDuplicates(["id"]), "sets")
     found = classes(members, sets, num, den)
-    labelled = rows.join(found, rows["id"] == found["node"], "left").select("doc_id", "n", F.coalesce("component", "id").alias("class"))
-    labelled = materialize(labelled, "labelled")
-    least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-
-
-def _sets(rows) -> pa.RecordBatch:
-    i, n, m, c = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.binary()), pa.array(c, pa.binary())], names=["id", "n", "members", "counts"])
+    each = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.min("doc_id").alias("lo"))
+    each = materialize(each.join(found, each["id"] == found["node"], "left").select("id", "rows", "lo", F.coalesce("component", "id").alias("class")), "each")
+    least = each.groupBy("class").agg(F.count("*").alias("times"), F.min("lo").alias("least"))
+    each = join_hot(each, least, "class", "classes").select("id", F.col("rows").alias("times"), "least")
+    labelled = join_hot(rows.where("id is not null"), each, "id", "ids").unionByName(rows.where("id is null").withColumn("least", F.lit(None).cast("long")))
+    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -3,7 +3,7 @@
 `members` (cell, id) says which sets meet in which cells; every pair that may link must meet
 in one. First each member is held against one pivot of its cell only, and verified links are
 contracted to classes; this is repeated with other pivots while cells hold several classes,
-PIVOTS times at most. Only cells that then still do are searched, by a
+PIVOTS times at most. Cells of very many rows are joined by broadcast (join_hot). Only cells that then still do are searched, by a
 count-vector R-tree a cell, for pairs of different classes; pairs of small sets are verified
 on the spot, and of links to one class one is enough, others are verified by a join. A cell
 of more than BLOCK members is cut into blocks and each pair of blocks is a group of its own.
@@ -23,20 +23,43 @@ BLOCK = 2048
 #: Sets of up to so many members go to the searched cells whole (8 bytes a member) and are verified there.
 WHOLE = 512
 PIVOTS = 4
+#: A key of more than one HOT-th of all rows is joined by broadcast; fewer than HOT keys can be.
+HOT, LEAST_HOT = 1000, 1024
+#: counts: of sets of more than WHOLE members; others' members give them as quickly.
 SET_SCHEMA = "id long, n int, members binary, counts binary"
 
 
-def set_row(values: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
-    return len(values), values.astype("<u8").tobytes(), counts.astype("<u4").tobytes()
+def set_row(values: np.ndarray) -> tuple[int, bytes, bytes | None]:
+    return len(values), values.astype("<u8").tobytes(), count_vector(values).astype("<u4").tobytes() if len(values) > WHOLE else None
+
+
+def set_batch(rows: list[tuple]) -> pa.RecordBatch:
+    i, n, m, c = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.binary()), pa.array(c, pa.binary())], names=["id", "n", "members", "counts"])
+
+
+def join_hot(rows: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
+    """rows joined with `of`, which has each key once and `times`, the rows of that key.
+
+    Rows of a key with more than a HOT-th of all rows (and LEAST_HOT) meet it by broadcast
+    where they are, so that no task has to take them all; fewer than HOT keys are broadcast.
+    """
+    of = materialize(of, name)
+    total, most = of.agg(F.sum("times"), F.max("times")).first()
+    bound = max((total or 0) // HOT, LEAST_HOT)
+    if not most or most <= bound:
+        return rows.join(of.drop("times"), key)
+    hot = F.broadcast(materialize(of.where(F.col("times") > bound).drop("times"), name + "-hot"))
+    others = rows.join(hot.select(key), key, "left_anti").join(of.where(F.col("times") <= bound).drop("times"), key)
+    return rows.join(hot, key).unionByName(others)
 
 
 def shared_cells(rows: DataFrame) -> DataFrame:
-    """Distinct (cell, id) of the cells with several ids; of cells with the same ids only one stays."""
-    shared = rows.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("cell")
-    met = materialize(rows.join(shared, "cell").distinct(), "cells")
-    who = met.groupBy("cell").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.min("id").alias("lo"))
-    kept = who.groupBy("n", "x", "lo").agg(F.min("cell").alias("cell")).select("cell", "n")
-    return materialize(met.join(kept, "cell"), "cells")
+    """Distinct (cell, id, n) of the cells with n > 1 ids; of cells with the same ids only one stays."""
+    met = materialize(rows.select("cell", "id").distinct(), "cells")
+    who = met.groupBy("cell").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.min("id").alias("lo")).where("n > 1")
+    kept = who.groupBy("n", "x", "lo").agg(F.min("cell").alias("cell")).select("cell", "n", F.col("n").alias("times"))
+    return materialize(join_hot(met, kept, "cell", "shared"), "cells")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -50,8 +73,11 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = []
             for i, (ma, mb, ca, cb) in enumerate(zip(t["ma"].to_pylist(), t["mb"].to_pylist(), t["ca"].to_pylist(), t["cb"].to_pylist())):
                 x, y = np.frombuffer(ma, "<u8"), np.frombuffer(mb, "<u8")
-                most = np.minimum(np.frombuffer(ca, "<u4"), np.frombuffer(cb, "<u4")).sum()
-                if may_link(most, np.int64(len(x)), np.int64(len(y)), num, den) and may_link(np.int64(overlap(x, y)), np.int64(len(x)), np.int64(len(y)), num, den):
+                if ca is not None and cb is not None:
+                    most = np.minimum(np.frombuffer(ca, "<u4"), np.frombuffer(cb, "<u4")).sum()
+                    if not may_link(most, np.int64(len(x)), np.int64(len(y)), num, den):
+                        continue
+                if may_link(np.int64(overlap(x, y)), np.int64(len(x)), np.int64(len(y)), num, den):
                     keep.append(i)
             yield t.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -65,16 +91,16 @@ def classes(members: DataFrame, sets: DataFrame, num: int = 4, den: int = 5) ->
     for turn in range(PIVOTS):
         # the pivot of a cell: the member of the smallest hash, another one each turn
         pivot = F.min_by(F.struct(F.col("id").alias("p_id"), F.col("class").alias("p_class")), F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")).alias("p")
-        heads = known.groupBy("cell").agg(pivot).select("cell", "p.*")
-        apart = known.join(heads, "cell").where("class <> p_class")
+        heads = known.groupBy("cell").agg(pivot, F.count("*").alias("times")).select("cell", "times", "p.*")
+        apart = join_hot(known, heads, "cell", "pivots").where("class <> p_class")
         stars = apart.select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).distinct()
         new = materialize(verified(stars, sets, num, den), "links")
         links = new if links is None else links.unionByName(new)
         if turn == 0 or not new.isEmpty():
             found = connected_components(links)
             known = known.drop("class").join(found, known["id"] == found["node"], "left").select("cell", "id", "n", F.coalesce("component", "id").alias("class"))
-        open_cells = known.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("cell")
-        known = materialize(known.join(open_cells, "cell"), "open")
+        open_cells = known.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("cell", "times")
+        known = materialize(join_hot(known, open_cells, "cell", "open"), "open")
         if known.isEmpty():
             return found
     rest = known
@@ -84,7 +110,7 @@ def classes(members: DataFrame, sets: DataFrame, num: int = 4, den: int = 5) ->
     # block i meets block j in group (i, j), i <= j
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "class")
-    points = sets.select("id", F.col("n").alias("size"), F.when(F.col("n") > WHOLE, F.col("counts")).alias("counts"), F.when(F.col("n") <= WHOLE, F.col("members")).alias("members"))
+    points = sets.select("id", F.col("n").alias("size"), "counts", F.when(F.col("n") <= WHOLE, F.col("members")).alias("members"))
     rest = rest.join(points, "id")
 
     def search(t: pa.Table) -> pa.Table:

@@ -1,12 +1,22 @@
 """Near-duplicate paragraphs by MinHash banding, exact verification and components.
 
-A paragraph is a line of at least `min_words` words (the query takes every line that has a
-word); its set holds its 5-word shingles, or one shingle of all its words if they are fewer.
-Exact copies collapse by the digest of their sets before anything is banded.
+Two kinds of units are compared, over whole texts:
+
+Lines. Each line with a word is a paragraph; its set holds its 5-word shingles, or one shingle
+of all its words if they are fewer. Exact copies collapse by the digest of their sets.
 Signatures of BANDS x ROWS minima put paragraphs into one cell a band: a pair of similarity
 0.8 meets in some cell with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.998. Pairs in cells are
-verified on their exact Jaccard similarity (linking.classes), and of each component only the
-paragraph that comes first by (doc_id, text hash, line) stays.
+verified on their exact Jaccard similarity (linking.classes); a component is a class.
+
+Blocks, which don't depend on line breaks: BLOCK words from each anchor on, anchors being the
+least 3-word hashes of any NEAR in a row. Two documents that share BLOCK + 2 * NEAR - 2 = 51
+words in a row choose an equal anchor there, so such a passage is always found, wherever its
+lines break. A block with another word inside falls below 0.8 (20 of 21 words + 4 shingles), so
+blocks are classes by their digest alone.
+
+Of a class only the place that comes first by (doc_id, hash of id and text, place) stays. Keys that
+occur once, which is most of a corpus, are found by counting sorted keys, and places that a
+later pass needs are looked up by document (lookup.py): texts are read three times, never shuffled.
 """
 
 from __future__ import annotations
@@ -18,47 +28,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import _MULT, SPACE, U, batches, digest, hash_words, mix, word_spans
-from .linking import SET_SCHEMA, classes, set_row, shared_cells
-from .rtree import count_vector
+from .anchors import sliding_minima
+from .hashing import _BASE, _INV, _MULT, SPACE, U, batches, digest, hash_words, mix, powers, word_spans
+from .linking import SET_SCHEMA, classes, join_hot, set_batch, set_row, shared_cells
+from .lookup import SharedKeys, Values, count_keys, write_values
 from .runtime import materialize
 
 BANDS, ROWS, WIDTH = 9, 3, 5
+BLOCK, NEAR, ANCHOR = 25, 14, 3
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1 << 62, 1 << 63, 2 * BANDS * ROWS, dtype=np.uint64)
 _A, _B = _SEEDS[: BANDS * ROWS] | U(1), _SEEDS[BANDS * ROWS :]
+LINE, A_BLOCK = 0, 1
 
 
-def paragraphs(texts, min_words: int):
-    """(first text, text numbers, lines, hashes, bounds of each paragraph's shingles) of batches of texts."""
-    for first, _, buf, bounds in batches(texts):
+class Units:
+    """Lines and blocks of a batch of texts; see the module."""
+
+    def __init__(self, buf: np.ndarray, bounds: np.ndarray, min_words: int):
+        self.bounds = bounds
         ends = np.flatnonzero(buf == 10)
         starts = np.concatenate([[0], ends[:-1] + 1])
         doc = np.searchsorted(bounds, starts, "right") - 1
-        line = np.arange(len(starts)) - np.searchsorted(starts, bounds[doc])
-        s, e = word_spans(buf, SPACE)
-        w = hash_words(buf, s, e)
-        a = np.searchsorted(s, starts)
-        b = np.searchsorted(s, ends)
-        pick = np.flatnonzero(b - a >= max(min_words, 1))
-        if not len(pick):
-            continue
-        n = max(0, len(w) - WIDTH + 1)
-        words = (b - a)[pick]
-        few = np.flatnonzero(words < WIDTH)
+        s, e = self.word_starts, self.word_ends = word_spans(buf, SPACE)
+        self.words = w = hash_words(buf, s, e)
+        first = np.searchsorted(s, starts)
+        n = np.searchsorted(s, ends) - first
+        pick = np.flatnonzero(n >= max(min_words, 1))
+        self.line_doc = doc[pick]
+        self.line = (np.arange(len(starts)) - np.searchsorted(starts, bounds[doc]))[pick]
+        self.first, self.n = first[pick], n[pick]
+        self.doc_words = np.searchsorted(s, bounds)
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, bounds) of the lines' shingles, repeats included."""
+        w, n = self.words, self.n
+        count = np.maximum(n - WIDTH + 1, 1)
+        at = np.concatenate([[0], np.cumsum(count)])
+        if not len(n):
+            return np.empty(0, U), at
+        few = np.flatnonzero(n < WIDTH)
         with np.errstate(over="ignore"):
+            m = max(0, len(w) - WIDTH + 1)
             acc = np.zeros(len(w), U)
             for k in range(WIDTH):
-                acc[:n] += w[k : k + n] * _MULT[k]
-            whole = words[few].astype(U)
+                acc[:m] += w[k : k + m] * _MULT[k]
+            whole = n[few].astype(U)
             for k in range(WIDTH - 1):
-                long = words[few] > k
-                whole[long] += w[a[pick[few[long]]] + k] * _MULT[k]
-        h = mix(acc)
-        count = np.maximum(words - WIDTH + 1, 1)
-        bounds = np.concatenate([[0], np.cumsum(count)])
-        h = h[np.repeat(a[pick] - bounds[:-1], count) + np.arange(bounds[-1])]
-        h[bounds[:-1][few]] = mix(whole)
-        yield first, doc[pick], line[pick], h, bounds
+                long = n[few] > k
+                whole[long] += w[self.first[few[long]] + k] * _MULT[k]
+        h = mix(acc)[np.repeat(self.first - at[:-1], count) + np.arange(at[-1])]
+        h[at[:-1][few]] = mix(whole)
+        return h, at
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number of its first word in the text, digest) of the blocks."""
+        w, none = self.words, np.empty(0, np.int64)
+        if len(w) < BLOCK + NEAR:
+            return none, none, none
+        with np.errstate(over="ignore"):
+            m = len(w) - ANCHOR + 1
+            h = mix(sum(w[k : k + m] * _MULT[k] for k in range(ANCHOR)))
+            run = np.zeros(len(w) + 1, U)
+            np.cumsum(w * powers(_BASE, len(w)), out=run[1:])
+        of = np.repeat(np.arange(len(self.doc_words) - 1), np.diff(self.doc_words))
+        low = sliding_minima(h, NEAR)
+        low[of[: len(low)] != of[NEAR + ANCHOR - 2 :][: len(low)]] = 0  # runs that cross texts choose nothing
+        edge = np.zeros(NEAR - 1, U)
+        most = ~sliding_minima(~np.concatenate([edge, low, edge]), NEAR)
+        p = np.flatnonzero(most[: len(w) - BLOCK + 1] == h[: len(w) - BLOCK + 1])
+        p = p[of[p] == of[p + BLOCK - 1]]
+        with np.errstate(over="ignore"):
+            d = mix((run[p + BLOCK] - run[p]) * powers(_INV, len(w))[p] + U(BLOCK)).view(np.int64)
+        return of[p], p - self.doc_words[of[p]], d
+
+
+def units(texts, min_words: int):
+    """(first text, number of texts, Units) of batches of texts."""
+    for first, last, buf, bounds in batches(texts):
+        yield first, last - first, Units(buf, bounds, min_words)
 
 
 def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,101 +124,221 @@ def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) cells."""
+    """(paragraphs, BANDS) cells. The hashes are mixed already, so a * h + b permutes them well enough."""
     out = np.zeros((len(bounds) - 1, BANDS), U)
     with np.errstate(over="ignore"):
         for band in range(BANDS):
             for r in range(ROWS):
                 k = band * ROWS + r
-                low = np.minimum.reduceat(mix(hashes * _A[k] + _B[k]), bounds[:-1])
+                low = np.minimum.reduceat(hashes * _A[k] + _B[k], bounds[:-1])
                 out[:, band] = mix(out[:, band] * U(31) + low + U(band))
     return out.view(np.int64)
 
 
-def deduplicate(documents: DataFrame, min_words: int = 20, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_paragraphs_removed, n_paragraphs_repeated for every row.
+def _cut(values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+    """Binary array of n rows: the bytes of the values (sorted by row) of each row."""
+    at = np.searchsorted(of, np.arange(n + 1)) * values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _joined(column: pa.Array, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each) of a binary column."""
+    parts = [x.as_buffer() for x in column]
+    sizes = np.array([x.size // np.dtype(kind).itemsize for x in parts], np.int64)
+    return np.frombuffer(b"".join(parts), kind), np.repeat(np.arange(len(parts)), sizes)
+
+
+def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_bytes, removed, kept_sha256 and counts for every row of documents.
 
-    A removed paragraph goes with its line end; n_spans counts runs of removed lines. Repeated
-    are all paragraphs that have a near duplicate, the one that stays included. Lines of fewer
-    than `min_words` words stay as they are; with 1, every line that has a word is compared. Null
-    text: no bytes. Equal rows (same id and text) count once and get the same result. Null ids and
-    further columns are allowed; an empty table gives no rows.
+    removed: array of (s, e), the maximal runs of removed bytes. Counts: n_removed (bytes),
+    n_spans (runs), n_paragraphs_repeated (lines that have a near duplicate, the one that stays
+    included), n_paragraphs_removed, n_passages_repeated (blocks that another document has too,
+    the ones that stay included).
+
+    A removed line goes with its line end (at a text's end, with the one before). A block goes from its first word to its last, but
+    for bytes of blocks that stay in the same text. Lines of fewer than `min_words` words stay
+    as they are. Null text: no bytes. Equal rows (same id and text) count once and get the same
+    result. Null ids and further columns are allowed; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    rows = documents.select(doc_id, F.xxhash64(doc_id, F.xxhash64(text)).alias("doc"), text.alias("text"))
 
     def read(batches_):
         for b in batches_:
-            ids, th = b.column(0), b.column(1)
-            for first, doc, line, h, at in paragraphs(b.column(2).to_pylist(), min_words):
-                pick = pa.array(first + doc)
-                digs, size = distinct_sets(h, at)
-                # one of each set; sets of n members reach at most n / (n + 1) with any other set
-                one = np.unique(digs, return_index=True)[1]
-                one = np.sort(one[den * size[one] >= num * (size[one] + 1)])
-                n = np.diff(at)[one]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                cells = np.zeros((len(digs), BANDS), np.int64)
-                if len(one):
-                    cells[one] = signatures(h[np.repeat(at[one] - ends[:-1], n) + np.arange(ends[-1])], ends)
-                none = np.ones(len(digs), bool)
-                none[one] = False
+            for first, n, u in units(b.column(2).to_pylist(), min_words):
+                h, at = u.shingles()
+                block_doc, block_at, blocks = u.blocks()
+                ids = one = np.empty(0, np.int64)
+                cells = np.empty((0, BANDS), np.int64)
+                if len(u.n):
+                    ids, size = distinct_sets(h, at)
+                    # one of each set; sets of n members reach at most n / (n + 1) with any other set
+                    one = np.sort(np.unique(ids, return_index=True)[1])
+                    one = one[den * size[one] >= num * (size[one] + 1)]
+                    if len(one):
+                        m = np.diff(at)[one]
+                        ends = np.concatenate([[0], np.cumsum(m)])
+                        cells = signatures(h[np.repeat(at[one] - ends[:-1], m) + np.arange(ends[-1])], ends)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), th.take(pick), pa.array(line.astype(np.int32)), pa.array(digs, pa.int64()), *(pa.array(c, pa.int64(), mask=none) for c in cells.T)],
-                    names=["doc_id", "th", "line", "id", *bands],
+                    [
+                        b.column(0).slice(first, n), b.column(1).slice(first, n),
+                        _cut(ids, u.line_doc, n), _cut(u.line.astype(np.int32), u.line_doc, n), _cut(ids[one], u.line_doc[one], n), _cut(cells, u.line_doc[one], n),
+                        _cut(blocks, block_doc, n), _cut(block_at.astype(np.int32), block_doc, n),
+                    ],
+                    names=["doc_id", "doc", "ids", "lines", "banded", "cells", "blocks", "starts"],
                 )
 
-    bands = [f"c{k}" for k in range(BANDS)]
-    schema = "doc_id long, th long, line int, id long, " + ", ".join(f"{c} long" for c in bands)
-    table = materialize(rows.mapInArrow(read, schema), "paragraphs")
-    places = table.select("doc_id", "th", "line", "id")
-    banded = table.where("c0 is not null").groupBy("id").agg(*(F.min(c).alias(c) for c in bands))
-    banded = materialize(banded, "signatures")
-    members = shared_cells(banded.select(F.explode(F.array(*bands)).alias("cell"), "id"))
-    first = F.min(F.struct("doc_id", "th", "line"))
+    schema = "doc_id long, doc long, ids binary, lines binary, banded binary, cells binary, blocks binary, starts binary"
+    table = materialize(rows.mapInArrow(read, schema), "units")
+
+    def keys_of(b):
+        for c in range(3):
+            yield _joined(b.column(c))[0].view(U)
+
+    folder, sizes = count_keys(table.select("ids", "cells", "blocks"), keys_of)
+
+    def pick(batches_):
+        keys = SharedKeys(folder, sizes)
+        for b in batches_:
+            at = {name: _joined(b.column(name), np.int32 if name in ("lines", "starts") else np.int64) for name in ("ids", "lines", "banded", "cells", "blocks", "starts")}
+            ids, id_doc = at["ids"]
+            blocks, block_doc = at["blocks"]
+            cells = at["cells"][0].reshape(-1, BANDS)
+            meets = keys.times(cells.ravel().view(U)).reshape(-1, BANDS) > 1 if len(cells) else np.zeros((0, BANDS), bool)
+            row, band = np.nonzero(meets)
+            place = np.flatnonzero((keys.times(ids.view(U)) > 1) | np.isin(ids, at["banded"][0][meets.any(1)]))
+            block = np.flatnonzero(keys.times(blocks.view(U)) > 1)
+            doc_id, doc = b.column(0), b.column(1).to_numpy()
+            yield picked(LINE, ids[place], pa.nulls(len(place), pa.int64()), doc_id.take(pa.array(id_doc[place])), doc[id_doc[place]], at["lines"][0][place])
+            yield picked(A_BLOCK, blocks[block], pa.nulls(len(block), pa.int64()), doc_id.take(pa.array(block_doc[block])), doc[block_doc[block]], at["starts"][0][block])
+            none = pa.nulls(len(row), pa.int64())
+            yield picked(2, at["banded"][0][row], pa.array(cells[row, band]), none, none, pa.nulls(len(row), pa.int32()))
+
+    def picked(kind, ids, cells, doc_id, doc, at):
+        arrays = [pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), cells, doc_id, pa.array(doc, pa.int64()), pa.array(at, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=["kind", "id", "cell", "doc_id", "doc", "at"])
+
+    found = materialize(table.mapInArrow(pick, "kind int, id long, cell long, doc_id long, doc long, at int"), "picked")
+    places, blocks = (found.where(f"kind = {k}").select("id", "doc_id", "doc", "at") for k in (LINE, A_BLOCK))
+    members = shared_cells(found.where("kind = 2").select("cell", "id"))
+
+    first = F.min(F.struct("doc_id", "doc", "at"))
     wanted = places.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(first.alias("f"))
-    wanted = materialize(wanted.select("id", F.col("f.doc_id").alias("w_id"), F.col("f.th").alias("w_th")), "wanted")
+    wanted = write_values(wanted.select(F.col("f.doc").alias("key"), F.col("f.at").cast("long").alias("value")), "wanted")
 
     def build(batches_):
+        values = Values(wanted)
         for b in batches_:
-            out = []
-            for _, _, _, h, at in paragraphs(b.column(0).to_pylist(), min_words):
-                for x, y in zip(at[:-1], at[1:]):
-                    s = np.unique(h[x:y])
-                    out.append((digest(s), *set_row(s, count_vector(s))))
+            lines = [values.get(k) for k in b.column(1).to_pylist()]
+            own = [i for i, x in enumerate(lines) if x is not None]
+            if not own:
+                continue
+            out, size = [], 0
+            for t, n, u in units(b.column(2).take(pa.array(own)).to_pylist(), min_words):
+                h, at = u.shingles()
+                want = np.isin(u.line_doc.astype(np.int64) << 40 | u.line, np.concatenate([i << 40 | lines[own[t + i]] for i in range(n)]))
+                for k in np.flatnonzero(want):
+                    s = np.unique(h[at[k] : at[k + 1]])
+                    out.append((digest(s), *set_row(s)))
+                    size += len(s)
+                    if size > 1 << 18:
+                        yield set_batch(out)
+                        out, size = [], 0
             if out:
-                i, n, m, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.binary()), pa.array(c, pa.binary())], names=["id", "n", "members", "counts"])
-
-    of = wanted.select("w_id", "w_th").distinct()
-    chosen = rows.join(of, F.expr("doc_id <=> w_id and th = w_th"), "left_semi").select("text")
-    sets = materialize(chosen.mapInArrow(build, SET_SCHEMA).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
-    found = classes(members, sets, num, den)
-    classed = places.join(found, places["id"] == found["node"], "left").select("doc_id", "th", "line", F.coalesce("component", "id").alias("class"))
-    classed = materialize(classed.distinct(), "classed")
-    keep = classed.groupBy("class").agg(F.count("*").alias("times"), first.alias("keep")).where("times > 1")
-    repeated = classed.join(keep, "class").select("doc_id", "th", "line", F.expr("not (keep.doc_id <=> doc_id and keep.th = th and keep.line = line)").alias("gone"))
-    each = repeated.groupBy("doc_id", "th").agg(F.count("*").alias("repeated"), F.expr("collect_list(line) filter (where gone)").alias("lines"))
-    each = materialize(each.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "repeated", "lines"), "removals")
-    narrow = rows.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+                yield set_batch(out)
+
+    # equal rows give equal sets, and nothing else does
+    sets = materialize(rows.mapInArrow(build, SET_SCHEMA).dropDuplicates(["id"]), "sets")
+    marks = _marked(places, LINE, classes(members, sets, num, den)).unionByName(_marked(blocks, A_BLOCK))
+    marks = write_values(marks, "marks")
 
     def cut(batches_):
+        values = Values(marks)
         for b in batches_:
-            out = []
-            for i, th, t, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                gone, parts = set(lines), t.encode().split(b"\n")
-                runs = sum(1 for k in gone if k - 1 not in gone)
-                kept = b"\n".join(p for k, p in enumerate(parts) if k not in gone)
-                out.append((i, th, len(t.encode()) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["c_id", "c_th", "gone", "spans", "kept"])
-
-    touched = rows.join(each.where(F.size("lines") > 0), F.expr("doc_id <=> r_id and th = r_th")).select("doc_id", "th", "text", "lines")
-    after = touched.mapInArrow(cut, "c_id long, c_th long, gone long, spans long, kept string").dropDuplicates(["c_id", "c_th"])
-    result = each.join(after, F.expr("r_id <=> c_id and r_th = c_th"), "left").select("r_id", "r_th", "repeated", F.size("lines").alias("n_lines"), "gone", "spans", "kept")
-    out = narrow.join(materialize(result, "cut"), F.expr("doc_id <=> r_id and th = r_th"), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(
-        "doc_id", "n_bytes", zero("gone").alias("n_removed"), zero("spans").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"),
-        zero("n_lines").alias("n_paragraphs_removed"), zero("repeated").alias("n_paragraphs_repeated"),
+            n, runs, sha, counts = [], [], [], []
+            for key, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                t = t.encode("utf-8", "surrogatepass")
+                spans, line, gone, passages = _spans(t, values.get(key))
+                n.append(len(t))
+                runs.append([{"s": int(s), "e": int(e)} for s, e in spans])
+                sha.append(hashlib.sha256(_rest(t, spans)).hexdigest())
+                counts.append((sum(int(e - s) for s, e in spans), len(spans), gone, line, passages))
+            c = list(zip(*counts)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in c[:2]), pa.array(sha, pa.string()), *(pa.array(x, pa.int64()) for x in c[2:]), pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))],
+                names=[x.split()[0] for x in out.split(", ")[:8]] + ["removed"],
+            )
+
+    out = (
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_paragraphs_removed long, n_paragraphs_repeated long, n_passages_repeated long, "
+        "removed array<struct<s:int,e:int>>"
     )
+    return rows.mapInArrow(cut, out)
+
+
+def _marked(places: DataFrame, kind: int, found: DataFrame | None = None) -> DataFrame:
+    """(key, value) of the places (id, doc_id, doc, at) of classes of several places.
+
+    found: (node, component) of the ids that are in one class with another.
+    value: at * 8 + 4 if the place goes + 2 if another document has the class too + kind.
+    """
+    place = F.struct("doc_id", "doc", "at")
+    each = places.groupBy("id").agg(F.count("*").alias("rows"), F.min(place).alias("keep"), F.max(place).alias("last"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    if found is not None:
+        each = materialize(each.join(found, each["id"] == found["node"], "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component"), "unit-classes")
+        of = each.groupBy("class").agg(F.count("*").alias("times"), F.min("keep").alias("keep"), F.max("last").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        each = join_hot(each.select("id", "rows", "class"), of, "class", "classes")
+    of = each.where("keep.doc <> last.doc or keep.at <> last.at").select(
+        "id", F.col("rows").alias("times"), F.col("keep.doc").alias("k_doc"), F.col("keep.at").alias("k_at"), (F.col("lo") != F.col("hi")).alias("spread")
+    )
+    goes = (F.col("doc") != F.col("k_doc")) | (F.col("at") != F.col("k_at"))
+    value = F.col("at").cast("long") * 8 + F.when(goes, 4).otherwise(0) + F.when(F.col("spread"), 2).otherwise(0) + kind
+    return join_hot(places, of, "id", "units").select(F.col("doc").alias("key"), value.alias("value"))
+
+
+def _rest(text: bytes, spans) -> bytes:
+    at, parts = 0, []
+    for s, e in spans:
+        parts.append(text[at:s])
+        at = e
+    return b"".join([*parts, text[at:]])
+
+
+def _spans(text: bytes, marks: np.ndarray | None) -> tuple[list[tuple[int, int]], int, int, int]:
+    """(removed runs, lines repeated, lines removed, blocks that other documents have) of a text's marks."""
+    if marks is None:
+        return [], 0, 0, 0
+    at, goes, spread, block = marks >> 3, (marks & 4) > 0, (marks & 2) > 0, (marks & 1) == A_BLOCK
+    edge = np.zeros(len(text) + 1, np.int32)
+    buf = np.frombuffer(text, np.uint8)
+    if block.any():
+        s, e = word_spans(buf, SPACE)
+        for which, step in ((block & goes, 1), (block & ~goes, -1)):  # bytes of blocks that stay are taken out again
+            cover = np.zeros(len(text) + 1, np.int32)
+            np.add.at(cover, s[at[which]], 1)
+            np.add.at(cover, e[at[which] + BLOCK - 1], -1)
+            cover = np.cumsum(cover) > 0
+            edge = cover.astype(np.int32) if step > 0 else edge * ~cover
+    lines = at[goes & ~block]
+    if len(lines):
+        ends = np.append(np.flatnonzero(buf == 10), len(text) - 1)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        cover = np.zeros(len(text) + 1, np.int32)
+        if lines[-1] == len(ends) - 1:  # the run of lines at a text's end takes the line end before it
+            run = lines[-1] - lines == np.arange(len(lines))[::-1]
+            k = lines[run].min()
+            cover[max(starts[k] - 1, 0)] += 1
+            cover[starts[k]] -= 1
+        np.add.at(cover, starts[lines], 1)
+        np.add.at(cover, ends[lines] + 1, -1)
+        edge = np.maximum(edge, np.cumsum(cover) > 0)
+    step = np.diff(np.concatenate([[0], edge[: len(text)], [0]]))
+    spans = list(zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1)))
+    return spans, int((~block).sum()), len(lines), int((block & spread).sum())
+
+
+def deduplicate(documents: DataFrame, min_words: int = 1, num: int = 4, den: int = 5) -> DataFrame:
+    """removals() without the spans."""
+    return removals(documents, min_words, num, den).drop("removed")
