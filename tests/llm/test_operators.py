@@ -15,6 +15,7 @@ from textcurate.llm import decontaminate, hilbert_shards, jaccard_join, pieces,
 from textcurate.llm.automaton import compile_rules
 from textcurate.llm.rtree import CountRTree, count_vector, may_link, overlap
 from textcurate.llm.runtime import connected_components
+from textcurate.llm.suffixes import suffix_ranks
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 rng = random.Random(11)
@@ -99,23 +100,53 @@ def test_connected_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[100] == got[99] == got[98] == 98 and got[200] == 200
 
 
-def test_op2_substring_dedup(spark):
-    length, rows = 60, corpus()
+def without_repeats(rows, length):
+    """Rows of op2 by brute force, and what is left of each text."""
     data = [(i, (t or "").encode()) for i, t in rows]
     count = collections.Counter(b[k : k + length] for _, b in data for k in range(len(b) - length + 1))
-    want = []
     for i, b in data:
         gone = bytearray(len(b))
         for k in range(len(b) - length + 1):
             if count[b[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
-        runs = len(re.findall(b"\1+", gone))
-        want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    got = [tuple(r) for r in substring_dedup.deduplicate(frame(spark, rows), length).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        yield i, len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(left).hexdigest(), left
+
+
+@pytest.mark.parametrize("opened", [substring_dedup.OPENED, 1])
+def test_op2_substring_dedup(spark, monkeypatch, opened):
+    monkeypatch.setattr(substring_dedup, "OPENED", opened)  # with 1, every trigger is counted by window hashes
+    length, rows = 60, corpus()
+    got = [tuple(r) for r in substring_dedup.deduplicate(frame(spark, rows), length, texts=True).collect()]
+    assert sorted(((*r[:5], bytes(r[5])) for r in got), key=str) == sorted(without_repeats(rows, length), key=str)
     assert substring_dedup.deduplicate(frame(spark, []), length).collect() == []
 
 
+def test_op2_hot_trigger_and_long_text(spark):
+    line = "every one of these texts has this very line of text"
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(90)) + line + "".join(rng.choice("abcdefgh ") for _ in range(90))) for i in range(12_000)]
+    rows += [(20_000 + i, rows[i][1][5:215] + "x" * i) for i in range(5)]
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1_300_000))
+    part = long[1_048_400:1_048_900]  # over the seam of two parts of a long text
+    rows += [(30_000, long), (30_001, "before " + part + " after"), (30_002, "y" * 1_200_000)]
+    got = {r["doc_id"]: tuple(r) for r in substring_dedup.deduplicate(frame(spark, rows)).collect()}
+    small = [r for r in rows if len(r[1]) < 10_000]
+    want = {r[0]: r[:5] for r in without_repeats([*small, (30_000, part)], 200)}
+    assert all(got[i] == want[i] for i, _ in small)
+    left = long.replace(part, "").encode()
+    assert got[30_000] == (30_000, len(long), len(part), 1, hashlib.sha256(left).hexdigest()) and got[30_002][2:4] == (1_200_000, 1)
+
+
+@pytest.mark.parametrize("depth", [3, 8, 20, 200])
+def test_suffix_ranks(depth):
+    g = np.random.default_rng(depth)
+    for n in (0, 1, 5, 300):
+        for letters in (1, 2, 4):
+            b = g.integers(0, letters, n).astype(np.uint8)
+            own = [b.tobytes()[i : i + depth] for i in range(n)]
+            assert suffix_ranks(b, depth).tolist() == [sum(y < x for y in own) for x in own]
+
+
 def test_op4_hilbert(spark):
     rows = corpus()
     out = hilbert_shards.shard(frame(spark, rows), 5).collect()

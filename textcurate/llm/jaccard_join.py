@@ -36,7 +36,7 @@ def classes_of(documents: DataFrame, width: int = WIDTH, num: int = 4, den: int
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     texts = documents.select(doc_id, F.xxhash64(doc_id, F.xxhash64(text)).alias("doc"), text.alias("text"))
     # a group is a shingle's leading bits, which is what is compared when keys are counted
-    folder, sizes = count_keys(texts.select("text"), lambda b: (s for _, s in shingle_sets(b.column(0).to_pylist(), width)))
+    folder, sizes = count_keys(texts.select("text"), lambda batches: (s for b in batches for _, s in shingle_sets(b.column(0).to_pylist(), width)))
 
     def coordinates(batches):
         groups = SharedKeys(folder, sizes)

@@ -20,6 +20,7 @@ from .runtime import materialize, work_dir
 #: Leading bits of a key that are compared; a collision only adds work.
 KEY_BITS = 48
 MASK = U(((1 << KEY_BITS) - 1) << (64 - KEY_BITS))
+WHOLE_KEY = U((1 << 64) - 1)
 #: Keys that a task gathers before it sorts and sends their counts.
 GATHER = 1 << 22
 #: Values of one file, about.
@@ -29,13 +30,13 @@ VALUES = 1 << 19
 class SharedKeys:
     """Keys that occur several times, and how often, in mapped sorted files."""
 
-    def __init__(self, folder: str, sizes: list[int]):
-        self.shards = SortedShards(folder, "keys", sizes)
+    def __init__(self, folder: str, sizes: list[int], mask: np.uint64 = MASK):
+        self.mask, self.shards = mask, SortedShards(folder, "keys", sizes)
         self.counts = [map_array(folder, f"counts-{i}.npy") if n else None for i, n in enumerate(sizes)]
 
     def times(self, keys: np.ndarray) -> np.ndarray:
         """Times that each key (any order) occurs, 255 at most; 1 for those that aren't in the files."""
-        distinct, back = np.unique(keys & MASK, return_inverse=True)
+        distinct, back = np.unique(keys & self.mask, return_inverse=True)
         rank = self.shards.find(distinct)
         out = np.ones(len(distinct), np.uint8)
         which = np.searchsorted(self.shards.offsets, rank, "right") - 1
@@ -45,7 +46,7 @@ class SharedKeys:
         return out[back]
 
 
-def count_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> tuple[str, list[int]]:
+def count_keys(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], mask: np.uint64 = MASK) -> tuple[str, list[int]]:
     """Folder and file sizes of the 64-bit keys that keys_of gives several times over all batches of rows.
 
     Tasks send sorted blocks of keys and counts, cut by key range, which takes repeats
@@ -56,7 +57,7 @@ def count_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
     ranges = min(1 << 16, max(16, 4 * rows.rdd.getNumPartitions()))
 
     def blocks(held):
-        keys, counts = np.unique(np.concatenate(held) & MASK, return_counts=True)
+        keys, counts = np.unique(np.concatenate(held) & mask, return_counts=True)
         bucket = bucket_of(keys, ranges)
         which = np.unique(bucket)
         cuts = np.searchsorted(bucket, np.append(which, ranges))
@@ -66,13 +67,12 @@ def count_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
 
     def count(batches):
         held, size = [], 0
-        for b in batches:
-            for k in keys_of(b):
-                held.append(k)
-                size += len(k)
-                if size >= GATHER:
-                    yield blocks(held)
-                    held, size = [], 0
+        for k in keys_of(batches):
+            held.append(k)
+            size += len(k)
+            if size >= GATHER:
+                yield blocks(held)
+                held, size = [], 0
         if size:
             yield blocks(held)
 
@@ -95,12 +95,12 @@ def count_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.
 class Values:
     """The distinct values of a key, from files that write_values wrote."""
 
-    def __init__(self, where: tuple[str, int, set[int]]):
-        self.folder, self.bits, self.present = where
+    def __init__(self, where: tuple[str, int, set[int], int]):
+        self.folder, self.bits, self.present, self.width = where
         self.files: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def get(self, key: int) -> np.ndarray | None:
-        """Sorted values of a signed 64-bit key; None if it has none."""
+        """Sorted values of a signed 64-bit key (a row each, if there are several columns); None if it has none."""
         k = key & ((1 << 64) - 1)
         b = k >> (64 - self.bits)
         if b not in self.present:
@@ -112,27 +112,27 @@ class Values:
         return values[starts[at] : starts[at + 1]] if at < len(keys) and keys[at] == U(k) else None
 
 
-def write_values(rows: DataFrame, name: str) -> tuple[str, int, set[int]]:
-    """Write the (key long, value long) rows as sorted files; what Values needs to read them.
+def write_values(rows: DataFrame, name: str, values: tuple[str, ...] = ("value",)) -> tuple[str, int, set[int], int]:
+    """Write rows of a key and values (all long) as sorted files; what Values needs to read them.
 
     A key is a document's hash and its values are places in that document, so no key is hot.
     """
-    rows = materialize(rows.select("key", "value"), name)
+    rows = materialize(rows.select("key", *values), name)
     folder = work_dir(rows.sparkSession, name + "-values")
     bits = max(4, (rows.count() // VALUES).bit_length())
 
     def gather(t: pa.Table) -> pa.Table:
         b = t["bucket"][0].as_py()
-        keys, values = t["key"].to_numpy().view(U), t["value"].to_numpy()
-        order = np.lexsort((values, keys))
-        keys, values = keys[order], values[order]
+        keys, columns = t["key"].to_numpy().view(U), [t[v].to_numpy() for v in values]
+        order = np.lexsort((*columns[::-1], keys))
+        keys, columns = keys[order], np.column_stack([c[order] for c in columns])
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        keep = new | np.concatenate([[True], values[1:] != values[:-1]])
-        keys, values, new = keys[keep], values[keep], new[keep]
+        keep = new | np.concatenate([[True], (columns[1:] != columns[:-1]).any(1)])
+        keys, columns, new = keys[keep], columns[keep], new[keep]
         save_array(folder, f"keys-{b}.npy", keys[new])
         save_array(folder, f"starts-{b}.npy", np.append(np.flatnonzero(new), len(keys)))
-        save_array(folder, f"values-{b}.npy", values)
+        save_array(folder, f"values-{b}.npy", columns if len(values) > 1 else columns[:, 0].copy())
         return pa.table({"bucket": pa.array([b], pa.int64())})
 
     found = rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits)).groupBy("bucket").applyInArrow(gather, "bucket long")
-    return folder, bits, {r["bucket"] for r in found.collect()}
+    return folder, bits, {r["bucket"] for r in found.collect()}, len(values)

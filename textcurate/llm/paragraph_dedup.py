@@ -193,9 +193,10 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
     schema = "doc_id long, doc long, ids binary, lines binary, banded binary, cells binary, blocks binary, starts binary"
     table = materialize(rows.mapInArrow(read, schema), "units")
 
-    def keys_of(b):
-        for c in range(3):
-            yield _joined(b.column(c))[0].view(U)
+    def keys_of(batches_):
+        for b in batches_:
+            for c in range(3):
+                yield _joined(b.column(c))[0].view(U)
 
     folder, sizes = count_keys(table.select("ids", "cells", "blocks"), keys_of)
 
