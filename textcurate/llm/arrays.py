@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -44,6 +46,13 @@ def save_array(folder: str, name: str, values: np.ndarray) -> None:
 _copies: dict[str, str] = {}
 
 
+@atexit.register
+def _drop_copies() -> None:
+    for name in _copies.values():
+        with contextlib.suppress(OSError):
+            os.remove(name)
+
+
 def map_array(folder: str, name: str) -> np.ndarray:
     """A read-only memory map of folder/name; of a store without local paths, of a worker's copy."""
     if is_local(folder):
@@ -122,3 +131,68 @@ class SortedShards:
             ok = have[np.minimum(at, len(have) - 1)] == own
             out[cuts[b] : cuts[b + 1]][ok] = (at + self.offsets[b])[ok]
         return out
+
+
+def within_bucket(keys: np.ndarray, bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """48 bits of hashed keys, counted from the beginning of their bucket (see bucket_of), in order."""
+    n = U(buckets)
+    low = ((bucket.astype(U) << U(32)) + n - U(1)) // n << U(32)
+    return (keys - low) >> U(max(0, 17 - int(buckets).bit_length()))
+
+
+class Packed:
+    """Sorted 48-bit keys of each bucket in 6 bytes, with columns of counts in a byte where they fit.
+
+    A bucket holds a bounded number of keys, so that two keys of one bucket are taken for one
+    another with a bounded probability: n / 2**48 for n keys.
+    """
+
+    def __init__(self, folder: str, name: str, sizes: list[int], columns: tuple[str, ...] = ()):
+        self.folder, self.name, self.sizes, self.columns = folder, name, sizes, columns
+        self.files: dict[tuple[str, int], np.ndarray] = {}
+
+    @staticmethod
+    def save(folder: str, name: str, b: int, keys: np.ndarray, **columns: np.ndarray) -> None:
+        save_array(folder, f"{name}-hi-{b}.npy", (keys >> U(16)).astype(np.uint32))
+        save_array(folder, f"{name}-lo-{b}.npy", keys.astype(np.uint16))
+        for c, v in columns.items():
+            if v.dtype == np.int64:  # counts
+                large = np.flatnonzero(v >= 255)
+                save_array(folder, f"{name}-{c}-large-{b}.npy", np.array([large, v[large]]))
+                v = np.minimum(v, 255).astype(np.uint8)
+            save_array(folder, f"{name}-{c}-{b}.npy", v)
+
+    def file(self, part: str, b: int) -> np.ndarray:
+        if (part, b) not in self.files:
+            self.files[part, b] = map_array(self.folder, f"{self.name}-{part}-{b}.npy")
+        return self.files[part, b]
+
+    def get(self, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(found, column, ...) of keys sorted by bucket; columns are 0 where a key isn't found."""
+        found = np.zeros(len(keys), bool)
+        out = [np.zeros(len(keys)) for _ in self.columns]
+        which, first = np.unique(bucket, return_index=True)
+        for b, a, e in zip(which.tolist(), first, np.append(first[1:], len(keys))):
+            if not self.sizes[b]:
+                continue
+            hi, lo = self.file("hi", b), self.file("lo", b)
+            high, low = (keys[a:e] >> U(16)).astype(np.uint32), keys[a:e].astype(np.uint16)
+            at = np.searchsorted(hi, high)
+            todo = np.arange(e - a)
+            while len(todo):  # keys of equal high parts stand next to one another
+                todo = todo[at[todo] < len(hi)]
+                todo = todo[hi[at[todo]] == high[todo]]
+                hit = lo[at[todo]] == low[todo]
+                own = todo[hit]
+                found[a + own] = True
+                for c, o in zip(self.columns, out):
+                    v = self.file(c, b)
+                    values = v[at[own]].astype(np.float64)
+                    if v.dtype == np.uint8 and (values == 255).any():
+                        where, large = self.file(f"{c}-large", b)
+                        top = np.flatnonzero(values == 255)
+                        values[top] = large[np.searchsorted(where, at[own][top])]
+                    o[a + own] = values
+                todo = todo[~hit]
+                at[todo] += 1
+        return (found, *out)
