@@ -5,7 +5,8 @@ word into a lattice of characters; a Viterbi search over it under a character tr
 of the whole corpus gives the likeliest plain word. Words as written and words as restored
 then count for a linear model over words and word beginnings, learnt from labelled rows.
 
-Ordinary words pass through as they are: only words that show such a trick are decoded.
+Ordinary words pass through as they are: only words that show such a trick are decoded, in
+training as in scoring.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ from pyspark.sql import functions as F
 
 from .arrays import merge, pack
 from .hashing import SPACE, U, batches, hash_words, mix, word_spans
+from .runtime import materialize
 
 #: Labelled rows of either class that the classifier is fitted on at most (those of smallest id hash).
 SAMPLE = 4000
-#: Features that the model keeps at most, by their likelihood ratio.
-FEATURES = 20_000
+#: Features of a smaller likelihood-ratio statistic say too little and stay out.
 LEAST_RATIO = 12.0
 PREFIXES = (4, 5, 6, 7, 8)
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
 GAPS = ".-_*~"
 COST_LEET, COST_GAP, COST_REPEAT = 0.7, 0.3, 0.5
+#: Blanks at most between characters set apart.
+BLANKS = 3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
@@ -99,17 +102,22 @@ def tricky_words(buf: np.ndarray) -> list[tuple[int, str]]:
     flag = (_SIGN[buf] & after) | (_END_SIGN[buf] & before) | (_GAP[buf] & before & after)
     if len(low) > 2:
         flag[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] < 128)
-    hits = np.unique(np.searchsorted(s, np.flatnonzero(flag), "right") - 1)
+    hits = np.searchsorted(s, np.flatnonzero(flag), "right") - 1
+    # two letters or more that stand twice: ssttuuppiidd
+    double = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum((low[1:] == low[:-1]) & letter[1:] & (low[1:] < 128), out=double[2:])
+    hits = np.unique(np.concatenate([hits, np.flatnonzero(double[e] - double[s + 1] > 1)]))
     data = low.tobytes()
     out = [(int(s[i]), data[s[i] : e[i]].decode("utf-8", "replace")) for i in hits]
-    single = (e - s == 1) & letter[s] & (buf[s] < 128)  # letters set apart: four or more in a row on one line
-    single &= np.concatenate([[True], (s[1:] - e[:-1] == 1) & (buf[e[:-1]] != 10)]) | np.concatenate([single[1:], [False]])
-    edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
+    # characters set apart on one line, blanks being free steps of the lattice: v 1 l  e
+    single = (e - s == 1) & ((letter[s] & (buf[s] < 128)) | _END_SIGN[buf[s]])
+    ends = np.cumsum(buf == 10)
+    near = np.concatenate([[False], single[1:] & single[:-1] & (s[1:] - e[:-1] <= BLANKS) & (ends[s[1:]] == ends[s[:-1]])])
+    edge = np.diff(np.concatenate([near[1:].astype(np.int8), [0]]), prepend=0)
     for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-        cuts = [a, *(k for k in range(a + 1, b) if s[k] - e[k - 1] != 1 or buf[e[k - 1]] == 10), b]
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            if y - x >= 4:
-                out.append((int(s[x]), "".join(chr(low[i]) for i in s[x:y])))
+        word = "".join(chr(low[i]) for i in s[a : b + 1])
+        if any(c.isalpha() for c in word):
+            out.append((int(s[a]), word))
     return out
 
 
@@ -191,7 +199,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
 
     At most `sample` rows of each class, those whose id hashes lowest, are used: seven of ten
     to weigh features, the rest to fit the score, whose intercept follows the classes' true
-    shares. Labels are 0 or 1; null ids or labels are left out; an id with several labels
+    shares. Rows of one id are one each. Labels are 0 or 1; null ids or labels are left out; an id with several labels
     takes their mean, 0.5 and above being 1. Without both classes every score is the share.
     """
     spark = documents.sparkSession
@@ -201,72 +209,60 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
     )
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = {r["doc_id"]: (y, r["h"] % 10 < 7) for y in (0, 1) for r in known.where(F.col("y") == y).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample).collect()}
-    shared = spark.sparkContext.broadcast(chosen)  # at most 2 * sample entries
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = 16
 
     def count(parts):
-        """Trigrams of all rows by their first class; features of the sampled rows."""
         total = np.zeros(28**3, np.int64)
         for b in parts:
-            texts = b.column(1).to_pylist()
-            for _, _, buf, _ in batches(texts):
+            for _, _, buf, _ in batches(b.column(0).to_pylist()):
                 total += trigram_counts(buf)
-            own = [(shared.value[i][0], t) for i, t in zip(b.column(0).to_pylist(), texts) if i in shared.value and shared.value[i][1]]
-            if own:
-                y = np.array([v for v, _ in own])
-                for first, d, h, n in document_features([t for _, t in own], None):
-                    d, h = _distinct(d, h)
-                    k, back = np.unique(h, return_inverse=True)
-                    pos = np.bincount(back, y[first + d], len(k))
-                    neg = np.bincount(back, minlength=len(k)) - pos
-                    part = (k >> U(60)).astype(int)
-                    cuts = np.searchsorted(part, np.arange(buckets + 1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(buckets), pa.int32()), pa.array([pack(k[a:e], pos[a:e], neg[a:e]) for a, e in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["bucket", "blob"]
-                    )
-        slices = total.reshape(28, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(100, 128), pa.int32()), pa.array([x.tobytes() for x in slices], pa.binary())], names=["bucket", "blob"])
-
-    n_pos = sum(1 for y, fit in chosen.values() if y and fit)
-    n_neg = sum(1 for y, fit in chosen.values() if not y and fit)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    trigrams = np.zeros(28**3, np.int64)
+    for r in rows.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 28**3 rows at most
+        trigrams[r["cell"]] = r["n"]
+    picked = spark.createDataFrame([(i, y, fit) for i, (y, fit) in chosen.items()], "doc_id long, y int, fit boolean")  # at most 2 * sample rows
+    own = materialize(rows.join(F.broadcast(picked), "doc_id").select("y", "fit", "text"), "toxicity-sample")
+    buckets = 16
+
+    def weigh_features(parts):
+        decoder = Decoder(trigrams)
+        for b in parts:
+            y = b.column(0).to_numpy()
+            for first, d, h, n in document_features(b.column(1).to_pylist(), decoder):
+                d, h = _distinct(d, h)
+                k, back = np.unique(h, return_inverse=True)
+                pos = np.bincount(back, y[first + d], len(k))
+                neg = np.bincount(back, minlength=len(k)) - pos
+                part = (k >> U(60)).astype(int)
+                cuts = np.searchsorted(part, np.arange(buckets + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(buckets), pa.int32()), pa.array([pack(k[a:e], pos[a:e], neg[a:e]) for a, e in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["bucket", "blob"]
+                )
+
+    n_rows = {(r["y"], r["fit"]): r["n"] for r in own.groupBy("y", "fit").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = n_rows.get((1, True), 0), n_rows.get((0, True), 0)
 
     def gather(table: pa.Table) -> pa.Table:
-        bucket, blobs = table.column("bucket")[0].as_py(), [x.as_py() for x in table.column("blob")]
-        if bucket >= 100:
-            return pa.table({"bucket": pa.array([bucket], pa.int32()), "blob": pa.array([np.sum([np.frombuffer(b, np.int64) for b in blobs], axis=0).tobytes()], pa.binary())})
-        k, (pos, neg) = merge(blobs)
+        k, (pos, neg) = merge([x.as_py() for x in table.column("blob")])
         weight, ratio = weigh(pos, neg, n_pos, n_neg)
-        keep = np.flatnonzero((weight > 0) & (ratio >= LEAST_RATIO))
-        keep = np.sort(keep[np.argsort(-ratio[keep], kind="stable")[:FEATURES]])
-        out = b"".join(x[keep].astype(t).tobytes() for x, t in ((k, U), (weight, np.float64), (ratio, np.float64)))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "blob": pa.array([out], pa.binary())})
-
-    trigrams, ks, ws, rs = np.zeros((28, 784), np.int64), [], [], []
-    for r in rows.mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, blob binary").collect():  # 44 rows of bounded size
-        if r["bucket"] >= 100:
-            trigrams[r["bucket"] - 100] = np.frombuffer(bytes(r["blob"]), np.int64)
-            continue
-        n = len(r["blob"]) // 24
-        blob = bytes(r["blob"])
-        ks.append(np.frombuffer(blob, U, n))
-        ws.append(np.frombuffer(blob, np.float64, n, 8 * n))
-        rs.append(np.frombuffer(blob, np.float64, n, 16 * n))
-    k = np.concatenate(ks) if ks else np.empty(0, U)
-    w, ratio = (np.concatenate(x) if x else np.empty(0) for x in (ws, rs))
-    top = np.argsort(-ratio, kind="stable")[:FEATURES]
-    top = top[np.argsort(k[top])]
-    model = Model(trigrams.ravel(), k[top], w[top], np.zeros(3))
-    ready = spark.sparkContext.broadcast(model)
+        keep = (weight > 0) & (ratio >= LEAST_RATIO)
+        return pa.table({"hash": pa.array(k[keep].view(np.int64)), "weight": pa.array(weight[keep])})
+
+    features_ = own.where("fit").select("y", "text").mapInArrow(weigh_features, "bucket int, blob binary")
+    found = features_.groupBy("bucket").applyInArrow(gather, "hash long, weight double").toArrow()  # of a sample of bounded size
+    k, w = found["hash"].to_numpy().view(U), found["weight"].to_numpy()
+    order = np.argsort(k)
+    model = Model(trigrams, k[order], w[order], np.zeros(3))
 
     def inputs(parts):
         for b in parts:
-            own = [(shared.value[i][0], t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if i in shared.value and not shared.value[i][1]]
-            for first, x in ready.value.inputs([t for _, t in own]) if own else ():
-                y = [v for v, _ in own[first : first + len(x)]]
-                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["y", "a", "b"])
+            y = b.column(0).to_numpy()
+            for first, x in model.inputs(b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(y[first : first + len(x)], pa.int32()), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["y", "a", "b"])
 
-    fitted = np.array([tuple(r) for r in rows.mapInArrow(inputs, "y int, a double, b double").collect()]).reshape(-1, 3)  # at most 2 * sample rows
+    fitted = np.array([tuple(r) for r in own.where("not fit").select("y", "text").mapInArrow(inputs, "y int, a double, b double").collect()]).reshape(-1, 3)  # of the sample
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     prior = np.log((share + 1e-6) / (1 - share + 1e-6))
     y = fitted[:, 0]
