@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from textcurate.functions import overlap
 from textcurate.functions import text as T
 from textcurate.operators import cache as C
 from textcurate.operators import evaluation as E
@@ -10,7 +11,7 @@ from textcurate.operators import generation as G
 from textcurate.operators import posts as P
 from textcurate.operators import sampling as S
 from textcurate.plans import pipelines, report
-from textcurate.sources import readers, writers
+from textcurate.sources import files, readers, writers
 from textcurate.streaming import incremental
 
 
@@ -151,3 +152,128 @@ def test_ranks_match_a_window(spark):
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("o"))).select("g", "o", "rank")
     assert sorted(map(tuple, P.ranks(df, ["g"], ["o"]).select("g", "o", "rank").collect())) == sorted(map(tuple, want.collect()))
     assert T.CTA_PATTERNS
+
+
+def test_sources_of_validation_rows(spark):
+    df = spark.createDataFrame([(1, "llm_brief_v4", True), (2, "heuristic", False)], "post_id long, input_source string, synthetic_ok boolean")
+    assert [r["post_id"] for r in P.filter_by_source(df, "heuristic").collect()] == [2] and P.filter_by_source(df, "").count() == P.filter_by_source(df, None).count() == 2
+    assert P.validation_rows(df, "heuristic").count() == 1 and P.validation_rows(df, "other", "all").count() == 2
+    with pytest.raises(ValueError, match="no validation records"):
+        P.validation_rows(df, "other")
+    with pytest.raises(ValueError, match="fallback"):
+        P.validation_rows(df, "other", "some")
+    assert [r["post_id"] for r in P.usable(df).collect()] == [1]
+
+
+def test_several_values(spark):
+    df = spark.createDataFrame([("a", "x y"), ("a", "z"), (None, "q")], "style_type string, text string")
+    assert not P.has_several(df, "style_type") and P.has_several(df, "text")
+    assert [r["style_type"] for r in E.length_report(df).collect()] == ["all"]
+    assert {r["style_type"] for r in E.length_report(df.withColumn("style_type", F.col("text"))).collect()} == {"x y", "z", "q"}
+
+
+def test_files_and_config(spark, tmp_path):
+    p = str(tmp_path / "deep" / "x.json")
+    assert files.read_json(p) is None and not files.exists(p) and files.load_config(str(tmp_path / "none.yaml")) == {}
+    files.write_json(p, {"a": {"b": [1, "ю"]}})
+    files.write_json(p, {"a": {"b": [2]}})
+    assert files.read_json(p) == {"a": {"b": [2]}} and files.exists(p)
+    files.write_text(str(tmp_path / "c.yaml"), "max_samples:\n  type1: 5\n")
+    config = files.load_config(str(tmp_path / "c.yaml"))
+    assert files.dig(config, "max_samples", "type1") == 5 and files.dig(config, "max_samples", "type1", "x") is None and files.dig(None, "a") is None
+    files.write_text(str(tmp_path / "e.yaml"), "\n")
+    assert files.load_config(str(tmp_path / "e.yaml")) == {}
+    limit = lambda t, given=None: pipelines.resolve_limit(given, config["max_samples"], 100, t)
+    assert (limit("type1"), limit("type2"), limit("type1", 7)) == (5, 100, 7)
+    with pytest.raises(ValueError):
+        limit("type1", 0)
+
+
+def test_manifest_is_built_once(spark, tmp_path):
+    rows = [(i, "type1", f"Запись {i} и число {i}", 90 + i, 1, False, "val", "2024-02-01") for i in range(12)]
+    df = spark.createDataFrame(rows, "post_id long, style_type string, response_clean string, char_len int, n_paragraphs int, has_emoji boolean, split string, date string")
+    path = str(tmp_path / "manifest")
+    one = sorted(r["pilot_id"] for r in pipelines.load_or_build_manifest(spark, path, df, 3).collect())
+    two = sorted(r["pilot_id"] for r in pipelines.load_or_build_manifest(spark, path, df.limit(0), 9).collect())
+    assert one == two and len(one) == 3
+    assert pipelines.load_or_build_manifest(spark, str(tmp_path / "no"), df.limit(0), 3).isEmpty() and readers.read_optional_lines(spark, str(tmp_path / "no")) is None
+    assert list(readers.read_present(spark, [path, str(tmp_path / "no")])) == [path]
+
+
+def test_reports(spark, tmp_path):
+    at = str(tmp_path)
+    one = spark.createDataFrame([(1, 0.5)], "n int, rate double")
+    assert writers.write_generation_report(f"{at}/g.json", {"model": "m"}, {"f1": one}) == files.read_json(f"{at}/g.json") == {"meta": {"model": "m"}, "files": [{"path": "f1", "n": 1, "rate": 0.5}]}
+    out = {"type1": {"style": {"style_accuracy": 0.5, "style_confidence": 0.4}, "cosine": {"mean": 0.9}, "mauve": {"mauve": 0.2}, "confusion": [{"style_type": "type1", "n": 2, "to_type1": 0.5, "to_type2": 0.5}]}}
+    writers.write_evaluation(f"{at}/base", out, {"type1": one}, {"type1": one})
+    better = {"type1": {**out["type1"], "style": {"style_accuracy": 0.9, "style_confidence": 0.8}, "mauve": {"mauve": 0.8}}}
+    writers.write_evaluation(f"{at}/tuned", better)
+    assert readers.read_optional(spark, f"{at}/base/length_type1.csv", "csv").count() == 1 and files.read_json(f"{at}/tuned/cross_type_confusion.json")
+    files.write_json(f"{at}/split.json", {"type1": {"train": 8, "val": 1, "test": 1}, "_meta": {"min_chars": 50}})
+    files.write_json(f"{at}/run.json", {"base_model": "b", "hyperparams": {"lora_r": 16}, "metrics": {"train_loss": 1.5}, "duration_seconds": 61})
+    memory = {"type1": {"fuzz_median": 30.0, "fuzz_max": 99.0, "run_max": 40}}
+    near = {"type1": [{"generated": "a|b", "nearest_id": 3, "fuzz_ratio": 50.0, "jaccard_5gram": 0.1, "longest_common_chars": 40}]}
+    text = report.results_from(["type1"], f"{at}/split.json", f"{at}/base", f"{at}/tuned", {"type1": [f"{at}/none.json", f"{at}/run.json"]}, memorisation=memory, nearest=near, notes=["small"])
+    for part in ("| train | 8 |", "lora_r | 16", "1m 1s", "+0.400", "type1: better", "Mean diagonal 50.0%, by chance 50.0%", "longest run: 40.0 (below 30: no)", "**FAIL**", "a\\|b", "- small"):
+        assert part in text, part
+    assert report.results(["type1"]).count("no data yet") == 6
+    assert writers.tsv(one.withColumn("path", F.lit("p")), writers.COST_COLUMNS).splitlines()[1].startswith("p\t")
+
+
+def test_cost_table(spark):
+    df = spark.createDataFrame([("a", "один два"), ("a", "x"), ("b", "три")], "path string, response_clean string")
+    rows = {r["path"]: r for r in pipelines.cost_table(df, "openai/gpt-4.1-mini").collect()}
+    assert set(rows) == {"a", "b", "TOTAL"} and rows["TOTAL"]["n_records"] == 3 and rows["TOTAL"]["usage_total_tokens"] == rows["a"]["usage_total_tokens"] + rows["b"]["usage_total_tokens"]
+    assert [r["path"] for r in pipelines.cost_table(df.where("path = 'a'"), "openai/gpt-4.1-mini").collect()] == ["a"]
+
+
+def test_calls_run_at_once(spark):
+    import time
+
+    def slow(model, system, prompt):
+        time.sleep(0.3)
+        return {"content": json.dumps({"neutral_text": prompt.split("<source_text>\n")[1].split("\n")[0]})}
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "i long, response_clean string").coalesce(1)
+    G.attempts(df.limit(1), "response_clean", slow).collect()
+    began = time.time()
+    rows = G.attempts(df, "response_clean", slow, concurrency=10).collect()
+    assert time.time() - began < 4 and all(json.loads(r["attempts"][0]["content"])["neutral_text"] == r["response_clean"] for r in rows)
+    with pytest.raises(ValueError):
+        G.attempts(df, "response_clean", slow, concurrency=0)
+
+
+def test_frontier_of_histograms():
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    a, b = g.random(12), g.random(12)
+    a[:2], b[2:4] = 0, 0
+    a, b = a / a.sum(), b / b.sum()
+    w = (np.arange(20_000) + 0.5) / 20_000
+    kl = lambda x, m: np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / m), 0).sum(-1)
+    mix = w[:, None] * a + (1 - w[:, None]) * b
+    want = 2 * (w * kl(a, mix) + (1 - w) * kl(b, mix)).mean()
+    assert E.frontier_integral(a, b) == pytest.approx(want, abs=1e-5) and E.frontier_integral(a, a) == 0
+    assert E.frontier_area(a, a) == pytest.approx(1.0, abs=1e-6) and E.frontier_area(np.array([1.0, 0]), np.array([0, 1.0])) < 0.02 < E.frontier_area(a, b) < 1
+
+
+def test_failed_rows_keep_no_flag(spark):
+    df = spark.createDataFrame([("три 3 слова", "", True), ("три 3 слова", "иное 3", False)], "o string, c string, f boolean")
+    failed, good = [r["s"] for r in df.select(overlap.score(F.col("o"), F.col("c"), F.col("f")).alias("s")).collect()]
+    assert (failed["is_identity"], failed["numbers_preserved"], failed["jaccard"], failed["length_ratio"]) == (False, False, None, None)
+    assert failed["quality_flags"].asDict() == {"numbers_ok": False, "identity": False, "jaccard_bin": None, "length_collapse": None}
+    assert good["numbers_preserved"] and not good["is_identity"] and good["quality_flags"]["numbers_ok"]
+
+
+def test_ngram_overlap_by_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 14))), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))) for _ in range(150)] + [("a " * 4000, "a " * 4000 + "b")]
+    grams = lambda t, n: [tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", overlap.longest_common_ngram(F.col("a"), F.col("b")).alias("n"), overlap.copied_ngram_ratio(F.col("a"), F.col("b")).alias("r")).collect():
+        have, own = set(grams(r["a"], 4)), grams(r["b"], 4)
+        assert r["n"] == max((n for n in range(1, 9) if set(grams(r["a"], n)) & set(grams(r["b"], n))), default=0)
+        assert r["r"] == pytest.approx(sum(g in have for g in own) / len(own) if have and own else 0.0)

@@ -42,8 +42,11 @@ def usage_total(prompt: Column, completion: Column, total: Column) -> Column:
     return F.coalesce(F.nullif(total, F.lit(0)), F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0)))
 
 
-def summarize(df: DataFrame, model: str | None = None, estimate_missing: bool = False, by: list[str] | None = None) -> DataFrame:
-    """usage_* sums, numbers of recorded and estimated rows and cost_usd_estimate (null if no row has one)."""
+def summarize(df: DataFrame, model: str | None = None, estimate_missing: bool = False, by: list[str] | None = None, rollup: bool = False) -> DataFrame:
+    """usage_* sums, numbers of recorded and estimated rows and cost_usd_estimate (null if no row has one).
+
+    With rollup, of each group and of all rows (then __all is 1) in one pass.
+    """
     p, c = F.coalesce("usage_prompt_tokens", F.lit(0)), F.coalesce("usage_completion_tokens", F.lit(0))
     recorded = (p > 0) | (c > 0)
     guess = estimate_usage(F.col("response_clean"))
@@ -52,7 +55,9 @@ def summarize(df: DataFrame, model: str | None = None, estimate_missing: bool =
     rows = rows.withColumn("__p", F.when(F.col("__est"), F.col("__guess.prompt_tokens")).otherwise(p)).withColumn("__c", F.when(F.col("__est"), F.col("__guess.completion_tokens")).otherwise(c))
     priced = cost_usd(F.col("__p"), F.col("__c"), model) if model else F.lit(None).cast("double")
     cost = F.when(F.col("__est"), priced).when(F.col("__rec"), F.coalesce("cost_usd_estimate", priced)).otherwise(F.col("cost_usd_estimate"))
-    return rows.withColumn("__cost", cost).groupBy(*(by or [])).agg(
+    rows = rows.withColumn("__cost", cost)
+    return (rows.rollup(*by) if rollup else rows.groupBy(*(by or []))).agg(
+        *([F.grouping(by[0]).alias("__all")] if rollup else []),
         F.coalesce(F.sum("__p"), F.lit(0)).alias("usage_prompt_tokens"), F.coalesce(F.sum("__c"), F.lit(0)).alias("usage_completion_tokens"),
         F.coalesce(F.sum(F.col("__p") + F.col("__c")), F.lit(0)).alias("usage_total_tokens"), F.count_if("__rec").alias("usage_actual_records"),
         F.count_if("__est").alias("usage_estimated_records"), F.round(F.sum("__cost"), 6).alias("cost_usd_estimate"),

@@ -45,31 +45,71 @@ def jaccard_bin(value: Column) -> Column:
     return out.otherwise(JACCARD_TOP)
 
 
+def _hashes(toks: Column) -> Column:
+    return F.transform(toks, lambda w: F.xxhash64(w))
+
+
+def _longer(grams: Column, words: Column, n: int) -> Column:
+    """Hashes of the (n + 1)-grams from those of the n-grams and of the words."""
+    return F.zip_with(F.slice(grams, F.lit(1), F.size(grams) - 1), F.slice(words, F.lit(n + 1), F.size(grams) - 1), lambda g, w: F.xxhash64(g, w))
+
+
 def longest_common_ngram(a: Column, b: Column, max_n: int = 8) -> Column:
     """The most words, up to max_n, of a run that both texts hold."""
+    return common_run(T.tokens(a), T.tokens(b), max_n)
+
+
+def common_run(a: Column, b: Column, max_n: int = 8) -> Column:
+    """longest_common_ngram of two arrays of words; n-grams are compared by 64-bit hashes.
+
+    A run of n words holds runs of fewer, so longer ones are only made where the shorter are shared.
+    """
 
     def longest(x: Column, y: Column) -> Column:
-        out = F.lit(0)  # a run of n words holds runs of fewer: the shortest that isn't shared decides
-        for n in range(max_n, 0, -1):
-            out = F.when(F.arrays_overlap(T.ngrams(x, n), T.ngrams(y, n)), F.greatest(F.lit(n), out)).otherwise(F.lit(0))
-        return out
+        def from_(n: int, p: Column, q: Column) -> Column:
+            if n == max_n:
+                more = F.lit(n)
+            else:
+                more = T.bind(_longer(p, x, n), lambda p2: T.bind(_longer(q, y, n), lambda q2: from_(n + 1, p2, q2)))
+            return F.when(F.arrays_overlap(p, q), more).otherwise(F.lit(n - 1))
+
+        return from_(1, x, y)
 
-    return T.bind(T.tokens(a), lambda x: T.bind(T.tokens(b), lambda y: longest(x, y)))
+    return T.bind(_hashes(a), lambda x: T.bind(_hashes(b), lambda y: longest(x, y)))
 
 
 def copied_ngram_ratio(source: Column, candidate: Column, n: int = 4) -> Column:
     """Share of the candidate's n-grams, each occurrence counted, that the source holds."""
-    src = T.ngrams(T.tokens(source), n)
+    return copied_share(T.tokens(source), T.tokens(candidate), n)
+
+
+def copied_share(source: Column, candidate: Column, n: int = 4) -> Column:
+    """copied_ngram_ratio of two arrays of words.
 
-    def ratio(cand: Column, both: Column) -> Column:
-        # occurrences outside are those left after the shared n-grams are taken out
-        outside = F.aggregate(F.array_except(cand, both), F.lit(0), lambda acc, g: acc + 1)
-        repeats = F.size(cand) - F.size(F.array_distinct(cand))
-        exact = F.size(F.filter(cand, lambda g: F.array_contains(both, g)))
-        copied = F.when(repeats == 0, F.size(cand) - outside).otherwise(exact)
-        return F.when(F.size(both) == 0, F.lit(0.0)).otherwise(copied / F.greatest(F.size(cand), F.lit(1)))
+    The n-grams of both sides are sorted together, the source's before equal ones of the
+    candidate, and one walk counts the latter: no text length is worth a quadratic search.
+    """
+
+    def grams(words: Column) -> Column:
+        def up_to(k: int) -> Column:
+            return words if k == 1 else T.bind(up_to(k - 1), lambda g: _longer(g, words, k - 1))
+
+        return F.when(F.size(words) >= n, up_to(n)).otherwise(F.array().cast("array<bigint>"))
 
-    return T.bind(T.ngrams(T.tokens(candidate), n), lambda cand: T.bind(F.array_intersect(cand, src), lambda both: ratio(cand, both)))
+    tag = lambda c, side: F.transform(c, lambda g: F.struct(g.alias("g"), F.lit(side).alias("side")))
+
+    def ratio(src: Column, cand: Column) -> Column:
+        both = F.array_sort(F.concat(tag(F.array_distinct(src), 0), tag(cand, 1)))
+        start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(False).alias("seen"), F.lit(0).alias("n"))
+        step = lambda acc, x: F.struct(
+            F.when(x["side"] == 0, x["g"]).otherwise(acc["g"]).alias("g"), (acc["seen"] | (x["side"] == 0)).alias("seen"),
+            (acc["n"] + F.when((x["side"] == 1) & acc["seen"] & (x["g"] == acc["g"]), 1).otherwise(0)).alias("n"),
+        )
+        copied = F.aggregate(both, start, step, lambda acc: acc["n"])
+        return F.when((F.size(src) == 0) | (F.size(cand) == 0), F.lit(0.0)).otherwise(copied / F.greatest(F.size(cand), F.lit(1)))
+
+    words = lambda a, f: T.bind(_hashes(a), f)
+    return words(source, lambda x: words(candidate, lambda y: T.bind(grams(x), lambda s: T.bind(grams(y), lambda c: ratio(s, c)))))
 
 
 def length_ratio(original: Column, new: Column) -> Column:
@@ -77,34 +117,44 @@ def length_ratio(original: Column, new: Column) -> Column:
 
 
 def score(original: Column, new: Column, failed: Column) -> Column:
-    """Struct of jaccard, is_identity, numbers_preserved, length_ratio and quality_flags; null metrics of failed rows."""
-    j, ratio = jaccard(original, new), length_ratio(original, new)
-    ok = lambda c: F.when(~failed, c)
+    """Struct of jaccard, is_identity, numbers_preserved, length_ratio and quality_flags.
+
+    Of failed rows the two truth values are false and the measures null.
+    """
+    same, kept = T.strip(new) == T.strip(original), numbers_preserved(original, new)
+    return _scored(failed, jaccard(original, new), same, kept, length_ratio(original, new))
+
+
+def _scored(failed: Column, j: Column, same: Column, kept: Column, ratio: Column) -> Column:
+    ok, true = lambda c: F.when(~failed, c), lambda c: F.when(failed, False).otherwise(c)
     flags = F.struct(
-        ok(numbers_preserved(original, new)).alias("numbers_ok"), ok(T.strip(new) == T.strip(original)).alias("identity"),
-        jaccard_bin(ok(j)).alias("jaccard_bin"), ok(ratio < LENGTH_COLLAPSE).alias("length_collapse"),
+        true(kept).alias("numbers_ok"), true(same).alias("identity"), jaccard_bin(ok(j)).alias("jaccard_bin"), ok(ratio < LENGTH_COLLAPSE).alias("length_collapse")
     )
     return F.struct(
-        ok(F.round(j, 4)).alias("jaccard"), ok(T.strip(new) == T.strip(original)).alias("is_identity"),
-        ok(numbers_preserved(original, new)).alias("numbers_preserved"), ok(F.round(ratio, 4)).alias("length_ratio"), flags.alias("quality_flags"),
+        ok(F.round(j, 4)).alias("jaccard"), true(same).alias("is_identity"), true(kept).alias("numbers_preserved"), ok(F.round(ratio, 4)).alias("length_ratio"), flags.alias("quality_flags")
     )
 
 
 def with_validation(
     df, original: str, candidate: str, *, max_jaccard: float = MAX_JACCARD, max_shared_ngram: int | None = None,
-    max_copy_ratio: float | None = None, copy_ngram: int = 4, strict_zero: bool = True, to: str = "validation",
+    max_copy_ratio: float | None = None, copy_ngram: int = 4, strict_zero: bool = True, to: str = "validation", ngrams: bool = True,
 ):
     """df with a struct: neutralized_clean, failed, failure_reason, longest_common_ngram, copy_ngram_ratio and the metrics.
 
     The first rule that fails names the reason: empty_after_clean, numbers_not_preserved,
     identity, high_overlap, copied_span, copied_{n}gram_ratio. With strict_zero a Jaccard of 0
-    counts as high_overlap, as in the checks this reproduces. Columns that the steps need are
-    computed once and dropped.
+    counts as high_overlap, as in the checks this reproduces. Without `ngrams` the two n-gram
+    columns are null unless a limit needs them. Columns that the steps need are computed once
+    and dropped.
     """
-    o, c = F.col(original), F.col("__clean")
-    j = F.when(F.col("__j") == 0, F.lit(1.0)).otherwise(F.col("__j")) if strict_zero else F.col("__j")
-    steps = df.withColumn("__clean", F.coalesce(T.clean(F.col(candidate)), F.lit(""))).withColumns(
-        {"__j": F.round(jaccard(o, c), 4), "__n": longest_common_ngram(o, c), "__r": copied_ngram_ratio(o, c, copy_ngram), "__same": T.strip(c) == T.strip(o), "__num": numbers_preserved(o, c)}
+    o, c, x, y = F.col(original), F.col("__clean"), F.col("__x"), F.col("__y")
+    rounded = F.round("__j", 4)
+    j = F.when(rounded == 0, F.lit(1.0)).otherwise(rounded) if strict_zero else rounded
+    steps = df.withColumn("__clean", F.coalesce(T.clean(F.col(candidate)), F.lit(""))).withColumns({"__x": T.tokens(o), "__y": T.tokens(c)})
+    run = common_run(x, y) if ngrams or max_shared_ngram is not None else F.lit(None).cast("int")
+    copied = copied_share(x, y, copy_ngram) if ngrams or max_copy_ratio is not None else F.lit(None).cast("double")
+    steps = steps.withColumns(
+        {"__j": set_jaccard(F.array_distinct(x), F.array_distinct(y)), "__n": run, "__r": copied, "__same": T.strip(c) == T.strip(o), "__num": numbers_preserved(o, c)}
     )
     reason = F.when(c == "", "empty_after_clean").when(~F.col("__num"), "numbers_not_preserved").when(F.col("__same"), "identity").when(j >= max_jaccard, "high_overlap")
     if max_shared_ngram is not None:
@@ -114,17 +164,13 @@ def with_validation(
     steps = steps.withColumn("__why", reason)
     why, failed = F.col("__why"), F.col("__why").isNotNull()
     spoken = ~F.coalesce(why.isin("numbers_not_preserved", "identity"), F.lit(False))
-    ok = lambda x: F.when(~failed, x)
-    ratio = length_ratio(o, c)
-    flags = F.struct(
-        ok(F.col("__num")).alias("numbers_ok"), ok(F.col("__same")).alias("identity"), jaccard_bin(ok(jaccard(o, c))).alias("jaccard_bin"), ok(ratio < LENGTH_COLLAPSE).alias("length_collapse")
-    )
+    steps = steps.withColumn("__score", _scored(failed, F.col("__j"), F.col("__same"), F.col("__num"), length_ratio(o, c)))
     out = F.struct(
         F.when(failed, "").otherwise(c).alias("neutralized_clean"), failed.alias("failed"), why.alias("failure_reason"),
         F.when(spoken, F.col("__n")).alias("longest_common_ngram"), F.when(spoken, F.round(F.col("__r"), 4)).alias("copy_ngram_ratio"),
-        ok(F.col("__j")).alias("jaccard"), ok(F.col("__same")).alias("is_identity"), ok(F.col("__num")).alias("numbers_preserved"), ok(F.round(ratio, 4)).alias("length_ratio"), flags.alias("quality_flags"),
+        *(F.col(f"__score.{k}").alias(k) for k in ("jaccard", "is_identity", "numbers_preserved", "length_ratio", "quality_flags")),
     )
-    return steps.withColumn(to, out).drop("__clean", "__j", "__n", "__r", "__same", "__num", "__why")
+    return steps.withColumn(to, out).drop("__clean", "__x", "__y", "__j", "__n", "__r", "__same", "__num", "__why", "__score")
 
 
 def is_borderline(j: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, overlap
 from ..functions import text as T
+from .posts import has_several
 
 # Quality gates.
 QUALITY_TARGETS = {
@@ -31,6 +32,13 @@ def length_stats(df: DataFrame, text: str = "text", by: list[str] | None = None)
     )
 
 
+def length_report(df: DataFrame, text: str = "text", by: str = "style_type") -> DataFrame:
+    """length_stats of each group, or of all rows together where the column is missing or has one value."""
+    several = by in df.columns and has_several(df, by)
+    out = length_stats(df, text, [by] if several else None)
+    return out if several else out.select(F.lit("all").alias(by), "*")
+
+
 def length_compare(df: DataFrame, given: str, reference: str, generated: str | None = None) -> DataFrame:
     """df with characters and words of each text and their ratios to 3 places."""
     chars, words = lambda c: F.length(T.strip(F.col(c))), lambda c: T.blank_words(F.col(c))
@@ -187,36 +195,66 @@ class StyleClassifier:
         return out.select(*keep, F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), vector_to_array("probability").alias("probabilities"))
 
 
-def mauve(p: DataFrame, q: DataFrame, vector: str = "embedding", clusters: int = 16, scale: float = 5.0, points: int = 25, seed: int = 42) -> dict[str, float]:
+def mauve(p: DataFrame, q: DataFrame, vector: str = "embedding", clusters: int | None = None, scale: float = 5.0, points: int = 25, seed: int = 42, variance: float = 0.9) -> dict[str, float]:
     """MAUVE of two sets of vectors: joint k-means histograms, KL frontier over mixtures, its area.
 
-    Clustering and counting run in Spark; only two histograms of `clusters` numbers reach the driver.
+    Vectors are normalised and reduced to the principal components that hold `variance` of it;
+    there is a cluster for every ten rows of the smaller set if `clusters` isn't given. All that
+    runs in Spark; only two histograms of `clusters` numbers reach the driver.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.feature import PCA, Normalizer, VectorSlicer
     from pyspark.ml.functions import array_to_vector
 
     both = p.select(vector).withColumn("side", F.lit(0)).unionByName(q.select(vector).withColumn("side", F.lit(1)))
     rows = Normalizer(inputCol="v", outputCol="u").transform(both.withColumn("v", array_to_vector(F.transform(vector, lambda e: e.cast("double")))))
+    sizes = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    clusters = clusters or max(2, round(min(sizes.get(0, 0), sizes.get(1, 0)) / 10))
+    first = rows.select(vector).first()
+    dims = len(first[vector]) if first else 0
+    if dims > 1:
+        axes = PCA(k=dims, inputCol="u", outputCol="axes").fit(rows)
+        held = int(np.searchsorted(np.cumsum(axes.explainedVariance.toArray()), variance)) + 1
+        rows = VectorSlicer(inputCol="axes", outputCol="reduced", indices=list(range(min(held, dims)))).transform(axes.transform(rows)).drop("u").withColumnRenamed("reduced", "u")
     model = KMeans(k=clusters, seed=seed, featuresCol="u", predictionCol="bin").fit(rows)
     counts = np.zeros((2, clusters))
     for r in model.transform(rows).groupBy("side", "bin").count().collect():
         counts[r["side"], r["bin"]] = r["count"]
     a, b = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    return {"mauve": round(frontier_area(a, b, scale, points), 6), "frontier_integral": round(frontier_integral(a, b), 6)}
+
 
-    def kl(x, y):
-        on = x > 0
-        return float((x[on] * np.log(x[on] / y[on])).sum())
+def _kl(x: np.ndarray, y: np.ndarray) -> float:
+    on = x > 0
+    return float((x[on] * np.log(x[on] / y[on])).sum())
 
+
+def frontier_area(a: np.ndarray, b: np.ndarray, scale: float = 5.0, points: int = 25) -> float:
+    """Mean area under the divergence curve of two histograms and under its mirror image."""
     curve = [(0.0, 1.0)]
     for w in np.linspace(1e-6, 1 - 1e-6, points):
         mid = w * a + (1 - w) * b
-        curve.append((float(np.exp(-scale * kl(b, mid))), float(np.exp(-scale * kl(a, mid)))))
+        curve.append((float(np.exp(-scale * _kl(b, mid))), float(np.exp(-scale * _kl(a, mid)))))
     curve.append((1.0, 0.0))
-    area = lambda pts: abs(float(np.trapezoid([y for _, y in pts], [x for x, _ in pts])))
-    one, two = area(sorted(curve)), area(sorted((y, x) for x, y in curve))
-    js = kl(a, (a + b) / 2) + kl(b, (a + b) / 2)
-    return {"mauve": round((one + two) / 2, 6), "frontier_integral": round(js / 2, 6)}
+
+    def area(points: list[tuple[float, float]]) -> float:
+        falling = sorted(points, key=lambda xy: (xy[0], -xy[1]))
+        return float(np.trapezoid([y for _, y in falling], [x for x, _ in falling]))
+
+    return (area(curve) + area([(y, x) for x, y in curve])) / 2
+
+
+def frontier_integral(a: np.ndarray, b: np.ndarray) -> float:
+    """Twice the integral over w of w * KL(a | mix) + (1 - w) * KL(b | mix), mix = w * a + (1 - w) * b.
+
+    In closed form each bin adds (p + q) / 2 - p * q * log(p / q) / (p - q), equal bins nothing.
+    """
+    mean, apart = (a + b) / 2, np.abs(a - b) > 1e-12
+    both = apart & (a > 0) & (b > 0)
+    out = np.where(apart, mean, 0.0)
+    x, y = a[both], b[both]
+    out[both] -= x * y * np.log(x / y) / (x - y)
+    return float(out.sum())
 
 
 #: Texts of the query side that go to each task at once (their bytes are checked too).

@@ -14,6 +14,7 @@ import random
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,34 +80,46 @@ def _usable(content: str, mode: str) -> str | None:
     return f"invalid_{wrong[0]}" if wrong else None
 
 
-def attempts(df: DataFrame, text: str, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5, tries: int = 6, to: str = "attempts") -> DataFrame:
-    """df with the log of calls: each model in turn until one gives a usable answer."""
-    system = prompts.system_prompt(mode, fact_limit)
+def _attempt(backend: Callable, models: tuple[str, ...], system: str, prompt: str, mode: str, retry: dict) -> list[dict]:
+    """The log of one request: each model in turn until one gives a usable answer."""
+    log: list[dict] = []
+    for model in models:
+        try:
+            answer = call_with_retry(backend, model, system, prompt, **retry)
+            log.append(_log(len(log) + 1, model, answer, _usable(answer.get("content") or "", mode)))
+        except Exception as e:  # noqa: BLE001  every error becomes a reason in the log
+            log.append(_log(len(log) + 1, model, None, error_reason(e)))
+        if not log[-1]["failed"]:
+            break
+    return log
+
+
+def attempts(
+    df: DataFrame, text: str, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5, tries: int = 6,
+    to: str = "attempts", concurrency: int = 1, wait: float = 2.0, most: float = 60.0,
+) -> DataFrame:
+    """df with the log of calls of each row, in the rows' order.
+
+    A task has up to `concurrency` calls under way at once, so a cluster has that many for
+    each of its cores; pauses between tries grow from `wait` to `most` seconds.
+    """
+    if concurrency < 1:
+        raise ValueError("concurrency must be positive")
+    system, retry = prompts.system_prompt(mode, fact_limit), {"tries": tries, "wait": wait, "most": most}
     asked = df.withColumn("__prompt", prompts.user_prompt(F.coalesce(F.col(text), F.lit("")), mode, fact_limit))
 
     @F.pandas_udf(ATTEMPTS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for prompt in batch:
-                log = []
-                for model in models:
-                    try:
-                        answer = call_with_retry(backend, model, system, prompt, tries)
-                        log.append(_log(len(log) + 1, model, answer, _usable(answer.get("content") or "", mode)))
-                    except Exception as e:  # noqa: BLE001  every error becomes a reason in the log
-                        log.append(_log(len(log) + 1, model, None, error_reason(e)))
-                    if not log[-1]["failed"]:
-                        break
-                out.append(log)
-            yield pd.Series(out)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                yield pd.Series(list(pool.map(lambda prompt: _attempt(backend, models, system, prompt, mode, retry), batch)), dtype=object)
 
     return asked.withColumn(to, run("__prompt")).drop("__prompt")
 
 
-def neutralize(df: DataFrame, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5, max_jaccard: float = overlap.MAX_JACCARD, text: str = "response_clean", method: str = "openrouter", **limits) -> DataFrame:
+def neutralize(df: DataFrame, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5, max_jaccard: float = overlap.MAX_JACCARD, text: str = "response_clean", method: str = "openrouter", concurrency: int = 1, **limits) -> DataFrame:
     """df with candidate, validation, attempts, usage and the synthetic_* fields. Map-only."""
-    out = attempts(df, text, backend, mode, models, fact_limit)
+    out = attempts(df, text, backend, mode, models, fact_limit, concurrency=concurrency)
     out = out.withColumn("__best", C.best_attempt(F.col("attempts")))
     out = payload.parse(out.withColumn("__content", F.col("__best.content")), "__content", mode, to="candidate", error="__error")
     out = overlap.with_validation(out, text, "candidate", max_jaccard=max_jaccard, **limits)

@@ -17,14 +17,12 @@ def filter_min_chars(df: DataFrame, min_chars: int = 50, text: str = "text") ->
 def dedup_keep_earliest(df: DataFrame, text: str = "text", time: str = "date", key: str = "post_id") -> DataFrame:
     """The earliest row (then smallest key) of each normalised text; rows without a time count last.
 
-    One aggregation with map-side combining finds the row to keep of each text, so a text
-    that holds a third of all rows costs a task no more than another.
+    One aggregation with map-side combining keeps the row of each text, so a text that holds a
+    third of all rows costs a task no more than another, and each text is normalised once.
     """
-    marked = df.withColumn("__h", T.text_hash(F.col(text)))
     order = F.struct(F.col(time).isNull().alias("late"), F.col(time).alias("time"), F.col(key).alias("key"))
-    first = marked.groupBy("__h").agg(F.min(order).alias("__first"))
-    kept = marked.join(first, "__h").where(order.eqNullSafe(F.col("__first")))
-    return kept.dropDuplicates(["__h"]).drop("__h", "__first")
+    kept = df.groupBy(T.text_hash(F.col(text)).alias("__h")).agg(F.min_by(F.struct(*df.columns), order).alias("__row"))
+    return kept.select("__row.*")
 
 
 def sample_recent(df: DataFrame, n: int, by: list[str] | None = None, time: str = "date", key: str = "post_id") -> DataFrame:
@@ -126,6 +124,33 @@ def prefix_limit(df: DataFrame, n: int, position: str) -> DataFrame:
     return df.where(F.col(position) < n)
 
 
+def filter_by_source(df: DataFrame, source: str | None) -> DataFrame:
+    """Records of one input source; all if none is named."""
+    return df.where(F.col("input_source") == source) if source else df
+
+
+def validation_rows(df: DataFrame, source: str | None, fallback: str = "error") -> DataFrame:
+    """filter_by_source, or every row where that leaves none and fallback is `all`; `error` fails instead."""
+    if fallback not in ("all", "error"):
+        raise ValueError(f"unknown fallback {fallback!r}")
+    own = filter_by_source(df, source)
+    if not own.isEmpty():
+        return own
+    if fallback == "error":
+        raise ValueError(f"no validation records of input source {source!r}")
+    return df
+
+
+def usable(df: DataFrame) -> DataFrame:
+    """Synthetic records that are ok."""
+    return df.where(F.col("synthetic_ok"))
+
+
+def has_several(df: DataFrame, column: str) -> bool:
+    """Whether a column has more than one value besides null; stops at the second."""
+    return len(df.where(F.col(column).isNotNull()).select(column).distinct().take(2)) > 1
+
+
 def response_text(df: DataFrame) -> Column:
     return F.coalesce(*[F.col(c) for c in ("response_clean", "response") if c in df.columns], F.lit(""))
 

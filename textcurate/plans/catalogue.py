@@ -209,12 +209,12 @@ def _cascade(strict: bool) -> str:
       when coalesce(nullif(round(jr, 4), 0.0), 1.0) >= 0.5 then 'high_overlap'{more} else null end as why from m),
     validated as (select post_id, style_type, response_clean, case when why is null then c else '' end as neutralized_clean, why is not null as failed, why as failure_reason,
       case when why in ('numbers_not_preserved', 'identity') then null else n end as longest_common_ngram, case when why in ('numbers_not_preserved', 'identity') then null else round(r, 4) end as copy_ngram_ratio,
-      case when why is null then round(jr, 4) end as jaccard, case when why is null then same end as is_identity, case when why is null then num end as numbers_preserved,
+      case when why is null then round(jr, 4) end as jaccard, why is null and same as is_identity, why is null and num as numbers_preserved,
       case when why is null then round(length(c) / greatest(length(response_clean), 1), 4) end as length_ratio,
       case when why is null then {sql.jaccard_bin('jr')} end as jaccard_bin, case when why is null then length(c) / greatest(length(response_clean), 1) < 0.4 end as length_collapse from w)"""
 
 
-_VALID = "post_id, md5(neutralized_clean) as neutralized, failed, failure_reason, coalesce(longest_common_ngram, -1) as longest_common_ngram, copy_ngram_ratio, jaccard, is_identity, numbers_preserved, length_ratio, jaccard_bin, length_collapse"
+_VALID = "post_id, md5(neutralized_clean) as neutralized, failed, failure_reason, coalesce(longest_common_ngram, -1) as longest_common_ngram, copy_ngram_ratio, jaccard, is_identity, numbers_preserved, length_ratio, numbers_preserved as numbers_ok, is_identity as identity, jaccard_bin, length_collapse"
 
 
 def validated(spark, sf_dir, **limits):
@@ -225,7 +225,7 @@ def validated(spark, sf_dir, **limits):
 def _validation_columns(df):
     return df.select(
         "post_id", F.md5("neutralized_clean").alias("neutralized"), "failed", "failure_reason", F.coalesce("longest_common_ngram", F.lit(-1)).alias("longest_common_ngram"), "copy_ngram_ratio", "jaccard", "is_identity", "numbers_preserved",
-        "length_ratio", "quality_flags.jaccard_bin", "quality_flags.length_collapse",
+        "length_ratio", "quality_flags.numbers_ok", "quality_flags.identity", "quality_flags.jaccard_bin", "quality_flags.length_collapse",
     )
 
 
@@ -249,7 +249,7 @@ def _summary(by: str = "") -> str:
 
 @query(f"with {_cascade(False)} {_summary()}")
 def quality_summary(spark, sf_dir):
-    return E.summarize_quality(validated(spark, sf_dir), "failed")
+    return E.summarize_quality(validated(spark, sf_dir, ngrams=False), "failed")
 
 
 @query(
@@ -259,7 +259,7 @@ def quality_summary(spark, sf_dir):
       and coalesce(good_neutral_rate >= 0.70, false) as quality_gate_passed from s"""
 )
 def quality_gate(spark, sf_dir):
-    g = E.quality_gate(E.summarize_quality(validated(spark, sf_dir), "failed", ["style_type"]))
+    g = E.quality_gate(E.summarize_quality(validated(spark, sf_dir, ngrams=False), "failed", ["style_type"]))
     return g.select("style_type", *[f"{m}_pass" for m in E.QUALITY_TARGETS], "quality_gate_passed")
 
 
@@ -268,14 +268,14 @@ def quality_gate(spark, sf_dir):
     round(avg(cast(jaccard < 0.3 as int)), 4) as share_lt_0_3 from validated group by 1"""
 )
 def quality_by_type(spark, sf_dir):
-    return E.report_by_type(validated(spark, sf_dir))
+    return E.report_by_type(validated(spark, sf_dir, ngrams=False))
 
 
 @query(
     f"""with {_cascade(False)} select post_id, jaccard >= 0.3 and jaccard < 0.45 and jaccard is not null as borderline from validated where not failed"""
 )
 def borderline_pairs(spark, sf_dir):
-    return validated(spark, sf_dir).where("not failed").select("post_id", overlap.is_borderline(F.col("jaccard")).alias("borderline"))
+    return validated(spark, sf_dir, ngrams=False).where("not failed").select("post_id", overlap.is_borderline(F.col("jaccard")).alias("borderline"))
 
 
 _STRATA = f"""records as (select doc_id as post_id, lang as style_type, text as response_clean, length(text) as char_len, len(regexp_extract_all(text, chr(10) || chr(10))) + 1 as n_paragraphs,
@@ -487,8 +487,8 @@ def cost_total_rollup(spark, sf_dir):
     from .pipelines import cost_table
 
     d = table(spark, sf_dir, "documents")
-    langs = [r[0] for r in d.select("lang").distinct().orderBy("lang").collect()]
-    return cost_table({x: d.where(F.col("lang") == x).select(F.col("text").alias("response_clean")) for x in langs}, "openai/gpt-4.1-mini").withColumn("cost_usd_estimate", F.round("cost_usd_estimate", 4))
+    out = cost_table(d.select(F.col("lang").alias("path"), F.col("text").alias("response_clean")), "openai/gpt-4.1-mini")
+    return out.drop("n_records").withColumn("cost_usd_estimate", F.round("cost_usd_estimate", 4))
 
 
 _PAYLOAD = """case event_id % 4 when 0 then '```json' || chr(10) || '{"topic": " T' || event_id || '", "facts": ["a ", "", "' || event_type || '"]}' || chr(10) || '```' when 1 then '{"topic": "x", "facts": "no list"}'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cost
@@ -14,10 +14,13 @@ from ..operators import evaluation as E
 from ..operators import generation as G
 from ..operators import posts as P
 from ..operators import sampling as S
+from ..sources import readers, writers
 
 
-def resolve_limit(given: int | None, configured: int | None = None, default: int | None = None) -> int | None:
-    """The first limit that is set; one of 0 or less is an error."""
+def resolve_limit(given: int | None, configured: int | dict[str, int] | None = None, default: int | None = None, style_type: str | None = None) -> int | None:
+    """The first limit that is set (given, configured for the style type or for all, default); one of 0 or less is an error."""
+    if isinstance(configured, dict):
+        configured = configured.get(style_type) if style_type else None
     for n in (given, configured, default):
         if n is not None:
             if n <= 0:
@@ -54,16 +57,14 @@ def generation_summary(records: DataFrame, model: str | None = None) -> DataFram
     return q.crossJoin(u)  # one row each
 
 
-def cost_table(files: dict[str, DataFrame], model: str) -> DataFrame:
-    """Estimated usage and cost of each set of records, and a total row if there are several."""
-    parts = None
-    for name, df in files.items():
-        one = df.select("response_clean", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("usage_prompt_tokens", "long"), ("usage_completion_tokens", "long"), ("cost_usd_estimate", "double")))).withColumn("path", F.lit(name))
-        parts = one if parts is None else parts.unionByName(one)
-    table = cost.summarize(parts, model, True, ["path"])
-    if len(files) > 1:
-        table = table.unionByName(cost.summarize(parts, model, True).withColumn("path", F.lit("TOTAL")))
-    return table.select("path", "usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens", "usage_estimated_records", "cost_usd_estimate")
+def cost_table(records: DataFrame, model: str) -> DataFrame:
+    """Estimated usage and cost of the records of each `path`, and a TOTAL row if there are several: one pass over them."""
+    given = (("usage_prompt_tokens", "long"), ("usage_completion_tokens", "long"), ("cost_usd_estimate", "double"))
+    rows = records.select("path", "response_clean", *(F.col(c) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in given))
+    table = cost.summarize(rows, model, True, ["path"], rollup=True).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0))))  # a row for each path
+    named = F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col("path"))
+    out = table.where("__all = 0 or __n > 2").withColumn("path", named).withColumn("n_records", F.col("usage_actual_records") + F.col("usage_estimated_records"))
+    return out.select("path", "n_records", "usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens", "usage_estimated_records", "cost_usd_estimate")
 
 
 def evaluate(records: DataFrame, generated: DataFrame, classifier: E.StyleClassifier | None = None, encode: Callable | None = None, limit: int | None = None) -> dict[str, Any]:
@@ -82,6 +83,18 @@ def evaluate(records: DataFrame, generated: DataFrame, classifier: E.StyleClassi
     return out
 
 
+def load_or_build_manifest(spark: SparkSession, path: str, records: DataFrame, n_per_type: int, split: str = "val", seed: int = 42) -> DataFrame:
+    """The pilot manifest saved at path; if there is none, a new one, saved if it has rows."""
+    have = readers.read_optional_lines(spark, path)
+    if have is not None:
+        return have
+    manifest = S.pilot_manifest(records, n_per_type, split, seed)
+    if manifest.isEmpty():
+        return manifest
+    writers.write_jsonl(manifest, path)
+    return readers.read_jsonl(spark, path, manifest.schema)
+
+
 def pilot(spark: SparkSession, records: DataFrame, backend: Callable, n_per_type: int, seed: int = 42) -> DataFrame:
     """Two-pass briefs of the pilot manifest's rows."""
     return G.two_pass_brief(S.pilot_manifest(records, n_per_type, seed=seed), backend)

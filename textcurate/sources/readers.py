@@ -75,6 +75,20 @@ def read_optional(spark: SparkSession, path: str, kind: str = "json") -> DataFra
         return None
 
 
+def read_optional_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """read_jsonl, or None if the file isn't there."""
+    try:
+        return read_jsonl(spark, path, schema)
+    except AnalysisException:
+        return None
+
+
+def read_present(spark: SparkSession, paths: list[str], schema: str | None = None) -> dict[str, DataFrame]:
+    """The JSON-lines files that are there and have rows, by path."""
+    found = {p: read_optional_lines(spark, p, schema) for p in paths}
+    return {p: df for p, df in found.items() if df is not None and not df.isEmpty()}
+
+
 def read_caches(spark: SparkSession, paths: list[str], keys: list[str], schema: str | None = None) -> DataFrame | None:
     """Cached rows of several JSON-lines files: of equal keys the later file's, then the later line's."""
     parts = []

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import read_json, write_json
 from .readers import BLOCK
 
 
@@ -39,19 +38,36 @@ def write_blocks(df: DataFrame, path: str, manifest: dict[str, Any] | None = Non
         write_json(f"{path}.manifest.json", manifest)
 
 
-def write_json(path: str, value: Any) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2, default=str)
-
-
 def merge_report(path: str, meta: dict[str, Any], by_type: dict[str, Any]) -> dict[str, Any]:
     """The report with _meta and the given types replaced and other types kept."""
-    report: dict[str, Any] = {}
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            report = json.load(f)
-    report.update(by_type)
-    report["_meta"] = meta
+    report: dict[str, Any] = {**(read_json(path) or {}), **by_type, "_meta": meta}
+    write_json(path, report)
+    return report
+
+
+def write_generation_report(path: str, meta: dict[str, Any], summaries: dict[str, DataFrame]) -> dict[str, Any]:
+    """A report of meta and, for each file, its one-row summary."""
+    report = {"meta": meta, "files": [{"path": name, **df.first().asDict(True)} for name, df in summaries.items()]}
     write_json(path, report)
     return report
+
+
+def write_evaluation(path: str, results: dict[str, dict[str, Any]], lengths: dict[str, DataFrame] | None = None, cosines: dict[str, DataFrame] | None = None) -> None:
+    """eval_summary.json, cross_type_confusion.json and tables of lengths and cosines of each style type."""
+    for name, tables in (("length", lengths or {}), ("cosine", cosines or {})):
+        for style, df in tables.items():
+            write_csv(df, f"{path}/{name}_{style}.csv")
+    write_json(f"{path}/eval_summary.json", {style: {k: v for k, v in out.items() if k != "confusion"} for style, out in results.items()})
+    confusion = {style: out["confusion"] for style, out in results.items() if "confusion" in out}
+    if confusion:
+        write_json(f"{path}/cross_type_confusion.json", confusion)
+
+
+def tsv(df: DataFrame, columns: list[str]) -> str:
+    """A small result as tab-separated lines under a head; columns that it lacks are empty."""
+    rows = [r.asDict() for r in df.collect()]
+    return "\n".join("\t".join(line) for line in [columns, *([str(r.get(c, "")) for c in columns] for r in rows)])
+
+
+#: The columns of the cost listing.
+COST_COLUMNS = ["path", "n_records", "usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens", "cost_usd_estimate"]
