@@ -210,7 +210,9 @@ def test_automaton_is_longest_match(pattern):
         assert a.longest(t.encode(), 0, 8) == want
 
 
-def test_op6_decontamination(spark):
+@pytest.mark.parametrize("most", [decontaminate.MAX_LITERALS, 0])
+def test_op6_decontamination(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MAX_LITERALS", most)  # with 0, shingles are joined
     item = sentence(30)
     w = item.split(" ")
     bench = spark.createDataFrame([(1, item), (2, "solo"), (3, None), (4, "..."), (5, " ".join(w[5:20])), (5, "two words")], "item_id long, text string")
@@ -236,7 +238,7 @@ def test_op6_decontamination(spark):
     assert decontaminate.decontaminate(frame(spark, []), bench).collect() == [] and decontaminate.decontaminate(frame(spark, rows[:2]), bench.limit(0)).count() == 2
 
 
-def test_op7_top_k(spark):
+def test_op7_top_k(spark, monkeypatch):
     g = np.random.default_rng(5)
     v = [(i, [float(x) for x in g.normal(0, 0.2, 8)]) for i in range(260)] + [(i, [0.1] * 8) for i in range(300, 340)]
     v += [(1000, None), (1001, [0.1, None] * 4), (1002, [float("nan")] * 8), (1050, [float("inf")] * 8)]
@@ -244,6 +246,10 @@ def test_op7_top_k(spark):
     q = topk.quantise(df)
     rows = {r["id"]: np.array(r["v"]) for r in q.collect()}
     assert len(rows) == 300
+    monkeypatch.setattr(topk, "FILE", 2)
+    got = topk.top_k(q, q.where("id % 50 = 0"), 5).collect()
+    want = [(a, r, i, -s) for a in rows if a % 50 == 0 for r, (s, i) in enumerate(sorted((-int(rows[a] @ x), i) for i, x in rows.items() if i != a)[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
     for a in (0, 50, 300):
         mine = [r for r in topk.top_k(q, q.where(F.col("id") == a), 5).orderBy("rank").collect()]
         want = sorted(((-int(rows[a] @ x), i) for i, x in rows.items() if i != a))[:5]
@@ -251,6 +257,66 @@ def test_op7_top_k(spark):
     assert topk.top_k(q.limit(3), q.limit(1), 5).count() == 2 and topk.top_k(q, q.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 200, 1 << 40])
+def test_impact_index_is_exact(scale):
+    g = np.random.default_rng(scale)
+    v = (g.normal(0, 1, (3000, 16)) * scale).astype(np.int64)
+    v[100:200] = v[0]
+    ids = g.permutation(3000) - 5
+    q = v[[0, 5, 100, 2999]]
+    index = topk.ImpactIndex(ids, v)
+    skip = np.array([ids[0], -99, ids[150], ids[2999]])
+    for least in (np.full(4, np.iinfo(np.int64).min), np.sort(v @ q.T, 0)[-3] if scale < 1 << 40 else np.full(4, np.iinfo(np.int64).min)):
+        for row, own, bound, (s, i) in zip(q, skip, least, index.search(q, 5, skip, least)):
+            with np.errstate(over="ignore"):
+                want = sorted((-int(x @ row), int(k)) for k, x in zip(ids, v) if k != own)[:5]
+            keep = [x for x in want if -x[0] >= bound]
+            assert [(-int(a), int(b)) for a, b in zip(s, i)][: len(keep)] == keep
+
+
+def test_op7_blocks_and_repeated_ids(spark, monkeypatch):
+    g = np.random.default_rng(8)
+    v = [(i, [float(x) for x in g.normal(0, 0.2, 6)]) for i in range(20_000)] + [(7, [0.5] * 6), (7, [0.5] * 6), (8, [0.1] * 3)]
+    q = topk.quantise(spark.createDataFrame(v, "vec_id long, embedding array<float>")).coalesce(1)  # more than a block, fewer than HELD
+    mine = topk.top_k(q, q.where("id in (50, 100) and size(v) = 6"), 5).collect()
+    rows = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in v if len(x) == 6]
+    for a in (50, 100):
+        want = sorted((-int(rows[a][1] @ x), i) for i, x in rows if i != a)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(mine, key=lambda r: r["rank"]) if r["query_id"] == a] == want
+
+
+def test_decoder_finds_the_best_path():
+    counts = toxicity.trigram_counts(np.frombuffer((" the idiot vile stupid apple " * 30 + "boot success committee ").encode(), np.uint8))
+    d = toxicity.Decoder(counts)
+
+    def paths(word):
+        """(cost of signs, text) of every path through the lattice."""
+        out, before = [(0.0, "")], ""
+        for ch in word:
+            ways = [(ch, 0.0)] if ch.isalpha() else [(c, toxicity.COST_LEET) for c in toxicity.LEET.get(ch, "")]
+            ways += [("", toxicity.COST_GAP)] if ch in toxicity.GAPS else []
+            ways += [("", toxicity.COST_REPEAT)] if ch == before else []
+            out = [(cost + w, text + c) for cost, text in out for c, w in (ways or [("", 2.0)])]
+            before = ch
+        return out
+
+    def cost(text):
+        k = [0, 0, *(ord(c) - 96 for c in text), 0]
+        return sum(d.cost[a][b][c] for a, b, c in zip(k, k[1:], k[2:]))
+
+    for word in ("v1le", "1d10t", "ssttuuppiidd", "v.i.l.e", "appl3", "st*p1d", "b00t", "vvv1lle"):
+        best = min((w + cost(t), t) for w, t in paths(word))
+        got = d.decode(word)
+        assert min(w + cost(t) for w, t in paths(word) if t == got) == pytest.approx(best[0])
+    assert d.decode("ssttuuppiidd") == "stupid" and d.decode("v1le") == "vile"
+
+
+def test_tricky_words_are_found():
+    buf = b"a plain line of words\nv 1 l  e then ssttuuppiidd and 1diot fuuun at 12 x\ny z"
+    found = [w for _, w in toxicity.tricky_words(np.frombuffer(buf, np.uint8))]
+    assert set(found) == {"v1le", "ssttuuppiidd", "1diot", "fuuun", "yz"}
+
+
 def test_op8_toxicity(spark):
     rows = [(i, sentence(30) + (" vile idiotic" if i % 4 == 0 else "")) for i in range(600)] + [(900, None), (901, ""), (None, "vile")]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
@@ -279,18 +345,34 @@ def test_op10_pieces(spark):
     assert all(r["round_trip"] for r in t.report(frame(spark, rows)).collect()) and t.report(frame(spark, [])).count() == 0
 
 
+def pipeline_tables(spark, folder, rows, labels, items):
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, doc string")
+    d.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    good = sentence(80)
-    item = sentence(20)
-    rows = [(i, sentence(50)) for i in range(80)] + [(100, good), (101, good), (102, edited(good, 1)), (103, sentence(10) + " " + item), (104, sentence(20) + " password=abcdefghijklmnop"), (105, None), (106, "")]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert out == {i for i, _ in rows} - {101, 102, 103}
+    good, item, twice = sentence(80), sentence(20), sentence(60)
+    rows = [(i, sentence(50)) for i in range(300)] + [(i, sentence(30) + " vile idiotic " + sentence(10)) for i in range(300, 400)]
+    special = [(500, good), (501, good), (502, edited(good, 1)), (503, sentence(10) + " " + item), (504, sentence(20) + " password=abcdefghijklmnop"), (505, None), (505, None), (506, "")]
+    special += [(None, good), (None, twice), (None, twice), (507, sentence(40)), (507, sentence(40)), (500, sentence(40)), (None, sentence(40)), (508, sentence(20) + " v1le and v i l e " + sentence(20) + " id1otic")]
+    labels = [(i, 1, int(i >= 300)) for i in range(400)]
+    pipeline_tables(spark, tmp_path, rows + special, labels, [(1, item)])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # toxic ones go; of good's class the smallest id stays; of the equal rows of null id one stays
+    want = collections.Counter([*range(300), 500, 500, 504, 505, 505, 506, 507, 507, None, None])
+    assert collections.Counter(r["doc_id"] for r in out) == want and all(r["round_trip"] for r in out)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
-    assert "password" not in corpus_pipeline.secrets(spark, docs, str(tmp_path)).where("doc_id = 104").first()["text"]
+    assert "password" not in corpus_pipeline.secrets(spark, docs, str(tmp_path)).where("doc_id = 504").first()["text"]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

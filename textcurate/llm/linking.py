@@ -44,12 +44,12 @@ def join_hot(rows: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
     Rows of a key with more than a HOT-th of all rows (and LEAST_HOT) meet it by broadcast
     where they are, so that no task has to take them all; fewer than HOT keys are broadcast.
     """
-    of = materialize(of, name)
+    of = materialize(of, name, True)
     total, most = of.agg(F.sum("times"), F.max("times")).first()
     bound = max((total or 0) // HOT, LEAST_HOT)
     if not most or most <= bound:
         return rows.join(of.drop("times"), key)
-    hot = F.broadcast(materialize(of.where(F.col("times") > bound).drop("times"), name + "-hot"))
+    hot = F.broadcast(materialize(of.where(F.col("times") > bound).drop("times"), name + "-hot", True))
     others = rows.join(hot.select(key), key, "left_anti").join(of.where(F.col("times") <= bound).drop("times"), key)
     return rows.join(hot, key).unionByName(others)
 
@@ -63,7 +63,7 @@ def shared_cells(rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) whose sets have a Jaccard similarity of num/den or more."""
+    """The (a, b, ka, kb) whose sets a and b have a Jaccard similarity of num/den or more."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"), F.col("counts").alias("ca"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"), F.col("counts").alias("cb"))
     joined = pairs.join(one, "a").join(two, "b").where(f"{den}L * least(na, nb) >= {num}L * greatest(na, nb)")
@@ -79,30 +79,39 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                         continue
                 if may_link(np.int64(overlap(x, y)), np.int64(len(x)), np.int64(len(y)), num, den):
                     keep.append(i)
-            yield t.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield t.select(["a", "b", "ka", "kb"]).take(pa.array(keep, pa.int64()))
 
-    return joined.select("a", "b", "ma", "mb", "ca", "cb").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "ka", "kb", "ma", "mb", "ca", "cb").mapInArrow(check, "a long, b long, ka long, kb long")
+
+
+def merged(found: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class, new class) of the classes ka and kb that links join, (node, component) of all ids in a class with another)."""
+    new = materialize(connected_components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b"))), "merges", True)
+    if found is None:
+        return new, new
+    step = new.select(F.col("node").alias("old"), F.col("component").alias("to"))
+    moved = found.join(step, found["component"] == F.col("old"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    return new, materialize(moved.unionByName(new.join(found.select("node"), "node", "left_anti")), "found", True)
 
 
 def classes(members: DataFrame, sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """(node, component) of the ids that link with another; members has (cell, id, n), n being the cell's size."""
     known = members.select("cell", "id", "n", F.col("id").alias("class"))
-    links = found = None
+    found = None
     for turn in range(PIVOTS):
         # the pivot of a cell: the member of the smallest hash, another one each turn
         pivot = F.min_by(F.struct(F.col("id").alias("p_id"), F.col("class").alias("p_class")), F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")).alias("p")
         heads = known.groupBy("cell").agg(pivot, F.count("*").alias("times")).select("cell", "times", "p.*")
         apart = join_hot(known, heads, "cell", "pivots").where("class <> p_class")
-        stars = apart.select(F.least("p_id", "id").alias("a"), F.greatest("p_id", "id").alias("b")).distinct()
-        new = materialize(verified(stars, sets, num, den), "links")
-        links = new if links is None else links.unionByName(new)
-        if turn == 0 or not new.isEmpty():
-            found = connected_components(links)
-            known = known.drop("class").join(found, known["id"] == found["node"], "left").select("cell", "id", "n", F.coalesce("component", "id").alias("class"))
+        stars = apart.select(F.col("p_id").alias("a"), F.col("id").alias("b"), F.col("p_class").alias("ka"), F.col("class").alias("kb")).distinct()
+        links = materialize(verified(stars, sets, num, den), "links", True)
+        if not links.isEmpty():
+            new, found = merged(found, links)
+            known = known.join(new, known["class"] == new["node"], "left").select("cell", "id", "n", F.coalesce("component", "class").alias("class"))
         open_cells = known.groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("cell", "times")
-        known = materialize(join_hot(known, open_cells, "cell", "open"), "open")
+        known = materialize(join_hot(known, open_cells, "cell", "open-cells"), "open", True)
         if known.isEmpty():
-            return found
+            return found if found is not None else _nothing(members)
     rest = known
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -134,16 +143,21 @@ def classes(members: DataFrame, sets: DataFrame, num: int = 4, den: int = 5) ->
                 elif cls[k] not in met and may_link(np.int64(overlap(whole[q], whole[k])), np.int64(sizes[q]), np.int64(sizes[k]), num, den):
                     met.add(cls[k])
                     keep.append(k)
-            hit = np.array(keep, np.int64)
-            a.append(np.full(len(hit), ids[q]))
-            b.append(ids[hit])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    more = materialize(rest.groupBy("cell", "i", "j").applyInArrow(search, "a long, b long").distinct(), "pairs")
-    if more.isEmpty():
-        return found
-    extra = materialize(verified(more, sets, num, den), "links")
-    if extra.isEmpty():
-        return found
-    return connected_components(links.unionByName(extra))
+            a += [q] * len(keep)
+            b += keep
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": ids[a], "b": ids[b], "ka": cls[a], "kb": cls[b]})
+
+    pair = "a long, b long, ka long, kb long"
+    pairs = rest.groupBy("cell", "i", "j").applyInArrow(search, pair)
+    one = F.col("a") < F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(one, F.col("ka")).otherwise(F.col("kb")).alias("ka"), F.when(one, F.col("kb")).otherwise(F.col("ka")).alias("kb"))
+    more = materialize(pairs.distinct(), "pairs", True)
+    links = materialize(verified(more, sets, num, den), "links", True)
+    if links.isEmpty():
+        return found if found is not None else _nothing(members)
+    return merged(found, links)[1]
+
+
+def _nothing(rows: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame([], "node long, component long")

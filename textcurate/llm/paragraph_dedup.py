@@ -167,7 +167,7 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
 
     def read(batches_):
         for b in batches_:
-            for first, n, u in units(b.column(2).to_pylist(), min_words):
+            for first, n, u in units(b.column(2), min_words):
                 h, at = u.shingles()
                 block_doc, block_at, blocks = u.blocks()
                 ids = one = np.empty(0, np.int64)
@@ -226,7 +226,7 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
     members = shared_cells(found.where("kind = 2").select("cell", "id"))
 
     first = F.min(F.struct("doc_id", "doc", "at"))
-    wanted = places.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(first.alias("f"))
+    wanted = places.groupBy("id").agg(first.alias("f")).join(members.select("id").distinct(), "id", "left_semi")
     wanted = write_values(wanted.select(F.col("f.doc").alias("key"), F.col("f.at").cast("long").alias("value")), "wanted")
 
     def build(batches_):
@@ -237,7 +237,7 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
             if not own:
                 continue
             out, size = [], 0
-            for t, n, u in units(b.column(2).take(pa.array(own)).to_pylist(), min_words):
+            for t, n, u in units(b.column(2).take(pa.array(own)), min_words):
                 h, at = u.shingles()
                 want = np.isin(u.line_doc.astype(np.int64) << 40 | u.line, np.concatenate([i << 40 | lines[own[t + i]] for i in range(n)]))
                 for k in np.flatnonzero(want):

@@ -28,11 +28,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textcurate/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    small: a table of few rows for its input; it gets four files a core at most.
+    """
     spark = df.sparkSession
     path = work_dir(spark, name)
     schema = df.schema
+    if small:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -58,35 +63,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the shared folder. Self links, repeated links and an empty table are allowed.
     """
     both = edges.select("a", "b").where("a is not null and b is not null")
-    live = materialize(
-        both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges"
-    )
-    labels = materialize(
-        both.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "cc-labels"
-    )
+    live = materialize(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges", True)
+    labels = both.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     while not live.isEmpty():
-        up = live.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("p"))
-        parent = materialize(up, "cc-parent")
+        parent = materialize(live.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("p")), "cc-parent", True)
         while True:
-            q = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            parent = materialize(
-                parent.join(q, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")),
-                "cc-parent",
-            )
-            moved = not parent.where("moved").isEmpty()
-            parent = parent.select("c", "p")
-            if not moved:
+            one, two = (parent.select(F.col("c").alias(f"c{k}"), F.col("p").alias(f"p{k}")) for k in (1, 2))
+            if parent.join(one, F.col("p") == F.col("c1"), "left_semi").isEmpty():
                 break
+            far = parent.join(one, F.col("p") == F.col("c1"), "left").join(two, F.col("p1") == F.col("c2"), "left")
+            parent = materialize(far.select("c", F.coalesce("p2", "p1", "p").alias("p")), "cc-parent", True)
         labels = materialize(
-            labels.join(parent, labels.component == parent.c, "left").select("node", F.coalesce("p", "component").alias("component")),
-            "cc-labels",
+            labels.join(parent, labels.component == parent.c, "left").select("node", F.coalesce("p", "component").alias("component")), "cc-labels", True
         )
         pa = parent.select(F.col("c").alias("a"), F.col("p").alias("pa"))
         pb = parent.select(F.col("c").alias("b"), F.col("p").alias("pb"))
-        moved = live.join(pa, "a", "left").join(pb, "b", "left").select(
-            F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")
-        )
-        live = materialize(
-            moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges"
-        )
+        moved = live.join(pa, "a", "left").join(pb, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+        live = materialize(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges", True)
     return labels
