@@ -13,26 +13,27 @@ from textcurate.llm.runtime import read_table, work_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go. The classifier learns from this stage's own rows."""
+    """Documents that score 0.7 or more go. The classifier learns from this stage's own rows.
+
+    Null texts count as empty; without labels of both classes no document goes.
+    """
     from textcurate.llm.toxicity import reject, train
 
     return reject(docs, train(docs, read_table(spark, sf_dir, "labels")), 0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that Jaccard links of 0.8 hold together, the document of the smallest id stays.
+    """Of each group that Jaccard links of 0.8 hold together, the row of the smallest (id, text hash) stays.
 
-    Rows without an id and texts without words are linked with nothing and stay; of several
-    rows with the group's smallest id each stays.
+    Null ids come last and equal rows are one; texts without words are linked with nothing and stay.
     """
-    from textcurate.llm.jaccard_join import classes_of
+    from textcurate.llm.jaccard_join import drop_near_copies
 
-    found = classes_of(docs).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go. Null and empty texts and an empty benchmark hit nothing."""
     from textcurate.llm.decontaminate import contaminated_keys
 
     found = contaminated_keys(docs, read_table(spark, sf_dir, "benchmark"))
@@ -40,14 +41,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; spans of secrets become a mark and n_chars follows."""
+    """All documents stay; spans of secrets become a mark and n_chars follows. Null texts stay null; no rows give none."""
     from textcurate.llm.secrets import redact
 
     return redact(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, n_decoded, round_trip: the encoded corpus, decoded for proof."""
+    """doc_id, n_tokens, ids_sha256, n_decoded, round_trip: the encoded corpus, decoded for proof.
+
+    A row for each row; null texts have no tokens; no rows give none.
+    """
     from textcurate.llm.pieces import Tokenizer
 
     return Tokenizer(spark).report(docs)
