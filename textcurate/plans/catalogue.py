@@ -16,8 +16,10 @@ from ..functions import cost, overlap, payload, prompts
 from ..functions import text as T
 from ..operators import cache as C
 from ..operators import evaluation as E
+from ..operators import generation as G
 from ..operators import posts as P
 from ..operators import sampling as S
+from ..sources import readers
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -676,3 +678,155 @@ def baseline_vs_tuned(spark, sf_dir):
 def distributed_ranks(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return P.ranks(li, ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).select("l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"), "total")
+
+
+# Exports, synthetic records, prompts and answers.
+
+
+@query(
+    """select conv_id as post_id, turn, 'conv' || conv_id as channel, case when turn % 3 = 0 then timestamp '2024-01-01 10:00:00' + to_seconds(turn) end as date,
+    md5(case turn % 4 when 0 then text when 1 then 'a ' || text || ' c' when 2 then '' else '[' || text end) as text from conversations where role <> 'system'"""
+)
+def export_messages(spark, sf_dir):
+    """Conversations as message exports (strings, lists of parts, no text; bad dates; service messages), parsed again."""
+    own = F.to_json(F.struct("text"))  # {"text":"..."}
+    quoted = F.substr(own, F.lit(9), F.length(own) - 9)
+    k = F.col("turn") % 4
+    text = F.when(k == 0, quoted).when(k == 1, F.concat(F.lit('["a ",'), own, F.lit(',{"type":"x"}," c"]'))).when(k == 2, F.lit('null')).otherwise(F.concat(F.lit('"['), F.substr(quoted, F.lit(2))))
+    date = F.when(F.col("turn") % 3 == 0, F.date_format(F.timestamp_seconds(F.lit(1704103200) + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss")).otherwise("no date")
+    kind = F.when(F.col("role") == "system", "service").otherwise("message")
+    message = F.concat(F.lit('{"id":'), F.col("conv_id") * 100 + F.col("turn"), F.lit(',"type":"'), kind, F.lit('","date":"'), date, F.lit('"'), F.when(k == 2, "").otherwise(F.concat(F.lit(',"text":'), text)), F.lit("}"))
+    docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat_ws(",", F.collect_list(message)).alias("m"))
+    docs = docs.select(F.concat(F.lit('{"name":"conv'), F.col("conv_id"), F.lit('","messages":['), "m", F.lit("]}")).alias("value"), F.lit("/x/y.json").alias("file"))
+    m = readers.parse_export(docs)
+    return m.select(F.floor(F.col("post_id") / 100).cast("long").alias("post_id"), F.pmod("post_id", F.lit(100)).cast("int").alias("turn"), "channel", "date", F.md5("text").alias("text"))
+
+
+@query(
+    f"""with {_PAIRS}, t as (select *, not {sql.numbers_preserved('response_clean', 'candidate')} as lost, {sql.jaccard('response_clean', 'candidate')} as j from pairs), f as (select *, candidate = '' or lost as failed from t)
+    select post_id, md5(case when failed then '' else candidate end) as synthetic_input, not failed as synthetic_ok, case when failed then 'heuristic' else 'openrouter_synthetic' end as input_source,
+    case when candidate = '' then 'empty_after_clean' when lost then 'numbers_not_preserved' end as failure_reason, case when not failed then round(j, 4) end as jaccard,
+    not failed and {sql.strip('candidate')} = {sql.strip('response_clean')} as is_identity, not failed as numbers_preserved,
+    case when not failed then round(length(candidate) / greatest(length(response_clean), 1), 4) end as length_ratio, case when not failed then {sql.jaccard_bin('j')} end as jaccard_bin from f"""
+)
+def enrich_records(spark, sf_dir):
+    rows = rewritten(spark, sf_dir).withColumns({"input": F.lit("x"), "input_source": F.lit("heuristic")})
+    out = P.enrich(rows, "candidate", "openrouter", "m", F.lit("2024-01-01T00:00:00Z"))
+    return out.select(
+        "post_id", F.md5("synthetic_input").alias("synthetic_input"), "synthetic_ok", "input_source", "failure_reason", "jaccard", "is_identity", "numbers_preserved", "length_ratio", "quality_flags.jaccard_bin"
+    )
+
+
+@query("select conv_id, turn, md5(coalesce(case when turn % 2 = 0 then text end, case when turn % 3 = 0 then role end, '')) as said from conversations")
+def response_text(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumns({"response_clean": F.when(F.col("turn") % 2 == 0, F.col("text")), "response": F.when(F.col("turn") % 3 == 0, F.col("role"))})
+    return c.select("conv_id", "turn", F.md5(P.response_text(c)).alias("said"))
+
+
+@query("select lang, source, doc_id, n_chars from documents qualify row_number() over (partition by lang, source order by n_chars, doc_id) = 1")
+def first_of_each_key(spark, sf_dir):
+    return C.first_wins(table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], ["n_chars", "doc_id"])
+
+
+def _rank(why: str, position: int) -> str:
+    said = f"({why} is null or {why} not in ('numbers_not_preserved', 'identity'))"
+    return (
+        f"{{'a': {why} is not null, 'b': case when {why} is null then coalesce(nullif(round(jr, 4), 0.0), 1.0) else 1.0 end, 'c': case when {said} then coalesce(nullif(round(r, 4), 0.0), 1.0) else 1.0 end, "
+        f"'d': case when {said} then n else 0 end, 'e': {position}}}"
+    )
+
+
+@query(
+    f"""with {_cascade(False)}, both_ as (select post_id, jr, n, r, why as base, case when why is not null then why when n >= 5 then 'copied_span' when r >= 0.25 then 'copied_4gram_ratio' end as strict from w)
+    select post_id, (base is null and round(jr, 4) >= 0.3 and round(jr, 4) < 0.45) or coalesce(strict in ('copied_span', 'copied_4gram_ratio'), false) as postedit,
+    case when {_rank('base', 1)} < {_rank('strict', 0)} then base else strict end as better from both_"""
+)
+def postedit_choice(spark, sf_dir):
+    v = overlap.with_validation(overlap.with_validation(rewritten(spark, sf_dir), "response_clean", "candidate", to="base"), "response_clean", "candidate", to="strict", **overlap.STRICT)
+    return v.select("post_id", overlap.should_postedit(F.col("base"), F.col("strict")).alias("postedit"), overlap.better_validation(F.col("strict"), F.col("base"))["failure_reason"].alias("better"))
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query(" union all ".join(f"select item_id, '{m}' as mode, md5(replace({_sql_text(t.replace('{fact_limit}', '4'))}, '{{text}}', text)) as prompt from benchmark" for m, t in prompts.USER_TEMPLATES.items()))
+def user_prompts(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    each = [b.select("item_id", F.lit(m).alias("mode"), F.md5(prompts.user_prompt(F.col("text"), m, 4)).alias("prompt")) for m in prompts.modes()]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+_FACTS = f"list_filter(list_transform({sql.sentences('text')}[2:5], lambda f: {sql.strip('f')}), lambda f: f <> '')"
+_NUMS = f"list_sort({sql.numbers('text')})"
+
+
+@query(
+    f"""with d as (select doc_id, coalesce({sql.sentences('text')}[1], '') as topic, {_NUMS} as nums, {_FACTS} as facts, lang, source from documents)
+    select doc_id, md5(array_to_string(list_filter([case when topic <> '' then 'Topic: ' || topic end, 'Entities:' || chr(10) || '- ' || lang || chr(10) || '- ' || source,
+      case when len(nums) > 0 then 'Numbers:' || chr(10) || array_to_string(list_transform(nums, lambda x: '- ' || x), chr(10)) end,
+      case when len(facts) > 0 then 'Facts:' || chr(10) || array_to_string(list_transform(facts, lambda x: '- ' || x), chr(10)) end], lambda x: x is not null), chr(10))) as brief from d"""
+)
+def answers_of_documents(spark, sf_dir):
+    """Documents as fenced JSON answers of four fields, with blanks and empty entries, parsed into briefs."""
+    s = T.sentences(F.col("text"))
+    facts = F.transform(F.slice(s, F.lit(2), F.lit(4)), lambda f: F.concat(F.lit("  "), f, F.lit(" ")))
+    answer = F.struct(
+        F.coalesce(F.try_element_at(s, F.lit(1)), F.lit("")).alias("topic"), F.array("lang", F.lit(" "), F.concat(F.lit(" "), "source")).alias("entities"),
+        F.array_sort(T.numbers(F.col("text"))).alias("numbers"), F.concat(facts, F.array(F.lit(""))).alias("facts"),
+    )
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("```json\n"), F.to_json(answer), F.lit("\n```")).alias("content"))
+    return payload.parse(d, "content", "brief_v3").select("doc_id", F.md5("parsed").alias("brief"))
+
+
+@query("select event_id, case when event_id % 3 = 2 then event_id else cast(floor(value) as bigint) + 32 end as total from events")
+def usage_totals(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    given = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 2, F.col("event_id")).cast("long")
+    return e.select("event_id", cost.usage_total(F.floor("value").cast("long"), F.lit(32).cast("long"), given).alias("total"))
+
+
+@query("select item_id as pos, md5(text || '|' || substr(text, 1, 5)) as both_texts from benchmark")
+def zipped_by_position(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), "text")
+    z = E.zip_by_position(b, b.select("pos", F.substring("text", 1, 5).alias("generated")))
+    return z.select("pos", F.md5(F.concat("text", F.lit("|"), "generated")).alias("both_texts"))
+
+
+@query("select doc_id, 'openrouter_synthetic' as input_source from labels where quality = 1")
+def records_of_source(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("synthetic_ok"), F.lit("heuristic").alias("input_source"))
+    return P.filter_by_source(P.usable(C.relabel(lab, "openrouter")), "openrouter_synthetic").select("doc_id", "input_source")
+
+
+def _echo(model: str, system: str, prompt: str) -> dict:
+    """A text backend that only changes an article; the primary model fails on every seventh length, and lengths that divide by 11 are refused."""
+    import json
+
+    text = prompt.split("<source_text>\n", 1)[1].rsplit("\n</source_text>", 1)[0]
+    if len(text) % 11 == 0:
+        raise G.Rejected
+    if len(text) % 7 == 0 and model == G.PRIMARY:
+        return {"content": "not json", "prompt_tokens": 10, "completion_tokens": 5}
+    return {"content": json.dumps({"neutral_text": text.replace(" the ", " a ")}), "prompt_tokens": 10, "completion_tokens": 5}
+
+
+_ECHO = _cascade(False).replace(_PAIRS, f"pairs as (select doc_id as post_id, lang as style_type, text as response_clean, {sql.strip(chr(39).join(['replace(text, ', ' the ', ', ', ' a ', ')']))} as candidate from documents)")
+
+
+@query(
+    f"""with {_ECHO}, e as (select v.*, length(response_clean) % 11 = 0 as refused, length(response_clean) % 7 = 0 as again from validated v)
+    select post_id, case when refused then 2 when again then 2 else 1 end as n_attempts, refused or again as used_fallback, case when refused then 0 when again then 30 else 15 end as tokens,
+    case when refused then 'provider_rejected:Rejected' else failure_reason end as failure_reason, not refused and failure_reason is null as synthetic_ok,
+    md5(case when refused then '' else neutralized_clean end) as synthetic_input, case when not refused then jaccard end as jaccard from e"""
+)
+def neutralized_records(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("response_clean"))
+    out = G.neutralize(d, _echo, concurrency=4)
+    return out.select(
+        "post_id", F.size("attempts").alias("n_attempts"), "usage.used_fallback", F.col("usage.usage_total_tokens").alias("tokens"), "failure_reason", "synthetic_ok",
+        F.md5("synthetic_input").alias("synthetic_input"), "jaccard",
+    )

@@ -20,8 +20,16 @@ def flatten_text(v: Column) -> Column:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """posts (post_id, date, text, channel) of JSON exports: one document a file, its `messages` of type message."""
-    docs = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), F.input_file_name().alias("f"))
-    name = F.coalesce(F.try_variant_get("v", "$.name", "string"), F.element_at(F.split("f", "/"), -2))
+    return parse_export(spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")))
+
+
+def parse_export(documents: DataFrame) -> DataFrame:
+    """read_export of documents (value: JSON, file: path); a document without a name is called after its folder.
+
+    Messages without a text have an empty one; a date that can't be read is null.
+    """
+    docs = documents.select(F.parse_json("value").alias("v"), F.col("file").alias("f"))
+    name = F.coalesce(F.try_variant_get("v", "$.name", "string"), F.try_element_at(F.split("f", "/"), F.lit(-2)))
     docs = docs.select("v", name.alias("channel"))
     each = docs.select("channel", F.explode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("m"))
     kept = each.where(F.try_variant_get("m", "$.type", "string") == "message")
