@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import fuzzy, overlap
 from ..functions import text as T
@@ -133,63 +138,86 @@ def embed(df: DataFrame, text: str, encode=None, to: str = "embedding", dims: in
     return df.withColumn(to, run(text))
 
 
-def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
-    """Character n-grams inside word boundaries: words padded by one blank on either side; a short padded word once."""
-    padded = F.transform(F.filter(F.split(F.lower(text), T.BLANKS, -1), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-    def of(n: int) -> Column:
-        return F.flatten(
-            F.transform(padded, lambda w: F.when(F.length(w) > n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).when(F.lit(n == low) | (F.length(w) == n), F.array(w)).otherwise(F.array().cast("array<string>")))
-        )
-
-    return F.concat(*(of(n) for n in range(low, high + 1)))
+@lru_cache(100_000)
+def word_grams(word: str, low: int = 2, high: int = 4) -> tuple[str, ...]:
+    """Character n-grams of a word padded by one blank on either side; where n reaches its length, the padded word ends them."""
+    padded, out = f" {word} ", []
+    for n in range(low, high + 1):
+        if len(padded) <= n:
+            out.append(padded)
+            break
+        out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return tuple(out)
+
+
+def text_grams(text: str | None) -> Counter:
+    """How often a text holds each n-gram of its lower-case words."""
+    out: Counter = Counter()
+    for word, n in Counter((text or "").lower().split()).items():
+        for g in word_grams(word):
+            out[g] += n
+    return out
 
 
 class StyleClassifier:
-    """TF-IDF of character n-grams (sublinear counts, smoothed idf, L2) and a logistic regression."""
+    """TF-IDF of character n-grams (sublinear counts, smoothed idf, L2) and a logistic regression.
+
+    Texts become sparse vectors in one Arrow pass. The driver holds `features` n-grams and
+    their weights, the most frequent of the training texts.
+    """
 
     def __init__(self, classes: list[str], features: int = 50_000):
         self.classes, self.features = classes, features
 
-    def _grams(self, df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("__grams", char_grams(F.coalesce(F.col(text), F.lit(""))))
-
     def fit(self, df: DataFrame, text: str, label: str) -> StyleClassifier:
         from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 
-        rows = self._grams(df, text).withColumn("__y", F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(label)).cast("double") - 1).cache()
+        rows = df.select(F.col(text).alias("text"), (F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(label)).cast("double") - 1).alias("label"))
+
+        def count(batches):
+            for b in batches:
+                times, texts = Counter(), Counter()
+                for t in b.column(0).to_pylist():
+                    own = text_grams(t)
+                    times.update(own)
+                    texts.update(own.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([texts[g] for g in times], pa.int64())], names=["gram", "times", "texts"])
+
         n = rows.count()
-        self._counts = CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=self.features).fit(rows)
-        logged = self._log(self._counts.transform(rows))
-        self._idf = IDF(inputCol="__log", outputCol="__idf").fit(logged)
-        self._norm = Normalizer(inputCol="__sum", outputCol="features", p=2.0)
-        ready = self._norm.transform(self._sum(self._idf.transform(logged)))
-        self._model = LogisticRegression(labelCol="__y", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=1000).fit(ready)
-        rows.unpersist()
+        grams = rows.select("text").mapInArrow(count, "gram string, times long, texts long").groupBy("gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts"))
+        most = grams.orderBy(F.desc("times"), "gram").limit(self.features).collect()  # the vocabulary
+        self._weights = {r["gram"]: (i, float(np.log((1 + n) / (1 + r["texts"])) + 1)) for i, r in enumerate(sorted(most, key=lambda r: r["gram"]))}
+        ready = self._vectors(rows, "text").select("label", "features").persist()
+        self._model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4).fit(ready)
+        ready.unpersist()
         return self
 
-    @staticmethod
-    def _log(df: DataFrame) -> DataFrame:
-        from pyspark.ml.linalg import SparseVector, VectorUDT
+    def _vectors(self, df: DataFrame, text: str) -> DataFrame:
+        """df with `features`, the weighted n-grams of its texts."""
+        from pyspark.ml.linalg import VectorUDT
 
-        sublinear = F.udf(lambda v: SparseVector(v.size, v.indices, np.log(v.values) + 1) if v is not None else None, VectorUDT())
-        return df.withColumn("__log", sublinear("__tf")).persist()  # a stage of its own: the ML functions can't call it
+        shared, size = df.sparkSession.sparkContext.broadcast(self._weights), len(self._weights)  # `features` entries at most
+        at, names = df.columns.index(text), [*df.columns, "features"]
+        kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
-    @staticmethod
-    def _sum(df: DataFrame) -> DataFrame:
-        from pyspark.ml.linalg import SparseVector, VectorUDT
+        def run(batches):
+            weights = shared.value
+            for b in batches:
+                vectors = []
+                for t in b.column(at).to_pylist():
+                    own = sorted((weights[g], n) for g, n in text_grams(t).items() if g in weights)
+                    values = np.array([w * (1 + np.log(n)) for (_, w), n in own])
+                    norm = np.sqrt((values * values).sum()) or 1.0
+                    vectors.append({"type": 0, "size": size, "indices": [i for (i, _), _ in own], "values": (values / norm).tolist()})
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, kind)], names=names)
 
-        # the smoothed idf adds 1 to Spark's: tf * (idf + 1)
-        add = F.udf(lambda a, b: SparseVector(a.size, a.indices, a.values + np.array([b[int(i)] for i in a.indices])) if a is not None else None, VectorUDT())
-        return df.withColumn("__sum", add("__log", "__idf")).persist()
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("features", VectorUDT())]))
 
     def predict(self, df: DataFrame, text: str) -> DataFrame:
         """df with `predicted` and `probabilities` (in the order of classes)."""
         from pyspark.ml.functions import vector_to_array
 
-        out = self._sum(self._idf.transform(self._log(self._counts.transform(self._grams(df, text)))))
-        out = self._model.transform(self._norm.transform(out))
+        out = self._model.transform(self._vectors(df, text))
         names = F.array(*[F.lit(c) for c in self.classes])
         keep = [F.col(c) for c in df.columns]
         return out.select(*keep, F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), vector_to_array("probability").alias("probabilities"))
@@ -277,8 +305,6 @@ def nearest_texts(queries: DataFrame, corpus: DataFrame, query_id: str, query_te
         shared = spark.sparkContext.broadcast(block)
 
         def run(frames):
-            from collections import Counter
-
             asked = [(i, t, Counter(t)) for i, t in shared.value]
             best: dict[int, tuple[float, int, str]] = {}
             for f in frames:
