@@ -159,6 +159,25 @@ def test_op4_hilbert(spark):
     assert ranked == sorted(ranked) and hilbert_shards.shard(frame(spark, []), 5).collect() == []
 
 
+def test_hilbert_shards_can_be_skipped(spark, tmp_path):
+    langs, sources = ["de", "en", "es", "fr"], [f"src{i:02d}" for i in range(20)]
+    rows = [(i, "x" * int(2 ** rng.uniform(3, 12)), rng.choice(langs), rng.choice(sources), 1) for i in range(6000)] + [(None, None, None, None, 2), (1, "", "en", None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    stats = hilbert_shards.write_shards(df, str(tmp_path / "shards"), 24).collect()
+    assert len(stats) == 24 and sum(r["rows"] for r in stats) == len(rows)
+    held = lambda r, d, v: r[f"least_{d}"] is not None and r[f"least_{d}"] <= v <= r[f"greatest_{d}"]
+    share = lambda test: sum(map(test, stats)) / len(stats)
+    by_lang = np.mean([share(lambda r, v=v: held(r, "lang", v)) for v in langs])
+    by_source = np.mean([share(lambda r, v=v: held(r, "source", v)) for v in sources])
+    by_size = np.mean([share(lambda r, v=v: held(r, "size", v)) for v in (20, 100, 700, 3000)])
+    by_two = np.mean([share(lambda r, v=v, w=w: held(r, "lang", v) and held(r, "source", w)) for v in langs for w in sources])
+    assert max(by_lang, by_source, by_size) < 0.65 and by_two < 0.3, (by_lang, by_source, by_size, by_two)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, map(tuple, back.select(*df.columns).collect()))) == sorted(map(str, rows))
+    one = {(r["doc_id"], r["text_crc32"]): (r["shard"], r["slot"]) for r in hilbert_shards.shard(df, 24).collect()}
+    assert {(r["doc_id"], r["c"]): (r["shard"], r["slot"]) for r in back.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), "shard", "slot").collect()} == one
+
+
 def test_hilbert_curve_is_continuous():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     h = hilbert_shards.hilbert_index(g, 3)
