@@ -18,8 +18,9 @@ from .runtime import ascii_lower, materialize
 
 #: Fixed value: what is not a word character, after A-Z became a-z.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many prefix shingles (8 bytes each) go into the scan as a literal set; more are joined.
-MAX_PREFIX = 20_000
+#: Up to so many shingles (8 bytes each) go into a scan as a literal hash set; of more, the shingles
+#: of documents are joined with them. Either way gives the same rows.
+MAX_LITERALS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -40,6 +41,12 @@ def shingles(w: str, singles: bool) -> Column:
     return F.concat(pairs(w), single(w)) if singles else pairs(w)
 
 
+def literals(shingle: DataFrame) -> str | None:
+    """The values of a one-column table for an IN list; None if they are more than MAX_LITERALS."""
+    rows = shingle.limit(MAX_LITERALS + 1).collect()
+    return ", ".join(f"{r[0]}L" if r[0] > -(1 << 63) else "-9223372036854775807L - 1" for r in rows) if len(rows) <= MAX_LITERALS else None
+
+
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     """item (string id), window (words joined by blanks), size: each item's distinct windows."""
     b = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -62,9 +69,14 @@ def _matches(documents: DataFrame, benchmark: DataFrame, width: int) -> tuple[Da
     docs = docs.withColumn("s", shingles("w", singles))
     spelt = windows.select("window", "size").distinct().select("window", "size", F.posexplode(F.when(F.col("size") > 1, F.slice(pairs("window"), 1, F.col("size") - 1)).otherwise(single("window"))).alias("offset", "shingle"))
     vocabulary = materialize(spelt.select("shingle").distinct(), "vocabulary")
-    frequency = materialize(
-        docs.select(F.explode("s").alias("shingle")).join(vocabulary, "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("df")), "frequency"
-    )
+    listed = literals(vocabulary)
+    if listed == "":
+        held = docs.where("false").select(F.explode("s").alias("shingle"))
+    elif listed:
+        held = docs.select(F.explode(F.expr(f"filter(s, x -> x in ({listed}))")).alias("shingle"))
+    else:
+        held = docs.select(F.explode("s").alias("shingle")).join(vocabulary, "shingle", "left_semi")
+    frequency = materialize(held.groupBy("shingle").agg(F.count("*").alias("df")), "frequency")
     # the rarest shingle of each window and its offset; a window with one that no document holds drops out
     prefix = materialize(
         spelt.join(frequency, "shingle", "left").groupBy("window", "size")
@@ -75,11 +87,11 @@ def _matches(documents: DataFrame, benchmark: DataFrame, width: int) -> tuple[Da
     rare = prefix.select("shingle").distinct()
     key = ["doc_id", "th", "th2"]
     n_words = F.size("w").cast("long").alias("n_words")
-    n = rare.count()
-    if n == 0:
+    listed = literals(rare)
+    if listed == "":
         may_hit = F.lit(False)
-    elif n <= MAX_PREFIX:
-        may_hit = F.arrays_overlap("s", F.array(*[F.lit(r["shingle"]) for r in rare.collect()]))
+    elif listed:
+        may_hit = F.expr(f"exists(s, x -> x in ({listed}))")
     else:
         holders = docs.select(*key, F.explode("s").alias("shingle")).join(rare, "shingle", "left_semi")
         holders = holders.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h"), F.col("th2").alias("h2")).distinct().withColumn("held", F.lit(True))
