@@ -32,8 +32,8 @@ HELD = 8
 GROUP = 64
 #: Queries of a file, about.
 FILE = 1 << 16
-#: Impacts of the segments, as powers of two; digits of the first carry the sign and all above.
-IMPACTS = (6, 5, 4, 3)
+#: Segments of an index: the first takes the sign and 3 bits of the largest component, each further one 2 bits more.
+SEGMENTS, FIRST, STEP = 3, 3, 2
 #: So many times k rows left are rescored rather than bounded once more.
 LEFT = 4
 
@@ -42,11 +42,13 @@ class ImpactIndex:
     """Index over an (n, dims) integer matrix; ids are those of its rows."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values, self.segments, above = ids, values, [], None
-        for s in IMPACTS:
-            level = values >> s
-            self.segments.append((level if above is None else level - (above << (last - s))).astype(np.float64).T)
-            above, last = level, s
+        self.ids, self.values, self.segments, above, last = ids, values, [], None, 0
+        bits = int(np.abs(values).max(initial=0)).bit_length()
+        for s in (bits - FIRST - STEP * k for k in range(SEGMENTS)):
+            if s >= 0:
+                level = values >> s
+                self.segments.append((s, (level if above is None else level - (above << (last - s))).astype(np.float64).T))
+                above, last = level, s
 
     def search(self, queries: np.ndarray, k: int, skip: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(scores, ids) of the k best rows of each query but rows of id skip[i]; ties to the smaller id.
@@ -61,7 +63,7 @@ class ImpactIndex:
         todo = np.flatnonzero(bound < 2.0**52)
         rows = np.arange(len(self.ids))
         done = np.zeros((len(q), len(rows)))
-        for s, segment in zip(IMPACTS, self.segments):
+        for s, segment in self.segments:
             if not len(todo):
                 break
             done += (q[todo] @ segment[:, rows]) * (1 << s)
