@@ -32,10 +32,10 @@ HELD = 8
 GROUP = 64
 #: Queries of a file, about.
 FILE = 1 << 16
-#: Segments of an index: the first takes the sign and 3 bits of the largest component, each further one 2 bits more.
-SEGMENTS, FIRST, STEP = 3, 3, 2
+#: Segments of an index: the first takes the sign and 3 bits of the largest component, each further one 3 bits more.
+SEGMENTS, FIRST, STEP = 3, 3, 3
 #: So many times k rows left are rescored rather than bounded once more.
-LEFT = 4
+LEFT = 16
 
 
 class ImpactIndex:
