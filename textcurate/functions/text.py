@@ -130,6 +130,18 @@ def shingles5(c: Column) -> Column:
     return bind(toks, lambda t: F.when(F.size(t) < 5, F.array_distinct(t)).otherwise(F.array_distinct(ngrams(t, 5))))
 
 
+def shingle_hashes(c: Column) -> Column:
+    """64-bit hashes of shingles5, made from word to word without spelling the 5-grams out."""
+    words = F.transform(F.filter(F.split(normalize(c), " ", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+    def up_to(w: Column, n: int) -> Column:
+        if n == 1:
+            return w
+        return bind(up_to(w, n - 1), lambda g: F.zip_with(F.slice(g, F.lit(1), F.size(g) - 1), F.slice(w, F.lit(n), F.size(g) - 1), lambda x, y: F.xxhash64(x, y)))
+
+    return bind(words, lambda w: F.array_distinct(F.when(F.size(w) < 5, w).otherwise(up_to(w, 5))))
+
+
 def features(df, text: str = "text"):
     """df with char_len, n_paragraphs, has_emoji, ends_with_question, source_text_hash and group_id."""
     t = F.col(text)

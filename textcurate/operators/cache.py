@@ -40,12 +40,18 @@ def relabel(cache: DataFrame, method: str) -> DataFrame:
 
 
 def until_target(df: DataFrame, ok: Column, order: list[Column], target: int, chunk: int, by: list[str] | None = None) -> DataFrame:
-    """Rows up to the end of the first chunk (of `chunk` rows in order) after which `target` rows are ok."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    out = df.withColumn("__n", F.row_number().over(w)).withColumn("__ok", F.sum(ok.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("chunk", F.floor((F.col("__n") - 1) / chunk).cast("int"))
-    need = F.min(F.when(F.col("__ok") >= target, F.col("chunk"))).over(Window.partitionBy(*(by or [])))
-    return out.withColumn("__stop", need).where(F.col("__stop").isNull() | (F.col("chunk") <= F.col("__stop"))).drop("__n", "__ok", "__stop")
+    """Rows up to the end of the first chunk (of `chunk` rows in order) after which `target` rows are ok.
+
+    Positions and running counts are added up across tasks, so a group is no single task's work.
+    """
+    from .posts import join_small, ranks
+
+    by = by or []
+    placed = ranks(df, by, order, "__n", {"__done": F.coalesce(ok.cast("int"), F.lit(0))}).drop("total")
+    placed = placed.withColumn("chunk", F.floor((F.col("__n") - 1) / chunk).cast("int"))
+    stops = placed.groupBy(*by).agg(F.min(F.when(F.col("__done") >= target, F.col("chunk"))).alias("__stop"))
+    out = join_small(placed, stops, by)
+    return out.where(F.col("__stop").isNull() | (F.col("chunk") <= F.col("__stop"))).drop("__n", "__done", "__stop")
 
 
 def best_attempt(attempts: Column) -> Column:

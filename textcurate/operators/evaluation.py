@@ -349,7 +349,7 @@ def nearest_texts(queries: DataFrame, corpus: DataFrame, query_id: str, query_te
 
 def nearest_by_shingles(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, corpus_id: str, corpus_text: str) -> DataFrame:
     """For each query the corpus text of highest 5-gram Jaccard (ties to the smaller id): an equi-join on shingles, no pairs without one in common."""
-    sh = lambda df, i, t, a: df.select(F.col(i).cast("long").alias(a), T.shingles5(F.coalesce(F.col(t), F.lit(""))).alias("s")).withColumn("n", F.size("s"))
+    sh = lambda df, i, t, a: df.select(F.col(i).cast("long").alias(a), T.shingle_hashes(F.coalesce(F.col(t), F.lit(""))).alias("s")).withColumn("n", F.size("s"))
     q, c = sh(queries, query_id, query_text, "query_id"), sh(corpus, corpus_id, corpus_text, "nearest_id")
     a = q.select("query_id", F.col("n").alias("qn"), F.explode("s").alias("g"))
     b = c.select("nearest_id", F.col("n").alias("cn"), F.explode("s").alias("g"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cost, overlap, payload, prompts
 from . import cache as C
+from .posts import ranks
 
 ATTEMPTS = "array<struct<attempt:int,model:string,failed:boolean,failure_reason:string,content:string,usage_prompt_tokens:long,usage_completion_tokens:long,usage_total_tokens:long,cost_usd_estimate:double>>"
 PRIMARY, FALLBACK = "openai/gpt-4.1-mini", "openai/gpt-4.1"
@@ -187,19 +188,19 @@ def run_resumable(records: DataFrame, cache_path: str, backend: Callable, keys:
         except AnalysisException:
             return None
 
-    have = load()
+    have, wanted = load(), records.select(*keys).distinct()
     todo = C.pending(records, have, keys) if have is not None else records
     order = order if order is not None else [F.col("date").desc_nulls_last(), *[F.col(k) for k in keys]]
-    n = todo.count()
-    while n:
-        ok = have.join(records.select(*keys).distinct(), keys, "left_semi").where("synthetic_ok").count() if have is not None else 0
+    ok = have.join(wanted, keys, "left_semi").where("synthetic_ok").count() if have is not None else 0
+    # ordered once; a chunk is a range of positions, and its own rows tell how many are ok
+    ranked = ranks(todo, [], order, "__rank").drop("total").persist()
+    for start in range(0, ranked.count(), chunk):
         if target is not None and ok >= target:
             break
-        neutralize(todo.orderBy(*order).limit(chunk), backend, **options).write.mode("append").parquet(cache_path)
-        have = load()
-        todo, before = C.pending(records, have, keys), n
-        n = todo.count()
-        if n == before:
-            break
+        part = neutralize(ranked.where((F.col("__rank") > start) & (F.col("__rank") <= start + chunk)).drop("__rank"), backend, **options).persist()
+        part.write.mode("append").parquet(cache_path)
+        ok += part.where("synthetic_ok").count()
+        part.unpersist()
+    ranked.unpersist()
     have = load()
-    return records.limit(0) if have is None else have.join(records.select(*keys).distinct(), keys, "left_semi")
+    return records.limit(0) if have is None else have.join(wanted, keys, "left_semi")

@@ -36,19 +36,41 @@ def sample_recent(df: DataFrame, n: int, by: list[str] | None = None, time: str
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
-def ranks(df: DataFrame, by: list[str], order: list[str], to: str = "rank") -> DataFrame:
-    """df with the row's gapless rank from 1 within its group, and `total`, the group's rows.
+#: Rows of a side that may be sent to every task.
+SMALL = 100_000
+
+
+def join_small(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df joined with one row a key of `other`: by broadcast if it has SMALL rows at most, which is counted first."""
+    rows = other.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        return df.join(other, keys)
+    small = F.broadcast(df.sparkSession.createDataFrame(rows, other.schema))
+    return df.join(small, keys) if keys else df.crossJoin(small)  # without keys it is one row
+
+
+def ranks(df: DataFrame, by: list[str], order: list[str | Column], to: str = "rank", running: dict[str, Column] | None = None) -> DataFrame:
+    """df with the row's gapless rank from 1 within its group, `total`, the group's rows, and running sums by name.
 
     A group is not sorted in one task: rows are range-partitioned by (by, order), numbered
-    inside each partition and shifted by the counts of the group's earlier partitions.
+    inside each partition and shifted by the counts (and sums) of the group's earlier partitions.
+    Names in `order` ascend, nulls last.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in by], *[F.col(c).asc_nulls_last() for c in order]).withColumn("__p", F.spark_partition_id()).persist()  # one partitioning for both branches
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p", *by).orderBy(*[F.col(c).asc_nulls_last() for c in order])))
-    counts = ranged.groupBy("__p", *by).agg(F.count("*").alias("__c"))
+    running = running or {}
+    sorts = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+    valued = df.withColumns({f"__v_{k}": v for k, v in running.items()})
+    ranged = valued.repartitionByRange(*[F.col(c) for c in by], *sorts).withColumn("__p", F.spark_partition_id()).persist()  # one partitioning for both branches
+    w = Window.partitionBy("__p", *by).orderBy(*sorts)
+    sums = {f"__s_{k}": F.sum(f"__v_{k}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in running}
+    local = ranged.withColumns({"__n": F.row_number().over(w), **sums})
+    counts = ranged.groupBy("__p", *by).agg(F.count("*").alias("__c"), *(F.sum(f"__v_{k}").alias(f"__c_{k}") for k in running))
     w = Window.partitionBy(*by)
-    shift = counts.withColumn("__s", F.coalesce(F.sum("__c").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("__c").over(w)).drop("__c")
+    before = w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = {"__s": F.coalesce(F.sum("__c").over(before), F.lit(0)), **{f"__b_{k}": F.coalesce(F.sum(f"__c_{k}").over(before), F.lit(0)) for k in running}}
+    shift = counts.withColumns({**earlier, "total": F.sum("__c").over(w)})
     same = [local[c].eqNullSafe(shift[c]) for c in ["__p", *by]]
-    return local.join(shift, same).select(*[local[c] for c in df.columns], (F.col("__n") + F.col("__s")).alias(to), "total")
+    more = [(F.col(f"__s_{k}") + F.col(f"__b_{k}")).alias(k) for k in running]
+    return local.join(shift, same).select(*[local[c] for c in df.columns], (F.col("__n") + F.col("__s")).alias(to), "total", *more)
 
 
 def temporal_split(df: DataFrame, by: list[str] | None = None, time: str = "date", key: str = "post_id", train: float = 0.8, val: float = 0.1) -> DataFrame:

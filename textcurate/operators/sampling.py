@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .posts import join_small
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:
@@ -24,7 +25,7 @@ def add_strata(df: DataFrame, by: list[str] | None = None, text: str = "response
     """
     by = by or []
     edges = df.groupBy(*by).agg(F.percentile("char_len", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__e"))
-    out = df.join(F.broadcast(edges), by) if by else df.crossJoin(F.broadcast(edges))  # one row
+    out = join_small(df, edges, by)
     n, e = F.col("char_len"), F.col("__e")
     q = F.when(n <= e[0], "Q1").when(n <= e[1], "Q2").when(n <= e[2], "Q3").otherwise("Q4")
     out = out.withColumns({"has_numbers": F.rlike(F.col(text), F.lit(r"\p{Nd}")), "char_len_q": q, "multi_para": F.col("n_paragraphs") >= 2})
@@ -38,10 +39,16 @@ def proportions(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _quota_rows(df: DataFrame, n: int, seed: int, by: list[str], key: str) -> DataFrame:
+    """The n first rows of each stratum in shuffle order with rank, quota and size of the stratum.
+
+    A sample takes a row only with all rows of its stratum that come before it, so no row
+    beyond the n-th is ever taken; the filter lets each task keep n rows of a stratum.
+    """
     marked = df.withColumn("__k", shuffle_key(seed, key))
-    shares = proportions(marked, by).withColumn("__quota", F.greatest(F.lit(1), F.bround(F.col("share") * n).cast("int"))).select(*by, "stratum", "__quota", F.col("n").alias("__size"))
+    quota = F.greatest(F.lit(1), F.bround(F.col("share") * n).cast("int")).alias("__quota")
+    shares = proportions(df, by).select(*by, "stratum", quota, F.col("n").alias("__size"))
     w = Window.partitionBy(*by, "stratum").orderBy("__k", key)
-    return marked.withColumn("__r", F.row_number().over(w)).join(F.broadcast(shares), [*by, "stratum"])  # a row for each of at most 32 strata
+    return join_small(marked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n), shares, [*by, "stratum"])
 
 
 def stratified_sample(df: DataFrame, n: int, seed: int = 42, by: list[str] | None = None, key: str = "post_id") -> DataFrame:
