@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes hashed at once; bounds the memory of a Python worker.
@@ -86,29 +88,35 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     return mix(out)
 
 
-def batches(texts: Sequence[str | None], limit: int = 4 * CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, buffer, bounds): texts joined by newlines, about `limit` bytes at a time; null is empty."""
-    i, n = 0, len(texts)
+def batches(texts: Sequence[str | None] | pa.Array, limit: int = 4 * CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, buffer, bounds): texts joined by newlines, about `limit` bytes at a time; null is empty.
+
+    Of an Arrow array the bytes are taken as they lie, without a Python string for each.
+    """
+    if not isinstance(texts, pa.Array):
+        texts = pa.array([None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], pa.binary())
+    if texts.null_count:
+        texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    n = len(texts)
+    kind = np.dtype(np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32)
+    at = np.frombuffer(texts.buffers()[1], kind, n + 1, texts.offset * kind.itemsize).astype(np.int64) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if n else np.empty(0, np.uint8)
+    i = 0
     while i < n:
-        parts, sizes, total, j = [], [], 0, i
-        while j < n and (j == i or total < limit):
-            b = (texts[j] or "").encode("utf-8", "surrogatepass")
-            parts.append(b)
-            sizes.append(len(b) + 1)
-            total += len(b) + 1
-            j += 1
-        yield i, j, np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + limit, "left"))))
+        ends = at[i + 1 : j + 1] - at[i]
+        yield i, j, np.insert(data[at[i] : at[j]], ends, 10), np.concatenate([[0], ends + np.arange(1, j - i + 1)])
         i = j
 
 
-def words_of(texts: Sequence[str | None], lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def words_of(texts: Sequence[str | None] | pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes, bounds of each text's words) for batches of texts."""
     for i, _, buf, bounds in batches(texts):
         s, e = word_spans(buf)
         yield i, hash_words(buf, s, e, lower), np.searchsorted(s, bounds)
 
 
-def shingle_sets(texts: Sequence[str | None], width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: Sequence[str | None] | pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(text number, sorted distinct 64-bit hashes of its word shingles).
 
     A text of fewer words is one shingle of all its words; no words give an empty set.

@@ -214,7 +214,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
     def count(parts):
         total = np.zeros(28**3, np.int64)
         for b in parts:
-            for _, _, buf, _ in batches(b.column(0).to_pylist()):
+            for _, _, buf, _ in batches(b.column(0)):
                 total += trigram_counts(buf)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
@@ -230,7 +230,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
         decoder = Decoder(trigrams)
         for b in parts:
             y = b.column(0).to_numpy()
-            for first, d, h, n in document_features(b.column(1).to_pylist(), decoder):
+            for first, d, h, n in document_features(b.column(1), decoder):
                 d, h = _distinct(d, h)
                 k, back = np.unique(h, return_inverse=True)
                 pos = np.bincount(back, y[first + d], len(k))
@@ -259,7 +259,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
     def inputs(parts):
         for b in parts:
             y = b.column(0).to_numpy()
-            for first, x in model.inputs(b.column(1).to_pylist()):
+            for first, x in model.inputs(b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(y[first : first + len(x)], pa.int32()), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["y", "a", "b"])
 
     fitted = np.array([tuple(r) for r in own.where("not fit").select("y", "text").mapInArrow(inputs, "y int, a double, b double").collect()]).reshape(-1, 3)  # of the sample
@@ -298,7 +298,7 @@ def score(documents: DataFrame, model: Model, least: float = 0.7, fold: int = 3,
     def run(parts):
         for b in parts:
             p = np.empty(b.num_rows)
-            for first, x in shared.value.inputs(b.column(2).to_pylist()):
+            for first, x in shared.value.inputs(b.column(2)):
                 p[first : first + len(x)] = 1 / (1 + np.exp(-np.clip(x @ shared.value.fit, -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(p), pa.array((p >= least).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
