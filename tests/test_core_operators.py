@@ -277,3 +277,71 @@ def test_ngram_overlap_by_brute_force(spark):
         have, own = set(grams(r["a"], 4)), grams(r["b"], 4)
         assert r["n"] == max((n for n in range(1, 9) if set(grams(r["a"], n)) & set(grams(r["b"], n))), default=0)
         assert r["r"] == pytest.approx(sum(g in have for g in own) / len(own) if have and own else 0.0)
+
+
+def test_nearest_texts_by_brute_force(spark):
+    import random
+    import statistics
+
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    corpus = [(i, text(rng.randint(0, 14))) for i in range(40)] + [(50, None), (51, "")]
+    asked = [(100 + i, t) for i, (_, t) in enumerate(corpus[:4])] + [(200 + i, text(8)) for i in range(6)] + [(300, ""), (301, None)]
+    norm = lambda t: " ".join((t or "").lower().split())
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for k, y in enumerate(b, 1):
+                before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+        return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    def five(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {(x,) for x in w}
+
+    want = {}
+    for i, t in asked:
+        t = norm(t)
+        near, c, u = min(((-ratio(t, norm(u)), c, norm(u)) for c, u in corpus), key=lambda x: x[:2])
+        both, all_ = five(t) & five(u), five(t) | five(u)
+        run = max((n - m for m in range(len(t)) for n in range(m + 1, len(t) + 1) if t[m:n] in u), default=0)
+        want[i] = (c, pytest.approx(-near, abs=1e-4), pytest.approx(len(both) / len(all_) if all_ else 1.0, abs=1e-4), run)
+    q, c = spark.createDataFrame(asked, "item_id long, text string"), spark.createDataFrame(corpus, "doc_id long, text string")
+    found = E.nearest_texts(q, c, "item_id", "text", "doc_id", "text").cache()
+    got = {r["query_id"]: (r["nearest_id"], r["fuzz_ratio"], r["jaccard_5gram"], r["longest_common_chars"]) for r in found.collect()}
+    assert got == want
+    s, fuzz = E.memorisation_summary(found).first(), [v[1] for v in got.values()]
+    assert (s["n"], s["n_exact"], s["fuzz_max"], s["passed"]) == (len(asked), sum(x == 100 for x in fuzz), max(fuzz), False)
+    assert s["fuzz_median"] == pytest.approx(statistics.median(fuzz)) and s["n_long"] == sum(v[3] >= E.MEMORISATION["run_below"] for v in got.values())
+
+
+def test_classifier_weights_by_definition(spark):
+    import math
+    from collections import Counter
+
+    texts = ["кот идет", "кот кот", "a", "собака идет домой", ""]
+    df = spark.createDataFrame([(i, t, "x" if i % 2 else "y") for i, t in enumerate(texts)], "i int, t string, label string")
+    model = E.StyleClassifier(["x", "y"]).fit(df, "t", "label")
+
+    def grams(t):
+        out = Counter()
+        for w in t.lower().split():
+            p = f" {w} "
+            for n in (2, 3, 4):
+                if len(p) <= n:
+                    out[p] += 1
+                    break
+                out.update(p[k : k + n] for k in range(len(p) - n + 1))
+        return out
+
+    own = [grams(t) for t in texts]
+    df_of = Counter(g for o in own for g in o)
+    names = sorted(df_of)
+    for r in model._vectors(df, "t").collect():
+        raw = {g: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df_of[g])) + 1) for g, n in own[r["i"]].items()}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        got = {names[k]: v for k, v in zip(r["features"].indices.tolist(), r["features"].values.tolist())}
+        assert got == {g: pytest.approx(x / norm) for g, x in raw.items()}
+    assert E.StyleClassifier(["x", "y"], 3).fit(df, "t", "label")._weights.keys() == set(sorted(df_of, key=lambda g: (-sum(o[g] for o in own), g))[:3])
