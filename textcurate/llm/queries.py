@@ -57,6 +57,26 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op5_secret_scan"] = r"""
+with kinds(kind, ord, pattern, body, whole) as (values
+  ('assign', 1, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=\-]+)', 12, 0), ('access', 2, '(AKIA)([A-Z0-9]+)', 1, 18), ('hex', 3, '()([0-9a-f]+)', 16, 0),
+  ('github', 4, '(gh[pousr]_)([A-Za-z0-9]+)', 36, 0), ('jwt', 5, '(eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.)([A-Za-z0-9_\-]+)', 16, 0)
+), d as (select row_number() over () as rn, doc_id, coalesce(text, '') as t from documents),
+cut as (select rn, kinds.*, string_split(regexp_replace(t, pattern, chr(1) || '\0' || chr(2), 'g'), chr(1)) as parts from d, kinds),
+matched as (select rn, kind, ord, pattern, body, whole, len(parts[1]) as head, unnest(parts[2:]) as part, unnest(range(2, len(parts) + 1)) as k from cut where len(parts) > 1),
+placed as (
+  select *, split_part(part, chr(2), 1) as m, head + coalesce(sum(len(part) - 1) over (partition by rn, kind order by k rows between unbounded preceding and 1 preceding), 0) as s from matched
+), spans as (
+  select rn, kind, ord, s, kind || ':' || cast(s as bigint) || ':' || cast(s + len(m) as bigint) as span from placed where len(regexp_extract(m, pattern, 2)) >= body and len(m) >= whole
+), own as (
+  select rn, count(*) filter (where ord = 1) as n_assign, count(*) filter (where ord = 2) as n_access, count(*) filter (where ord = 3) as n_hex,
+    string_agg(span, ',' order by s, ord) filter (where ord <= 3) as base, string_agg(span, ',' order by s, ord) as spans from spans group by rn
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join own on own.rn = d.rn
+"""
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
@@ -121,6 +141,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes_of(read_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op1_ngram_jaccard_join"] = r"""
+with recursive d as (
+  select row_number() over () as rn, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as materialized (
+  select distinct rn, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end) as g from d
+), n as materialized (select rn, count(*) as n from s group by rn), met as (
+  select a.rn as a, b.rn as b, count(*) as c from s a join s b on a.g = b.g and a.rn < b.rn group by 1, 2
+), linked as materialized (
+  select a, b from met join n x on x.rn = a join n y on y.rn = b where 100 * c >= 80 * (x.n + y.n - c)
+), both_ways as materialized (select a, b from linked union all select b, a from linked),
+reach as (select rn as node, rn as root from d union select e.b, r.root from reach r join both_ways e on e.a = r.node),
+least as (select node, min(doc_id) as component_id from reach join d on d.rn = root group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(l.component_id, d.doc_id) as component_id
+from d left join n on n.rn = d.rn left join least l on l.node = d.rn
+"""
+
+
 @query
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import deduplicate
@@ -128,6 +167,25 @@ def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op2_repeated_substrings"] = r"""
+with d as materialized (select row_number() over () as rn, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (select rn, len(h) // 2 as n, unnest(range(0, len(h) // 2, 2048)) as o, h from d where len(h) >= 400),
+cut as materialized (select rn, o, substr(h, 2 * o + 1, 2 * 2048 + 398) as p, least(2048, n - 199 - o) as k from parts where n - 199 - o > 0),
+windows as materialized (select rn, o + i as i, md5(substr(p, 2 * i + 1, 400)) as g from (select rn, o, p, unnest(range(0, k)) as i from cut)),
+again as (select g from windows group by g having count(*) > 1),
+found as (select rn, i, lag(i) over (partition by rn order by i) as before from windows where g in (select g from again)),
+runs as (select rn, i, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by rn order by i) as run from found),
+spans as (select rn, run, min(i) as s, max(i) + 200 as e from runs group by rn, run),
+gaps as (select rn, run, s, e, coalesce(lag(e) over (partition by rn order by run), 0) as b from spans),
+cleared as (
+  select rn, sum(e - s) as n_removed, count(*) as n_spans, max(e) as last_e, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' order by run) as kept from gaps join d using (rn) group by rn
+)
+select d.doc_id, len(d.h) // 2 as n_bytes, cast(coalesce(c.n_removed, 0) as bigint) as n_removed, coalesce(c.n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(c.kept || substr(d.h, 2 * c.last_e + 1), d.h))) as kept_sha256
+from d left join cleared c on c.rn = d.rn
+"""
+
+
 @query
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraph_dedup import deduplicate
