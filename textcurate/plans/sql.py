@@ -25,6 +25,7 @@ def text_hash(x: str) -> str:
     return f"md5({normalize(x)})"
 
 
+# The patterns of functions.text.CLEAN_PATTERNS in DuckDB's syntax, which spells blanks and case flags otherwise.
 def clean(x: str) -> str:
     for p in (
         r"@[A-Za-z0-9_]{4,}", rf"https?://t(?:elegram)?\.me/[^{_WS}]+", rf"https?://[^{_WS}]+", r"#[\p{L}\p{N}_]+", r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]",
