@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textcurate.llm import decontaminate, hilbert_shards, jaccard_join, pieces, secrets, substring_dedup, topk, toxicity
+from textcurate.llm import arrays, decontaminate, hilbert_shards, jaccard_join, kneser_ney, linking, lookup, pieces, runtime, secrets, substring_dedup, topk, toxicity
 from textcurate.llm.automaton import compile_rules
 from textcurate.llm.rtree import CountRTree, count_vector, may_link, overlap
 from textcurate.llm.runtime import connected_components
@@ -364,6 +364,93 @@ def test_op10_pieces(spark):
     assert all(r["round_trip"] for r in t.report(frame(spark, rows)).collect()) and t.report(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("block", "pivots"), [(2048, 4), (8, 0), (5, 1)])
+def test_cells_are_searched_whole(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(linking, "BLOCK", block)
+    monkeypatch.setattr(linking, "PIVOTS", pivots)
+    g = np.random.default_rng(block)
+    sets = []
+    for n in (20, 60, 400, 513, 700, 900):
+        base = np.unique(g.integers(0, 1 << 63, n, dtype=np.uint64))
+        for k in range(8):  # copies with ever more members exchanged: some link, some only by others
+            keep = base[g.random(len(base)) >= 0.03 * k]
+            sets.append(np.unique(np.concatenate([keep, g.integers(0, 1 << 63, len(base) - len(keep), dtype=np.uint64)])))
+    ids = [int(x) for x in g.permutation(len(sets) * 3)[: len(sets)]]
+    table = spark.createDataFrame([(i, *linking.set_row(s)) for i, s in zip(ids, sets)], linking.SET_SCHEMA)
+    cells = [(1, i) for i in ids] + [(2, i) for i in ids[::2]]
+    members = linking.shared_cells(spark.createDataFrame(cells + cells[:5], "cell long, id long"))
+    got = dict(map(tuple, linking.classes(members, table).collect()))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * overlap(sets[a], sets[b]) >= 4 * (len(sets[a]) + len(sets[b]) - overlap(sets[a], sets[b]))]
+    comp = components(len(sets), pairs)
+    least = {c: min(i for i, x in zip(ids, comp) if x == c) for c in comp}
+    assert pairs and {i: got.get(i, i) for i in ids} == {i: least[c] for i, c in zip(ids, comp)}
+
+
+def test_join_hot_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(linking, "LEAST_HOT", 10)
+    monkeypatch.setattr(linking, "HOT", 20)
+    rows = spark.createDataFrame([(1, i) for i in range(400)] + [(k, k) for k in range(2, 200)] + [(999, 0)], "key long, v long")
+    of = rows.where("key < 999").groupBy("key").agg(F.count("*").alias("times"), F.max("v").alias("most"))
+    got = linking.join_hot(rows, of, "key", "t").collect()
+    assert sorted((r["key"], r["v"]) for r in got) == sorted((r["key"], r["v"]) for r in rows.where("key < 999").collect())
+    assert all(r["most"] == (399 if r["key"] == 1 else r["key"]) for r in got)
+
+
+def test_values_and_keys_by_lookup(spark):
+    g = np.random.default_rng(9)
+    keys = [int(x) for x in g.integers(-(1 << 63), (1 << 63) - 1, 50)]
+    rows = [(keys[i % 50], int(v)) for i, v in enumerate(g.integers(0, 9, 400))]
+    where = lookup.write_values(spark.createDataFrame(rows, "key long, value long"), "t")
+    values = lookup.Values(where)
+    assert all(values.get(k).tolist() == sorted({v for x, v in rows if x == k}) for k in keys) and values.get(12345) is None
+    two = lookup.Values(lookup.write_values(spark.createDataFrame([(5, 2, 1), (5, 1, 7), (5, 1, 7)], "key long, a long, b long"), "t", ("a", "b")))
+    assert two.get(5).tolist() == [[1, 7], [2, 1]]
+    none = lookup.Values(lookup.write_values(spark.createDataFrame([], "key long, value long"), "t"))
+    assert none.get(5) is None
+    hashes = g.integers(0, 1 << 64, 300, dtype=np.uint64)
+    table = spark.createDataFrame([(h.tobytes(),) for h in np.concatenate([hashes, hashes[:100], hashes[:10]])], "h binary").repartition(5)
+    folder, sizes = lookup.count_keys(table, lambda batches: (np.frombuffer(x.as_py(), np.uint64) for b in batches for x in b.column(0)))
+    assert lookup.SharedKeys(folder, sizes).times(hashes).tolist() == [3] * 10 + [2] * 90 + [1] * 200
+
+
+def test_arrays_on_other_stores(tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "is_local", lambda path: False)
+    folder = f"file://{tmp_path}/deep"
+    arrays.save_array(folder, "x.npy", np.arange(5))
+    arrays.save_array(folder, "x.npy", np.arange(7))
+    copy = arrays.map_array(folder, "x.npy")
+    assert copy.tolist() == list(range(7)) and arrays.map_array(folder, "x.npy").filename == copy.filename
+    arrays._drop_copies()
+    assert not __import__("os").path.exists(copy.filename)
+
+
+def test_temporary_tables_go(spark):
+    import os
+
+    with runtime.temporary(spark):
+        kept = runtime.materialize(spark.range(3).toDF("x"), "t")
+        path = runtime.local_path(kept.inputFiles()[0]).rsplit("/", 1)[0]
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 70_000} x{i}" for i in range(150_000))  # some 2 MB
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(1, long), (2, long + " and more"), (3, "w1 x1 " * 50), (4, long[: len(long) // 2] + " " + item + " " + long[len(long) // 2 :])]
+    df = frame(spark, rows)
+    got = {r["doc_id"]: r for r in jaccard_join.classes_of(df).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 1} and got[1]["n_shingles"] == 299_996
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.decontaminate(df, bench).collect()}
+    assert hits == {1: (300_000, 0), 2: (300_002, 0), 3: (100, 0), 4: (len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", rows[3][1])), 11)}
+    model = toxicity.train(df, spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(df, model).count() == 4
+    scores = {r["doc_id"]: r["n_tokens"] for r in kneser_ney.score_documents(df).collect()}
+    assert scores[1] == 300_001 and scores[3] == 101
+    assert sum(r["size"] for r in hilbert_shards.shard(df, 2).collect()) == sum(len(t) + 8 for _, t in rows)
+
+
 def pipeline_tables(spark, folder, rows, labels, items):
     d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, doc string")
     d.write.parquet(f"{folder}/documents.parquet")

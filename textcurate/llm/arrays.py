@@ -111,9 +111,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 class SortedShards:
     """A globally sorted array in `buckets` mapped files; position = rank over all of them."""
 
-    def __init__(self, folder: str, name: str, sizes: list[int], mixed: bool = False):
-        self.sizes, self.mixed = sizes, mixed
-        self.keys = [map_array(folder, f"{name}-{i}.npy") if n else np.empty(0, U) for i, n in enumerate(sizes)]
+    def __init__(self, folder: str, name: str, sizes: list[int]):
+        self.sizes, self.folder, self.name = sizes, folder, name
+        self.keys: dict[int, np.ndarray] = {}
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -124,9 +124,11 @@ class SortedShards:
         buckets = bucket_of(keys, len(self.sizes))
         cuts = np.searchsorted(buckets, np.arange(len(self.sizes) + 1))
         for b in np.unique(buckets):
-            own, have = keys[cuts[b] : cuts[b + 1]], self.keys[b]
-            if not len(have):
+            if not self.sizes[b]:
                 continue
+            if b not in self.keys:  # files are mapped as they are needed
+                self.keys[b] = map_array(self.folder, f"{self.name}-{b}.npy")
+            own, have = keys[cuts[b] : cuts[b + 1]], self.keys[b]
             at = np.searchsorted(have, own)
             ok = have[np.minimum(at, len(have) - 1)] == own
             out[cuts[b] : cuts[b + 1]][ok] = (at + self.offsets[b])[ok]

@@ -88,7 +88,7 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     return mix(out)
 
 
-def batches(texts: Sequence[str | None] | pa.Array, limit: int = 4 * CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(texts: Sequence[str | None] | pa.Array, limit: int = 2 * CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, buffer, bounds): texts joined by newlines, about `limit` bytes at a time; null is empty.
 
     Of an Arrow array the bytes are taken as they lie, without a Python string for each.
@@ -109,9 +109,9 @@ def batches(texts: Sequence[str | None] | pa.Array, limit: int = 4 * CHUNK) -> I
         i = j
 
 
-def words_of(texts: Sequence[str | None] | pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def words_of(texts: Sequence[str | None] | pa.Array, lower: bool = True, limit: int = 2 * CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes, bounds of each text's words) for batches of texts."""
-    for i, _, buf, bounds in batches(texts):
+    for i, _, buf, bounds in batches(texts, limit):
         s, e = word_spans(buf)
         yield i, hash_words(buf, s, e, lower), np.searchsorted(s, bounds)
 

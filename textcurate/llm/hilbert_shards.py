@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .runtime import materialize
+from .runtime import lean, materialize
 
 BITS = 10
 #: Distinct values of a category that its steps are cut from: those whose hashes are smallest, all if they are fewer.
@@ -81,7 +81,7 @@ def hilbert_order(df: DataFrame, cells: list, tie_break: list[str], bits: int =
             )
             at += n
 
-    table = materialize(ranged.mapInArrow(number, schema), "hilbert")
+    table = materialize(ranged.mapInArrow(lean(number), schema), "hilbert")
     counts = {r["part"]: r["n"] for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()}
     offsets, total = [], 0
     for p in sorted(counts):

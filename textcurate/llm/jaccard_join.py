@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .hashing import U, digest, shingle_sets
 from .linking import SET_SCHEMA, classes, join_hot, set_batch, set_row, shared_cells
 from .lookup import KEY_BITS, MASK, SharedKeys, Values, count_keys, write_values
-from .runtime import materialize
+from .runtime import lean, materialize
 
 WIDTH = 5
 
@@ -87,7 +87,7 @@ def classed_rows(documents: DataFrame, width: int = WIDTH, num: int = 4, den: in
             flush()
             yield batch()
 
-    table = materialize(texts.mapInArrow(coordinates, "doc_id long, doc long, n long, id long, cells array<long>"), "coordinates")
+    table = materialize(texts.mapInArrow(lean(coordinates), "doc_id long, doc long, n long, id long, cells array<long>"), "coordinates")
     rows = table.select("doc_id", "doc", "n", "id")
     members = shared_cells(table.select(F.explode("cells").alias("cell"), "id"))
     wanted = rows.where("id is not null").groupBy("id").agg(F.min("doc").alias("key")).join(members.select("id").distinct(), "id", "left_semi")
@@ -108,7 +108,7 @@ def classed_rows(documents: DataFrame, width: int = WIDTH, num: int = 4, den: in
                 yield set_batch(out)
 
     # equal rows give equal sets, and nothing else does
-    sets = materialize(texts.mapInArrow(build, SET_SCHEMA).dropDuplicates(["id"]), "sets")
+    sets = materialize(texts.mapInArrow(lean(build), SET_SCHEMA).dropDuplicates(["id"]), "sets")
     found = classes(members, sets, num, den)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "doc"))
     each = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("rows"), first.alias("first"))
@@ -150,7 +150,7 @@ def drop_near_copies(documents: DataFrame, width: int = WIDTH, num: int = 4, den
             yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in b.columns), pa.array(kind[kind > 0])], names=[*b.schema.names, "__kind"])
 
     keyed = documents.withColumn("__key", row_key())
-    marked = keyed.mapInArrow(mark, StructType([*keyed.schema.fields, StructField("__kind", LongType())]))
+    marked = keyed.mapInArrow(lean(mark), StructType([*keyed.schema.fields, StructField("__kind", LongType())]))
     if counted.where("times > 1 and not goes").isEmpty():
         return marked.select(*documents.columns)
     marked = materialize(marked, "kept")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rtree import GROUPS, CountRTree, count_vector, may_link, overlap
-from .runtime import connected_components, materialize
+from .runtime import connected_components, lean, materialize
 
 BLOCK = 2048
 #: Sets of up to so many members go to the searched cells whole (8 bytes a member) and are verified there.
@@ -81,7 +81,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     keep.append(i)
             yield t.select(["a", "b", "ka", "kb"]).take(pa.array(keep, pa.int64()))
 
-    return joined.select("a", "b", "ka", "kb", "ma", "mb", "ca", "cb").mapInArrow(check, "a long, b long, ka long, kb long")
+    return joined.select("a", "b", "ka", "kb", "ma", "mb", "ca", "cb").mapInArrow(lean(check), "a long, b long, ka long, kb long")
 
 
 def merged(found: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .arrays import SortedShards, bucket_of, map_array, merge, pack, save_array
 from .hashing import U
-from .runtime import materialize, work_dir
+from .runtime import lean, materialize, work_dir
 
 #: Leading bits of a key that are compared; a collision only adds work.
 KEY_BITS = 48
@@ -31,8 +31,8 @@ class SharedKeys:
     """Keys that occur several times, and how often, in mapped sorted files."""
 
     def __init__(self, folder: str, sizes: list[int], mask: np.uint64 = MASK):
-        self.mask, self.shards = mask, SortedShards(folder, "keys", sizes)
-        self.counts = [map_array(folder, f"counts-{i}.npy") if n else None for i, n in enumerate(sizes)]
+        self.mask, self.folder, self.shards = mask, folder, SortedShards(folder, "keys", sizes)
+        self.counts: dict[int, np.ndarray] = {}
 
     def times(self, keys: np.ndarray) -> np.ndarray:
         """Times that each key (any order) occurs, 255 at most; 1 for those that aren't in the files."""
@@ -42,6 +42,8 @@ class SharedKeys:
         which = np.searchsorted(self.shards.offsets, rank, "right") - 1
         for b in np.unique(which[rank >= 0]):
             sel = (which == b) & (rank >= 0)
+            if b not in self.counts:
+                self.counts[b] = map_array(self.folder, f"counts-{b}.npy")
             out[sel] = self.counts[b][rank[sel] - self.shards.offsets[b]]
         return out[back]
 
@@ -86,7 +88,7 @@ def count_keys(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], It
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([int(several.sum())], pa.int64())})
 
     sizes = [0] * ranges
-    found = rows.mapInArrow(count, "bucket int, size long, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, n long")
+    found = rows.mapInArrow(lean(count), "bucket int, size long, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, n long")
     for r in found.collect():
         sizes[r["bucket"]] = r["n"]
     return folder, sizes

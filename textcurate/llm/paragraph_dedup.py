@@ -32,7 +32,7 @@ from .anchors import sliding_minima
 from .hashing import _BASE, _INV, _MULT, SPACE, U, batches, digest, hash_words, mix, powers, word_spans
 from .linking import SET_SCHEMA, classes, join_hot, set_batch, set_row, shared_cells
 from .lookup import SharedKeys, Values, count_keys, write_values
-from .runtime import materialize
+from .runtime import lean, materialize
 
 BANDS, ROWS, WIDTH = 9, 3, 5
 BLOCK, NEAR, ANCHOR = 25, 14, 3
@@ -191,7 +191,7 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
                 )
 
     schema = "doc_id long, doc long, ids binary, lines binary, banded binary, cells binary, blocks binary, starts binary"
-    table = materialize(rows.mapInArrow(read, schema), "units")
+    table = materialize(rows.mapInArrow(lean(read), schema), "units")
 
     def keys_of(batches_):
         for b in batches_:
@@ -221,7 +221,7 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
         arrays = [pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), cells, doc_id, pa.array(doc, pa.int64()), pa.array(at, pa.int32())]
         return pa.RecordBatch.from_arrays(arrays, names=["kind", "id", "cell", "doc_id", "doc", "at"])
 
-    found = materialize(table.mapInArrow(pick, "kind int, id long, cell long, doc_id long, doc long, at int"), "picked")
+    found = materialize(table.mapInArrow(lean(pick), "kind int, id long, cell long, doc_id long, doc long, at int"), "picked")
     places, blocks = (found.where(f"kind = {k}").select("id", "doc_id", "doc", "at") for k in (LINE, A_BLOCK))
     members = shared_cells(found.where("kind = 2").select("cell", "id"))
 
@@ -251,7 +251,7 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
                 yield set_batch(out)
 
     # equal rows give equal sets, and nothing else does
-    sets = materialize(rows.mapInArrow(build, SET_SCHEMA).dropDuplicates(["id"]), "sets")
+    sets = materialize(rows.mapInArrow(lean(build), SET_SCHEMA).dropDuplicates(["id"]), "sets")
     marks = _marked(places, LINE, classes(members, sets, num, den)).unionByName(_marked(blocks, A_BLOCK))
     marks = write_values(marks, "marks")
 
@@ -276,7 +276,7 @@ def removals(documents: DataFrame, min_words: int = 1, num: int = 4, den: int =
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_paragraphs_removed long, n_paragraphs_repeated long, n_passages_repeated long, "
         "removed array<struct<s:int,e:int>>"
     )
-    return rows.mapInArrow(cut, out)
+    return rows.mapInArrow(lean(cut), out)
 
 
 def _marked(places: DataFrame, kind: int, found: DataFrame | None = None) -> DataFrame:

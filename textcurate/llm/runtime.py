@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,65 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch between Spark and its Python workers; texts of documents make thousands of them large.
+BATCH_ROWS = "2048"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set BATCH_ROWS for the session, unless the cluster's or the session's own setting differs from Spark's default."""
+    if spark.conf.get(_ROWS) == "10000" and not spark.sparkContext.getConf().contains(_ROWS):
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over a task's batches; at the end the worker gives the memory it has freed back to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library frees by itself
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Paths that the open `temporary` blocks will delete.
+_made: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/textcurate/{name}-{uuid.uuid4().hex}"
+    small_batches(spark)
+    path = f"{shared_dir(spark)}/textcurate/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes what was written by work_dir inside the block, once the block's results are written elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
@@ -43,6 +101,7 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

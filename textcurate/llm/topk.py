@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import map_array, save_array
-from .runtime import work_dir
+from .runtime import lean, work_dir
 
 BLOCK = 8192
 #: Blocks that a task holds while it passes the queries over them.
@@ -181,6 +181,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             if blocks[n]:
                 yield from best(blocks[n], n)
 
-    found = vectors.mapInArrow(scan, "query_id long, vec_id long, score long")
+    found = vectors.mapInArrow(lean(scan), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

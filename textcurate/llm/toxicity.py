@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import merge, pack
-from .hashing import SPACE, U, batches, hash_words, mix, word_spans
-from .runtime import materialize
+from .hashing import CHUNK, SPACE, U, batches, hash_words, mix, word_spans
+from .runtime import lean, materialize
 
 #: Labelled rows of either class that the classifier is fitted on at most (those of smallest id hash).
 SAMPLE = 4000
@@ -133,7 +133,7 @@ def features(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def document_features(texts, decoder: Decoder | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first text, text numbers, feature hashes, texts) of batches; a text has a feature at most once."""
-    for first, last, buf, bounds in batches(texts):
+    for first, last, buf, bounds in batches(texts, CHUNK):
         docs, hashes = [], []
         for s, h in features(buf):
             docs.append(np.searchsorted(bounds, s, "right") - 1)
@@ -220,7 +220,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
     trigrams = np.zeros(28**3, np.int64)
-    for r in rows.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 28**3 rows at most
+    for r in rows.select("text").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 28**3 rows at most
         trigrams[r["cell"]] = r["n"]
     picked = spark.createDataFrame([(i, y, fit) for i, (y, fit) in chosen.items()], "doc_id long, y int, fit boolean")  # at most 2 * sample rows
     own = materialize(rows.join(F.broadcast(picked), "doc_id").select("y", "fit", "text"), "toxicity-sample")
@@ -250,7 +250,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
         keep = (weight > 0) & (ratio >= LEAST_RATIO)
         return pa.table({"hash": pa.array(k[keep].view(np.int64)), "weight": pa.array(weight[keep])})
 
-    features_ = own.where("fit").select("y", "text").mapInArrow(weigh_features, "bucket int, blob binary")
+    features_ = own.where("fit").select("y", "text").mapInArrow(lean(weigh_features), "bucket int, blob binary")
     found = features_.groupBy("bucket").applyInArrow(gather, "hash long, weight double").toArrow()  # of a sample of bounded size
     k, w = found["hash"].to_numpy().view(U), found["weight"].to_numpy()
     order = np.argsort(k)
@@ -262,7 +262,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: i
             for first, x in model.inputs(b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(y[first : first + len(x)], pa.int32()), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["y", "a", "b"])
 
-    fitted = np.array([tuple(r) for r in own.where("not fit").select("y", "text").mapInArrow(inputs, "y int, a double, b double").collect()]).reshape(-1, 3)  # of the sample
+    fitted = np.array([tuple(r) for r in own.where("not fit").select("y", "text").mapInArrow(lean(inputs), "y int, a double, b double").collect()]).reshape(-1, 3)  # of the sample
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     prior = np.log((share + 1e-6) / (1 - share + 1e-6))
     y = fitted[:, 0]
@@ -306,7 +306,7 @@ def score(documents: DataFrame, model: Model, least: float = 0.7, fold: int = 3,
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == out, F.lit(False)).alias("held_out")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def reject(documents: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
