@@ -13,8 +13,8 @@ unique, which is most of a corpus. Of the others, phrases of the same bytes are
 dictionary, and all windows of an entry that occurs several times are repeated. Entries that
 occur once but share their trigger are opened, next to one copy of each other entry of that
 trigger: their suffixes are ordered to the depth of `length` bytes (suffixes.py), and those
-that tie are repeated. The entries of a trigger that has more than OPENED bytes of them are
-not held together; their windows' 64-bit hashes are counted instead, over all tasks.
+that tie are repeated. The entries of a trigger that has more than OPENED bytes or ENTRIES of them
+are not held together; their windows' 64-bit hashes are counted instead, over all tasks.
 
 Equal texts are one text for all of this; a text that occurs several times is removed whole
 if it has `length` bytes. Texts are never shuffled: what a pass needs to know of a text is
@@ -34,12 +34,12 @@ from .anchors import Rolling, phrases
 from .hashing import U
 from .linking import join_hot
 from .lookup import WHOLE_KEY, SharedKeys, Values, count_keys, write_values
-from .runtime import materialize
+from .runtime import lean, materialize
 from .suffixes import suffix_ranks
 
 TRIGGER = 40
-#: Bytes of a trigger's entries that a task holds and orders at once.
-OPENED = 1 << 21
+#: Bytes of a trigger's entries, and entries, that a task holds and orders at once.
+OPENED, ENTRIES = 1 << 21, 1024
 #: Bytes of a text that are parsed at once.
 PIECE = 1 << 20
 #: What is looked up of a text that occurs several times: whether it stands for its copies.
@@ -118,14 +118,14 @@ def repeated_runs(texts: DataFrame, copies, length: int) -> DataFrame:
         if size:
             yield _phrase_batch(cols)
 
-    met = materialize(texts.mapInArrow(parse, "trigger long, entry long, doc long, s int, n int, several boolean"), "phrases")
+    met = materialize(texts.mapInArrow(lean(parse), "trigger long, entry long, doc long, s int, n int, several boolean"), "phrases")
     entries = materialize(
         met.groupBy("trigger", "entry").agg(F.count("*").alias("times"), F.min(F.struct("doc", "s", "n")).alias("one"), F.max("several").alias("several")), "entries"
     )
     # the dictionary entries to open: their first place stands for all of them
     bytes_ = F.sum(F.col("one.n") + F.lit(length - 1)).alias("bytes")
     single = entries.groupBy("trigger").agg(F.max(F.col("times") == 1).alias("any"), F.count("*").alias("times"), F.max("several").alias("several"), bytes_)
-    single = single.where("any and (times > 1 or several)").select("trigger", "times", (F.col("bytes") > OPENED).alias("hot"))
+    single = single.where("any and (times > 1 or several)").select("trigger", "times", ((F.col("bytes") > OPENED) | (F.col("times") > ENTRIES)).alias("hot"))
     opened = join_hot(entries.select("trigger", "one"), single, "trigger", "opened")
     opened = write_values(
         opened.select(F.col("one.doc").alias("key"), "trigger", F.col("one.s").cast("long").alias("s"), F.col("one.n").cast("long").alias("n"), F.col("hot").cast("long").alias("hot")),
@@ -150,7 +150,7 @@ def repeated_runs(texts: DataFrame, copies, length: int) -> DataFrame:
             if rows:
                 yield _spelt(rows)
 
-    spelt = materialize(texts.mapInArrow(spell, "trigger long, doc long, s int, hot boolean, bytes binary"), "spelt")
+    spelt = materialize(texts.mapInArrow(lean(spell), "trigger long, doc long, s int, hot boolean, bytes binary"), "spelt")
 
     def compare(batches):
         held, size = [], 0
@@ -166,7 +166,7 @@ def repeated_runs(texts: DataFrame, copies, length: int) -> DataFrame:
             yield _runs(held, length, _ties(held, length))
 
     columns = ("trigger", "doc", "s", "bytes")
-    cold = spelt.where("not hot").select(*columns).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(compare, "doc long, s int, n int")
+    cold = spelt.where("not hot").select(*columns).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(lean(compare), "doc long, s int, n int")
 
     several = entries.where("times > 1").select("entry", "times")
     whole = join_hot(met.select("entry", "doc", "s", "n"), several, "entry", "repeated").select("doc", "s", "n")
@@ -189,7 +189,7 @@ def repeated_runs(texts: DataFrame, copies, length: int) -> DataFrame:
             if held:
                 yield _runs(held, length, keys.times(np.concatenate([Rolling(np.frombuffer(x[3], np.uint8)).all(length) for x in held])) > 1)
 
-    return found.unionByName(hot.mapInArrow(look, "doc long, s int, n int"))
+    return found.unionByName(hot.mapInArrow(lean(look), "doc long, s int, n int"))
 
 
 def _phrase_batch(cols) -> pa.RecordBatch:
@@ -270,4 +270,4 @@ def deduplicate(documents: DataFrame, length: int = 200, texts: bool = False) ->
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if texts else 5]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
+    return rows.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
