@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_rules, scan_lanes
-from .hashing import CHUNK
+from .hashing import batches
+from .runtime import lean
 
 # Fixed values: (kind, pattern of the prefix, pattern of the body, fold case in the prefix, least body, least span).
 RULES = [
@@ -75,26 +76,17 @@ class Scanner:
         out = [x for p in parts for x in self.segment(data, int(cuts[p - 1]) + 1, int(cuts[p]))]
         return sorted(out, key=lambda x: (x[0], x[2]))
 
-    def texts(self, texts: Sequence[str | None]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    def texts(self, texts: Sequence[str | None] | pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """(text number, spans in code points) of the texts that have any."""
-        i = 0
-        while i < len(texts):
-            parts, at, j = [], [0], i
-            while j < len(texts) and (j == i or at[-1] < 4 * CHUNK):
-                parts.append((texts[j] or "").encode("utf-8", "surrogatepass") + b"\n")
-                at.append(at[-1] + len(parts[-1]))
-                j += 1
-            buf = np.frombuffer(b"".join(parts), np.uint8)
+        for first, _, buf, at in batches(texts):
             found = self.scan(buf)
             docs = np.searchsorted(at, [x[0] for x in found], "right") - 1 if found else []
             by: dict[int, list] = {}
             for d, x in zip(docs, found):
                 by.setdefault(int(d), []).append(x)
             for d, xs in by.items():
-                own = buf[at[d] : at[d + 1]]
-                points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-                yield i + d, [(int(points[s - at[d]]), int(points[e - at[d]]), r) for s, e, r in xs]
-            i = j
+                points = np.concatenate([[0], np.cumsum((buf[at[d] : at[d + 1]] & 0xC0) != 0x80)])
+                yield first + d, [(int(points[s - at[d]]), int(points[e - at[d]]), r) for s, e, r in xs]
 
 
 def _fold(pattern: str) -> str:
@@ -131,11 +123,11 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
     ids and further columns are allowed; no rows give no rows. Map-only: nothing is shuffled.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner()
         kinds = [r[0] for r in RULES]
-        for b in batches:
-            found = dict(s.texts(b.column(1).to_pylist()))
+        for b in parts:
+            found = dict(s.texts(b.column(1)))
             spans, sha, counts = [], [], {k: [] for k in BASE}
             for i in range(b.num_rows):
                 own = found.get(i, [])
@@ -151,7 +143,7 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(lean(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
