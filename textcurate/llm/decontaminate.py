@@ -99,7 +99,9 @@ def _matches(documents: DataFrame, benchmark: DataFrame, width: int) -> tuple[Da
         may_hit = F.coalesce("held", F.lit(False))
     split = materialize(docs.select(*key, n_words, F.when(may_hit, F.col("text")).alias("text")), "candidates")
     texts = split.where("text is not null").dropDuplicates(key).withColumn("w", words(F.col("text"))).drop("text")
-    at = texts.select(*key, F.size("w").alias("n"), F.posexplode(shingles("w", singles)).alias("pos", "shingle"))
+    # the words themselves must not be carried into a row for each shingle
+    spread = texts.select(*key, F.size("w").alias("n"), shingles("w", singles).alias("s"))
+    at = spread.select(*key, "n", F.posexplode("s").alias("pos", "shingle"))
     # single words follow the pairs in the list, so that their places count anew from n
     at = at.withColumn("pos", F.expr("if(pos >= n, pos - n, pos)"))
     starts = at.join(prefix, "shingle").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
