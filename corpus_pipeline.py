@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcurate.llm.runtime import read_table, work_dir
+from textcurate.llm.runtime import drop, read_table, temporary, work_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows; tables that a stage needed, and its input, are deleted once its rows are written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = work_dir(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
