@@ -138,6 +138,13 @@ def embed(df: DataFrame, text: str, encode=None, to: str = "embedding", dims: in
     return df.withColumn(to, run(text))
 
 
+def cosine_scores(df: DataFrame, a: str, b: str, encode=None) -> tuple[DataFrame, DataFrame]:
+    """(df with the cosine of the embeddings of two texts a row, its summary)."""
+    both = embed(embed(df, a, encode, "__a"), b, encode, "__b")
+    out = both.withColumn("cosine", cosine(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    return out, cosine_summary(out)
+
+
 @lru_cache(100_000)
 def word_grams(word: str, low: int = 2, high: int = 4) -> tuple[str, ...]:
     """Character n-grams of a word padded by one blank on either side; where n reaches its length, the padded word ends them."""

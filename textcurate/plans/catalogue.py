@@ -830,3 +830,26 @@ def neutralized_records(spark, sf_dir):
         "post_id", F.size("attempts").alias("n_attempts"), "usage.used_fallback", F.col("usage.usage_total_tokens").alias("tokens"), "failure_reason", "synthetic_ok",
         F.md5("synthetic_input").alias("synthetic_input"), "jaccard",
     )
+
+
+def _letter_counts(texts: list[str]) -> list[list[float]]:
+    """A vector that SQL can spell too: how often some letters occur, and the text's length."""
+    return [[float(t.count(c)) for c in "etaoin"] + [float(len(t) + 1)] for t in texts]
+
+
+def _counts(x: str) -> str:
+    return "[" + ", ".join(f"cast(length({x}) - length(replace({x}, '{c}', '')) as double)" for c in "etaoin") + f", cast(length({x}) + 1 as double)]"
+
+
+_SIMILAR = f"""t as (select u.conv_id, u.turn, list_cosine_similarity({_counts('u.text')}, {_counts('a.text')}) as c
+from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 and u.role = 'user' and a.role = 'assistant')"""
+
+
+@query(f"with {_SIMILAR} select conv_id, turn, round(c, 6) as cosine from t")
+def text_cosines(spark, sf_dir):
+    return E.cosine_scores(turns(spark, sf_dir), "input", "response", _letter_counts)[0].select("conv_id", "turn", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"with {_SIMILAR} select round(avg(c), 6) as mean, round(median(c), 6) as median, round(stddev_pop(c), 6) as std, round(min(c), 6) as min, round(max(c), 6) as max, count(c) as n from t")
+def text_cosine_summary(spark, sf_dir):
+    return E.cosine_scores(turns(spark, sf_dir), "input", "response", _letter_counts)[1]

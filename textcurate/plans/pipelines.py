@@ -77,8 +77,8 @@ def evaluate(records: DataFrame, generated: DataFrame, classifier: E.StyleClassi
         said = classifier.predict(rows.where("generated is not null"), "generated").withColumn("own", F.element_at("probabilities", F.array_position(F.array(*[F.lit(c) for c in classifier.classes]), F.col("style_type")).cast("int")))
         out["style"] = E.class_scores(said, "style_type", "predicted", "own").first().asDict()
         out["confusion"] = [r.asDict() for r in E.confusion(said, "style_type", "predicted", classifier.classes).collect()]
+    out["cosine"] = E.cosine_scores(rows, "generated", "response_clean", encode)[1].first().asDict()
     both = E.embed(E.embed(rows, "generated", encode, "gv"), "response_clean", encode, "rv")
-    out["cosine"] = E.cosine_summary(both.withColumn("cosine", E.cosine(F.col("gv"), F.col("rv")))).first().asDict()
     out["mauve"] = E.mauve(both.select(F.col("gv").alias("embedding")), both.select(F.col("rv").alias("embedding")), clusters=4)
     return out
 
