@@ -90,7 +90,10 @@ def quality_gate(summary: DataFrame) -> DataFrame:
 def report_by_type(df: DataFrame, by: str = "style_type") -> DataFrame:
     """Rows, failures and shares of low and high overlap; rows without a Jaccard value are left out of the shares."""
     share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    return df.groupBy(by).agg(F.count("post_id").alias("n"), share(F.col("failed")).alias("failed"), share(F.col("jaccard") >= 0.5).alias("share_ge_0_5"), share(F.col("jaccard") < 0.3).alias("share_lt_0_3"))
+    return df.groupBy(by).agg(
+        F.count("post_id").alias("n"), share(F.col("failed")).alias("failed"),
+        share(F.col("jaccard") >= 0.5).alias("share_ge_0_5"), share(F.col("jaccard") < 0.3).alias("share_lt_0_3"),
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -188,7 +191,10 @@ class StyleClassifier:
                     own = text_grams(t)
                     times.update(own)
                     texts.update(own.keys())
-                yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([texts[g] for g in times], pa.int64())], names=["gram", "times", "texts"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([texts[g] for g in times], pa.int64())],
+                    names=["gram", "times", "texts"],
+                )
 
         n = rows.count()
         grams = rows.select("text").mapInArrow(count, "gram string, times long, texts long").groupBy("gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts"))
@@ -371,7 +377,8 @@ def memorisation_summary(found: DataFrame, fuzz: str = "fuzz_ratio", run: str =
     m = MEMORISATION
     out = found.agg(
         F.count("*").alias("n"), F.count_if(F.col(fuzz) == 100).alias("n_exact"), F.count_if(F.col(run) >= m["run_below"]).alias("n_long"),
-        F.median(fuzz).alias("fuzz_median"), F.max(fuzz).alias("fuzz_max"), F.median(jac).alias("jaccard_median"), F.max(jac).alias("jaccard_max"), F.median(run).alias("run_median"), F.max(run).alias("run_max"),
+        F.median(fuzz).alias("fuzz_median"), F.max(fuzz).alias("fuzz_max"), F.median(jac).alias("jaccard_median"), F.max(jac).alias("jaccard_max"),
+        F.median(run).alias("run_median"), F.max(run).alias("run_max"),
     )
     return out.withColumn("passed", (F.col("fuzz_median") < m["median_below"]) & (F.col("fuzz_max") < m["max_below"]) & (F.col("run_max") < m["run_below"]))
 

@@ -24,7 +24,10 @@ from ..functions import cost, overlap, payload, prompts
 from . import cache as C
 from .posts import ranks
 
-ATTEMPTS = "array<struct<attempt:int,model:string,failed:boolean,failure_reason:string,content:string,usage_prompt_tokens:long,usage_completion_tokens:long,usage_total_tokens:long,cost_usd_estimate:double>>"
+ATTEMPTS = (
+    "array<struct<attempt:int,model:string,failed:boolean,failure_reason:string,content:string,"
+    "usage_prompt_tokens:long,usage_completion_tokens:long,usage_total_tokens:long,cost_usd_estimate:double>>"
+)
 PRIMARY, FALLBACK = "openai/gpt-4.1-mini", "openai/gpt-4.1"
 
 
@@ -118,7 +121,10 @@ def attempts(
     return asked.withColumn(to, run("__prompt")).drop("__prompt")
 
 
-def neutralize(df: DataFrame, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5, max_jaccard: float = overlap.MAX_JACCARD, text: str = "response_clean", method: str = "openrouter", concurrency: int = 1, **limits) -> DataFrame:
+def neutralize(
+    df: DataFrame, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5,
+    max_jaccard: float = overlap.MAX_JACCARD, text: str = "response_clean", method: str = "openrouter", concurrency: int = 1, **limits,
+) -> DataFrame:
     """df with candidate, validation, attempts, usage and the synthetic_* fields. Map-only."""
     out = attempts(df, text, backend, mode, models, fact_limit, concurrency=concurrency)
     out = out.withColumn("__best", C.best_attempt(F.col("attempts")))
@@ -137,7 +143,10 @@ def neutralize(df: DataFrame, backend: Callable, mode: str = "rewrite", models:
     return out.drop("__best", "__content", "__error")
 
 
-def two_pass_brief(df: DataFrame, backend: Callable, models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 4, max_jaccard: float = overlap.MAX_JACCARD, text: str = "response_clean") -> DataFrame:
+def two_pass_brief(
+    df: DataFrame, backend: Callable, models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 4, max_jaccard: float = overlap.MAX_JACCARD,
+    text: str = "response_clean",
+) -> DataFrame:
     """Extract a structured brief, compress it, validate with and without copy limits, rewrite once where needed, keep the better.
 
     Adds final (a validation struct), used_postedit, used_two_pass and the usage of all calls.
@@ -153,7 +162,8 @@ def two_pass_brief(df: DataFrame, backend: Callable, models: tuple[str, ...] = (
     three = payload.parse(C_content(edit.unionByName(skip), "a3", "c3"), "c3", "brief_v4", to="p3", error="e3")
     three = overlap.with_validation(three, text, "p3", max_jaccard=max_jaccard, to="edited", **overlap.STRICT).persist()
     final = F.when(F.col("used_postedit"), overlap.better_validation(F.col("strict"), F.col("edited"))).otherwise(F.col("strict"))
-    out = three.withColumn("final", final).withColumn("attempts", F.concat("a1", "a2", "a3")).withColumn("usage", C.rollup_attempts(F.col("attempts"), models[0])).withColumn("used_two_pass", F.lit(True))
+    out = three.withColumn("final", final).withColumn("attempts", F.concat("a1", "a2", "a3"))
+    out = out.withColumn("usage", C.rollup_attempts(F.col("attempts"), models[0])).withColumn("used_two_pass", F.lit(True))
     return out.drop("a1", "a2", "a3", "c1", "c2", "c3", "e1", "e2", "e3")
 
 

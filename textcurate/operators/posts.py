@@ -121,7 +121,8 @@ def build_records(posts: DataFrame, overrides: DataFrame | None = None) -> DataF
     if overrides is None:
         out = out.withColumn("input", F.col("input_heuristic")).withColumn("input_source", F.lit("heuristic"))
     else:
-        out = out.join(overrides, ["style_type", "post_id"], "left").withColumn("input", F.coalesce("override_input", "input_heuristic")).withColumn("input_source", F.coalesce("override_source", F.lit("heuristic")))
+        out = out.join(overrides, ["style_type", "post_id"], "left")
+        out = out.withColumns({"input": F.coalesce("override_input", "input_heuristic"), "input_source": F.coalesce("override_source", F.lit("heuristic"))})
     style, text, answer = F.col("style_type"), F.col("input"), F.col("response_clean")
     return out.select(
         "post_id", F.col("date").cast("string").alias("date"), "split", "style_type", "channel", prompts.instruction(style).alias("instruction"), "input", "input_source",

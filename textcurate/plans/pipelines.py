@@ -53,7 +53,8 @@ def override_counts(records: DataFrame) -> DataFrame:
 def generation_summary(records: DataFrame, model: str | None = None) -> DataFrame:
     """Quality, gates, usage and cost in one row."""
     q = E.quality_gate(E.summarize_quality(records.select("response_clean", "synthetic_failed", F.col("validation.*")), "synthetic_failed"))
-    u = records.agg(*(F.sum(F.col(f"usage.{c}")).alias(c) for c in ("usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens")), F.round(F.sum("usage.cost_usd_estimate"), 6).alias("cost_usd_estimate"))
+    sums = (F.sum(F.col(f"usage.{c}")).alias(c) for c in ("usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens"))
+    u = records.agg(*sums, F.round(F.sum("usage.cost_usd_estimate"), 6).alias("cost_usd_estimate"))
     return q.crossJoin(u)  # one row each
 
 
@@ -74,7 +75,8 @@ def evaluate(records: DataFrame, generated: DataFrame, classifier: E.StyleClassi
     rows = E.zip_by_position(records, generated.select("pos", F.col("text").alias("generated")))
     out: dict[str, Any] = {"length": E.length_stats(rows, "generated").first().asDict()}
     if classifier:
-        said = classifier.predict(rows.where("generated is not null"), "generated").withColumn("own", F.element_at("probabilities", F.array_position(F.array(*[F.lit(c) for c in classifier.classes]), F.col("style_type")).cast("int")))
+        place = F.array_position(F.array(*[F.lit(c) for c in classifier.classes]), F.col("style_type")).cast("int")
+        said = classifier.predict(rows.where("generated is not null"), "generated").withColumn("own", F.element_at("probabilities", place))
         out["style"] = E.class_scores(said, "style_type", "predicted", "own").first().asDict()
         out["confusion"] = [r.asDict() for r in E.confusion(said, "style_type", "predicted", classifier.classes).collect()]
     out["cosine"] = E.cosine_scores(rows, "generated", "response_clean", encode)[1].first().asDict()

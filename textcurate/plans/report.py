@@ -121,7 +121,10 @@ def memorisation_section(found: dict[str, dict | None], nearest: dict[str, list[
             continue
         near = (nearest or {}).get(t, [])[:5]
         if near:
-            out.append(_grid(["text", "nearest", "ratio", "5-gram Jaccard", "run"], [[snippet(str(r.get("generated", r.get("query_id")))), str(r["nearest_id"]), f"{r['fuzz_ratio']:.1f}", f"{r['jaccard_5gram']:.3f}", str(r["longest_common_chars"])] for r in near]) + "\n")
+            line = lambda r: [
+                snippet(str(r.get("generated", r.get("query_id")))), str(r["nearest_id"]), f"{r['fuzz_ratio']:.1f}", f"{r['jaccard_5gram']:.3f}", str(r["longest_common_chars"])
+            ]
+            out.append(_grid(["text", "nearest", "ratio", "5-gram Jaccard", "run"], [line(r) for r in near]) + "\n")
         tests = [("median ratio", s["fuzz_median"], m["median_below"]), ("largest ratio", s["fuzz_max"], m["max_below"]), ("longest run", s["run_max"], m["run_below"])]
         out += [f"{name}: {number(float(v), 1)} (below {limit:g}: {'yes' if v < limit else 'no'})" for name, v, limit in tests]
         out.append(f"\n**{'PASS' if all(v < limit for _, v, limit in tests) else 'FAIL'}**\n")
@@ -135,7 +138,8 @@ def results(
     """The report of a whole run in six numbered sections, whatever of it is there."""
     parts = {
         "Data and split": split_section(split_report, types), "Training": training_section(manifests or {}, types), "Before and after": comparison_section(base, tuned, types),
-        "Separation of types": confusion_section(confusions or {}), "Memorisation": memorisation_section(memorisation or {}, nearest), "Simplifications": "\n".join(f"- {n}" for n in notes or []) or None,
+        "Separation of types": confusion_section(confusions or {}), "Memorisation": memorisation_section(memorisation or {}, nearest),
+        "Simplifications": "\n".join(f"- {n}" for n in notes or []) or None,
     }
     return "# RESULTS\n" + "".join(f"\n## {i}. {title}\n\n{body or '_no data yet_'}\n" for i, (title, body) in enumerate(parts.items(), 1))
 

@@ -78,7 +78,8 @@ def read_split(spark: SparkSession, base: str, style_type: str, split: str) -> D
 
 def read_optional(spark: SparkSession, path: str, kind: str = "json") -> DataFrame | None:
     try:
-        return spark.read.option("multiLine", True).json(path) if kind == "json" else spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
+        reader = spark.read.option("multiLine", True)
+        return reader.json(path) if kind == "json" else reader.option("header", True).option("inferSchema", True).option("escape", '"').csv(path)
     except AnalysisException:
         return None
 
