@@ -27,11 +27,11 @@ from .runtime import lean
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of up to 24 characters whose ids a worker remembers, at most (some 200 bytes each); others are encoded anew.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Stability results that a worker remembers before it starts afresh.
 STABLE = 500_000
 #: Texts that a worker holds as Python strings at once.
-SLICE = 1024
+SLICE = 512
 #: Characters of text whose distinct words are sorted at once.
 CHARS = 1 << 22
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
