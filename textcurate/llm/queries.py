@@ -191,3 +191,123 @@ def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraph_dedup import deduplicate
 
     return deduplicate(read_table(spark, sf_dir, "documents"), min_words=1)
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses, templates_of
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"), templates_of(spark))
+
+
+def _license_sql() -> str:
+    """A copy of a template's words is found by pairs of equal runs, its neighbouring diagonals by a self-join."""
+    from .license_templates import NOTICES, PHRASES, STATEMENTS
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = ", ".join(f"({i}, {quoted(label)}, {i < len(PHRASES)}, {quoted(text)})" for i, (label, text) in enumerate(PHRASES + STATEMENTS + NOTICES))
+    return rf"""
+with d as materialized (
+  select row_number() over () as rn, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), t as (
+  select id, label, base, len(w) as n, least(len(w), case when len(w) < 4 then 2 else 4 end) as k, w from (
+    select id, label, base, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from (values {listed}) as v(id, label, base, text)
+  )
+), tg as materialized (
+  select id, label, base, n, k, tp, array_to_string(w[tp + 1:tp + k], ' ') as run from (select *, unnest(range(0, n - k + 1)) as tp from t)
+), dg as (
+  select rn, k, p, array_to_string(w[p + 1:p + k], ' ') as run from (select rn, w, k, unnest(range(0, len(w) - k + 1)) as p from d, (select distinct k from tg) where len(w) >= k)
+), v as materialized (
+  select rn, id, label, base, n, tg.k, p, tp, p - tp as diag, case when n >= 64 and not base then 8 else 0 end as slack from dg join tg on dg.k = tg.k and dg.run = tg.run
+), near as materialized (
+  select a.rn, a.id, a.label, a.base, a.n, a.k, a.diag, b.p, b.tp from (select distinct rn, id, label, base, n, k, diag, slack from v) a join v b on a.rn = b.rn and a.id = b.id and abs(a.diag - b.diag) <= a.slack
+), covered as (
+  select rn, id, diag, count(distinct x) as c from (select rn, id, diag, unnest(range(tp, tp + k)) as x from near) group by all
+), spans as (
+  select rn, id, label, base, n, diag, min(p) as s, max(p + k) as e from near group by all
+), scored as (
+  select rn, label, base, s, c / greatest(n, e - s) as score from spans join covered using (rn, id, diag)
+), own as (
+  select rn, count(*) filter (where base and score = 1) as n_base, min(s) filter (where base and score = 1) as first_word, max(s) filter (where base and score = 1) as last_word,
+    string_agg(distinct label, ',' order by label) filter (where base and score = 1) as base_labels, string_agg(distinct label, ',' order by label) filter (where score >= 0.8) as labels, max(score) as score
+  from scored group by rn
+)
+select d.doc_id, len(d.w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0) as score
+from d left join own on own.rn = d.rn
+"""
+
+
+ORACLES["op11_license_scan"] = _license_sql()
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_variants
+
+    return group_variants(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling_variants"] = r"""
+with recursive t as materialized (
+  select list_transform(range(0, 256), lambda i: list_reduce([cast(i as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as crc
+), runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents
+), counted as (select doc_id, run, count(*) as c from runs where len(run) >= 6 group by all),
+bytes as (select run, c, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as x from counted),
+hashed as (
+  select run, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: cast('0x' || substr(x, i, 2) as bigint))), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) as h from bytes, t
+), shown as (
+  select case when h % 199 = 0 then substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) else run end as word, c from hashed
+), w as materialized (select word, cast(sum(c) as bigint) as n from shown where len(word) >= 6 group by word having sum(c) >= 5),
+cut as materialized (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, len(word) + 1)) as i from w)),
+near as materialized (
+  select a.word, b.word as near from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select word, rest from cut where rest in (select word from w)
+  union select rest, word from cut where rest in (select word from w)
+), best as (
+  select near.word, count(*) as n_near, max(o.n) as m, arg_min(o.word, struct_pack(a := -o.n, b := o.word)) as o from near join w o on o.word = near.near group by near.word
+), forms as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 5 * w.n then o end as form, case when m >= 5 * w.n then m end as form_n from w left join best using (word)
+), follow as (
+  select word, word as root from forms union all select follow.word, forms.form from follow join forms on forms.word = follow.root where forms.form is not null
+)
+select forms.word, forms.form, follow.root, forms.n, forms.n_near, forms.form_n
+from forms join follow on follow.word = forms.word join forms e on e.word = follow.root where e.form is null
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+with l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w, min(doc_id) over (partition by coalesce(text, '')) as first from documents
+), m as materialized (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > first, false)] as fails
+  from d left join l on l.doc_id = d.doc_id
+), c as materialized (select part, fails, count(*) as c, sum(good) as good, sum(toxic) as toxic from m group by all),
+f(x, name) as (values (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+orders as (
+  select [a.x, b.x, c.x, d.x, e.x] as o, a.name || b.name || c.name || d.name || e.name as filter_order
+  from f a join f b on b.x <> a.x join f c on c.x not in (a.x, b.x) join f d on d.x not in (a.x, b.x, c.x) join f e on e.x not in (a.x, b.x, c.x, d.x)
+), steps as (select filter_order, step, o[step] as k, o[1:step - 1] as before from (select *, unnest(range(1, 6)) as step from orders)),
+seen as (
+  select part, filter_order, step, k, c, good, toxic, fails[k] as bad, len(list_filter(before, lambda x: fails[x])) > 0 as gone, len(list_filter(fails, lambda x: x)) = 1 as alone from steps, c
+), counted as materialized (
+  select part, filter_order, step, k, coalesce(sum(c) filter (where not bad and not gone), 0) as kept, coalesce(sum(c) filter (where bad and not gone), 0) as removed, coalesce(sum(c) filter (where bad and gone), 0) as redundant,
+    coalesce(sum(c) filter (where bad and alone), 0) as unique_fails, coalesce(sum(good) filter (where bad and not gone), 0) as good_lost, coalesce(sum(toxic) filter (where bad and not gone), 0) as toxic_lost
+  from seen group by all
+)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, k) as bigint) as shapley
+from counted
+"""
