@@ -157,11 +157,11 @@ def spelt_rows():
         return w[:i] + c + w[i:] if kind == 0 else w[:i] + w[i + 1 :] if kind == 1 else w[:i] + c + w[i + 1 :]
 
     bag = [(s, rng.choice([5, 30, 150])) for s in stems] + [(edit(s), rng.choice([3, 5, 6, 25])) for s in stems for _ in range(12)]
-    bag += [("chainab", 5), ("chainac", 25), ("chaimac", 125), ("chaumac", 625), ("tiedwrd", 5), ("tiedwrx", 25), ("tiedwra", 25)]
+    special = [("chainab", 5), ("chainac", 25), ("chaimac", 125), ("chaumac", 625), ("tiedwrd", 5), ("tiedwrx", 25), ("tiedwra", 25)]
     flat = [w for w, c in bag for _ in range(c)]
     rng.shuffle(flat)
     rows = [(i, " ".join(w.upper() if w.isascii() and i % 3 == 0 else w for w in flat[40 * i : 40 * i + 40])) for i in range(len(flat) // 40 + 1)]
-    return rows + [(7, rows[7][1]), (7, rows[7][1]), (None, rows[3][1]), (None, None), (900, ""), (901, "123 4"), (902, "longword " * 3000), (903, "z" * 5000)]
+    return rows + [(800, " ".join(w for w, c in special for _ in range(c))), (7, rows[7][1]), (7, rows[7][1]), (None, rows[3][1]), (None, None), (900, ""), (901, "123 4"), (902, "longword " * 3000), (903, "z" * 5000)]
 
 
 @pytest.mark.parametrize("drop", [199, 3, None])
