@@ -35,6 +35,13 @@ COST_LEET, COST_GAP, COST_REPEAT = 0.7, 0.3, 0.5
 #: Blanks at most between characters set apart.
 BLANKS = 3
 
+#: Longer words aren't remembered.
+REMEMBERED = 64
+#: By character: (letter or nothing, class, cost) of each way to read it.
+WAYS = {chr(i): ((chr(i), i - 96, 0.0),) for i in range(97, 123)}
+WAYS |= {c: tuple((x, ord(x) - 96, COST_LEET) for x in LEET.get(c, "")) + ((("", 0, COST_GAP),) if c in GAPS else ()) for c in {*LEET, *GAPS}}
+NOTHING, REPEATED = (("", 0, 2.0),), (("", 0, COST_REPEAT),)
+
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
 _NOT_LETTER = ~_LETTER
@@ -64,31 +71,60 @@ class Decoder:
         p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
         p3 = (n + 20 * p2[None]) / (n.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(p3)).tolist()
-        self.decode = lru_cache(100_000)(self._decode)
+        # letters more than two are never worth more than they cost: 0.4 each beyond a gap, against two changed trigrams
+        self.most = 2 + int(2 * float(np.max(-np.log(p3))) / (COST_LEET - COST_GAP))
+        self.short = lru_cache(100_000)(self._decode)
+
+    def decode(self, word: str) -> str:
+        """The likeliest plain word, in time and memory linear in its length; only short words are remembered."""
+        return self.short(word) if len(word) <= REMEMBERED else self._decode(word)
 
     def _decode(self, word: str) -> str:
-        beam = {(0, 0): (0.0, "")}
-        before = ""
+        cost, plain = self.cost, []  # plain: what all ways that are left have in common
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        before, run = "", 0
         for ch in word:
-            ways = [(ch, 0.0)] if ch.isalpha() else [(c, COST_LEET) for c in LEET.get(ch, "")]
-            if ch in GAPS:
-                ways.append(("", COST_GAP))
-            if ch == before:
-                ways.append(("", COST_REPEAT))
-            if not ways:
-                ways = [("", 2.0)]
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in beam.items():
-                for c, w in ways:
+            run = run + 1 if ch == before else 1
+            ways = WAYS.get(ch) or (((ch, 27, 0.0),) if ch.isalpha() else NOTHING)
+            if run > self.most and len(ways) > 2 and ch in GAPS:
+                continue  # more of a sign that may be a gap cost every way the same
+            if run > 1:
+                ways += REPEATED
+            before = ch
+            if len(beam) == 1 and len(ways) == 1:
+                ((a, b),) = beam
+                c, k, _ = ways[0]
+                if c:
+                    plain.append(c)
+                    beam = {(b, k): (0.0, None)}
+                continue
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (total, path) in beam.items():
+                row = cost[a][b]
+                for c, k, w in ways:
                     if c:
-                        k = ord(c) - 96 if "a" <= c <= "z" else 27
-                        key, total, out = (b, k), cost + w + self.cost[a][b][k], text + c
+                        key, now, way = (b, k), total + w + row[k], (path, c)
                     else:
-                        key, total, out = (a, b), cost + w, text
-                    if key not in nxt or total < nxt[key][0]:
-                        nxt[key] = (total, out)
-            beam, before = nxt, ch
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in beam.items())[1]
+                        key, now, way = (a, b), total + w, path
+                    if key not in nxt or now < nxt[key][0]:
+                        nxt[key] = (now, way)
+            beam = nxt
+            if len(beam) == 1:
+                ((key, (_, path)),) = beam.items()
+                plain.append(_spelt(path))
+                beam = {key: (0.0, None)}
+        ends = [(total + cost[a][b][0], path) for (a, b), (total, path) in beam.items()]
+        least = min(total for total, _ in ends)
+        return "".join(plain) + min(_spelt(path) for total, path in ends if total == least)
+
+
+def _spelt(path: tuple | None) -> str:
+    """The characters of a chain of (chain before, character)."""
+    out = []
+    while path is not None:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def tricky_words(buf: np.ndarray) -> list[tuple[int, str]]:
