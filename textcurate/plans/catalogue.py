@@ -19,7 +19,7 @@ from ..operators import evaluation as E
 from ..operators import generation as G
 from ..operators import posts as P
 from ..operators import sampling as S
-from ..sources import readers
+from ..sources import files, readers
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,6 +702,28 @@ def export_messages(spark, sf_dir):
     return m.select(F.floor(F.col("post_id") / 100).cast("long").alias("post_id"), F.pmod("post_id", F.lit(100)).cast("int").alias("turn"), "channel", "date", F.md5("text").alias("text"))
 
 
+@query(
+    """select doc_id as post_id, 'export ' || doc_id // 2500 as channel, timestamp '2024-01-01 00:00:00' + to_seconds(cast(doc_id as bigint)) as date, md5(coalesce(text, '') || ' {"}') as text
+    from documents where lang is distinct from 'de'"""
+)
+def split_exports(spark, sf_dir):
+    """Documents as JSON exports of 2,500 messages, each file one object in one line, read in splits; rows of one language are service messages."""
+    d = table(spark, sf_dir, "documents").withColumn("file", F.floor(F.col("doc_id") / 2500))
+    kind = F.when(F.col("lang").eqNullSafe("de"), "service").otherwise("message")
+    date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(' {"}'))
+    message = F.to_json(F.struct(F.col("doc_id").alias("id"), kind.alias("type"), date.alias("date"), F.array(F.struct(F.lit("bold").alias("type"), text.alias("text"))).alias("text")))
+    own = d.select("file", F.lit(1).alias("o"), F.concat(F.lit(","), message).alias("value"))
+    ends = d.select("file").distinct().select("file", F.inline(F.array(
+        F.struct(F.lit(0).alias("o"), F.concat(F.lit('{"name":"export '), "file", F.lit('","messages":[{"type":"first"}')).alias("value")), F.struct(F.lit(2).alias("o"), F.lit("]}").alias("value")),
+    )))
+    path = files.scratch(spark, "exports")
+    both = own.unionByName(ends).repartition("file").sortWithinPartitions("file", "o")
+    both.select("file", "value").write.partitionBy("file").option("lineSep", " ").text(path)
+    m = readers.read_export(spark, path)
+    return m.select("post_id", "channel", "date", F.md5("text").alias("text"))
+
+
 @query(
     f"""with {_PAIRS}, t as (select *, not {sql.numbers_preserved('response_clean', 'candidate')} as lost, {sql.jaccard('response_clean', 'candidate')} as j from pairs), f as (select *, candidate = '' or lost as failed from t)
     select post_id, md5(case when failed then '' else candidate end) as synthetic_input, not failed as synthetic_ok, case when failed then 'heuristic' else 'openrouter_synthetic' end as input_source,

@@ -6,6 +6,8 @@ Everything goes through Hadoop's file systems, so a path means the same here as
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -22,6 +24,18 @@ def exists(path: str) -> bool:
     return fs.exists(at)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder in spark.checkpoint.dir, which all executors share.
+
+    Only where that setting is absent (local tests) is a folder of our own set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="textcurate-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/textcurate/{name}-{uuid.uuid4().hex}"
+
+
 def write_text(path: str, text: str) -> None:
     """Write beside the path first, so that a reader never meets half a file."""
     jvm, fs, at = _there(path)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache import last_wins
+from . import exports
 
 BLOCK = "\n===\n"
 
@@ -19,20 +20,30 @@ def flatten_text(v: Column) -> Column:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """posts (post_id, date, text, channel) of JSON exports: one document a file, its `messages` of type message."""
-    return parse_export(spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")))
+    """posts (post_id, date, text, channel) of JSON exports: one document a file, its `messages` of type message.
 
+    Files are read in splits, whatever their size (exports.py). A document without a name is
+    called after its folder. Messages without a text have an empty one; a date that can't be
+    read is null. A document that ends too early raises ValueError.
+    """
+    each = exports.messages(spark, path)
+    return posts_of(each.select(_channel(F.col("name"), F.col("file")).alias("channel"), F.parse_json("value").alias("m")))
 
-def parse_export(documents: DataFrame) -> DataFrame:
-    """read_export of documents (value: JSON, file: path); a document without a name is called after its folder.
 
-    Messages without a text have an empty one; a date that can't be read is null.
-    """
+def parse_export(documents: DataFrame) -> DataFrame:
+    """read_export of documents that are rows already (value: JSON of 128 MB at most, file: path)."""
     docs = documents.select(F.parse_json("value").alias("v"), F.col("file").alias("f"))
-    name = F.coalesce(F.try_variant_get("v", "$.name", "string"), F.try_element_at(F.split("f", "/"), F.lit(-2)))
-    docs = docs.select("v", name.alias("channel"))
-    each = docs.select("channel", F.explode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("m"))
-    kept = each.where(F.try_variant_get("m", "$.type", "string") == "message")
+    docs = docs.select("v", _channel(F.try_variant_get("v", "$.name", "string"), F.col("f")).alias("channel"))
+    return posts_of(docs.select("channel", F.explode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("m")))
+
+
+def _channel(name: Column, file: Column) -> Column:
+    return F.coalesce(name, F.try_element_at(F.split(file, "/"), F.lit(-2)))
+
+
+def posts_of(messages: DataFrame) -> DataFrame:
+    """posts of the messages (channel, m: VARIANT) of type message."""
+    kept = messages.where(F.try_variant_get("m", "$.type", "string") == "message")
     date = F.try_variant_get("m", "$.date", "string")
     return kept.select(
         F.try_variant_get("m", "$.id", "long").alias("post_id"), F.try_to_timestamp(date).alias("date"), flatten_text(F.try_variant_get("m", "$.text", "variant")).alias("text"), "channel"
