@@ -8,6 +8,7 @@ from textcurate.functions import text as T
 from textcurate.operators import cache as C
 from textcurate.operators import evaluation as E
 from textcurate.operators import generation as G
+from textcurate.operators import nearest as N
 from textcurate.operators import posts as P
 from textcurate.operators import sampling as S
 from textcurate.plans import pipelines, report
@@ -130,7 +131,7 @@ def test_evaluation(spark):
     model = E.StyleClassifier(["type1", "type2"], 500).fit(texts, "response_clean", "style_type")
     out = pipelines.evaluate(texts, texts.select("pos", F.col("response_clean").alias("text")), model)
     assert out["style"]["style_accuracy"] == 1.0 and out["cosine"]["mean"] == pytest.approx(1.0) and out["mauve"]["mauve"] > 0.9
-    near = E.nearest_texts(texts.limit(2), texts, "pos", "response_clean", "pos", "response_clean").collect()
+    near = N.nearest_texts(texts.limit(2), texts, "pos", "response_clean", "pos", "response_clean").collect()
     assert all(r["fuzz_ratio"] == 100.0 and r["jaccard_5gram"] == 1.0 for r in near) and not E.memorisation_summary(spark.createDataFrame(near)).first()["passed"]
     assert "no data" in report.build({"a": [{"x": 1.0}], "b": None}) and report.duration(3700) == "1h 1m 40s" and report.delta(1.0, None) == report.DASH
 
@@ -309,14 +310,46 @@ def test_nearest_texts_by_brute_force(spark):
         run = max((n - m for m in range(len(t)) for n in range(m + 1, len(t) + 1) if t[m:n] in u), default=0)
         want[i] = (c, pytest.approx(-near, abs=1e-4), pytest.approx(len(both) / len(all_) if all_ else 1.0, abs=1e-4), run)
     q, c = spark.createDataFrame(asked, "item_id long, text string"), spark.createDataFrame(corpus, "doc_id long, text string")
-    found = E.nearest_texts(q, c, "item_id", "text", "doc_id", "text").cache()
+    found = N.nearest_texts(q, c, "item_id", "text", "doc_id", "text").cache()
     got = {r["query_id"]: (r["nearest_id"], r["fuzz_ratio"], r["jaccard_5gram"], r["longest_common_chars"]) for r in found.collect()}
     assert got == want
+    again = N.nearest_texts(q, c, "item_id", "text", "doc_id", "text", group_bytes=300)  # many groups and several blocks of queries
+    assert {r["query_id"]: (r["nearest_id"], r["fuzz_ratio"], r["jaccard_5gram"], r["longest_common_chars"]) for r in again.collect()} == want
+    assert N.nearest_texts(q, c.where("false"), "item_id", "text", "doc_id", "text").collect() == []
+    assert N.nearest_texts(q.where("false"), c, "item_id", "text", "doc_id", "text").collect() == []
     s, fuzz = E.memorisation_summary(found).first(), [v[1] for v in got.values()]
     assert (s["n"], s["n_exact"], s["fuzz_max"], s["passed"]) == (len(asked), sum(x == 100 for x in fuzz), max(fuzz), False)
     assert s["fuzz_median"] == pytest.approx(statistics.median(fuzz)) and s["n_long"] == sum(v[3] >= E.MEMORISATION["run_below"] for v in got.values())
 
 
+@pytest.mark.parametrize("hot", [0, 2, 8, 1000])
+def test_nearest_by_shingles_by_brute_force(spark, hot):
+    """Texts that all share a 5-gram, 5-grams of many texts, ties of the rounded ratio, short and empty texts."""
+    import random
+
+    rng = random.Random(8)
+    phrases = [" ".join(rng.choice(["w", "x", "y", "z"]) + str(rng.randrange(30)) for _ in range(6)) for _ in range(12)]
+    corpus = [(i, "in every text one shingle " + " . ".join(rng.choices(phrases[:2] * 4 + phrases, k=rng.randrange(5))) + " pad" * rng.randrange(3)) for i in range(60)]
+    corpus += [(100, "short text"), (101, None), (102, ""), (103, "other words stand here alone now"), (None, corpus[0][1])]
+    asked = [(i, " . ".join(["in every text one shingle"] * (i % 2) + rng.sample(phrases, rng.randrange(1, 4)))) for i in range(12)]
+    asked += [(20, corpus[7][1]), (21, "in every text one shingle"), (22, "short"), (23, "nothing of this is there at all"), (24, None)]
+
+    def five(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {(x,) for x in w}
+
+    want = {}
+    for q, t in asked:
+        both = [(-round(len(five(t) & five(u)) / len(five(t) | five(u)), 6), c, len(five(t) & five(u))) for c, u in corpus if c is not None and five(t) & five(u)]
+        if both:
+            j, c, n = min(both)
+            want[q] = (c, -j, n)
+    df = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    found = N.nearest_by_shingles(df(asked, "item_id"), df(corpus, "doc_id"), "item_id", "text", "doc_id", "text", hot=hot)
+    assert {r["query_id"]: (r["nearest_id"], r["jaccard_5gram"], r["n_shared"]) for r in found.collect()} == want
+    assert len(want) == 15
+
+
 def test_classifier_weights_by_definition(spark):
     import math
     from collections import Counter

@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence; a's positions are the bits of one integer."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+def places(text: str) -> dict[str, int]:
+    """By character, its places in a text as the bits of one integer."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def subsequence(of: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence of a text, given by its places and size, and another."""
+    full = (1 << size) - 1
     state = full
-    for c in b:
-        m = places.get(c)
+    for c in other:
+        m = of.get(c)
         if m:
             u = state & m
             state = ((state + u) | (state - u)) & full
-    return len(a) - state.bit_count()
+    return size - state.bit_count()
+
+
+def common_subsequence(a: str, b: str) -> int:
+    return subsequence(places(a), len(a), b) if a and b else 0
 
 
 def indel_ratio(a: str, b: str) -> float:

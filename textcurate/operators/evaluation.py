@@ -298,80 +298,6 @@ def frontier_integral(a: np.ndarray, b: np.ndarray) -> float:
     return float(out.sum())
 
 
-#: Texts of the query side that go to each task at once (their bytes are checked too).
-QUERIES, QUERY_BYTES = 2000, 8_000_000
-
-
-def nearest_texts(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, corpus_id: str, corpus_text: str) -> DataFrame:
-    """For each query the corpus text of highest Indel ratio, ties to the smaller id, with its 5-gram Jaccard and longest common run.
-
-    Queries go in blocks of bounded size to one pass over the corpus each. A task scores a
-    pair only if its lengths and letters allow more than the query's best so far; per task
-    one row a query is returned, and an aggregation keeps the best.
-    """
-    norm = lambda c: T.normalize(F.coalesce(F.col(c), F.lit("")))
-    spark = queries.sparkSession
-    rows = corpus.select(F.col(corpus_id).cast("long").alias("id"), norm(corpus_text).alias("t"))
-    parts = []
-
-    def scan(block):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(frames):
-            asked = [(i, t, Counter(t)) for i, t in shared.value]
-            best: dict[int, tuple[float, int, str]] = {}
-            for f in frames:
-                for cid, text in zip(f["id"], f["t"]):
-                    own = None
-                    for k, (_, t, letters) in enumerate(asked):
-                        have = best.get(k)
-                        total = len(t) + len(text)
-                        if have and total and 200.0 * min(len(t), len(text)) / total < have[0]:
-                            continue
-                        own = own or Counter(text)
-                        shared_letters = sum(min(n, own[c]) for c, n in letters.items())
-                        if have and total and 200.0 * shared_letters / total < have[0]:
-                            continue
-                        r = fuzzy.indel_ratio(t, text)
-                        if not have or r > have[0] or r == have[0] and cid < have[1]:
-                            best[k] = (r, cid, text)
-            yield pd.DataFrame([(asked[k][0], asked[k][1], b[0], b[1], b[2]) for k, b in best.items()], columns=["q", "qt", "fuzz", "id", "t"])
-
-        parts.append(rows.mapInPandas(run, "q long, qt string, fuzz double, id long, t string"))
-
-    block, size = [], 0
-    for r in queries.select(F.col(query_id).cast("long"), norm(query_text)).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if len(block) == QUERIES or size > QUERY_BYTES:
-            scan(block)
-            block, size = [], 0
-    if block or not parts:
-        scan(block)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    first = F.min_by(F.struct("qt", "fuzz", "id", "t"), F.struct((-F.col("fuzz")).alias("f"), "id")).alias("b")
-    out = found.groupBy("q").agg(first).select("q", "b.*")
-    return out.select(
-        F.col("q").alias("query_id"), F.col("id").alias("nearest_id"), F.round("fuzz", 4).alias("fuzz_ratio"),
-        F.round(overlap.set_jaccard(T.shingles5(F.col("qt")), T.shingles5(F.col("t"))), 4).alias("jaccard_5gram"),
-        fuzzy.common_substring_udf("qt", "t").alias("longest_common_chars"),
-    )
-
-
-def nearest_by_shingles(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, corpus_id: str, corpus_text: str) -> DataFrame:
-    """For each query the corpus text of highest 5-gram Jaccard (ties to the smaller id): an equi-join on shingles, no pairs without one in common."""
-    sh = lambda df, i, t, a: df.select(F.col(i).cast("long").alias(a), T.shingle_hashes(F.coalesce(F.col(t), F.lit(""))).alias("s")).withColumn("n", F.size("s"))
-    q, c = sh(queries, query_id, query_text, "query_id"), sh(corpus, corpus_id, corpus_text, "nearest_id")
-    a = q.select("query_id", F.col("n").alias("qn"), F.explode("s").alias("g"))
-    b = c.select("nearest_id", F.col("n").alias("cn"), F.explode("s").alias("g"))
-    pairs = a.join(b, "g").groupBy("query_id", "nearest_id", "qn", "cn").agg(F.count("*").alias("n_shared"))
-    scored = pairs.withColumn("jaccard_5gram", F.round(F.col("n_shared") / (F.col("qn") + F.col("cn") - F.col("n_shared")), 6))
-    w = Window.partitionBy("query_id").orderBy(F.desc("jaccard_5gram"), "nearest_id")
-    return scored.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "nearest_id", "jaccard_5gram", "n_shared")
-
-
 def memorisation_summary(found: DataFrame, fuzz: str = "fuzz_ratio", run: str = "longest_common_chars", jac: str = "jaccard_5gram") -> DataFrame:
     """Exact and long matches, medians and maxima, and the verdict."""
     m = MEMORISATION

@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..operators import cache as C
 from ..operators import evaluation as E
 from ..operators import generation as G
+from ..operators import nearest as N
 from ..operators import posts as P
 from ..operators import sampling as S
 from ..sources import files, readers
@@ -617,7 +618,7 @@ def mauve_score(spark, sf_dir):
 
 @query()
 def memorization_nearest(spark, sf_dir):
-    return E.nearest_texts(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+    return N.nearest_texts(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
 @query(
@@ -627,7 +628,7 @@ def memorization_nearest(spark, sf_dir):
     select item_id as query_id, doc_id as nearest_id, j as jaccard_5gram, n_shared from s qualify row_number() over (partition by item_id order by j desc, doc_id) = 1"""
 )
 def memorization_5gram(spark, sf_dir):
-    return E.nearest_by_shingles(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+    return N.nearest_by_shingles(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
 @query()

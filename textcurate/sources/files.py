@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _there(path: str):
@@ -36,6 +36,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/textcurate/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder of checkpoints; Spark's cleaner removes it where the session asks for that."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def write_text(path: str, text: str) -> None:
     """Write beside the path first, so that a reader never meets half a file."""
     jvm, fs, at = _there(path)
