@@ -15,6 +15,7 @@ from pyspark.sql.types import StructField, StructType
 from ..functions import fuzzy, overlap
 from ..functions import text as T
 from .posts import has_several
+from .quantiles import summaries
 
 # Quality gates.
 QUALITY_TARGETS = {
@@ -29,11 +30,12 @@ MEMORISATION = {"median_below": 60.0, "max_below": 100.0, "run_below": 30}
 
 def length_stats(df: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:
     """Characters (stripped) mean, median, sample deviation, least and most; words mean and median; to 1 place."""
-    rows = df.withColumn("__c", F.length(T.strip(F.col(text)))).withColumn("__w", T.blank_words(F.col(text)))
-    one = lambda c: F.round(c, 1)
-    return rows.groupBy(*(by or [])).agg(
-        F.count("*").alias("n"), one(F.avg("__c")).alias("char_mean"), one(F.median("__c")).alias("char_median"), one(F.stddev_samp("__c")).alias("char_std"),
-        F.min("__c").alias("char_min"), F.max("__c").alias("char_max"), one(F.avg("__w")).alias("word_mean"), one(F.median("__w")).alias("word_median"),
+    half = [0.5]
+    out = summaries(df, {"c": (F.length(T.strip(F.col(text))), half), "w": (T.blank_words(F.col(text)), half)}, by)
+    one = lambda c, name: F.round(c, 1).alias(name)
+    return out.select(
+        *(by or []), F.col("rows").alias("n"), one("c.mean", "char_mean"), one(F.col("c.q")[0], "char_median"), one("c.std_samp", "char_std"),
+        F.col("c.min").cast("int").alias("char_min"), F.col("c.max").cast("int").alias("char_max"), one("w.mean", "word_mean"), one(F.col("w.q")[0], "word_median"),
     )
 
 
@@ -106,8 +108,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def cosine_summary(df: DataFrame, column: str = "cosine", places: int = 6) -> DataFrame:
     r = lambda c, name: F.round(c, places).alias(name)
-    c = F.col(column)
-    return df.agg(r(F.avg(c), "mean"), r(F.median(c), "median"), r(F.stddev_pop(c), "std"), r(F.min(c), "min"), r(F.max(c), "max"), F.count(c).alias("n"))
+    c = summaries(df, {"c": (column, [0.5])})
+    return c.select(r("c.mean", "mean"), r(F.col("c.q")[0], "median"), r("c.std_pop", "std"), r("c.min", "min"), r("c.max", "max"), F.col("c.n").alias("n"))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, classes: list) -> DataFrame:
@@ -300,11 +302,13 @@ def frontier_integral(a: np.ndarray, b: np.ndarray) -> float:
 
 def memorisation_summary(found: DataFrame, fuzz: str = "fuzz_ratio", run: str = "longest_common_chars", jac: str = "jaccard_5gram") -> DataFrame:
     """Exact and long matches, medians and maxima, and the verdict."""
-    m = MEMORISATION
-    out = found.agg(
-        F.count("*").alias("n"), F.count_if(F.col(fuzz) == 100).alias("n_exact"), F.count_if(F.col(run) >= m["run_below"]).alias("n_long"),
-        F.median(fuzz).alias("fuzz_median"), F.max(fuzz).alias("fuzz_max"), F.median(jac).alias("jaccard_median"), F.max(jac).alias("jaccard_max"),
-        F.median(run).alias("run_median"), F.max(run).alias("run_max"),
+    m, half = MEMORISATION, [0.5]
+    exact, long = F.when(F.col(fuzz) == 100, 1), F.when(F.col(run) >= m["run_below"], 1)
+    s = summaries(found, {"f": (fuzz, half), "j": (jac, half), "r": (run, half), "exact": (exact, half), "long": (long, half)})
+    out = s.select(
+        F.col("rows").alias("n"), F.col("exact.n").alias("n_exact"), F.col("long.n").alias("n_long"),
+        F.col("f.q")[0].alias("fuzz_median"), F.col("f.max").alias("fuzz_max"), F.col("j.q")[0].alias("jaccard_median"), F.col("j.max").alias("jaccard_max"),
+        F.col("r.q")[0].alias("run_median"), F.col("r.max").cast("int").alias("run_max"),
     )
     return out.withColumn("passed", (F.col("fuzz_median") < m["median_below"]) & (F.col("fuzz_max") < m["max_below"]) & (F.col("run_max") < m["run_below"]))
 

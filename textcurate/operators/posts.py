@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import overlap, prompts
 from ..functions import text as T
+from .quantiles import summaries
 
 
 def filter_min_chars(df: DataFrame, min_chars: int = 50, text: str = "text") -> DataFrame:
@@ -134,10 +135,10 @@ def build_records(posts: DataFrame, overrides: DataFrame | None = None) -> DataF
 def max_token_filter(df: DataFrame, max_tokens: int, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(rows within the limit, one row of dropped, max_tokens and the discrete p95 of all)."""
     counted = df.withColumn("n_tokens", tokens)
-    stats = counted.agg(
-        F.count_if(F.col("n_tokens") > max_tokens).alias("dropped"), F.max("n_tokens").alias("max_tokens"),
-        F.expr("cast(percentile_disc(0.95) within group (order by n_tokens) as bigint)").alias("p95"),
-    )
+    over = F.when(F.col("n_tokens") > max_tokens, 1)
+    s = summaries(counted, {"n": ("n_tokens", [0.95]), "over": (over, [1.0])}, disc=True)
+    kind = counted.schema["n_tokens"].dataType
+    stats = s.select(F.col("over.n").alias("dropped"), F.col("n.max").cast(kind).alias("max_tokens"), F.col("n.q")[0].cast("long").alias("p95"))
     return counted.where(F.col("n_tokens") <= max_tokens), stats
 
 

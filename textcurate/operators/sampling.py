@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .posts import join_small
+from .quantiles import summaries
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:
@@ -24,7 +25,7 @@ def add_strata(df: DataFrame, by: list[str] | None = None, text: str = "response
     equal edges leave quartiles empty instead of failing.
     """
     by = by or []
-    edges = df.groupBy(*by).agg(F.percentile("char_len", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__e"))
+    edges = summaries(df, {"__e": ("char_len", [0.25, 0.5, 0.75])}, by).select(*by, F.col("__e.q").alias("__e"))
     out = join_small(df, edges, by)
     n, e = F.col("char_len"), F.col("__e")
     q = F.when(n <= e[0], "Q1").when(n <= e[1], "Q2").when(n <= e[2], "Q3").otherwise("Q4")

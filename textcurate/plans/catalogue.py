@@ -20,6 +20,7 @@ from ..operators import generation as G
 from ..operators import nearest as N
 from ..operators import posts as P
 from ..operators import sampling as S
+from ..operators.quantiles import summaries
 from ..sources import files, readers
 from . import sql
 
@@ -559,7 +560,8 @@ def length_compare(spark, sf_dir):
 def length_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("style_type"), T.heuristic_brief(F.col("text")).alias("input"), "text")
     r = E.length_compare(d, "input", "text").withColumn("raw", F.col("ref_chars") / F.greatest("input_chars", F.lit(1)))
-    return r.groupBy("style_type").agg(F.count("*").alias("n"), F.round(F.avg("raw"), 3).alias("ratio_mean"), F.round(F.median("ref_input_char_ratio"), 3).alias("ratio_median"))
+    s = summaries(r, {"raw": ("raw", [0.5]), "ratio": ("ref_input_char_ratio", [0.5])}, ["style_type"])
+    return s.select("style_type", F.col("rows").alias("n"), F.round("raw.mean", 3).alias("ratio_mean"), F.round(F.col("ratio.q")[0], 3).alias("ratio_median"))
 
 
 @query(
