@@ -238,33 +238,67 @@ class StyleClassifier:
         return out.select(*keep, F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), vector_to_array("probability").alias("probabilities"))
 
 
-def mauve(p: DataFrame, q: DataFrame, vector: str = "embedding", clusters: int | None = None, scale: float = 5.0, points: int = 25, seed: int = 42, variance: float = 0.9) -> dict[str, float]:
-    """MAUVE of two sets of vectors: joint k-means histograms, KL frontier over mixtures, its area.
+#: Restarts of the quantisation; the one of least cost counts.
+STARTS = 5
+#: Up to so many clusters are sought at once; more by splitting clusters in two, level by level.
+FLAT = 256
+
+
+def quantise(rows: DataFrame, features: str, clusters: int, to: str = "bin", seed: int = 42) -> DataFrame:
+    """rows with the number of their cluster.
+
+    k-means with STARTS seeds, the one of least summed distance. Its work grows with rows
+    times clusters, so that for more than FLAT clusters, whose number follows the rows,
+    clusters are halved level by level instead: each row is held against two centres a level.
+    """
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
+
+    if clusters > FLAT:
+        # the costs of seeds differ little there, as every level starts from the one before
+        return BisectingKMeans(k=clusters, seed=seed, maxIter=20, minDivisibleClusterSize=2, featuresCol=features, predictionCol=to).fit(rows).transform(rows)
+    models = [KMeans(k=clusters, seed=seed + i, maxIter=100, featuresCol=features, predictionCol=to).fit(rows) for i in range(STARTS)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(rows)
+
+
+def divergence(rows: DataFrame, side: str = "side", bin: str = "bin", scale: float = 5.0, points: int = 25) -> dict[str, float]:
+    """mauve and frontier_integral of the histograms of two sides (0 and 1) over bins; a null bin is a bin.
+
+    Only counts by bin reach the driver: a tenth of the smaller side's rows at most, where bins come from mauve().
+    """
+    counts = rows.groupBy(bin).agg(*(F.count_if(F.col(side) == k).alias(f"n{k}") for k in (0, 1))).orderBy(bin).select("n0", "n1").collect()
+    both = np.array([tuple(r) for r in counts], float).reshape(-1, 2).T
+    a, b = both / np.maximum(both.sum(1, keepdims=True), 1)
+    return {"mauve": frontier_area(a, b, scale, points), "frontier_integral": frontier_integral(a, b)}
+
+
+def mauve(
+    p: DataFrame, q: DataFrame, vector: str = "embedding", clusters: int | None = None, scale: float = 5.0, points: int = 25, seed: int = 42, variance: float = 0.9, model: str | None = None
+) -> dict:
+    """MAUVE of two sets of vectors, generated and reference: joint histograms, KL frontier over mixtures, its area.
 
     Vectors are normalised and reduced to the principal components that hold `variance` of it;
-    there is a cluster for every ten rows of the smaller set if `clusters` isn't given. All that
-    runs in Spark; only two histograms of `clusters` numbers reach the driver.
+    there is a cluster for every ten rows of the smaller set if `clusters` isn't given. mauve
+    and frontier_integral to 4 places, n_generated, n_reference (rows with a vector) and
+    featurize_model, the name given for what made the vectors. Without rows on both sides the
+    two figures are None.
     """
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, Normalizer, VectorSlicer
     from pyspark.ml.functions import array_to_vector
 
-    both = p.select(vector).withColumn("side", F.lit(0)).unionByName(q.select(vector).withColumn("side", F.lit(1)))
+    both = p.select(vector).withColumn("side", F.lit(0)).unionByName(q.select(vector).withColumn("side", F.lit(1))).where(F.col(vector).isNotNull())
     rows = Normalizer(inputCol="v", outputCol="u").transform(both.withColumn("v", array_to_vector(F.transform(vector, lambda e: e.cast("double")))))
     sizes = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count("*").alias("n")).collect()}
-    clusters = clusters or max(2, round(min(sizes.get(0, 0), sizes.get(1, 0)) / 10))
-    first = rows.select(vector).first()
-    dims = len(first[vector]) if first else 0
+    told = {"n_generated": sizes.get(0, 0), "n_reference": sizes.get(1, 0), "featurize_model": model}
+    if not told["n_generated"] or not told["n_reference"]:
+        return {"mauve": None, "frontier_integral": None, **told}
+    clusters = clusters or max(2, round(min(sizes[0], sizes[1]) / 10))
+    dims = len(rows.select(vector).first()[vector])
     if dims > 1:
         axes = PCA(k=dims, inputCol="u", outputCol="axes").fit(rows)
         held = int(np.searchsorted(np.cumsum(axes.explainedVariance.toArray()), variance)) + 1
         rows = VectorSlicer(inputCol="axes", outputCol="reduced", indices=list(range(min(held, dims)))).transform(axes.transform(rows)).drop("u").withColumnRenamed("reduced", "u")
-    model = KMeans(k=clusters, seed=seed, featuresCol="u", predictionCol="bin").fit(rows)
-    counts = np.zeros((2, clusters))
-    for r in model.transform(rows).groupBy("side", "bin").count().collect():
-        counts[r["side"], r["bin"]] = r["count"]
-    a, b = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    return {"mauve": round(frontier_area(a, b, scale, points), 6), "frontier_integral": round(frontier_integral(a, b), 6)}
+    figures = divergence(quantise(rows, "u", clusters, seed=seed), scale=scale, points=points)
+    return {**{k: round(v, 4) for k, v in figures.items()}, **told}
 
 
 def _kl(x: np.ndarray, y: np.ndarray) -> float:

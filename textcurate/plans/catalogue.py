@@ -615,7 +615,28 @@ def style_classifier(spark, sf_dir):
 def mauve_score(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     m = E.mauve(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"))
-    return spark.createDataFrame([(m["mauve"], m["frontier_integral"])], "mauve double, frontier_integral double")
+    return spark.createDataFrame([tuple(m[c] for c in ("mauve", "frontier_integral", "n_generated", "n_reference"))], "mauve double, frontier_integral double, n_generated long, n_reference long")
+
+
+@query(
+    """with v as (select vec_id % 2 as side, array_to_string(list_transform(range(1, 5), lambda i: case when embedding[i] > 0 then '1' else '0' end), '') as bin from embeddings where embedding is not null),
+    h as (select bin, count(*) filter (where side = 0) as n0, count(*) filter (where side = 1) as n1 from v group by bin), pq as (select n0 / sum(n0) over () as p, n1 / sum(n1) over () as q from h),
+    w as (select 1e-6 + i * (1 - 2e-6) / 24 as w from (select unnest(range(0, 25)) as i)),
+    c as (
+      select exp(-5 * sum(case when q > 0 then q * ln(q / (w * p + (1 - w) * q)) else 0 end)) as y, exp(-5 * sum(case when p > 0 then p * ln(p / (w * p + (1 - w) * q)) else 0 end)) as x from pq, w group by w
+      union all select 0.0, 1.0 union all select 1.0, 0.0
+    ), area as (
+      select sum((x - x0) * (y + y0) / 2) as a from (select x, y, lag(x) over (order by x, y desc) as x0, lag(y) over (order by x, y desc) as y0 from c)
+      union all select sum((y - y0) * (x + x0) / 2) as a from (select x, y, lag(x) over (order by y, x desc) as x0, lag(y) over (order by y, x desc) as y0 from c)
+    ), f as (select sum(case when abs(p - q) <= 1e-12 then 0 when p = 0 or q = 0 then (p + q) / 2 else (p + q) / 2 - p * q * ln(p / q) / (p - q) end) as fi from pq)
+    select round(avg(a), 6) as mauve, round((select fi from f), 6) as frontier_integral from area"""
+)
+def divergence_of_signs(spark, sf_dir):
+    """Both figures of MAUVE for vectors binned by the signs of their first four components."""
+    signs = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(F.element_at("embedding", i) > 0, "1").otherwise("0")), "")
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select((F.col("vec_id") % 2).alias("side"), signs.alias("bin"))
+    d = E.divergence(rows)
+    return spark.createDataFrame([(round(d["mauve"], 6), round(d["frontier_integral"], 6))], "mauve double, frontier_integral double")
 
 
 @query()

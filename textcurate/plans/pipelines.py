@@ -68,8 +68,8 @@ def cost_table(records: DataFrame, model: str) -> DataFrame:
     return out.select("path", "n_records", "usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens", "usage_estimated_records", "cost_usd_estimate")
 
 
-def evaluate(records: DataFrame, generated: DataFrame, classifier: E.StyleClassifier | None = None, encode: Callable | None = None, limit: int | None = None) -> dict[str, Any]:
-    """Lengths, style, similarity and distribution of generated texts (pos, text) against records (pos, input, response_clean, style_type)."""
+def evaluate(records: DataFrame, generated: DataFrame, classifier: E.StyleClassifier | None = None, encode: Callable | None = None, limit: int | None = None, model: str = "hashed trigrams") -> dict[str, Any]:
+    """Lengths, style, similarity and distribution of generated texts (pos, text) against records (pos, input, response_clean, style_type); model names what `encode` is."""
     if limit:
         records, generated = P.prefix_limit(records, limit, "pos"), P.prefix_limit(generated, limit, "pos")
     rows = E.zip_by_position(records, generated.select("pos", F.col("text").alias("generated")))
@@ -81,7 +81,7 @@ def evaluate(records: DataFrame, generated: DataFrame, classifier: E.StyleClassi
         out["confusion"] = [r.asDict() for r in E.confusion(said, "style_type", "predicted", classifier.classes).collect()]
     out["cosine"] = E.cosine_scores(rows, "generated", "response_clean", encode)[1].first().asDict()
     both = E.embed(E.embed(rows, "generated", encode, "gv"), "response_clean", encode, "rv")
-    out["mauve"] = E.mauve(both.select(F.col("gv").alias("embedding")), both.select(F.col("rv").alias("embedding")), clusters=4)
+    out["mauve"] = E.mauve(both.select(F.col("gv").alias("embedding")), both.select(F.col("rv").alias("embedding")), model=model)
     return out
 
 
