@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cost, overlap, payload, prompts
+from ..sources.files import checkpointed, delete
 from . import cache as C
+from .calls import CallLog, limited
 from .posts import ranks
 
 ATTEMPTS = (
@@ -84,49 +86,62 @@ def _usable(content: str, mode: str) -> str | None:
     return f"invalid_{wrong[0]}" if wrong else None
 
 
-def _attempt(backend: Callable, models: tuple[str, ...], system: str, prompt: str, mode: str, retry: dict) -> list[dict]:
-    """The log of one request: each model in turn until one gives a usable answer."""
-    log: list[dict] = []
+def _attempt(backend: Callable, models: tuple[str, ...], system: str, prompt: str, mode: str, retry: dict, log: CallLog | None = None, key: str | None = None) -> list[dict]:
+    """The calls of one request: each model in turn until one gives a usable answer; with a log, only those that it lacks are made."""
+    made: list[dict] = []
     for model in models:
-        try:
-            answer = call_with_retry(backend, model, system, prompt, **retry)
-            log.append(_log(len(log) + 1, model, answer, _usable(answer.get("content") or "", mode)))
-        except Exception as e:  # noqa: BLE001  every error becomes a reason in the log
-            log.append(_log(len(log) + 1, model, None, error_reason(e)))
-        if not log[-1]["failed"]:
+        n = len(made) + 1
+
+        def call(model: str = model, n: int = n) -> dict:
+            try:
+                answer = call_with_retry(backend, model, system, prompt, **retry)
+                return _log(n, model, answer, _usable(answer.get("content") or "", mode))
+            except Exception as e:  # noqa: BLE001  every error becomes a reason in the log
+                return _log(n, model, None, error_reason(e))
+
+        made.append(log.once((key, n, model, system, prompt, mode), call) if log else call())
+        if not made[-1]["failed"]:
             break
-    return log
+    return made
 
 
 def attempts(
     df: DataFrame, text: str, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5, tries: int = 6,
-    to: str = "attempts", concurrency: int = 1, wait: float = 2.0, most: float = 60.0,
+    to: str = "attempts", concurrency: int = 1, wait: float = 2.0, most: float = 60.0, calls: int | None = None, log: str | None = None, keys: list[str] | None = None,
 ) -> DataFrame:
-    """df with the log of calls of each row, in the rows' order.
+    """df with the log of calls of each row.
 
     A task has up to `concurrency` calls under way at once, so a cluster has that many for
-    each of its cores; pauses between tries grow from `wait` to `most` seconds.
+    each of its cores; `calls` limits them for all tasks together (calls.py). Pauses between
+    tries grow from `wait` to `most` seconds. log: a folder for answers, so that a call which
+    was answered is not made again by a second run of its task; rows of equal `keys` and text
+    share answers there (without keys all rows of equal text do).
     """
     if concurrency < 1:
         raise ValueError("concurrency must be positive")
     system, retry = prompts.system_prompt(mode, fact_limit), {"tries": tries, "wait": wait, "most": most}
+    kept = CallLog(log) if log else None
     asked = df.withColumn("__prompt", prompts.user_prompt(F.coalesce(F.col(text), F.lit("")), mode, fact_limit))
+    asked = asked.withColumn("__key", F.to_json(F.struct(*keys)) if keys else F.lit(None).cast("string"))
+    if calls is not None:
+        asked, concurrency = limited(asked, calls, concurrency)
 
     @F.pandas_udf(ATTEMPTS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                yield pd.Series(list(pool.map(lambda prompt: _attempt(backend, models, system, prompt, mode, retry), batch)), dtype=object)
+            for batch, own in batches:
+                yield pd.Series(list(pool.map(lambda prompt, key: _attempt(backend, models, system, prompt, mode, retry, kept, key), batch, own)), dtype=object)
 
-    return asked.withColumn(to, run("__prompt")).drop("__prompt")
+    return asked.withColumn(to, run("__prompt", "__key")).drop("__prompt", "__key")
 
 
 def neutralize(
     df: DataFrame, backend: Callable, mode: str = "rewrite", models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 5,
-    max_jaccard: float = overlap.MAX_JACCARD, text: str = "response_clean", method: str = "openrouter", concurrency: int = 1, **limits,
+    max_jaccard: float = overlap.MAX_JACCARD, text: str = "response_clean", method: str = "openrouter", concurrency: int = 1,
+    calls: int | None = None, log: str | None = None, keys: list[str] | None = None, **limits,
 ) -> DataFrame:
-    """df with candidate, validation, attempts, usage and the synthetic_* fields. Map-only."""
-    out = attempts(df, text, backend, mode, models, fact_limit, concurrency=concurrency)
+    """df with candidate, validation, attempts, usage and the synthetic_* fields. Map-only, but for the shuffle that a limit of `calls` asks for."""
+    out = attempts(df, text, backend, mode, models, fact_limit, concurrency=concurrency, calls=calls, log=log, keys=keys)
     out = out.withColumn("__best", C.best_attempt(F.col("attempts")))
     out = payload.parse(out.withColumn("__content", F.col("__best.content")), "__content", mode, to="candidate", error="__error")
     out = overlap.with_validation(out, text, "candidate", max_jaccard=max_jaccard, **limits)
@@ -145,22 +160,24 @@ def neutralize(
 
 def two_pass_brief(
     df: DataFrame, backend: Callable, models: tuple[str, ...] = (PRIMARY, FALLBACK), fact_limit: int = 4, max_jaccard: float = overlap.MAX_JACCARD,
-    text: str = "response_clean",
+    text: str = "response_clean", **shared,
 ) -> DataFrame:
     """Extract a structured brief, compress it, validate with and without copy limits, rewrite once where needed, keep the better.
 
     Adds final (a validation struct), used_postedit, used_two_pass and the usage of all calls.
+    Calls are made here, once: their rows are kept as checkpoints. shared: concurrency, calls,
+    log and keys of attempts().
     """
-    one = payload.parse(C_content(attempts(df, text, backend, "brief_v3", models, fact_limit, to="a1"), "a1", "c1"), "c1", "brief_v3", to="p1", error="e1")
-    two = payload.parse(C_content(attempts(one, "p1", backend, "brief_v4", models, fact_limit, to="a2"), "a2", "c2"), "c2", "brief_v4", to="p2", error="e2")
+    one = payload.parse(C_content(attempts(df, text, backend, "brief_v3", models, fact_limit, to="a1", **shared), "a1", "c1"), "c1", "brief_v3", to="p1", error="e1")
+    two = payload.parse(C_content(attempts(one, "p1", backend, "brief_v4", models, fact_limit, to="a2", **shared), "a2", "c2"), "c2", "brief_v4", to="p2", error="e2")
     two = overlap.with_validation(overlap.with_validation(two, text, "p2", max_jaccard=max_jaccard, to="base"), text, "p2", max_jaccard=max_jaccard, to="strict", **overlap.STRICT)
     # both branches below read these rows: the calls so far must not be made again
-    two = two.persist().withColumn("used_postedit", overlap.should_postedit(F.col("base"), F.col("strict"))).persist()
+    two = checkpointed(two.withColumn("used_postedit", overlap.should_postedit(F.col("base"), F.col("strict"))))
     # only rows that need a further pass carry a prompt; the others' call list stays empty
-    edit = attempts(two.where("used_postedit"), "p2", backend, "brief_v4", models, fact_limit, to="a3")
+    edit = attempts(two.where("used_postedit"), "p2", backend, "brief_v4", models, fact_limit, to="a3", **shared)
     skip = two.where("not used_postedit").withColumn("a3", F.array().cast(ATTEMPTS))
     three = payload.parse(C_content(edit.unionByName(skip), "a3", "c3"), "c3", "brief_v4", to="p3", error="e3")
-    three = overlap.with_validation(three, text, "p3", max_jaccard=max_jaccard, to="edited", **overlap.STRICT).persist()
+    three = checkpointed(overlap.with_validation(three, text, "p3", max_jaccard=max_jaccard, to="edited", **overlap.STRICT))
     final = F.when(F.col("used_postedit"), overlap.better_validation(F.col("strict"), F.col("edited"))).otherwise(F.col("strict"))
     out = three.withColumn("final", final).withColumn("attempts", F.concat("a1", "a2", "a3"))
     out = out.withColumn("usage", C.rollup_attempts(F.col("attempts"), models[0])).withColumn("used_two_pass", F.lit(True))
@@ -186,7 +203,9 @@ def run_resumable(records: DataFrame, cache_path: str, backend: Callable, keys:
     """Neutralise records that the Parquet cache lacks, newest first, chunk by chunk; returns the cache's rows of the records.
 
     Every finished chunk is appended as files of its own, so a run that stops goes on where
-    it stopped. With a target the run ends once so many rows are ok.
+    it stopped. Within a chunk, answers are logged beside the cache until the chunk is written,
+    so a task or a run that is started again makes no answered call twice. With a target the
+    run ends once so many rows are ok.
     """
     from pyspark.errors import AnalysisException
 
@@ -203,14 +222,14 @@ def run_resumable(records: DataFrame, cache_path: str, backend: Callable, keys:
     order = order if order is not None else [F.col("date").desc_nulls_last(), *[F.col(k) for k in keys]]
     ok = have.join(wanted, keys, "left_semi").where("synthetic_ok").count() if have is not None else 0
     # ordered once; a chunk is a range of positions, and its own rows tell how many are ok
-    ranked = ranks(todo, [], order, "__rank").drop("total").persist()
+    ranked, log = checkpointed(ranks(todo, [], order, "__rank").drop("total")), cache_path.rstrip("/") + ".calls"
     for start in range(0, ranked.count(), chunk):
         if target is not None and ok >= target:
             break
-        part = neutralize(ranked.where((F.col("__rank") > start) & (F.col("__rank") <= start + chunk)).drop("__rank"), backend, **options).persist()
+        part = neutralize(ranked.where((F.col("__rank") > start) & (F.col("__rank") <= start + chunk)).drop("__rank"), backend, log=log, keys=keys, **options)
+        part = checkpointed(part)  # the calls are made here
         part.write.mode("append").parquet(cache_path)
+        delete(log)
         ok += part.where("synthetic_ok").count()
-        part.unpersist()
-    ranked.unpersist()
     have = load()
     return records.limit(0) if have is None else have.join(wanted, keys, "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import overlap, prompts
 from ..functions import text as T
+from ..sources.files import checkpointed
 from .quantiles import summaries
 
 
@@ -43,6 +44,7 @@ SMALL = 100_000
 
 def join_small(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """df joined with one row a key of `other`: by broadcast if it has SMALL rows at most, which is counted first."""
+    other = checkpointed(other)  # read here, and again if it is joined
     rows = other.limit(SMALL + 1).collect()
     if len(rows) > SMALL:
         return df.join(other, keys)
@@ -60,7 +62,8 @@ def ranks(df: DataFrame, by: list[str], order: list[str | Column], to: str = "ra
     running = running or {}
     sorts = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
     valued = df.withColumns({f"__v_{k}": v for k, v in running.items()})
-    ranged = valued.repartitionByRange(*[F.col(c) for c in by], *sorts).withColumn("__p", F.spark_partition_id()).persist()  # one partitioning for both branches
+    ranged = valued.repartitionByRange(*[F.col(c) for c in by], *sorts).withColumn("__p", F.spark_partition_id())
+    ranged = checkpointed(ranged)  # one partitioning for both branches, whatever executors are lost
     w = Window.partitionBy("__p", *by).orderBy(*sorts)
     sums = {f"__s_{k}": F.sum(f"__v_{k}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in running}
     local = ranged.withColumns({"__n": F.row_number().over(w), **sums})

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +37,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/textcurate/{name}-{uuid.uuid4().hex}"
 
 
+def delete(path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    _, fs, at = _there(path)
+    fs.delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, in the folder of checkpoints; Spark's cleaner removes it where the session asks for that."""
     context = df.sparkSession.sparkContext
@@ -45,7 +52,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def write_text(path: str, text: str) -> None:
-    """Write beside the path first, so that a reader never meets half a file."""
+    """Write beside the path first and rename over it, so that a reader meets the old file or the new one."""
     jvm, fs, at = _there(path)
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.part")
     out = fs.create(part, True)
@@ -53,9 +60,11 @@ def write_text(path: str, text: str) -> None:
         out.write(text.encode())
     finally:
         out.close()
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"could not write {path}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = SparkContext._gateway.new_array(over, 1)
+    how[0] = over.OVERWRITE
+    context.rename(fs.makeQualified(part), fs.makeQualified(at), how)
 
 
 def read_text(path: str) -> str | None:
