@@ -182,8 +182,14 @@ def response_text(df: DataFrame) -> Column:
     return F.coalesce(*[F.col(c) for c in ("response_clean", "response") if c in df.columns], F.lit(""))
 
 
-def enrich(df: DataFrame, synthetic: str, method: str, model: str, created_at: Column, reason: Column | None = None) -> DataFrame:
-    """Synthetic records: metrics, blank input where failed, source name where not, a second check of numbers."""
+def enrich(
+    df: DataFrame, synthetic: str, method: str, model: str, created_at: Column, reason: Column | None = None, config: dict | None = None, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """Synthetic records: metrics, blank input where failed, source name where not, a second check of numbers.
+
+    config: the model's settings, kept as the struct synthetic_config (null without any);
+    extra: further columns, which replace those of their name.
+    """
     text, given = F.coalesce(F.col(synthetic), F.lit("")), reason if reason is not None else F.lit(None).cast("string")
     first = given.isNotNull() | (text == "")
     numbers = ~overlap.numbers_preserved(F.col("response_clean"), text)
@@ -196,7 +202,8 @@ def enrich(df: DataFrame, synthetic: str, method: str, model: str, created_at: C
             "synthetic_input": F.when(F.col("synthetic_failed"), "").otherwise(F.col("__text")), "input": F.when(F.col("synthetic_failed"), "").otherwise(F.col("__text")),
             "input_source": F.when(F.col("synthetic_failed"), F.col("input_source")).otherwise(f"{method}_synthetic"), "synthetic_ok": ~F.col("synthetic_failed"),
             "usable_for_training": ~F.col("synthetic_failed"), "synthetic_method": F.lit(method), "synthetic_model": F.lit(model), "synthetic_created_at": created_at,
+            "synthetic_config": F.struct(*(F.lit(v).alias(k) for k, v in config.items())) if config else F.lit(None).cast("string"),
             "synthetic_seed": F.lit(None).cast("int"), "__score": overlap.score(F.col("response_clean"), F.col("__text"), F.col("synthetic_failed")),
         }
     )
-    return out.select("*", "__score.*").drop("__score", "__text")
+    return out.select("*", "__score.*").drop("__score", "__text").withColumns(extra or {})

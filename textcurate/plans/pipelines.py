@@ -58,6 +58,15 @@ def generation_summary(records: DataFrame, model: str | None = None) -> DataFram
     return q.crossJoin(u)  # one row each
 
 
+def dataset_summaries(records: DataFrame, model: str | None = None, failed: str = "synthetic_failed") -> DataFrame:
+    """Quality, gates, usage and cost of the synthetic records of each path, style_type and split; estimated usage where a model is named."""
+    by = ["style_type", "split", "path"]
+    quality = E.quality_gate(E.summarize_quality(records, failed, by))
+    spent = cost.summarize(records, model, bool(model), by)
+    same = [quality[c].eqNullSafe(spent[c]) for c in by]
+    return quality.join(spent, same).select(*(quality[c] for c in quality.columns), *(spent[c] for c in spent.columns if c not in by)).orderBy(*by)
+
+
 def cost_table(records: DataFrame, model: str) -> DataFrame:
     """Estimated usage and cost of the records of each `path`, and a TOTAL row if there are several: one pass over them."""
     given = (("usage_prompt_tokens", "long"), ("usage_completion_tokens", "long"), ("cost_usd_estimate", "double"))

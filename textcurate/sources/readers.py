@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +58,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def ordered(spark: SparkSession, path: str, separator: str | None = None, body: Callable[[Column], Column] = lambda c: c, keep: Callable[[Column], Column] = lambda c: c.isNotNull()) -> DataFrame:
+    """(pos, text): body(record) of the records that `keep` holds for, numbered from 0 in their order over all files.
+
+    Files are read in splits, by line or by another separator. A first pass counts what each
+    split keeps; positions are counts of earlier splits (files by name, splits by place) plus the
+    place in the split, so no task sees more than its splits. The driver holds two numbers a split.
+    """
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    where = ["file", "start"]
+    rows = reader.text(path).select(body(F.col("value")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = rows.where(keep(F.col("text"))).withColumn("id", F.monotonically_increasing_id())  # ids follow the rows of a task without gaps
+    splits = rows.groupBy(*where).agg(F.min("id").alias("low"), F.count("*").alias("n")).collect()
+    before, shift = 0, []
+    for r in sorted(splits, key=lambda r: (r["file"], r["start"])):
+        shift.append((r["file"], r["start"], before - r["low"]))
+        before += r["n"]
+    known = F.broadcast(spark.createDataFrame(shift, "file string, start long, shift long"))
+    return rows.join(known, where).select((F.col("id") + F.col("shift")).alias("pos"), "text")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, text) of the lines that aren't blank, in order."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", "\r?\n", -1), lambda x: F.trim(x) != "")
-    return whole.select(F.posexplode(lines).alias("pos", "text"))
+    return ordered(spark, path, keep=lambda c: F.trim(c) != "")
 
 
 def read_field(spark: SparkSession, path: str, field: str) -> DataFrame:
@@ -68,14 +88,16 @@ def read_field(spark: SparkSession, path: str, field: str) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame | None:
-    """(pos, text) of the stripped, non-empty blocks between separator lines; None if the file is missing or has none."""
+    """(pos, text) of the stripped, non-empty blocks between separator lines; None if the file is missing or has none.
+
+    Where a separator line follows another, a file of several splits may be cut at either.
+    """
     from ..functions.text import strip
 
     try:
-        whole = spark.read.text(path, wholetext=True)
+        out = ordered(spark, path, BLOCK, strip, lambda c: c != "")
     except AnalysisException:
         return None
-    out = whole.select(F.posexplode(F.filter(F.transform(F.split("value", BLOCK, -1), strip), lambda x: x != "")).alias("pos", "text"))
     return None if out.isEmpty() else out
 
 

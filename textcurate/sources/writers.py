@@ -25,19 +25,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def blocks(df: DataFrame, text: str = "generated", position: str = "pos") -> DataFrame:
-    """One row: the texts in order, joined by the separator (a result set, small by nature)."""
-    rows = F.array_sort(F.collect_list(F.struct(position, text)))
-    return df.agg(F.array_join(F.transform(rows, lambda r: r[text]), BLOCK).alias("value"))
-
-
-def write_blocks(df: DataFrame, path: str, manifest: dict[str, Any] | None = None, text: str = "generated", position: str = "pos") -> None:
-    """A text folder with the blocks, and `path`.manifest.json beside it."""
-    blocks(df, text, position).write.mode("overwrite").text(path)
+def write_blocks(df: DataFrame, path: str, manifest: dict[str, Any] | None = None, text: str = "generated", position: str = "pos", parts: int | None = None) -> None:
+    """A text folder with the blocks, and `path`.manifest.json beside it.
+
+    Part files hold ranges of positions, so the files one after another, by name, are the
+    blocks in order, each followed by the separator; no task writes more than its range.
+    """
+    rows = df.select(position, F.coalesce(text, F.lit("")).alias("value"))
+    rows = rows.repartitionByRange(parts, position) if parts else rows.repartitionByRange(position)
+    rows.sortWithinPartitions(position).select("value").write.mode("overwrite").option("lineSep", BLOCK).text(path)
     if manifest is not None:
         write_json(f"{path}.manifest.json", manifest)
 
 
+def write_summaries(path: str, summaries: DataFrame) -> str:
+    """The rows of a small table as a JSON list at path; returns them as a table with a head."""
+    rows = [r.asDict(True) for r in summaries.collect()]
+    write_json(path, rows)
+    return "\n".join("\t".join("" if v is None else str(v) for v in line) for line in [summaries.columns, *(r.values() for r in rows)])
+
+
 def merge_report(path: str, meta: dict[str, Any], by_type: dict[str, Any]) -> dict[str, Any]:
     """The report with _meta and the given types replaced and other types kept."""
     report: dict[str, Any] = {**(read_json(path) or {}), **by_type, "_meta": meta}
