@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from textcurate.llm import arrays, lookup
 from textcurate.llm import kneser_ney as kn
 from textcurate.llm.arrays import Packed, bucket_of, within_bucket
 from textcurate.llm.hashing import mix, unmix
@@ -106,3 +107,25 @@ def test_packed_tables(tmp_path):
 def test_unmix():
     x = np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64)
     assert (unmix(mix(x)) == x).all() and (mix(unmix(x)) == x).all()
+
+
+def test_counts_and_ids_beyond_32_bits():
+    """Large counts keep their value, and more words than ids are an error instead of a mix-up."""
+    keys = np.array([3, 9, 2**63 + 1], np.uint64)
+    few, many = np.array([1, 7, 2**32 - 1]), np.array([2**32 + 5, 1, 2**40])
+    blob = arrays.pack(keys, few, many)
+    assert len(blob) == arrays.packed_size(3, few, many)
+    got, (a, b) = arrays.unpack(blob)
+    assert got.tolist() == keys.tolist() and a.tolist() == few.tolist() and b.tolist() == many.tolist()
+    _, (c,) = arrays.merge([arrays.pack(keys, many), arrays.pack(keys, many)])
+    assert c.tolist() == (2 * many).tolist()
+    kn.check_ids(2**32 - 2)
+    with pytest.raises(OverflowError):
+        kn.check_ids(2**32 - 1)
+
+
+def test_scaled_counts_keep_their_order():
+    n = np.unique(np.concatenate([np.arange(1, 3000), 2 ** np.arange(12, 39), 3 * 2 ** np.arange(12, 38)]))
+    s = lookup.scaled(n)
+    assert (np.diff(s.astype(int)) >= 0).all() and (s[:128] == n[:128]).all() and s[-1] < 255
+    assert (s > 1).tolist() == (n > 1).tolist() and len(set(lookup.scaled(2 ** np.arange(8, 38)).tolist())) == 30

@@ -71,21 +71,31 @@ def map_array(folder: str, name: str) -> np.ndarray:
 
 
 def pack(keys: np.ndarray, *counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts by byte planes, which block compression shrinks well."""
-    parts = [np.array([len(keys), len(counts)], np.int64).tobytes(), keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()]
-    for c in counts:
-        parts.append(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Sorted keys and their counts by byte planes, which block compression shrinks well; counts beyond 32 bits take 64."""
+    wide = [8 if len(c) and int(c.max()) >= 1 << 32 else 4 for c in counts]
+    parts = [np.array([len(keys), len(counts), *wide], np.int64).tobytes(), keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()]
+    for c, k in zip(counts, wide):
+        parts.append(c.astype(f"<u{k}").view(np.uint8).reshape(-1, k).T.tobytes())
     return b"".join(parts)
 
 
+def packed_size(keys: int, *counts: np.ndarray) -> int:
+    """Bytes of what pack() makes."""
+    return 16 + 8 * len(counts) + 8 * keys + sum(keys * (8 if len(c) and int(c.max()) >= 1 << 32 else 4) for c in counts)
+
+
 def unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     n, m = np.frombuffer(blob, np.int64, 2)
-    at, out = 16, []
-    keys = np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * 8, at).reshape(8, n).T).view("<u8").ravel()
+    wide, at, out = np.frombuffer(blob, np.int64, m, 16), 16 + 8 * int(m), []
+
+    def plane(k: int) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * k, at).reshape(k, n).T).view(f"<u{k}").ravel()
+
+    keys = plane(8)
     at += int(n) * 8
-    for _ in range(m):
-        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * 4, at).reshape(4, n).T).view("<u4").ravel())
-        at += int(n) * 4
+    for k in wide.tolist():
+        out.append(plane(k))
+        at += int(n) * k
     return keys, out
 
 

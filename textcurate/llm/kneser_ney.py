@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Packed, SortedShards, U, bucket_of, map_array, merge, pack, save_array, unpack, within_bucket
+from .arrays import bucket_of, map_array, merge, pack, Packed, packed_size, save_array, SortedShards, U, unpack, within_bucket
 from .hashing import mix, unmix, words_of
 from .runtime import lean, materialize, work_dir
 
@@ -89,7 +89,7 @@ def _gram_blocks(pairs: np.ndarray, before: np.ndarray, buckets: int) -> pa.Reco
 def _grams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, word before, count) rows of a block."""
     k, (n,) = unpack(raw)
-    at, m = 16 + 12 * len(k), int(n.sum())
+    at, m = packed_size(len(k), n), int(n.sum())
     u, c = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * m, at + x).reshape(4, m).T).view("<u4").ravel() for x in (0, 4 * m))
     return np.repeat(np.cumsum(k), n), u, c
 
@@ -156,6 +156,7 @@ def train(texts: DataFrame, text: str = "text", order: int = 3, least: int = 2)
         model.words[r["bucket"]] = r["types"]
         model.tokens += r["tokens"]
         n_texts += r["texts"]
+    check_ids(sum(model.words))
     begin, words, gram_ranges = sum(model.words), model.words, max(8, -(-model.tokens // RANGE))
 
     def count_grams(batches):
@@ -241,7 +242,7 @@ def train(texts: DataFrame, text: str = "text", order: int = 3, least: int = 2)
             total[keys == mix(pair(np.array([begin]), np.array([begin])))[0]] = n_texts  # before a text's first word
             # what the stored trigrams leave to the bigrams, of a mass of 1
             share = 1 - (sums[0] - sum(d * s for d, s in zip(d3, sums[1:]))) / total
-            Packed.save(folder, "contexts", b, key, total=total.astype(np.uint32), share=share)
+            Packed.save(folder, "contexts", b, key, total=total.astype(np.uint32) if not len(total) or total.max() < 1 << 32 else total, share=share)
             stats = [len(keys)] + [0] * 5
         else:
             at = (keys - U(b * ID_RANGE)).astype(np.int64)
@@ -266,6 +267,12 @@ def train(texts: DataFrame, text: str = "text", order: int = 3, least: int = 2)
     return model
 
 
+def check_ids(words: int) -> None:
+    """Pairs hold ids of 32 bits, one of which stands for a text's beginning and one for unknown words."""
+    if words >= (1 << 32) - 1:
+        raise OverflowError(f"{words} distinct words: more than ids of 32 bits can name")
+
+
 def word_ids(shards: SortedShards, hashes: np.ndarray) -> np.ndarray:
     distinct, back = np.unique(hashes, return_inverse=True)
     return shards.find(distinct)[back]

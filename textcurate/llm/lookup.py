@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SortedShards, bucket_of, map_array, merge, pack, save_array
+from .arrays import SortedShards, bucket_of, map_array, merge, pack, packed_size, save_array
 from .hashing import U
 from .runtime import lean, materialize, work_dir
 
@@ -27,6 +27,11 @@ GATHER = 1 << 22
 VALUES = 1 << 19
 
 
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte, in their order: up to 128 as they are, beyond that by four steps for each doubling (2^39 and more are one)."""
+    return np.minimum(np.where(counts <= 128, counts, 128 + np.floor(4 * np.log2(np.maximum(counts, 128) / 128))), 255).astype(np.uint8)
+
+
 class SharedKeys:
     """Keys that occur several times, and how often, in mapped sorted files."""
 
@@ -35,7 +40,7 @@ class SharedKeys:
         self.counts: dict[int, np.ndarray] = {}
 
     def times(self, keys: np.ndarray) -> np.ndarray:
-        """Times that each key (any order) occurs, 255 at most; 1 for those that aren't in the files."""
+        """Times that each key (any order) occurs, by scaled(); 1 for those that aren't in the files."""
         distinct, back = np.unique(keys & self.mask, return_inverse=True)
         rank = self.shards.find(distinct)
         out = np.ones(len(distinct), np.uint8)
@@ -64,7 +69,7 @@ def count_keys(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], It
         which = np.unique(bucket)
         cuts = np.searchsorted(bucket, np.append(which, ranges))
         blobs = [pa.compress(pack(np.diff(keys[a:e], prepend=U(0)).astype(U), counts[a:e]), "zstd", asbytes=True) for a, e in zip(cuts[:-1], cuts[1:])]
-        sizes = [16 + 12 * int(e - a) for a, e in zip(cuts[:-1], cuts[1:])]
+        sizes = [packed_size(int(e - a), counts[a:e]) for a, e in zip(cuts[:-1], cuts[1:])]
         return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "size", "blob"])
 
     def count(batches):
@@ -84,7 +89,7 @@ def count_keys(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], It
         keys, (counts,) = merge(raw, np.cumsum)
         several = counts > 1
         save_array(folder, f"keys-{b}.npy", keys[several])
-        save_array(folder, f"counts-{b}.npy", np.minimum(counts[several], 255).astype(np.uint8))
+        save_array(folder, f"counts-{b}.npy", scaled(counts[several]))
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([int(several.sum())], pa.int64())})
 
     sizes = [0] * ranges

@@ -56,14 +56,23 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Folders of applications that are deleted with them.
+_owned: set[str] = set()
 #: Paths that the open `temporary` blocks will delete.
 _made: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder, in a folder of the application that goes when it ends."""
     small_batches(spark)
-    path = f"{shared_dir(spark)}/textcurate/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/textcurate/{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        there = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(there)
+        store.deleteOnExit(there)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     if _made:
         _made[-1].append(path)
     return path
