@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .posts import join_small
+from ..sources.files import checkpointed
+from .posts import SMALL, join_small
 from .quantiles import summaries
 
 
@@ -40,34 +41,40 @@ def proportions(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _quota_rows(df: DataFrame, n: int, seed: int, by: list[str], key: str) -> DataFrame:
-    """The n first rows of each stratum in shuffle order with rank, quota and size of the stratum.
+    """Key, group and stratum of the n first rows of each stratum in shuffle order, with rank, quota and size of the stratum.
 
     A sample takes a row only with all rows of its stratum that come before it, so no row
-    beyond the n-th is ever taken; the filter lets each task keep n rows of a stratum.
+    beyond the n-th is ever taken; the filter lets each task keep n rows of a stratum. Texts
+    stay where they are: only these columns are written, once, and shuffled.
     """
-    marked = df.withColumn("__k", shuffle_key(seed, key))
+    marked = checkpointed(df.select(*by, "stratum", key).withColumn("__k", shuffle_key(seed, key)))
     quota = F.greatest(F.lit(1), F.bround(F.col("share") * n).cast("int")).alias("__quota")
-    shares = proportions(df, by).select(*by, "stratum", quota, F.col("n").alias("__size"))
+    shares = proportions(marked, by).select(*by, "stratum", quota, F.col("n").alias("__size"))
     w = Window.partitionBy(*by, "stratum").orderBy("__k", key)
     return join_small(marked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n), shares, [*by, "stratum"])
 
 
+def _chosen(df: DataFrame, chosen: DataFrame, by: list[str], key: str) -> DataFrame:
+    """The rows of df whose group and key are chosen: at most n of a group, sent to where the rows are if they are few."""
+    chosen = checkpointed(chosen.select(*by, key))
+    return df.join(F.broadcast(chosen) if chosen.count() <= SMALL else chosen, [*by, key], "left_semi")
+
+
 def stratified_sample(df: DataFrame, n: int, seed: int = 42, by: list[str] | None = None, key: str = "post_id") -> DataFrame:
-    """n rows of each group (all if fewer): strata by share, at least one each, topped up in shuffle order."""
+    """n rows of each group (all if fewer): strata by share, at least one each, topped up in shuffle order. Keys are unique in their group."""
     by = by or []
     rows = _quota_rows(df, n, seed, by, key)
     first = F.when(F.col("__r") <= F.col("__quota"), 0).otherwise(1)
-    chosen = F.row_number().over(Window.partitionBy(*by).orderBy("__first", "__k", key))
-    ranked = rows.withColumn("__first", first).withColumn("__n", chosen).where(F.col("__n") <= n)
-    return ranked.drop("__k", "__r", "__quota", "__size", "__first", "__n")
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("__first", "__k", key))
+    return _chosen(df, rows.withColumn("__first", first).withColumn("__n", order).where(F.col("__n") <= n), by, key)
 
 
 def stratified_sample_no_topup(df: DataFrame, n: int, seed: int = 42, by: list[str] | None = None, key: str = "post_id") -> DataFrame:
-    """Quota rows only, frequent strata first, distinct, at most n of each group."""
+    """Quota rows only, frequent strata first, distinct, at most n of each group. Keys are unique in their group."""
     by = by or []
     rows = _quota_rows(df, n, seed, by, key).where(F.col("__r") <= F.col("__quota"))
     w = Window.partitionBy(*by).orderBy(F.desc("__size"), "stratum", "__k", key)
-    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__k", "__r", "__quota", "__size", "__n").distinct()
+    return _chosen(df, rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n), by, key).distinct()
 
 
 def pilot_manifest(records: DataFrame, n_per_type: int, split: str = "val", seed: int = 42, source_file: Column | None = None, created_at: Column | None = None) -> DataFrame:
