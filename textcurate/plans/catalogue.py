@@ -21,7 +21,7 @@ from ..operators import nearest as N
 from ..operators import posts as P
 from ..operators import sampling as S
 from ..operators.quantiles import summaries
-from ..sources import files, readers
+from ..sources import files, keyed_cache, readers
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -618,6 +618,22 @@ def mauve_score(spark, sf_dir):
     return spark.createDataFrame([tuple(m[c] for c in ("mauve", "frontier_integral", "n_generated", "n_reference"))], "mauve double, frontier_integral double, n_generated long, n_reference long")
 
 
+@query(
+    """select doc_id, case when doc_id % 100 = 7 then 1 - quality when doc_id % 100 = 8 then 2 else quality end as quality, case when doc_id % 100 = 7 then 'third' when doc_id % 100 = 8 then 'second' else 'first' end as source from labels
+    union all select doc_id + 10000000, 5, 'second' from labels where doc_id % 100 = 8"""
+)
+def growing_cache(spark, sf_dir):
+    """Labels as a cache by key: one load, then two upserts of a hundredth of the keys each, the first with new keys too."""
+    d = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    cache = keyed_cache.KeyedCache(spark, files.scratch(spark, "cache"), ["doc_id"], buckets=16)
+    cache.upsert(d.withColumn("source", F.lit("first")))
+    some = d.where("doc_id % 100 = 8")
+    second = some.withColumn("quality", F.lit(2)).unionByName(some.select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.lit(5).alias("quality")))
+    cache.upsert(second.withColumn("source", F.lit("second")))
+    cache.upsert(d.where("doc_id % 100 = 7").select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit("third").alias("source")))
+    return cache.load().select("doc_id", "quality", "source")
+
+
 @query(
     """with v as (select vec_id % 2 as side, array_to_string(list_transform(range(1, 5), lambda i: case when embedding[i] > 0 then '1' else '0' end), '') as bin from embeddings where embedding is not null),
     h as (select bin, count(*) filter (where side = 0) as n0, count(*) filter (where side = 1) as n1 from v group by bin), pq as (select n0 / sum(n0) over () as p, n1 / sum(n1) over () as q from h),

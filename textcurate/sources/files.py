@@ -37,6 +37,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/textcurate/{name}-{uuid.uuid4().hex}"
 
 
+def names(path: str) -> list[str]:
+    """Names of a folder's members; none if it isn't there."""
+    _, fs, at = _there(path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def delete(path: str) -> None:
     """Delete a file or folder, if it is there."""
     _, fs, at = _there(path)
