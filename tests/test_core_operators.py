@@ -49,11 +49,26 @@ def test_temporal_split(spark, n, want):
 
 
 def test_overrides(spark):
-    rows = [(1, "type1", "Topic: Тема\nFacts:\n- Факт 1", False, 0.21, "brief_v4"), (2, "type1", "Topic: близко", False, 0.31, "brief_v4"), (3, "type2", "Topic: Ошибка", True, 0.12, "brief_v4"), (None, "t", "x", False, 0.1, None)]
-    df = spark.createDataFrame(rows, "post_id long, style_type string, neutral string, failed boolean, jaccard double, prompt_mode string").withColumns({c: F.lit(None).cast(t) for c, t in (("synthetic_input", "string"), ("input", "string"), ("synthetic_ok", "boolean"))})
-    c = P.classify_overrides(df, 0.3).withColumn("pos", F.monotonically_increasing_id())
-    assert P.override_stats(c).first().asDict() == {"loaded": 4, "accepted": 1, "rejected_failed": 1, "rejected_missing_input": 0, "rejected_jaccard": 1}
-    assert P.accepted_overrides(c, "pos").first()["override_source"] == "llm_brief_v4"
+    kinds = "post_id long, style_type string, neutral string, synthetic_input string, input string, failed boolean, synthetic_ok boolean, jaccard double, prompt_mode string"
+    rows = [
+        (11, "news", "plain report", None, None, False, None, 0.0, "short"),  # taken
+        (12, " news ", None, "from the second column", None, None, True, 0.29, " "),  # taken, no mode
+        (13, "news", "", "", "from the third", False, None, 0.1, "long"),  # taken
+        (14, "news", "as close as the limit", None, None, False, None, 0.3, "short"),  # too much in common
+        (15, "news", "no figure at all", None, None, False, None, None, "short"),  # nor one to compare
+        (16, "jokes", "its call failed", None, None, True, False, 0.1, "short"),
+        (17, "jokes", "neither flag is set", None, None, None, None, 0.1, "short"),
+        (18, "jokes", "@only_a_handle", None, None, False, None, 0.1, "short"),  # nothing is left of it
+        (None, "jokes", "no post", None, None, False, None, 0.1, "short"), (19, " ", "no style", None, None, False, None, 0.1, "short"),
+        (11, "news", "said again", None, None, False, None, 0.2, "long"),  # the later one counts
+    ]
+    c = P.classify_overrides(spark.createDataFrame(rows, kinds), 0.3).withColumn("pos", F.monotonically_increasing_id())
+    told = {k: sum(r["status"] == k for r in c.collect()) for k in ("accepted", "rejected_failed", "rejected_missing_input", "rejected_jaccard", "skipped")}
+    assert told == {"accepted": 4, "rejected_failed": 2, "rejected_missing_input": 1, "rejected_jaccard": 2, "skipped": 2}
+    assert P.override_stats(c).first().asDict() == {"loaded": len(rows), **{k: n for k, n in told.items() if k != "skipped"}}
+    taken = {r["post_id"]: (r["override_input"], r["override_source"]) for r in P.accepted_overrides(c, "pos").collect()}
+    assert taken == {11: ("said again", "llm_long"), 12: ("from the second column", "llm_synthetic"), 13: ("from the third", "llm_long")}
+    assert P.classify_overrides(spark.createDataFrame(rows, kinds)).where("status = 'rejected_jaccard'").count() == 0
 
 
 def test_prepare(spark):
@@ -63,21 +78,40 @@ def test_prepare(spark):
 
 
 def test_sampling(spark):
-    base = spark.createDataFrame([(i, "type1" if i < 30 else "type2", f"Текст {i} с числом {i}", 100 + i, 1 + i % 2, False, "val", str(i)) for i in range(60)], "post_id long, style_type string, response_clean string, char_len int, n_paragraphs int, has_emoji boolean, split string, date string")
-    m = S.pilot_manifest(base, 2)
+    base = spark.createDataFrame(
+        [(i, ["news", "jokes", "ads"][i % 3], f"post no {i}" if i % 5 else "post", 40 + 7 * i % 90, 1 + i % 4 // 2, i % 7 == 0, "val" if i % 11 else "train", f"2024-02-{i % 28 + 1:02d}") for i in range(150)],
+        "post_id long, style_type string, response_clean string, char_len int, n_paragraphs int, has_emoji boolean, split string, date string",
+    )
+    m = S.pilot_manifest(base, 9)
     rows = m.collect()
-    assert len(rows) == 4 and {r["style_type"] for r in rows} == {"type1", "type2"} and all(":" in r["pilot_id"] for r in rows) and len(m.columns) == 18
+    assert {t: sum(r["style_type"] == t for r in rows) for t in ("news", "jokes", "ads")} == {"news": 9, "jokes": 9, "ads": 9} and len(m.columns) == 18
+    assert all(r["pilot_id"] == f"{r['style_type']}:{r['post_id']}" and r["post_id"] % 11 for r in rows)
+    assert sorted(map(str, S.pilot_manifest(base.repartition(5), 9).drop("manifest_created_at").collect())) == sorted(map(str, m.drop("manifest_created_at").collect()))
     ties = spark.createDataFrame([(i, x, 1, False, "a") for i, x in enumerate([1, 1, 1, 1, 2])], "post_id long, char_len int, n_paragraphs int, has_emoji boolean, response_clean string")
     assert all(r["char_len_q"] for r in S.add_strata(ties).collect())
     assert S.stratified_sample(S.add_strata(base), 25).count() == 25
 
 
 def test_quality(spark):
-    df = spark.createDataFrame([("Текст 123", False, 0.6667, False, True, 2.3333), ("Текст 123", True, None, None, None, None)], "response_clean string, f boolean, jaccard double, is_identity boolean, numbers_preserved boolean, length_ratio double")
-    s = E.summarize_quality(df, "f")
-    assert s.first().asDict() | {} == {"n_total": 2, "n_active": 1, "failed_rate": 0.5, "jaccard_ge_0_5": 1.0, "identity_rate": 0.0, "number_preservation": 1.0, "length_collapse_rate": 0.0, "good_neutral_rate": 0.0, "mean_length_ratio": 2.3333}
-    g = E.quality_gate(spark.createDataFrame([(0.04, 0.01, 0.98, 0.08, 0.55)], "jaccard_ge_0_5 double, identity_rate double, number_preservation double, length_collapse_rate double, good_neutral_rate double")).first()
-    assert g["jaccard_ge_0_5_pass"] and not g["good_neutral_rate_pass"] and not g["quality_gate_passed"]
+    rows = [
+        ("call 112 now", False, 0.5, False, True, 1.2), ("call 112 now", False, 0.1, False, False, 0.39), ("no digits", False, 0.29, True, False, 1.0), ("no digits", False, 0.3, False, True, 0.4),
+        ("call 112 now", True, 0.9, True, True, 9.0), (None, False, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "response_clean string, f boolean, jaccard double, is_identity boolean, numbers_preserved boolean, length_ratio double")
+    s = E.summarize_quality(df, "f").first().asDict()
+    assert (s["n_total"], s["n_active"], s["failed_rate"]) == (6, 5, round(1 / 6, 4))
+    assert (s["jaccard_ge_0_5"], s["identity_rate"], s["length_collapse_rate"], s["good_neutral_rate"]) == (0.2, 0.2, 0.2, 0.2)
+    assert s["number_preservation"] == 0.5 and s["mean_length_ratio"] == round((1.2 + 0.39 + 1.0 + 0.4) / 4, 4)  # of texts that have digits
+    none = E.summarize_quality(df.where("f"), "f").first().asDict()
+    assert none["n_active"] == 0 and none["identity_rate"] is None
+    kinds = "jaccard_ge_0_5 double, identity_rate double, number_preservation double, length_collapse_rate double, good_neutral_rate double"
+    limits = (0.05, 0.02, 0.95, 0.10, 0.70)  # at its limit a metric passes
+    for k, miss in [(None, None), (0, 0.051), (1, 0.021), (2, 0.949), (3, 0.101), (4, 0.699), (2, None)]:
+        given = [miss if i == k else x for i, x in enumerate(limits)]
+        g = E.quality_gate(spark.createDataFrame([tuple(given)], kinds)).first()
+        assert g["quality_gate_passed"] == (k is None)
+        if k is not None:
+            assert not g[list(E.QUALITY_TARGETS)[k] + "_pass"]
 
 
 def test_generation_and_cache(spark, tmp_path):
