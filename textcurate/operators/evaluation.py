@@ -186,6 +186,17 @@ class StyleClassifier:
 
         rows = df.select(F.col(text).alias("text"), (F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(label)).cast("double") - 1).alias("label"))
 
+        n = rows.count()
+        most = self.vocabulary(rows, "text").collect()
+        self._weights = {r["gram"]: (i, float(np.log((1 + n) / (1 + r["texts"])) + 1)) for i, r in enumerate(sorted(most, key=lambda r: r["gram"]))}
+        ready = self._vectors(rows, "text").select("label", "features").persist()
+        self._model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4).fit(ready)
+        ready.unpersist()
+        return self
+
+    def vocabulary(self, df: DataFrame, text: str) -> DataFrame:
+        """gram, times, texts: the `features` most frequent n-grams of the texts."""
+
         def count(batches):
             for b in batches:
                 times, texts = Counter(), Counter()
@@ -198,14 +209,8 @@ class StyleClassifier:
                     names=["gram", "times", "texts"],
                 )
 
-        n = rows.count()
-        grams = rows.select("text").mapInArrow(count, "gram string, times long, texts long").groupBy("gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts"))
-        most = grams.orderBy(F.desc("times"), "gram").limit(self.features).collect()  # the vocabulary
-        self._weights = {r["gram"]: (i, float(np.log((1 + n) / (1 + r["texts"])) + 1)) for i, r in enumerate(sorted(most, key=lambda r: r["gram"]))}
-        ready = self._vectors(rows, "text").select("label", "features").persist()
-        self._model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4).fit(ready)
-        ready.unpersist()
-        return self
+        grams = df.select(text).mapInArrow(count, "gram string, times long, texts long").groupBy("gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts"))
+        return grams.orderBy(F.desc("times"), "gram").limit(self.features)
 
     def _vectors(self, df: DataFrame, text: str) -> DataFrame:
         """df with `features`, the weighted n-grams of its texts."""
