@@ -57,3 +57,9 @@ def test_many_clusters_are_halved(spark, monkeypatch):
 def test_mauve_without_rows(spark):
     some, none = vectors(spark, [0.5, 0.5], 10, 1), vectors(spark, [], 0, 1)
     assert E.mauve(some, none) == {"mauve": None, "frontier_integral": None, "n_generated": 10, "n_reference": 0, "featurize_model": None}
+
+
+def test_hashed_trigrams():
+    v = E.hashed_trigrams(["abcabc", "abc", "ab", None, "é😀x" * 50, "abcabc"], 64)
+    assert v.shape == (6, 64) and v.sum(1).tolist() == [4, 1, 0, 0, 148, 4]
+    assert (v[0] == v[5]).all() and (v[0] >= v[1]).all() and np.count_nonzero(v[4]) == 3

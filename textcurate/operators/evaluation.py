@@ -124,17 +124,22 @@ def class_scores(df: DataFrame, actual: str, predicted: str, probability: str) -
     )
 
 
+def hashed_trigrams(texts: list[str], dims: int = 256) -> np.ndarray:
+    """Counts of each text's character trigrams in `dims` cells."""
+    out = np.zeros((len(texts), dims), np.float32)
+    for i, t in enumerate(texts):
+        c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(c) > 2:
+            h = (c[:-2] * np.uint64(961) + c[1:-1] * np.uint64(31) + c[2:]) * np.uint64(0x9E3779B97F4A7C15)
+            out[i] = np.bincount((h >> np.uint64(40)).astype(np.int64) % dims, minlength=dims)
+    return out
+
+
 def embed(df: DataFrame, text: str, encode=None, to: str = "embedding", dims: int = 256) -> DataFrame:
     """df with a vector of each text; `encode` maps a list of texts to vectors, batch by batch, once loaded in a worker."""
     if encode is None:
-        def encode(texts):  # hashed trigrams
-            import zlib
-
-            out = np.zeros((len(texts), dims), np.float32)
-            for i, t in enumerate(texts):
-                for k in range(len(t or "") - 2):
-                    out[i, zlib.crc32(t[k : k + 3].encode()) % dims] += 1
-            return out
+        def encode(texts):
+            return hashed_trigrams(texts, dims)
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
