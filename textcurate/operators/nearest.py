@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, overlap
 from ..functions import text as T
 from ..sources.files import checkpointed
+from .posts import SMALL
 
 #: Lengths of a group are within this factor of one another.
 STEP = 1.25
@@ -101,8 +102,9 @@ def _found(rows: list[tuple]) -> pa.Table:
 def _first_bounds(asked: DataFrame, texts: DataFrame, seeds: DataFrame, alike: DataFrame) -> DataFrame:
     """(q, least): the best ratio of a query with the seeds of its own and neighbouring length groups and with the text most alike by 5-grams."""
     near = asked.select("q", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket")).join(F.broadcast(seeds), "bucket").select("q", "id")
-    pairs = near.unionByName(alike).distinct()
-    told = pairs.join(texts.select("id", "t"), "id").join(asked.select("q", "qt"), "q")
+    pairs = checkpointed(near.unionByName(alike).distinct())
+    # few pairs go to where the texts are, so that the corpus isn't sent for them
+    told = texts.select("id", "t").join(F.broadcast(pairs) if pairs.count() <= SMALL else pairs, "id").join(asked.select("q", "qt"), "q")
     return told.groupBy("q").agg(F.max(fuzzy.indel_ratio_udf("qt", "t")).alias("least"))
 
 
