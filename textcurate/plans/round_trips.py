@@ -10,7 +10,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy
+from ..functions import fuzzy, prompts
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import generation as G
@@ -18,7 +18,7 @@ from ..operators import nearest as N
 from ..operators import posts as P
 from ..sources import files, readers, writers
 from . import pipelines, sql
-from .catalogue import _QUOTA, _SPLIT, query, splits, table
+from .catalogue import _QUOTA, _SPLIT, _sql_text, query, splits, table
 
 
 @query("select doc_id, lang, source, n_chars, text is null as no_text, md5(coalesce(text, '')) as text from documents")
@@ -225,3 +225,18 @@ def nearest_names_summary(spark, sf_dir):
 def style_vocabulary(spark, sf_dir):
     """The 50,000 most frequent n-grams that the style classifier weighs, with the texts that hold them."""
     return E.StyleClassifier(["x"]).vocabulary(table(spark, sf_dir, "documents"), "text")
+
+
+def _counting(texts: list[str]) -> list[str]:
+    """A generator that continues each prompt with its length."""
+    return [f"{t} {len(t)} characters</s>" for t in texts]
+
+
+_PROMPT = "replace(replace(" + _sql_text(prompts.PROMPT) + ", '{instruction}', replace(" + _sql_text(prompts.INSTRUCTION) + ", '{style_type}', role)), '{input}', text)"
+
+
+@query(f"select conv_id, turn, length({_PROMPT}) || ' characters' as response from conversations")
+def generated_responses(spark, sf_dir):
+    """Completions of a prompt for each turn, without prompt and end marks."""
+    c = table(spark, sf_dir, "conversations").withColumn("prompt", prompts.inference_prompt(F.col("role"), F.col("text")))
+    return G.generate(c, "prompt", _counting, "response").select("conv_id", "turn", "response")
