@@ -30,7 +30,7 @@ def standard_failures(text: Column) -> dict[str, Column]:
     capitals = F.length(F.regexp_replace(t, "[^A-Z]+", ""))
     return {
         "A": F.size(words) < 100,
-        "B": 100 * F.size(F.array_distinct(words)) < 80 * F.size(words),
+        "B": 100 * F.size(F.array_distinct(words)).cast("long") < 80 * F.size(words).cast("long"),
         "C": 100 * capitals.cast("long") > 10 * F.length(t).cast("long"),
         "D": t.rlike("[#$%&*|]"),
     }
