@@ -109,3 +109,16 @@ def test_fuzzy_matches_definitions(a, b):
 
 def test_indel_is_not_levenshtein():
     assert fuzzy.indel_ratio("ab", "ba") == 50.0 and fuzzy.indel_ratio("abc", "abc") == 100.0
+
+
+def test_places_of_long_texts():
+    """Bits of each character, in time that follows the length."""
+    import time
+
+    from textcurate.functions import fuzzy
+
+    assert fuzzy.places("abca😀") == {"a": 0b1001, "b": 0b10, "c": 0b100, "😀": 0b10000} and fuzzy.places("") == {}
+    began, long = time.time(), "abcdefghij" * 100_000
+    got = fuzzy.places(long)
+    assert got["a"].bit_count() == 100_000 and got["j"] >> 999_999 == 1 and time.time() - began < 2
+    assert fuzzy.common_subsequence("ajx", long) == 2 and fuzzy.indel_ratio("", "") == 100.0 and fuzzy.common_subsequence("", "x") == 0
