@@ -289,7 +289,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_filter_audit"] = r"""
 with l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
 d as (
-  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w, min(doc_id) over (partition by coalesce(text, '')) as first from documents
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by coalesce(text, '')) as first from documents
 ), m as materialized (
   select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
     [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > first, false)] as fails
