@@ -356,11 +356,12 @@ def test_nearest_texts_by_brute_force(spark):
     assert s["fuzz_median"] == pytest.approx(statistics.median(fuzz)) and s["n_long"] == sum(v[3] >= E.MEMORISATION["run_below"] for v in got.values())
 
 
-@pytest.mark.parametrize("hot", [0, 2, 8, 1000])
-def test_nearest_by_shingles_by_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, listed", [(0, 20_000), (2, 20_000), (8, 10), (1000, 10)])
+def test_nearest_by_shingles_by_brute_force(spark, monkeypatch, hot, listed):
     """Texts that all share a 5-gram, 5-grams of many texts, ties of the rounded ratio, short and empty texts."""
     import random
 
+    monkeypatch.setattr(N, "LISTED", listed)
     rng = random.Random(8)
     phrases = [" ".join(rng.choice(["w", "x", "y", "z"]) + str(rng.randrange(30)) for _ in range(6)) for _ in range(12)]
     corpus = [(i, "in every text one shingle " + " . ".join(rng.choices(phrases[:2] * 4 + phrases, k=rng.randrange(5))) + " pad" * rng.randrange(3)) for i in range(60)]

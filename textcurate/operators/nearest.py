@@ -157,6 +157,8 @@ def nearest_texts(queries: DataFrame, corpus: DataFrame, query_id: str, query_te
 HOT = 1000
 #: Distinct 5-grams of all queries (8 bytes each) that are sent to every task; more are joined.
 SENT = 500_000
+#: Of up to so many the scan holds a literal set.
+LISTED = 20_000
 
 
 def nearest_by_shingles(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, corpus_id: str, corpus_text: str, hot: int = HOT) -> DataFrame:
@@ -173,7 +175,14 @@ def nearest_by_shingles(queries: DataFrame, corpus: DataFrame, query_id: str, qu
     wanted = asked.select("g").distinct()
     few = wanted.limit(SENT + 1).count() <= SENT
     wanted = F.broadcast(wanted) if few else wanted
-    held = checkpointed(c.where("nearest_id is not null").select("nearest_id", F.col("n").alias("cn"), F.explode("s").alias("g")).join(wanted, "g", "left_semi"))
+    listed = [r["g"] for r in wanted.limit(LISTED + 1).collect()]
+    texts = c.where("nearest_id is not null")
+    numbers = ", ".join(f"{g}L" if g > -(1 << 63) else "-9223372036854775807L - 1" for g in listed)
+    if len(listed) <= LISTED:  # a literal set sorts 5-grams out before they become rows
+        held = texts.select("nearest_id", F.col("n").alias("cn"), F.explode(F.expr(f"filter(s, g -> g in ({numbers}))" if listed else "slice(s, 1, 0)")).alias("g"))
+    else:
+        held = texts.select("nearest_id", F.col("n").alias("cn"), F.explode("s").alias("g")).join(wanted, "g", "left_semi")
+    held = checkpointed(held)
     often = checkpointed(held.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > hot).select("g", F.lit(True).alias("hot")))
     often = F.broadcast(often) if few else often  # some of the wanted ones
     marked = held.join(often, "g", "left")
