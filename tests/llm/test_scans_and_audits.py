@@ -184,6 +184,18 @@ def test_op12_every_edit_of_random_words(spark):
         spelling.near_pairs(spark.createDataFrame([("abc", 1)], "word string, n long"))
 
 
+def test_op12_sends_no_words_through_the_driver(spark, monkeypatch):
+    """Whatever Spark estimates, tables of words are merged; only the counts of bigrams (8,100 rows at most) are broadcast."""
+    plans, write = [], spelling.materialize
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "materialize", lambda df, *a: told(df) or write(df, *a))
+    rows = [(i, w) for i, w in enumerate(["letters"] * 125 + ["leters"] * 25 + ["lettars"] * 5)]
+    out = spelling.group_variants(frame(spark, rows), drop_one_in=None)
+    told(out)
+    assert sorted(tuple(r)[:3] for r in out.collect()) == [("leters", "letters", "letters"), ("lettars", "letters", "letters"), ("letters", None, "letters")]
+    assert sum(p.count("BroadcastHashJoin") for p in plans) == 1
+
+
 def test_op12_empty(spark):
     assert spelling.group_variants(frame(spark, [])).collect() == []
     assert spelling.group_variants(frame(spark, [(1, None), (2, "short")])).collect() == []

@@ -8,6 +8,9 @@ under each of its three rarest bigrams with everything before it (place from the
 with everything behind it (place from the end). The other rest holds the edit; one of its
 halves is the same in both words and joins the key, so that groups stay small. What meets is
 verified by edit distance.
+
+Tables that grow with the vocabulary are joined by merging: words in files are small beside the
+keys made of them, so Spark's estimates would have the driver hold and send millions of rows.
 """
 
 from __future__ import annotations
@@ -77,7 +80,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     own = rare.select("word", F.explode(keys(0)).alias("key"))
     longer = rare.select("word", F.explode(keys(1)).alias("key"))
     others = own.select(F.col("word").alias("other"), "key", F.lit(False).alias("longer")).unionByName(longer.select(F.col("word").alias("other"), "key", F.lit(True).alias("longer")))
-    met = own.join(others, "key").where((F.col("longer") | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1))
+    met = own.hint("merge").join(others, "key").where((F.col("longer") | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1))
     pairs = met.select("word", "other").distinct()
     return pairs.select(F.inline(F.array(F.struct(F.col("word"), F.col("other").alias("near")), F.struct(F.col("other").alias("word"), F.col("word").alias("near")))))
 
@@ -87,7 +90,7 @@ def roots(forms: DataFrame) -> DataFrame:
     known = materialize(forms.select("word", F.col("form").alias("root")), "spelling-roots", True)
     while True:
         further = known.select(F.col("word").alias("step"), F.col("root").alias("next"))
-        joined = known.join(further, F.col("root") == F.col("step"), "left")
+        joined = known.hint("merge").join(further, F.col("root") == F.col("step"), "left")
         if joined.where("next is not null").isEmpty():
             return known
         known = materialize(joined.select("word", F.coalesce("next", "root").alias("root")), "spelling-roots", True)
@@ -105,13 +108,13 @@ def group_variants(documents: DataFrame, least_length: int = 6, least: int = 5,
     if ratio < 2:
         raise ValueError("ratio must be 2 or more, or forms could lead in a ring")
     counted = materialize(count_words(documents, least_length, least, drop_one_in), "spelling-words", True)
-    near = near_pairs(counted).join(counted.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    near = near_pairs(counted).hint("merge").join(counted.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("b"))
     held = materialize(
-        counted.join(best, "word", "left").withColumn("has", -F.col("b.m") >= ratio * F.col("n")).select(
+        counted.hint("merge").join(best, "word", "left").withColumn("has", -F.col("b.m") >= ratio * F.col("n")).select(
             "word", F.when(F.col("has"), F.col("b.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("has"), -F.col("b.m")).alias("form_n")
         ),
         "spelling-forms", True,
     )
     ends = roots(held.where("form is not null"))
-    return held.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return held.hint("merge").join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
