@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -155,8 +156,7 @@ def cosine_scores(df: DataFrame, a: str, b: str, encode=None) -> tuple[DataFrame
     return out, cosine_summary(out)
 
 
-@lru_cache(100_000)
-def word_grams(word: str, low: int = 2, high: int = 4) -> tuple[str, ...]:
+def word_grams(word: str, low: int = 2, high: int = 4) -> list[str]:
     """Character n-grams of a word padded by one blank on either side; where n reaches its length, the padded word ends them."""
     padded, out = f" {word} ", []
     for n in range(low, high + 1):
@@ -164,7 +164,7 @@ def word_grams(word: str, low: int = 2, high: int = 4) -> tuple[str, ...]:
             out.append(padded)
             break
         out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
-    return tuple(out)
+    return out
 
 
 def text_grams(text: str | None) -> Counter:
@@ -176,10 +176,110 @@ def text_grams(text: str | None) -> Counter:
     return out
 
 
+#: Characters of texts whose n-grams are counted, or weighed, at once, or a text more.
+COUNTED, WEIGHED = 2_000_000, 500_000
+#: Characters that an n-gram of four can be made of to be one number of 64 bits; chunks of more go text by text.
+DISTINCT = 65_535
+
+
+def _chunks(texts, most: int) -> Iterator[list[str]]:
+    """Runs of texts of `most` characters: lower-case words between single blanks, with a blank on either side; no words: empty."""
+    held, n = [], 0
+    for t in texts:
+        words = (t or "").lower().split()
+        held.append(f" {' '.join(words)} " if words else "")
+        n += len(held[-1]) + 1
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts and the number of the text of each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+
+
+def _windows(codes: np.ndarray, places: np.ndarray, base: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, number and start of each n-gram of words: the windows of 2 to 4 characters without a blank inside, or two of them.
+
+    Texts begin and end with a blank, so no such window is in two texts.
+    """
+    blank, own, size = codes == 32, places.astype(np.uint64), np.uint64(base)
+    keys = own
+    for n in (2, 3, 4):
+        if len(codes) < n:
+            return
+        keys = keys[:-1] * size + own[n - 1 :]
+        whole = ~(blank[:-1] & blank[1:]) if n == 2 else ~blank[1:-1] if n == 3 else ~(blank[1:-2] | blank[2:-1])
+        starts = np.flatnonzero(whole)
+        yield n, keys[starts], starts
+
+
+def count_grams(texts) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """n-grams, how often they occur and in how many texts, over runs of texts."""
+    for chunk in _chunks(texts, COUNTED):
+        codes, number = _codes(chunk)
+        places = np.zeros(0x110000, np.int64)
+        places[codes] = 1
+        alphabet = np.flatnonzero(places)
+        if len(alphabet) > DISTINCT:
+            for own in map(text_grams, chunk):
+                yield list(own), np.array(list(own.values()), np.int64), np.ones(len(own), np.int64)
+            continue
+        places[alphabet] = np.arange(len(alphabet))
+        for n, keys, starts in _windows(codes, places[codes], len(alphabet)):
+            which, found = pd.factorize(keys)
+            both = np.sort(which * len(chunk) + number[starts])
+            once = both[np.flatnonzero(np.diff(both, prepend=-1))] // len(chunk)
+            digits = np.stack([found // np.uint64(len(alphabet) ** k) % np.uint64(len(alphabet)) for k in range(n - 1, -1, -1)], 1)
+            spelt = alphabet[digits.astype(np.int64)].astype("<u4").tobytes().decode("utf-32-le")
+            yield [spelt[i : i + n] for i in range(0, len(spelt), n)], np.bincount(which, minlength=len(found)), np.bincount(once, minlength=len(found))
+
+
+def weigh_grams(texts, weights: dict[str, tuple[int, float]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Vectors of runs of texts: how many texts, where each ends, indices and values of all."""
+    idf = np.zeros(len(weights))
+    for i, w in weights.values():
+        idf[i] = w
+    alphabet = sorted(set().union(*weights))
+    places = np.zeros(0x110000, np.int64)  # 0: a character of no n-gram
+    places[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+    base, by_size = len(alphabet) + 1, {}
+    if few := len(alphabet) < DISTINCT:
+        for n in (2, 3, 4):
+            grams = [g for g in weights if len(g) == n]
+            keys = np.zeros(len(grams), np.uint64)
+            for k in range(n):
+                keys = keys * np.uint64(base) + places[[ord(g[k]) for g in grams]].astype(np.uint64)
+            by_size[n] = pd.Index(keys), np.array([weights[g][0] for g in grams], np.int64)
+    for chunk in _chunks(texts, WEIGHED):
+        size = max(len(idf), 1)
+        if few:
+            codes, number = _codes(chunk)
+            parts = [np.zeros(0, np.int64)]
+            for n, keys, starts in _windows(codes, places[codes], base):
+                held, index = by_size[n]
+                at = held.get_indexer(keys)
+                parts.append(number[starts[at >= 0]] * size + index[at[at >= 0]])
+            both = np.sort(np.concatenate(parts))
+            first = np.flatnonzero(np.diff(both, prepend=-1))
+            both, times = both[first], np.diff(first, append=len(both))
+        else:
+            own = sorted((i * size + weights[g][0], n) for i, t in enumerate(chunk) for g, n in text_grams(t).items() if g in weights)
+            both, times = np.array([x for x, _ in own], np.int64), np.array([n for _, n in own], np.int64)
+        text, index = both // size, both % size
+        values = idf[index] * (1 + np.log(times))
+        norms = np.sqrt(np.bincount(text, values * values, len(chunk)))
+        ends = np.cumsum(np.bincount(text, minlength=len(chunk)))
+        yield len(chunk), ends.astype(np.int32), index.astype(np.int32), values / np.where(norms > 0, norms, 1.0)[text]
+
+
 class StyleClassifier:
     """TF-IDF of character n-grams (sublinear counts, smoothed idf, L2) and a logistic regression.
 
-    Texts become sparse vectors in one Arrow pass. The driver holds `features` n-grams and
+    Texts become sparse vectors in one Arrow pass, runs of texts at a time. The driver holds `features` n-grams and
     their weights, the most frequent of the training texts.
     """
 
@@ -194,7 +294,8 @@ class StyleClassifier:
         n = rows.count()
         most = self.vocabulary(rows, "text").collect()
         self._weights = {r["gram"]: (i, float(np.log((1 + n) / (1 + r["texts"])) + 1)) for i, r in enumerate(sorted(most, key=lambda r: r["gram"]))}
-        ready = self._vectors(rows, "text").select("label", "features").persist()
+        # on disk: the regression reads them twice and keeps blocks of its own in memory
+        ready = self._vectors(rows, "text").select("label", "features").persist(StorageLevel.DISK_ONLY)
         self._model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4).fit(ready)
         ready.unpersist()
         return self
@@ -203,16 +304,8 @@ class StyleClassifier:
         """gram, times, texts: the `features` most frequent n-grams of the texts."""
 
         def count(batches):
-            for b in batches:
-                times, texts = Counter(), Counter()
-                for t in b.column(0).to_pylist():
-                    own = text_grams(t)
-                    times.update(own)
-                    texts.update(own.keys())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(times), pa.string()), pa.array(list(times.values()), pa.int64()), pa.array([texts[g] for g in times], pa.int64())],
-                    names=["gram", "times", "texts"],
-                )
+            for grams, times, texts in count_grams(t for b in batches for t in b.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(times), pa.array(texts)], names=["gram", "times", "texts"])
 
         grams = df.select(text).mapInArrow(count, "gram string, times long, texts long").groupBy("gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts"))
         return grams.orderBy(F.desc("times"), "gram").limit(self.features)
@@ -223,18 +316,17 @@ class StyleClassifier:
 
         shared, size = df.sparkSession.sparkContext.broadcast(self._weights), len(self._weights)  # `features` entries at most
         at, names = df.columns.index(text), [*df.columns, "features"]
-        kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
         def run(batches):
             weights = shared.value
             for b in batches:
-                vectors = []
-                for t in b.column(at).to_pylist():
-                    own = sorted((weights[g], n) for g, n in text_grams(t).items() if g in weights)
-                    values = np.array([w * (1 + np.log(n)) for (_, w), n in own])
-                    norm = np.sqrt((values * values).sum()) or 1.0
-                    vectors.append({"type": 0, "size": size, "indices": [i for (i, _), _ in own], "values": (values / norm).tolist()})
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, kind)], names=names)
+                start = 0
+                for n, ends, indices, values in weigh_grams(b.column(at).to_pylist(), weights):
+                    offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))
+                    parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(indices)), pa.ListArray.from_arrays(offsets, pa.array(values))]
+                    vectors = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, n).columns, vectors], names=names)
+                    start += n
 
         return df.mapInArrow(run, StructType([*df.schema.fields, StructField("features", VectorUDT())]))
 
