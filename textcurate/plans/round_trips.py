@@ -188,7 +188,7 @@ found as (select q as query_id, id as nearest_id, round(f, 4) as fuzz_ratio, rou
 
 
 def names_nearest(spark, sf_dir) -> DataFrame:
-    return N.nearest_texts(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part"), "s_suppkey", "s_name", "p_partkey", "p_name")
+    return N.nearest_texts(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part"), "s_suppkey", "s_name", "p_partkey", "p_name", whole_bytes=N.WHOLE_BYTES)
 
 
 @query(f"with {_NAMES} select * from found")
